@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -123,12 +124,30 @@ def ragged_arange(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64) - np.repeat(ends - counts, counts)
 
 
-def arrow_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``mapInArrow`` function from one that maps a single batch."""
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in runs of about SLICE_BYTES of text, which bounds a task's memory; a longer text stands alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size, dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def arrow_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``mapInArrow`` function from one that maps a slice of rows; ``text`` is the place of the text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for batch in slices(batches, text):
+            if (out := fn(batch)) is not None:
                 yield out
 
     return run
