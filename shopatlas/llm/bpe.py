@@ -97,7 +97,7 @@ class WordTable:
     two integers, so nothing rests on a hash being unique); longer words are in a dictionary.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import with_end, word_table
+from .common import slices
 
 CAPACITY = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
@@ -60,7 +61,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 1, capaci
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in slices(batches):
             ids, bounds = with_end(*word_table(tokenizer).encode(batch.column(1)), end_id)
             lo = 0
             while lo < batch.num_rows:

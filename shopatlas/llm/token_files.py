@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .bpe import with_end, word_table
-from .common import shared_dir
+from .common import shared_dir, slices
 
 SEGMENT_IDS = 1 << 20
 _HEADER = struct.Struct("<4sIQQQQ")
@@ -57,7 +57,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, bounds = with_end(*word_table(tokenizer).encode(batch.column(1)), end_id)
             key = batch.column(0)
             known = np.array(key.is_valid())
