@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, secrets, token_files, warc
+from . import exact_dedup, jaccard, packing, secrets, token_files, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -19,6 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op1_ngram_jaccard"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+    ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(g) AS x FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * c >= 75 * (i.n + j.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = n.doc_id
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,4 +79,4 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_secrets, op5_exact_dedup, op6_token_output, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_secrets, op5_exact_dedup, op6_token_output, op9_warc)}
