@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -156,3 +157,30 @@ def arrow_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: i
 def hash_partitions(spark: SparkSession) -> int:
     """How many parts a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BLOOM_BITS = 1 << 24
+
+
+def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit map of fixed size (2 MB) over a column of 64-bit hashes, two bits a key.
+
+    Spark merges it word by word; only the words come to the driver.  It serves to leave rows out
+    of a shuffle; where it is full it lets all rows through, which costs time but no result.
+    """
+    bit = F.explode(F.array(*(F.expr(f"shiftrightunsigned({column}, {s}) & {BLOOM_BITS - 1}") for s in (0, 32)))).alias("bit")
+    words = keys.select(bit).groupBy(F.expr("cast(bit div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("m"))
+    out = np.zeros(BLOOM_BITS // 32, np.uint32)
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("m").to_numpy().astype(np.uint32)
+    return out
+
+
+def bloom_hits(keys: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in the map."""
+    u = keys.view(np.uint64)
+    hit = np.ones(len(u), bool)
+    for s in (0, 32):
+        bit = (u >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1)
+        hit &= (bloom[(bit // np.uint64(32)).astype(np.int64)] >> (bit % np.uint64(32)).astype(np.uint32)) & 1 > 0
+    return hit

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, hash_partitions, lower_ascii, materialise, mix64, ragged_arange, slices, text_bytes
+from .common import SpanHasher, bloom_hits, bloom_of, hash_partitions, lower_ascii, materialise, mix64, ragged_arange, slices, text_bytes
 from .components import connected_components
 
 WORDS = 5
@@ -33,7 +33,6 @@ RESERVE = 8  # one segment in so many has deletion neighbours; all have in small
 SMALL_SET = 48
 SMALL_BUCKET = 24
 STAR_ROUNDS = 3
-BLOOM_BITS = 1 << 24
 _EMPTY_COST = 1 << 40
 
 
@@ -309,27 +308,13 @@ def _verify(threshold: tuple[int, int]):
     return run
 
 
-def _bloom(classes: DataFrame) -> np.ndarray:
-    """A bit map of fixed size over the classes (two bits each); only its words come to the driver."""
-    bit = F.explode(F.array(*(F.expr(f"shiftrightunsigned(class, {s}) & {BLOOM_BITS - 1}") for s in (0, 32)))).alias("bit")
-    words = classes.select(bit).groupBy(F.expr("cast(bit div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("m"))
-    out = np.zeros(BLOOM_BITS // 32, np.uint32)
-    got = words.toArrow()
-    out[got.column("w").to_numpy()] = got.column("m").to_numpy().astype(np.uint32)
-    return out
-
-
 def _held_sets(words: int, seed: int, bloom: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
             sets, bounds = shingle_sets(*text_bytes(batch.column(1)), words, seed)
             names = set_classes(sets, bounds)[0]
-            u = names.view(np.uint64)
-            hit = np.diff(bounds) > 0
-            for s in (0, 32):
-                bit = (u >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1)
-                hit &= (bloom[(bit // np.uint64(32)).astype(np.int64)] >> (bit % np.uint64(32)).astype(np.uint32)) & 1 > 0
+            hit = (np.diff(bounds) > 0) & bloom_hits(names, bloom)
             rows = [k for k in np.flatnonzero(hit).tolist() if not (int(names[k]) in seen or seen.add(int(names[k])))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array([sets[bounds[k] : bounds[k + 1]].tobytes() for k in rows], pa.binary())], ["class", "set"])
@@ -370,7 +355,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, id_col: str = "doc
     large = candidates.where("bucket is not null").select("bucket", F.col("a").alias("class"), F.col("b").alias("code"), "n")
 
     involved = small.select(F.col("a").alias("class")).union(small.select("b")).union(large.select("class")).distinct()
-    sets = materialise(texts.mapInArrow(_held_sets(words, seed, _bloom(involved)), "class long, set binary").dropDuplicates(["class"]), "sets")
+    sets = materialise(texts.mapInArrow(_held_sets(words, seed, bloom_of(involved, "class")), "class long, set binary").dropDuplicates(["class"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")).hint("merge"), "a")

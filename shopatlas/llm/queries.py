@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, packing, secrets, token_files, warc
+from . import exact_dedup, jaccard, langid, packing, repeats, secrets, token_files, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -59,10 +59,19 @@ FROM d
 """
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.fit(documents))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -79,4 +88,4 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op4_secrets, op5_exact_dedup, op6_token_output, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op9_warc, op10_language_id)}
