@@ -1,7 +1,61 @@
-"""The corpus pipeline."""
-STAGES: list = []
+"""The corpus pipeline: language ID, exact dedup, near dedup, secret scan, packing.
+
+Every stage works on all that its predecessor kept and is written as Parquet and read again
+before the next one.  The first four return the columns of ``documents``.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shopatlas.llm import exact_dedup, jaccard, langid, packing, secrets
+from shopatlas.llm.common import materialise
+from shopatlas.llm.queries import tokenizer_path
+
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; texts without letters and undecided ones go."""
+    return langid.keep_identified(docs, langid.fit(docs), LEAST_SCORE)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id stays."""
+    kept = jaccard.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets in them are replaced by a mark and n_chars follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in packed sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each one's rows written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
