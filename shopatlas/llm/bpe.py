@@ -99,13 +99,16 @@ class WordTable:
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
+        self.most = most
+        self.load(path)
+        self._clear()
+
+    def load(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.classes = char_classes()
-        self.most = most
-        self._clear()
 
     def _clear(self) -> None:
         slots = 1 << max(10, (self.most * 2).bit_length())
@@ -150,9 +153,20 @@ class WordTable:
             left = np.delete(left, took)
             slot[left] = (slot[left] + 1) & (len(self.held) - 1)
 
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def encode_whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the words, and a mask of the bytes that are not certain."""
+        kinds = byte_kinds(data, self.classes)
+        return np.flatnonzero(word_starts(data, offsets, kinds)), kinds == _UNSURE
+
     def _learn(self, words: list[bytes]) -> int:
         """Encode new words; the index of the first."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        found = self.encode_words(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
         n, k = self.words, len(words)
@@ -172,10 +186,12 @@ class WordTable:
         data, offsets = text_bytes(column)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        kinds = byte_kinds(data, self.classes)
-        at = np.flatnonzero(word_starts(data, offsets, kinds))
+        return self.encode_bytes(data, offsets)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of a buffer of texts."""
+        at, unsure = self.split(data, offsets)
         length = np.diff(np.append(at, len(data)))
-        unsure = kinds == _UNSURE
         odd = np.zeros(0, np.int64)
         good = np.ones(len(at), bool)  # words of the texts that are not given to the library as a whole
         if unsure.any():
@@ -211,7 +227,7 @@ class WordTable:
         return self._replace(ids, bounds, odd, data, offsets) if len(odd) else (ids, bounds)
 
     def _replace(self, ids: np.ndarray, bounds: np.ndarray, odd: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        whole = {k: np.array(self.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for k in odd.tolist()}
+        whole = {k: np.array(self.encode_whole(data[offsets[k] : offsets[k + 1]].tobytes().decode()), np.uint32) for k in odd.tolist()}
         parts, sizes, done = [], np.diff(bounds), 0
         for k, own in whole.items():
             parts += [ids[bounds[done] : bounds[k]], own]

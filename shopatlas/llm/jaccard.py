@@ -13,7 +13,8 @@ sketch of all shingles says of its rarest shingle, a deletion neighbourhood its
 Equal sets are one class, so copies never meet each other.  Signatures travel packed (six bytes
 each) to the part that owns their hash; buckets of many classes (groups of near copies) are not
 paired off but joined to a few centres first, and only classes still apart are compared after that.
-Every candidate pair is verified on the whole sets.
+A candidate pair first compares parity bit maps, an exact bound of an eighth of a byte
+a shingle; what that leaves is verified on the whole sets.
 """
 from __future__ import annotations
 
@@ -31,8 +32,8 @@ WORDS = 5
 CELLS, ROWS = 1 << 16, 2
 RESERVE = 8  # one segment in so many has deletion neighbours; all have in small sets
 SMALL_SET = 48
-SMALL_BUCKET = 24
-STAR_ROUNDS = 3
+SMALL_BUCKET = 1024  # pairs of a probing and an indexed entry
+CENTRES = 3
 _EMPTY_COST = 1 << 40
 
 
@@ -86,6 +87,29 @@ def set_classes(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return digests[0].view(np.int64), digests[1].view(np.int64)
 
 
+def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A parity bit map of each set: as many bits as the next power of two from its size (64 at least).
+
+    The bits in which two maps differ are at most the shingles in which the sets do.
+    """
+    size = np.diff(bounds)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    first = np.cumsum(bits) - bits
+    of = np.repeat(np.arange(len(size)), size)
+    place = first[of] + (sets >> np.uint64(20)).astype(np.int64) % bits[of]
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a : a + n] for a, n in zip((first // 8).tolist(), (bits // 8).tolist(), strict=True)]
+
+
+def maps_differ(x: bytes, y: bytes) -> int:
+    """Differing bits of two maps; the longer one is folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _cells(sets: np.ndarray) -> list[np.ndarray]:
     return [((sets >> np.uint64(16 * k)) & np.uint64(CELLS - 1)).astype(np.int64) for k in range(ROWS)]
 
@@ -139,7 +163,8 @@ def _steps(sets: np.ndarray, bounds: np.ndarray, who: np.ndarray, band: np.ndarr
         # allotment: the cheapest steps of each set; a segment's second step costs more than its first
         twice = np.flatnonzero(reserve & (n_in >= 2))
         step_of = np.concatenate([seg_of, seg_of[twice], h_of])
-        step_cost = np.concatenate([rare, 2 * rare[twice] + n_in[twice] + 1, np.full(len(h_of), _EMPTY_COST)])
+        weak = np.where(n_in == 1, 64, np.where(n_in == 2, 8, 1))  # few shingles meet by chance or in a shared passage
+        step_cost = np.concatenate([rare * 1024 + weak, 2048 * rare[twice] + np.maximum(weak, n_in + 1)[twice], np.full(len(h_of), _EMPTY_COST)])
         order = np.lexsort((step_cost, step_of))
         counts = np.bincount(step_of, minlength=len(who))
         taken = np.zeros(len(step_of), bool)
@@ -176,7 +201,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, cost: np.ndarray) -> tuple[
 def _classify(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros((ROWS, CELLS), np.int64), set()
-        names = ["doc_id", "n", "class", "check", "cell"]
+        names = ["doc_id", "n", "class", "check", "cell", "map"]
         for batch in slices(batches):
             sets, bounds = shingle_sets(*text_bytes(batch.column(1)), words, seed)
             a, b = set_classes(sets, bounds)
@@ -185,9 +210,9 @@ def _classify(words: int, seed: int):
             own = np.repeat(new, size)
             for k, cell in enumerate(_cells(sets[own])):
                 counts[k] += np.bincount(cell, minlength=CELLS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(a, mask=size == 0), pa.array(b), pa.array(np.full(len(a), -1))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(a, mask=size == 0), pa.array(b), pa.array(np.full(len(a), -1)), pa.array([m if k else None for k, m in zip(new.tolist(), bitmaps(sets, bounds), strict=True)], pa.binary())], names)
         at = np.flatnonzero(counts.ravel())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(counts.ravel()[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at)], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(counts.ravel()[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at), pa.nulls(len(at), pa.binary())], names)
 
     return run
 
@@ -261,13 +286,20 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, name, n, code = sign[keep], name[keep], n[keep], code[keep]
         at = np.flatnonzero(np.concatenate([np.ones(min(1, len(sign)), bool), sign[1:] != sign[:-1]]))
         k = np.diff(np.append(at, len(sign)))
-        small = k <= SMALL_BUCKET
+        bucket_of = np.repeat(np.arange(len(at)), k)
+        asks, told = np.flatnonzero(code >= 4), np.flatnonzero((code & 1) > 0)
+        n_asks, n_told = np.bincount(bucket_of[asks], minlength=len(at)), np.bincount(bucket_of[told], minlength=len(at))
+        first_ask, first_told = np.cumsum(n_asks) - n_asks, np.cumsum(n_told) - n_told
+        product = n_asks * n_told
+        small = product <= SMALL_BUCKET
         a_parts, b_parts = [], []
-        for lo in range(0, len(at), 1 << 16):
-            t = np.flatnonzero(small[lo : lo + (1 << 16)]) + lo
-            cross = k[t] * k[t]
-            i = np.repeat(at[t], cross) + ragged_arange(cross) // np.repeat(k[t], cross)
-            j = np.repeat(at[t], cross) + ragged_arange(cross) % np.repeat(k[t], cross)
+        todo = np.flatnonzero(small & (product > 0))
+        for lo in range(0, len(todo), 1 << 13):
+            t = todo[lo : lo + (1 << 13)]
+            inner = ragged_arange(product[t])
+            wide = np.repeat(n_told[t], product[t])
+            i = asks[np.repeat(first_ask[t], product[t]) + inner // wide]
+            j = told[np.repeat(first_told[t], product[t]) + inner % wide]
             ok = may_link(n[i], n[j]) & (n[j] <= n[i]) & (name[i] != name[j]) & probes(code[i], code[j])
             pairs = np.unique(np.stack([np.minimum(name[i][ok], name[j][ok]), np.maximum(name[i][ok], name[j][ok])], 1), axis=0)
             a_parts.append(pairs[:, 0])
@@ -289,6 +321,15 @@ def probes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((y & 1) > 0) & (x >= 4) & (((y & 2) == 0) | (~deleted & (x >= 8)))
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bit maps differ in no more bits than linked sets may differ in shingles."""
+    for batch in batches:
+        most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // 7
+        differ = [maps_differ(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        mask = pa.array(np.array(differ, np.int64) <= most)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+
 def _verify(threshold: tuple[int, int]):
     num, den = threshold
 
@@ -334,7 +375,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, id_col: str = "doc
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for seed in range(1, 9):
-        found = materialise(texts.mapInArrow(_classify(words, seed), "doc_id long, n long, class long, check long, cell long"), "classes")
+        found = materialise(texts.mapInArrow(_classify(words, seed), "doc_id long, n long, class long, check long, cell long, map binary"), "classes")
         docs = found.where("cell = -1").drop("cell")
         clash = docs.where("class is not null").groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("m"), F.max("n").alias("n")).where("a <> b or m <> n")
         if clash.isEmpty():  # else two sets share a digest: take other hashes
@@ -354,36 +395,37 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, id_col: str = "doc
     small = candidates.where("bucket is null").select("a", "b").distinct()
     large = candidates.where("bucket is not null").select("bucket", F.col("a").alias("class"), F.col("b").alias("code"), "n")
 
-    involved = small.select(F.col("a").alias("class")).union(small.select("b")).union(large.select("class")).distinct()
-    sets = materialise(texts.mapInArrow(_held_sets(words, seed, bloom_of(involved, "class")), "class long, set binary").dropDuplicates(["class"]), "sets")
+    known = materialise(docs.where("map is not null").dropDuplicates(["class"]).select("class", "n", "map"), "maps")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(known.select(F.col("class").alias("a"), F.col("n").alias("m"), F.col("map").alias("x")).hint("merge"), "a")
+        with_b = with_a.join(known.select(F.col("class").alias("b"), F.col("n").alias("n"), F.col("map").alias("y")).hint("merge"), "b")
+        return materialise(with_b.select("a", "b", "m", "n", "x", "y").mapInArrow(_likely, "a long, b long"), "likely")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs; whole sets are read again, for the classes that need them."""
+        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        sets = materialise(texts.mapInArrow(_held_sets(words, seed, bloom_of(wanted, "class")), "class long, set binary").dropDuplicates(["class"]), "sets")
         with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
         with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         return materialise(with_b.select("a", "b", "x", "y").mapInArrow(_verify((3, 4)), "a long, b long"), "links")
 
-    links = verified(small)
+    # a few centres for each large bucket, the same ones wherever the same classes meet
+    picks = [F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "n")).alias(f"c{k}") for k in range(CENTRES)]
+    centres = large.groupBy("bucket").agg(*picks).select("bucket", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"c{k}.class").alias("class"), F.col(f"c{k}.n").alias("n")) for k in range(CENTRES))))).alias("c"))
+    near = large.join(centres.hint("merge"), "bucket").where("class <> c.class and 4 * least(n, c.n) >= 3 * greatest(n, c.n)")
+    stars = near.select(F.least("class", "c.class").alias("a"), F.greatest("class", "c.class").alias("b"))
+    links = verified(likely(small.union(stars).distinct()))
     roots = connected_components(links)
     if not large.isEmpty():
-        for turn in range(STAR_ROUNDS + 1):
-            label = F.coalesce("root", "class").alias("label")
-            members = materialise(large.join(roots.withColumnRenamed("node", "class").hint("merge"), "class", "left").select("bucket", "class", "code", "n", label), "members")
-            if turn < STAR_ROUNDS:
-                pick = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "label")
-                centre = members.groupBy("bucket").agg(F.min(pick).alias("c"))
-                near = members.join(centre.hint("merge"), "bucket").where("label <> c.label and 4 * least(n, c.n) >= 3 * greatest(n, c.n)")
-                pairs = near.select(F.least("class", "c.class").alias("a"), F.greatest("class", "c.class").alias("b"))
-            else:
-                # classes outside their bucket's largest component against all of the bucket
-                sizes = members.groupBy("bucket", "label").count()
-                main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-                rest = members.join(main.hint("merge"), "bucket").where("label <> main").select("bucket", *(F.col(c).alias(f"r_{c}") for c in ("class", "code", "n", "label")))
-                finds = lambda x, y: f"({y} & 1) > 0 and {x} >= 4 and (({y} & 2) = 0 or (({x} & 2) = 0 and {x} >= 8))"
-                near = members.join(rest.hint("merge"), "bucket").where(f"label <> r_label and 4 * least(n, r_n) >= 3 * greatest(n, r_n) and ((r_n <= n and {finds('code', 'r_code')}) or (n <= r_n and {finds('r_code', 'code')}))")
-                pairs = near.select(F.least("class", "r_class").alias("a"), F.greatest("class", "r_class").alias("b"))
-            pairs = materialise(pairs.distinct(), "pairs")
-            if pairs.isEmpty():
-                break
+        # classes outside their bucket's largest component against all of the bucket that is not in theirs
+        members = materialise(large.join(roots.withColumnRenamed("node", "class").hint("merge"), "class", "left").select("bucket", "class", "code", "n", F.coalesce("root", "class").alias("label")), "members")
+        main = members.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
+        rest = members.join(main.hint("merge"), "bucket").where("label <> main").select("bucket", *(F.col(c).alias(f"r_{c}") for c in ("class", "code", "n", "label")))
+        finds = lambda x, y: f"({y} & 1) > 0 and {x} >= 4 and (({y} & 2) = 0 or (({x} & 2) = 0 and {x} >= 8))"
+        near = members.join(rest.hint("merge"), "bucket").where(f"label <> r_label and 4 * least(n, r_n) >= 3 * greatest(n, r_n) and ((r_n <= n and {finds('code', 'r_code')}) or (n <= r_n and {finds('r_code', 'code')}))")
+        pairs = likely(near.select(F.least("class", "r_class").alias("a"), F.greatest("class", "r_class").alias("b")).distinct())
+        if not pairs.isEmpty():
             links = links.union(verified(pairs))
             roots = connected_components(links)
 

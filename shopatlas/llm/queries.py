@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, jaccard, langid, packing, repeats, secrets, token_files, warc
+from . import embedding_dedup, exact_dedup, jaccard, langid, packing, pieces, repeats, secrets, token_files, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -82,6 +82,11 @@ FROM v JOIN c ON c.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP
 """
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    return pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.predict(documents, langid.fit(documents))
@@ -103,4 +108,4 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op9_warc, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op8_sentencepiece, op9_warc, op10_language_id)}

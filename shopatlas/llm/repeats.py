@@ -58,28 +58,42 @@ def _first_of(key: tuple[np.ndarray, ...], order_by: tuple[np.ndarray, ...]) ->
     return order, later
 
 
-def _pack(part: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[tuple[int, list[bytes]]]:
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    columns = [c[order] for c in columns]
-    for p in np.flatnonzero(np.diff(edges)).tolist():
-        yield p, [c[edges[p] : edges[p + 1]].tobytes() for c in columns]
+_RUNS, _PHRASES, _STRINGS, _FRAGMENTS = range(4)
+_DONE, _BY_FRAGMENT, _BY_STRING = range(3)  # what is left to do with a run
+_NAMES = ["part", "kind", "first", "second", "ids", "sums", "counts", "places", "small", "text"]
+_ROWS = "part long, kind long, " + ", ".join(f"{k} binary" for k in _NAMES[2:])
+WIDE_CORE = 4096  # different phrases of one core, beyond which single strings travel instead of fragments
 
 
-_ROWS = "part long, kind long, " + ", ".join(f"c{k} binary" for k in range(6))
-_NAMES = ["part", "kind", *(f"c{k}" for k in range(6))]
-_RUNS, _PHRASES, _WINDOWS = 0, 1, 2
+def _send(kind: int, part: np.ndarray, of: np.ndarray, ids: np.ndarray, sums: np.ndarray, place: np.ndarray, first=None, second=None, small=None, text=None) -> list[tuple]:
+    """Rows of the shuffle, one for each part: sorted by text, whose id and sum stand there once."""
+    order = np.lexsort((place, of, part))
+    part, of = part[order], of[order]
+    out = []
+    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
+    for a, b in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True):
+        texts, counts = np.unique(of[a:b], return_counts=True)
+        pick = order[a:b]
+        body = [x[pick].tobytes() if x is not None else b"" for x in (first, second)]
+        out.append((int(part[a]), kind, *body, ids[texts].tobytes(), sums[texts].tobytes(), counts.astype(np.uint32).tobytes(), place[pick].astype(np.uint32).tobytes(), small[pick].tobytes() if small is not None else b"", b"".join(text[k] for k in pick.tolist()) if text is not None else b""))
+    return out
 
 
-def _rows(found: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
-    wide = [c + [b""] * (6 - len(c)) for _, _, c in found]
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.int64()), pa.array([k for _, k, _ in found], pa.int64()), *(pa.array([c[j] for c in wide], pa.binary()) for j in range(6))], _NAMES)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
 
 def _text_part(ids: np.ndarray, sums: np.ndarray, parts: int) -> np.ndarray:
     return ((sums ^ ids) & 0x7FFFFFFF) % parts
 
 
+def _send_runs(todo: int, pick: np.ndarray, of, ids, sums, place, count, reach, parts: int) -> list[tuple]:
+    """Runs of string starts (first, how many, distance to the trigger) to the part of their text."""
+    small = np.stack([np.full(len(pick), todo), count[pick], reach[pick]], 1).astype(np.uint8).view("V3").ravel()
+    return _send(_RUNS, _text_part(ids, sums, parts)[of[pick]], of[pick], ids, sums, place[pick], small=small)
+
+
 def _parse(parts: int):
     """Phrases of each slice by the part of their core; a phrase's later occurrences in the slice are repeats already."""
 
@@ -94,96 +108,144 @@ def _parse(parts: int):
             of = np.searchsorted(offsets, start, side="right") - 1
             core = hashed.spans(trigger, trigger + CORE)
             whole = hashed.spans(start, start + count + LENGTH - 1)
-            place = start - offsets[of]
+            place, reach = start - offsets[of], trigger - start
             order, later = _first_of((core, whole), (ids[of], sums[of], place))
-            found = [(p, _RUNS, c) for p, c in _runs(ids[of], sums[of], place, place + count, order[later], parts)]
+            found = _send_runs(_DONE, order[later], of, ids, sums, place, count, reach, parts)
             own = order[~later]
-            same = np.concatenate([np.zeros(min(1, len(own)), bool), core[own][1:] == core[own][:-1]])
+            same = np.zeros(len(own), bool)
+            same[1:] = core[own][1:] == core[own][:-1]
             group = np.cumsum(~same) - 1
-            hot = np.bincount(group)[group] >= HOT if len(own) else same
-            found += [(p, _RUNS, [*c, b"x"]) for p, c in _runs(ids[of], sums[of], place, place + count, own[hot], parts)]
+            hot = np.bincount(group)[group] >= HOT
+            found += _send_runs(_BY_STRING, own[hot], of, ids, sums, place, count, reach, parts)
             sent = own[~hot | ~same]
-            mark = hot[~hot | ~same].astype(np.uint8)
-            part = (core[sent] % np.uint64(parts)).astype(np.int64)
-            found += [(p, _PHRASES, c) for p, c in _pack(part, [core[sent], whole[sent], ids[of][sent], sums[of][sent], place[sent].astype(np.int64), count[sent].astype(np.uint8) | (mark << np.uint8(7))], parts)]
-            yield _rows(found)
+            small = np.stack([count[sent], reach[sent], hot[~hot | ~same]], 1).astype(np.uint8).view("V3").ravel()
+            found += _send(_PHRASES, (core[sent] % np.uint64(parts)).astype(np.int64), of[sent], ids, sums, place[sent], core[sent], whole[sent], small)
+            yield _batch(found)
 
     return run
 
 
-def _runs(ids, sums, a, b, pick, parts):
-    return _pack(_text_part(ids[pick], sums[pick], parts), [ids[pick], sums[pick], a[pick].astype(np.int64), b[pick].astype(np.int64)], parts)
-
+_OUT = "id long, sum long, todo long, runs binary"
 
-_OUT = "id long, sum long, again boolean, runs binary"
 
-
-def _by_text(ids, sums, a, b, again: bool) -> pa.RecordBatch:
-    """Rows (text, runs of string starts); ``again``: still to be looked up string by string."""
-    order = np.lexsort((a, sums, ids))
+def _by_text(ids, sums, place, count, reach, todo: int) -> pa.RecordBatch:
+    """Rows (text, its runs as triples of 64-bit numbers: first start, how many, distance to the trigger)."""
+    order = np.lexsort((place, sums, ids))
     ids, sums = ids[order], sums[order]
-    runs = np.stack([a[order], b[order]], 1).astype(np.int64)
+    runs = np.stack([place[order], count[order], reach[order]], 1).astype(np.int64)
     head = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])]))
     ends = np.append(head[1:], len(ids)) if len(head) else head
-    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(sums[head]), pa.array([again] * len(head), pa.bool_()), pa.array([runs[x:y].tobytes() for x, y in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())], ["id", "sum", "again", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(sums[head]), pa.array(np.full(len(head), todo)), pa.array([runs[x:y].tobytes() for x, y in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())], ["id", "sum", "todo", "runs"])
 
 
-_TYPES = {_RUNS: (np.int64,) * 4, _PHRASES: (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8), _WINDOWS: (np.uint64, np.uint64, np.int64, np.int64, np.int64)}
+def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray], list[bytes]]]:
+    """The rows of each part and kind, put together."""
+    held: dict[tuple[int, int], list[tuple]] = {}
+    for batch in batches:
+        for part, kind, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault((part, kind), []).append(columns)
+    for (_, kind), rows in held.items():
+        first, second, ids, sums, counts, places, small, text = zip(*rows, strict=True)
+        counts = np.frombuffer(b"".join(counts), np.uint32)
+        small_kind = np.uint8 if kind == _STRINGS else np.dtype((np.uint8, 3))
+        yield kind, {
+            "first": np.frombuffer(b"".join(first), np.uint64), "second": np.frombuffer(b"".join(second), np.uint64),
+            "ids": np.repeat(np.frombuffer(b"".join(ids), np.int64), counts), "sums": np.repeat(np.frombuffer(b"".join(sums), np.int64), counts),
+            "place": np.frombuffer(b"".join(places), np.uint32).astype(np.int64), "small": np.frombuffer(b"".join(small), small_kind).astype(np.int64),
+        }, list(text)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dictionary of each part: later occurrences are repeats, phrases that share a core go to the suffixes."""
-    held: dict[tuple, list] = {}
-    for batch in batches:
-        for part, kind, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.setdefault((part, kind, columns[4] == b"x"), []).append(columns)
-    for (_, kind, again), rows in held.items():
-        columns = [np.frombuffer(b"".join(r[j] for r in rows), t) for j, t in enumerate(_TYPES[kind])]
+    """What each part decides: phrases, single strings or fragments that stand earlier elsewhere."""
+    for kind, x, text in _received(batches):
+        ids, sums, place, small = x["ids"], x["sums"], x["place"], x["small"]
         if kind == _RUNS:
-            yield _by_text(*columns, again)
-        elif kind == _WINDOWS:
-            one, two, ids, sums, place = columns
-            order, later = _first_of((one, two), (ids, sums, place))
-            pick = order[later]
-            yield _by_text(ids[pick], sums[pick], place[pick], place[pick] + 1, False)
+            for todo in (_DONE, _BY_FRAGMENT, _BY_STRING):
+                pick = np.flatnonzero(small[:, 0] == todo)
+                yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 1], small[pick, 2], todo)
+        elif kind == _STRINGS:
+            order, later = _first_of((x["first"], x["second"]), (ids, sums, place))
+            yield _strings_done(ids, sums, place, order[later])
+        elif kind == _FRAGMENTS:
+            yield from _suffix_groups(x, b"".join(text))
         else:
-            core, whole, ids, sums, place, count = columns
-            marked, count = count >> 7, (count & 127).astype(np.int64)
+            core, whole, marked = x["first"], x["second"], small[:, 2]
             order, later = _first_of((core, whole, marked), (ids, sums, place))
             pick = order[later & (marked[order] == 0)]
-            yield _by_text(ids[pick], sums[pick], place[pick], place[pick] + count[pick], False)
+            yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 0], small[pick, 1], _DONE)
             own = order[~later]
             new = np.ones(len(own), bool)
             new[1:] = core[own][1:] != core[own][:-1]
             group = np.cumsum(new) - 1
-            fresh = np.ones(len(own), bool)
-            fresh[1:] = new[1:] | (whole[own][1:] != whole[own][:-1])
-            shared = (np.bincount(group, fresh) > 1) | (np.bincount(group, marked[own]) > 0) if len(own) else new
-            pick = own[shared[group] & (marked[own] == 0)]
-            yield _by_text(ids[pick], sums[pick], place[pick], place[pick] + count[pick], True)
-
-
-def _suffixes(parts: int):
-    """The 100-byte suffix prefixes to be looked up, by the part of their hash."""
+            fresh = new.copy()
+            fresh[1:] |= whole[own][1:] != whole[own][:-1]
+            kinds = np.bincount(group, fresh) if len(own) else np.zeros(0)
+            hot = (np.bincount(group, marked[own]) > 0) | (kinds > WIDE_CORE) if len(own) else new
+            for todo, chosen in ((_BY_STRING, hot), (_BY_FRAGMENT, ~hot & (kinds > 1))):
+                pick = own[chosen[group] & (marked[own] == 0)]
+                yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 0], small[pick, 1], todo)
+
+
+def _strings_done(ids, sums, place, pick) -> pa.RecordBatch:
+    return _by_text(ids[pick], sums[pick], place[pick], np.ones(len(pick)), np.zeros(len(pick)), _DONE)
+
+
+def _suffix_groups(x: dict[str, np.ndarray], text: bytes) -> Iterator[pa.RecordBatch]:
+    """Suffixes of the dictionary fragments grouped by their first 100 bytes, some cores at a time."""
+    ids, sums, place, count = x["ids"], x["sums"], x["place"], x["small"][:, 0]
+    data = np.frombuffer(text, np.uint8)
+    ends = np.cumsum(count + LENGTH - 1)
+    begin = ends - (count + LENGTH - 1)
+    order = np.argsort(x["first"], kind="stable")
+    core = x["first"][order]
+    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(core)), bool), core[1:] != core[:-1]]))
+    bounds = np.append(edges, len(core))
+    lo = 0
+    while lo < len(edges):
+        total = np.cumsum(count[order[bounds[lo] :]])[bounds[lo + 1 :] - bounds[lo] - 1]
+        hi = lo + max(1, int(np.searchsorted(total, 1 << 20)))
+        own = order[bounds[lo] : bounds[min(hi, len(edges))]]
+        size = count[own] + LENGTH - 1
+        buffer = data[np.repeat(begin[own], size) + ragged_arange(size)]
+        at = np.repeat(np.cumsum(size) - size, count[own]) + ragged_arange(count[own])
+        one, two = (SpanHasher(buffer, seed).spans(at, at + LENGTH) for seed in (11, 12))
+        row = np.repeat(own, count[own])
+        where = place[row] + ragged_arange(count[own])
+        sort, later = _first_of((one, two), (ids[row], sums[row], where))
+        yield _strings_done(ids[row], sums[row], where, sort[later])
+        lo = hi
+
+
+def _look_up(parts: int):
+    """Fragments (by core) or single strings (by their hash) of the runs that are still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             data, offsets = text_bytes(batch.column(2))
             ids, sums = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            runs = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in batch.column(3).to_pylist()]
-            of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-            both = np.concatenate(runs)
-            size = both[:, 1] - both[:, 0]
-            place = np.repeat(both[:, 0], size) + ragged_arange(size)
-            of = np.repeat(of, size)
-            at = offsets[of] + place
-            one, two = (SpanHasher(data, seed).spans(at, at + LENGTH) for seed in (11, 12))
-            order, later = _first_of((one, two), (ids[of], sums[of], place))
-            found = [(p, _RUNS, c) for p, c in _runs(ids[of], sums[of], place, place + 1, order[later], parts)]
-            own = order[~later]
-            found += [(p, _WINDOWS, c) for p, c in _pack((one[own] % np.uint64(parts)).astype(np.int64), [one[own], two[own], ids[of][own], sums[of][own], place[own].astype(np.int64)], parts)]
+            found = []
+            for todo, column in ((_BY_FRAGMENT, batch.column(3)), (_BY_STRING, batch.column(4))):
+                runs = [np.frombuffer(b"".join(r or ()), np.int64).reshape(-1, 3) for r in column.to_pylist()]
+                of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+                place, count, reach = np.concatenate(runs).T
+                if not len(of):
+                    continue
+                start = offsets[of] + place
+                if todo == _BY_FRAGMENT:
+                    core = SpanHasher(data).spans(start + reach, start + reach + CORE)
+                    text = [data[a : a + n].tobytes() for a, n in zip(start.tolist(), (count + LENGTH - 1).tolist(), strict=True)]
+                    found += _send(_FRAGMENTS, (core % np.uint64(parts)).astype(np.int64), of, ids, sums, place, core, small=np.stack([count, reach, reach], 1).astype(np.uint8).view("V3").ravel(), text=text)
+                    continue
+                at = np.repeat(start, count) + ragged_arange(count)
+                of = np.repeat(of, count)
+                place = at - offsets[of]
+                one, two = (SpanHasher(data, seed).spans(at, at + LENGTH) for seed in (11, 12))
+                order, later = _first_of((one, two), (ids[of], sums[of], place))
+                found += _send_runs(_DONE, order[later], of, ids, sums, place, np.ones(len(of)), np.zeros(len(of)), parts)
+                own = order[~later]
+                found += _send(_STRINGS, (one[own] % np.uint64(parts)).astype(np.int64), of[own], ids, sums, place[own], one[own], two[own])
             if found:
-                yield _rows(found)
+                yield _batch(found)
 
     return run
 
@@ -192,11 +254,11 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def removed_spans(runs: np.ndarray) -> np.ndarray:
-    """Byte spans covered by repeated strings, from runs of their starts (first, end)."""
+    """Byte spans covered by repeated strings, from runs of their starts (first, how many, ...)."""
     if not len(runs):
         return np.zeros((0, 2), np.int64)
-    a, b = runs[np.argsort(runs[:, 0], kind="stable")].T
-    b = np.maximum.accumulate(b + LENGTH - 1)
+    a, n = runs[np.argsort(runs[:, 0], kind="stable")].T[:2]
+    b = np.maximum.accumulate(a + n + LENGTH - 1)
     head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
     return np.stack([a[head], b[np.append(head[1:] - 1, len(a) - 1)]], 1)
 
@@ -213,7 +275,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for k, own in enumerate(batch.column(2).to_pylist()):
             text = data[offsets[k] : offsets[k + 1]]
-            spans = removed_spans(np.frombuffer(b"".join(own or ()), np.int64).reshape(-1, 2))
+            spans = removed_spans(np.frombuffer(b"".join(own or ()), np.int64).reshape(-1, 3))
             out.append((len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(cut(text, spans)).hexdigest()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.string(),), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -241,11 +303,13 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("sum", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "sum"))
     parsed = texts.select("id", "text", "sum").mapInArrow(_parse(parts), _ROWS)
     found = materialise(parsed.repartition(parts, "part").mapInArrow(_resolve, _OUT), "phrases")
-    open_runs = found.where("again").groupBy("id", "sum").agg(F.collect_list("runs").alias("runs"))
-    wanted = texts.mapInArrow(_only(bloom_of(found.where("again").select(F.xxhash64("id", "sum").alias("k")), "k"), True), texts.schema)
-    asked = wanted.select("id", "sum", "text").join(open_runs.hint("merge"), ["id", "sum"]).select("id", "sum", "text", "runs")
-    suffixes = asked.mapInArrow(_suffixes(parts), _ROWS).repartition(parts, "part").mapInArrow(_resolve, _OUT)
-    repeated = materialise(found.where("not again").union(suffixes).groupBy("id", "sum").agg(F.collect_list("runs").alias("runs")), "repeats")
+    left = found.where(f"todo <> {_DONE}")
+    runs_of = lambda todo: F.collect_list(F.when(F.col("todo") == todo, F.col("runs")))
+    open_runs = left.groupBy("id", "sum").agg(runs_of(_BY_FRAGMENT).alias("fragments"), runs_of(_BY_STRING).alias("strings"))
+    wanted = texts.mapInArrow(_only(bloom_of(left.select(F.xxhash64("id", "sum").alias("k")), "k"), True), texts.schema)
+    asked = wanted.select("id", "sum", "text").join(open_runs.hint("merge"), ["id", "sum"]).select("id", "sum", "text", "fragments", "strings")
+    looked_up = asked.mapInArrow(_look_up(parts), _ROWS).repartition(parts, "part").mapInArrow(_resolve, _OUT)
+    repeated = materialise(found.where(f"todo = {_DONE}").union(looked_up).groupBy("id", "sum").agg(F.collect_list("runs").alias("runs")), "repeats")
     bloom = bloom_of(repeated.select(F.xxhash64("id", "sum").alias("k")), "k")
     hit = texts.mapInArrow(_only(bloom, True), texts.schema).join(repeated.hint("merge"), ["id", "sum"], "left").select("doc_id", "text", "runs")
     clean = texts.mapInArrow(_only(bloom, False), texts.schema).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs"))
