@@ -42,10 +42,10 @@ def ingest(snapshot: DataFrame, records: DataFrame) -> Ingested:
     """Validate, convert, resolve ids and upsert a batch.
 
     ``snapshot`` has KEYS, VALUES and KEPT; ``records`` those (coordinates in their own system) and an
-    ``ordinal``.  The tagged batch is written once, for three readers.
+    ``ordinal``.  The tagged batch and its converted rows are written once each, for several readers.
     """
     tagged = materialise(tag(records), "batch")
-    valid = to_wgs(tagged.where("reason is null"))
+    valid = materialise(to_wgs(tagged.where("reason is null")), "converted")
     named = resolve.canonical_ids(snapshot, valid)
     out = upsert.upsert(snapshot, named, KEYS, VALUES, KEPT)
     return Ingested(out, tagged.where("reason is not null"), run_metrics(tagged))

@@ -74,7 +74,7 @@ def run_metrics(t):
 def _batches(t: Tables):
     """A stored snapshot and new records; external ids are those of the rows' own."""
     base = t.location.withColumns({"ordinal": F.col("id"), "last_seen_at": F.col("seen_at"), "created_at": F.col("seen_at"), "external_id": F.concat(F.lit("e"), F.col("id").cast("string"))})
-    old = ingest.to_wgs(base.where("id % 5 = 0 and lng is not null"))
+    old = storage.materialise(ingest.to_wgs(base.where("id % 5 = 0 and lng is not null")), "stored")
     return old.select(*ingest.KEYS, *ingest.VALUES, *ingest.KEPT), base.where("id % 5 <> 0")
 
 
