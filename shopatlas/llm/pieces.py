@@ -5,8 +5,8 @@ piece is longest, then the one before it, and so on.  A character that is no pie
 unknown score and becomes byte pieces.  Scores are added in double precision, exact for the whole
 numbers of a rank-scored model.
 
-Short texts: pieces never cross the start of a word (checked when the model is loaded), so each
-distinct word is segmented once per worker.  Giant texts are cut into chunks.  A path's state at
+Short texts: two characters that stand side by side in no piece are cut apart on every path, so a
+text falls into words there, and each distinct word is segmented once per worker.  Giant texts are cut into chunks.  A path's state at
 a chunk's edge is how far its next cut lies behind it.  Every chunk gives a transfer matrix from the
 states at its start to those at its end; the matrices' max-plus products give every chunk's entry
 scores; chunks then say from which entry state each exit state is reached; composing these from the
@@ -46,7 +46,15 @@ class PieceModel:
         self.bytes = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = min(x for x, _ in self.scores.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.scores))
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
+        by_word = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
+        inside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        # where two bytes may be cut apart: no piece holds the two characters side by side
+        self.apart = np.zeros((256, 256), bool)
+        mark = lambda c: SPACE if c == 32 else chr(c)
+        for x in range(128):
+            for y in range(128):
+                self.apart[x, y] = mark(x) + mark(y) not in inside
+        self.apart[128:, 32] = by_word
         table = [b"" if library.is_control(i) or library.is_unknown(i) else bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.size = np.array([len(x) for x in table])
         self.start = np.cumsum(self.size) - self.size
@@ -92,8 +100,18 @@ class PieceModel:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a text (with its space marks in place)."""
-        best, back = self.forward(text, len(text), np.zeros(1))
-        cuts = [len(text)]
+        get, longest, unknown = self.scores.get, self.longest, self.unknown
+        n = len(text)
+        best, back = [0.0] * (n + 1), [0] * (n + 1)
+        for t in range(1, n + 1):
+            top, hit = -np.inf, None
+            for a in range(t - longest if t > longest else 0, t):  # longest pieces first: they win ties
+                if (hit := get(text[a:t])) is not None and (v := best[a] + hit[0]) > top:
+                    top, back[t] = v, a
+            if hit is None and (v := best[t - 1] + unknown) > top:
+                top, back[t] = v, t - 1
+            best[t] = top
+        cuts = [n]
         while cuts[-1] > 0:
             cuts.append(back[cuts[-1]])
         return self.ids(text, cuts[::-1])
@@ -124,7 +142,7 @@ class PieceModel:
 
 
 class PieceTable(WordTable):
-    """Ids of words (runs of spaces with what follows them) seen so far."""
+    """Ids of words (what lies between certain cuts) seen so far."""
 
     def load(self, path: str) -> None:
         self.model = PieceModel(path)
@@ -136,13 +154,10 @@ class PieceTable(WordTable):
         return self.model.segment(text.replace(" ", SPACE))
 
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        space = data == 32
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = self.model.apart[data[:-1], data[1:]]
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         odd = np.zeros(len(data), bool)  # texts with the mark itself, or NUL, go as a whole
-        if not self.model.by_word:
-            odd[:] = True
         mark = np.frombuffer(SPACE.encode(), np.uint8)
         odd[:-2] |= (data[:-2] == mark[0]) & (data[1:-1] == mark[1]) & (data[2:] == mark[2])
         odd |= data == 0
