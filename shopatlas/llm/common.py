@@ -58,9 +58,9 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finaliser: spreads every input bit over the word."""
-    x = x.astype(np.uint64, copy=True)
+def mix64(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """A bijective 64-bit finaliser: spreads every input bit over the word; in place where ``out`` is ``x``."""
+    x = x.astype(np.uint64, copy=True) if out is None else out
     with np.errstate(over="ignore"):
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x7FB5D329728EA185)
@@ -110,7 +110,17 @@ class SpanHasher:
             SpanHasher._down = _powers(pow(BASE, -1, 2**64), size)
         with np.errstate(over="ignore"):
             self.prefix = np.zeros(n, np.uint64)
-            np.cumsum(byte_codes(seed)[data] * SpanHasher._up[: n - 1], out=self.prefix[1:])
+            np.take(byte_codes(seed), data, out=self.prefix[1:])
+            self.prefix[1:] *= SpanHasher._up[: n - 1]
+            np.cumsum(self.prefix, out=self.prefix)
+
+    def windows(self, length: int) -> np.ndarray:
+        """As ``spans``, of every span of one length in the buffer."""
+        with np.errstate(over="ignore"):
+            raw = self.prefix[length:] - self.prefix[: len(self.prefix) - length]
+            raw *= SpanHasher._down[: len(raw)]
+            raw += np.uint64(length * 0xD6E8FEB86659FD93 % 2**64)
+            return mix64(raw, out=raw)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -126,10 +136,16 @@ def ragged_arange(counts: np.ndarray) -> np.ndarray:
 
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches between the JVM and Python hold about BATCH_BYTES: long texts come in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in runs of about SLICE_BYTES of text, which bounds a task's memory; a longer text stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in runs of about ``most`` bytes of text, which bounds a task's memory; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -138,7 +154,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
         lo = 0
         while lo < batch.num_rows:
             before = int(ends[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
 

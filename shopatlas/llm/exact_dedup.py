@@ -24,8 +24,7 @@ def chunk_edges(data: np.ndarray, offsets: np.ndarray, hashed: SpanHasher | None
     hashed = hashed or SpanHasher(data)
     starts = offsets[:-1][np.diff(offsets) > 0]
     if len(data) > WINDOW:
-        at = np.arange(WINDOW, len(data))
-        hot = at[hashed.spans(at - WINDOW, at) % np.uint64(MEAN_CHUNK) == 0]
+        hot = WINDOW + np.flatnonzero(hashed.windows(WINDOW)[:-1] % np.uint64(MEAN_CHUNK) == 0)
         own = np.searchsorted(offsets, hot, side="right") - 1
         edges = np.union1d(starts, hot[hot - offsets[own] >= WINDOW])
     else:

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, bloom_hits, bloom_of, hash_partitions, materialise, ragged_arange, slices, text_bytes
+from .common import SpanHasher, bloom_hits, bloom_of, bound_batches, hash_partitions, materialise, ragged_arange, slices, text_bytes
 
 LENGTH, GRAM, PLACES = 100, 16, 75
 CORE = LENGTH - PLACES + 1
+SLICE = 1 << 20  # bytes of text that a task has in hand
 HOT = 8  # different phrases of one core in a slice, from which all of them go straight to the suffixes
 
 
@@ -32,8 +33,9 @@ def phrases(data: np.ndarray, offsets: np.ndarray, hashed: SpanHasher) -> tuple[
     n = len(data)
     if n < LENGTH:
         return (np.zeros(0, np.int64),) * 3
-    at = np.arange(n - GRAM + 1)
-    key = (hashed.spans(at, at + GRAM) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    key = hashed.windows(GRAM)
+    key &= np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(n - GRAM + 1, dtype=np.uint64)
     reach = 1
     while reach < 64:  # smallest of the 64 places from each place on, by doubling
         key = np.minimum(key[: len(key) - reach], key[reach:])
@@ -67,10 +69,12 @@ WIDE_CORE = 4096  # different phrases of one core, beyond which single strings t
 
 def _send(kind: int, part: np.ndarray, of: np.ndarray, ids: np.ndarray, sums: np.ndarray, place: np.ndarray, first=None, second=None, small=None, text=None) -> list[tuple]:
     """Rows of the shuffle, one for each part: sorted by text, whose id and sum stand there once."""
+    if not len(part):
+        return []
     order = np.lexsort((place, of, part))
     part, of = part[order], of[order]
     out = []
-    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     for a, b in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True):
         texts, counts = np.unique(of[a:b], return_counts=True)
         pick = order[a:b]
@@ -98,7 +102,7 @@ def _parse(parts: int):
     """Phrases of each slice by the part of their core; a phrase's later occurrences in the slice are repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
             ids, sums = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             hashed = SpanHasher(data)
@@ -203,7 +207,7 @@ def _suffix_groups(x: dict[str, np.ndarray], text: bytes) -> Iterator[pa.RecordB
     lo = 0
     while lo < len(edges):
         total = np.cumsum(count[order[bounds[lo] :]])[bounds[lo + 1 :] - bounds[lo] - 1]
-        hi = lo + max(1, int(np.searchsorted(total, 1 << 20)))
+        hi = lo + max(1, int(np.searchsorted(total, 1 << 18)))
         own = order[bounds[lo] : bounds[min(hi, len(edges))]]
         size = count[own] + LENGTH - 1
         buffer = data[np.repeat(begin[own], size) + ragged_arange(size)]
@@ -220,7 +224,7 @@ def _look_up(parts: int):
     """Fragments (by core) or single strings (by their hash) of the runs that are still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, SLICE):
             data, offsets = text_bytes(batch.column(2))
             ids, sums = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = []
@@ -270,7 +274,7 @@ def cut(data: np.ndarray, spans: np.ndarray) -> bytes:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, 1, SLICE):
         data, offsets = text_bytes(batch.column(1))
         out = []
         for k, own in enumerate(batch.column(2).to_pylist()):
@@ -298,6 +302,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     both count as one.  An empty table gives no row; other columns are not read.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     parts = hash_partitions(spark)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("sum", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "sum"))
