@@ -13,7 +13,7 @@ sketch of all shingles says of its rarest shingle, a deletion neighbourhood its
 Equal sets are one class, so copies never meet each other.  Signatures travel packed (six bytes
 each) to the part that owns their hash; buckets of many classes (groups of near copies) are not
 paired off but joined to a few centres first, and only classes still apart are compared after that.
-A candidate pair first compares parity bit maps, an exact bound of an eighth of a byte
+A candidate pair first compares parity bit maps, an exact bound of half a byte to a byte
 a shingle; what that leaves is verified on the whole sets.
 """
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, bloom_hits, bloom_of, hash_partitions, lower_ascii, materialise, mix64, ragged_arange, slices, text_bytes
+from .common import SpanHasher, bloom_hits, bloom_of, bound_batches, hash_partitions, lower_ascii, materialise, mix64, ragged_arange, slices, text_bytes
 from .components import connected_components
 
 WORDS = 5
@@ -88,12 +88,12 @@ def set_classes(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """A parity bit map of each set: as many bits as the next power of two from its size (64 at least).
+    """A parity bit map of each set: four times the next power of two from its size (256 bits at least).
 
     The bits in which two maps differ are at most the shingles in which the sets do.
     """
     size = np.diff(bounds)
-    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    bits = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) + 2)
     first = np.cumsum(bits) - bits
     of = np.repeat(np.arange(len(size)), size)
     place = first[of] + (sets >> np.uint64(20)).astype(np.int64) % bits[of]
@@ -330,6 +330,44 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
+BLOCK_ROWS = 8192
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Likely pairs of the asking rows with the others of a block, of different components only."""
+    name, code, n, label = (table.column(k).to_numpy() for k in ("class", "code", "n", "label"))
+    asks = table.column("asks").to_numpy()
+    maps = table.column("map").to_pylist()
+    told, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    length = np.array([len(m) // 8 for m in maps])
+    stacks: dict[tuple[int, int], np.ndarray] = {}
+
+    def folded(size: int, to: int) -> np.ndarray:
+        """The maps of ``size`` words in the block, folded to ``to`` words."""
+        if (size, to) not in stacks:
+            whole = np.frombuffer(b"".join(maps[k] for k in told[length[told] == size].tolist()), np.uint64)
+            stacks[size, to] = np.bitwise_xor.reduce(whole.reshape(-1, size // to, to), axis=1)
+        return stacks[size, to]
+
+    a, b = [], []
+    for size in np.unique(length[told]).tolist():
+        rows = told[length[told] == size]
+        for r in asking.tolist():
+            ok = (label[rows] != label[r]) & may_link(n[rows], n[r])
+            ok &= ((n[r] <= n[rows]) & probes(code[rows], code[r])) | ((n[rows] <= n[r]) & probes(np.full(len(rows), code[r]), code[rows]))
+            pick = np.flatnonzero(ok)
+            if not len(pick):
+                continue
+            to = min(size, int(length[r]))
+            own = np.bitwise_xor.reduce(np.frombuffer(maps[r], np.uint64).reshape(-1, to), axis=0)
+            differ = np.bitwise_count(folded(size, to)[pick] ^ own).sum(1)
+            hit = rows[pick[differ <= (n[rows[pick]] + n[r]) // 7]]
+            a.append(np.minimum(name[hit], name[r]))
+            b.append(np.maximum(name[hit], name[r]))
+    pairs = np.unique(np.stack([np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b)], 1), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def _verify(threshold: tuple[int, int]):
     num, den = threshold
 
@@ -373,6 +411,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, id_col: str = "doc
     its own text.  An empty table gives no row; other columns are not read.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for seed in range(1, 9):
         found = materialise(texts.mapInArrow(_classify(words, seed), "doc_id long, n long, class long, check long, cell long, map binary"), "classes")
@@ -418,13 +457,17 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, id_col: str = "doc
     links = verified(likely(small.union(stars).distinct()))
     roots = connected_components(links)
     if not large.isEmpty():
-        # classes outside their bucket's largest component against all of the bucket that is not in theirs
+        # classes outside their bucket's largest component against all of the bucket that is not in theirs,
+        # by bit map inside the bucket's blocks: only likely pairs become rows
         members = materialise(large.join(roots.withColumnRenamed("node", "class").hint("merge"), "class", "left").select("bucket", "class", "code", "n", F.coalesce("root", "class").alias("label")), "members")
-        main = members.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-        rest = members.join(main.hint("merge"), "bucket").where("label <> main").select("bucket", *(F.col(c).alias(f"r_{c}") for c in ("class", "code", "n", "label")))
-        finds = lambda x, y: f"({y} & 1) > 0 and {x} >= 4 and (({y} & 2) = 0 or (({x} & 2) = 0 and {x} >= 8))"
-        near = members.join(rest.hint("merge"), "bucket").where(f"label <> r_label and 4 * least(n, r_n) >= 3 * greatest(n, r_n) and ((r_n <= n and {finds('code', 'r_code')}) or (n <= r_n and {finds('r_code', 'code')}))")
-        pairs = likely(near.select(F.least("class", "r_class").alias("a"), F.greatest("class", "r_class").alias("b")).distinct())
+        per_label = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+        main = per_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("k"), F.count("*").alias("labels"))
+        mixed = main.where("labels > 1").select("bucket", F.col("m.label").alias("main"), F.expr(f"cast(ceil(k / {BLOCK_ROWS}) as int)").alias("blocks"))
+        rows = members.join(mixed.hint("merge"), "bucket").join(known.select("class", "map").hint("merge"), "class").withColumn("apart", F.expr("label <> main"))
+        own = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
+        asking = rows.where("apart").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("asks", F.lit(True))
+        columns = ["bucket", "block", "class", "code", "n", "label", "map", "asks"]
+        pairs = materialise(own.select(columns).unionAll(asking.select(columns)).groupBy("bucket", "block").applyInArrow(_compare, "a long, b long").distinct(), "likely")
         if not pairs.isEmpty():
             links = links.union(verified(pairs))
             roots = connected_components(links)
