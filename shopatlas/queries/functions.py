@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, scope, text
+from ..functions import geo, scope, sql, text
 from ..plans import ingest
 from .book import Book
 
@@ -311,3 +311,10 @@ def brand_filters(t):
     kind = F.when(F.expr("id % 3 > 0"), "购物服务;超级市场").otherwise("购物服务")
     own = t.location.withColumn("b", F.expr(_BRAND))
     return own.select("id", scope.is_seven_eleven(F.col("b")).alias("seven"), scope.is_hypermarket(F.col("b"), kind).alias("hyper"), scope.is_club(F.col("b")).alias("club"))
+
+
+@BOOK.add(f"SELECT id, {name_sql('name')} AS norm, {region_sql('province')} AS region, regexp_replace(city, '(.)(?:特别行政区|自治区|自治州|地区|盟|省|市)$', '\\1') AS short, {_starts('province')} AS out, round(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(30 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(30)) * pow(sin(radians(110 - lng) / 2), 2)))), 3) AS metres FROM location")
+def sql_functions(t):
+    """The same helpers called by name from SQL text."""
+    sql.register(t.spark)
+    return t.spark.sql("SELECT id, store_name(name) AS norm, region_name(province) AS region, short_region_name(city) AS short, out_of_region(province) AS out, round(distance_m(lng, lat, 110D, 30D), 3) AS metres FROM {location}", location=t.location)
