@@ -8,7 +8,6 @@ part precede them, and hold about ``SEGMENT_IDS`` ids, so a reader needs one seg
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,9 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import fresh_path
 from . import simple8b
 from .bpe import with_end, word_table
-from .common import shared_dir, slices
+from .common import slices
 
 SEGMENT_IDS = 1 << 20
 _HEADER = struct.Struct("<4sIQQQQ")
@@ -102,4 +102,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def token_output(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the files into the shared folder and read every document's digest back from them."""
     spark: SparkSession = documents.sparkSession
-    return read_token_files(write_token_files(documents, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", tokenizer, end_id))
+    return read_token_files(write_token_files(documents, fresh_path(spark, "tokens"), tokenizer, end_id))

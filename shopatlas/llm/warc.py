@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from ..plans.storage import fresh_path
+from .common import materialise
 
 ARCHIVE_BYTES = 32 << 20
 LEVEL = 1
@@ -195,5 +196,5 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Null payloads are empty, null urls get a urn; an empty table gives no row; other columns are not read.
     """
     normalised = materialise(normalise(write_streams(mark_revisits(pages, min_bytes))), "archives")
-    sidecar(normalised).write.parquet(f"{shared_dir(pages.sparkSession)}/archive-index-{uuid.uuid4().hex}")
+    sidecar(normalised).write.parquet(fresh_path(pages.sparkSession, "archive-index"))
     return read_records(normalised)
