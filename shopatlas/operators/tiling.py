@@ -91,7 +91,7 @@ def box_counts(points: DataFrame, boxes: DataFrame, widest: float = MEGA_RADIUS)
     spread = lambda c, low, high: F.explode(F.sequence(F.floor(F.col(low) / widest), F.floor(F.col(high) / widest))).alias(c)
     b = boxes.select("*", spread("cx", "west", "east")).select("*", spread("cy", "south", "north"))
     p = points.where("lng is not null and lat is not null").select(F.col("lng").alias("px"), F.col("lat").alias("py"), cell("lng").alias("cx"), cell("lat").alias("cy"))
-    hit = p.join(b, ["cx", "cy"]).where(F.col("px").between(F.col("west"), F.col("east")) & F.col("py").between(F.col("south"), F.col("north")))
+    hit = p.join(b.hint("merge"), ["cx", "cy"]).where(F.col("px").between(F.col("west"), F.col("east")) & F.col("py").between(F.col("south"), F.col("north")))
     n = hit.groupBy("city").agg(F.count("*").alias("stores"))
     return boxes.select("city").join(n, "city", "left").select("city", F.coalesce("stores", F.lit(0)).alias("stores"))
 

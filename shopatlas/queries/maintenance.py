@@ -242,7 +242,7 @@ WHERE NOT ((lng >= 120 AND lat BETWEEN 21.9 AND 25.35) OR (lng BETWEEN 119.3 AND
 def lattice(t):
     cells = tiling.lattice(t.spark, 112.0, 18.0, 123.0, 28.0, 0.5, "scope").withColumn("k", (F.col("i") + F.col("j")) % 25)
     own = t.nation.select(F.col("n_nationkey").alias("k"))
-    return own.join(cells, "k").groupBy("k").agg(F.count("*").alias("cells"), F.round(F.min("lat"), 6).alias("south"), F.round(F.max("lng"), 6).alias("east"))
+    return own.join(cells.hint("merge"), "k").groupBy("k").agg(F.count("*").alias("cells"), F.round(F.min("lat"), 6).alias("south"), F.round(F.max("lng"), 6).alias("east"))
 
 
 @BOOK.add("SELECT city, i, j, round(lat + i * (5 / 111.0), 6) AS point_lat, round(lng + j * (5 / (111.0 * greatest(cos(radians(lat)), 0.2))), 6) AS point_lng FROM city_center, range(-4, 5) a(i), range(-4, 5) b(j)")
