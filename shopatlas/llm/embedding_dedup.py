@@ -2,9 +2,11 @@
 
 Equal vectors of a label are one node.  Each label is cut into shards by centroids (fitted on a
 bounded sample), every node goes to its OVERLAP nearest shards, each shard prunes its nodes'
-nearest candidates to a flat graph, and the adjacency lists of all shards are united.  Each node then
-searches from its shard's medoid, expands over everything in range, and what it finds is verified
-in double precision.  An audit compares a hash sample of queries with all rows; recall below the
+nearest candidates to a flat graph, and the lists of all shards make one graph: a node has its
+neighbours in every shard that holds it.  Each node searches from itself and the medoids of its
+shards and expands over everything in range; a search that reaches a node held by shards where it
+has not been goes on there in the next round, entering at all such nodes, until none has anywhere
+left to go.  What is found is verified in double precision.  An audit compares a hash sample of queries with all rows; recall below the
 target widens the shards' overlap and the search.
 """
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ OVERLAP, CANDIDATES, DEGREE, ALPHA, BEAM = 2, 64, 24, 1.2, 16
 SLACK = 0.06  # the search expands nodes whose cosine is at most this far below the threshold
 AUDIT_QUERIES, RECALL_TARGET, ATTEMPTS = 200, 0.97, 3
 BLOCK = 512
+GUESTS = 8192  # searches from elsewhere that a task runs in a shard
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -78,11 +82,10 @@ def medoid(vectors: np.ndarray) -> int:
     return int((vectors @ vectors.mean(0)).argmax())
 
 
-def range_search(vectors: np.ndarray, neighbours: list[np.ndarray], query: int, start: int, threshold: float, beam: int) -> np.ndarray:
-    """Rows with cosine >= threshold to row ``query`` that the graph leads to."""
-    q = vectors[query]
+def range_search(vectors: np.ndarray, neighbours: list[np.ndarray], q: np.ndarray, entries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that the graph leads to from the entries, and their cosines to the unit vector ``q``."""
     seen = np.zeros(len(vectors), bool)
-    ids = np.unique(np.concatenate([[start, query], neighbours[query]]))
+    ids = np.unique(entries)
     seen[ids] = True
     sims = vectors[ids] @ q
     done = np.zeros(len(vectors), bool)
@@ -91,7 +94,7 @@ def range_search(vectors: np.ndarray, neighbours: list[np.ndarray], query: int,
         floor = min(threshold - SLACK, float(np.partition(sims, -beam)[-beam])) if len(sims) > beam else -2.0
         todo = ids[(sims >= floor) & ~done[ids]]
         if not len(todo):
-            return ids[sims >= threshold]
+            return ids, sims
         done[todo] = True
         new = np.unique(np.concatenate([neighbours[t] for t in todo.tolist()]))
         new = new[~seen[new]]
@@ -99,65 +102,115 @@ def range_search(vectors: np.ndarray, neighbours: list[np.ndarray], query: int,
         ids, sims = np.concatenate([ids, new]), np.concatenate([sims, vectors[new] @ q])
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+def _matrix(packed: pa.ChunkedArray | pa.Array | list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision of packed ones, which are as wide as the table's."""
+    held = packed if isinstance(packed, list) else packed.to_pylist()
+    if not held:
+        return np.zeros((0, dim))
+    return unit(np.frombuffer(b"".join(held), np.float32 if len(held[0]) == 4 * dim else np.float64).reshape(-1, dim).astype(np.float64))
 
 
 def _build(table: pa.Table) -> pa.Table:
-    dim = table.column("dim")[0].as_py()
-    names = table.column("node").to_numpy()
-    lists = robust_prune(_matrix(table.column("vector"), dim))
-    return pa.table({"node": names, "near": pa.array([names[r[r >= 0]].tolist() for r in lists], pa.list_(pa.int64()))})
+    """The rows of a shard in order of their nodes, with the places of their neighbours in it."""
+    table = table.sort_by("node")
+    lists = robust_prune(_matrix(table.column("vector"), table.column("dim")[0].as_py()))
+    return table.append_column("near", pa.array([r[r >= 0].tolist() for r in lists], pa.list_(pa.int32())))
+
+
+INDEX = "node long, label long, dim long, vector binary, homes array<int>, shard int"
+FOUND = "a long, b long, label long, dim long, vector binary, visited array<int>, to array<int>, entries array<array<long>>"
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("label", pa.int64()), ("dim", pa.int64()), ("vector", pa.binary()), ("visited", pa.list_(pa.int32())), ("to", pa.list_(pa.int32())), ("entries", pa.list_(pa.list_(pa.int64())))])
 
 
 def _search(threshold: float, beam: int):
+    """Searches in a shard: of its own rows, or where there are guests (rows with entries) of these.
+
+    Rows out are links (a, b), or searches that go on: shards ``to`` and the nodes to enter at.
+    """
+
     def run(table: pa.Table) -> pa.Table:
-        vectors = _matrix(table.column("vector"), table.column("dim")[0].as_py())
+        label, dim = (table.column(k)[0].as_py() for k in ("label", "dim"))
+        guest = table.column("entries").is_valid()
+        guests, table = table.filter(guest), table.filter(pc.invert(guest)).sort_by("node")
+        vectors = _matrix(table.column("vector"), dim)
         names = table.column("node").to_numpy()
-        place = {k: i for i, k in enumerate(names.tolist())}
+        homes = np.array(table.column("homes").to_pylist(), np.int64)
         links: list[list[int]] = [[] for _ in names]
         for i, near in enumerate(table.column("near").to_pylist()):
-            for x in near or ():
-                if (j := place.get(x)) is not None:
-                    links[i].append(j)
-                    links[j].append(i)
+            links[i].extend(near)
+            for j in near:
+                links[j].append(i)
         neighbours = [np.unique(np.array(x, np.int64)) for x in links]
+        asking = guests if len(guests) else table
+        asks, packed, visited = asking.column("node").to_numpy(), asking.column("vector").to_pylist(), asking.column("homes").to_pylist()
+        queries = _matrix(packed, dim)
+        doors = [np.searchsorted(names, x) for x in guests.column("entries").to_pylist()] if len(guests) else [[i] for i in range(len(names))]
         start = medoid(vectors)
-        a, b = [], []
-        for i in range(len(names)):
-            found = range_search(vectors, neighbours, i, start, threshold - 1e-9, beam)
-            exact = found[(found != i) & (np.einsum("ij,j->i", vectors[found], vectors[i]) >= threshold)]
-            a.append(np.full(len(exact), names[i]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        on: list[dict] = []
+        for k, (q, own) in enumerate(zip(queries, asks.tolist(), strict=True)):
+            found, sims = range_search(vectors, neighbours, q, np.concatenate([[start], doors[k]]).astype(np.int64), threshold - 1e-9, beam)
+            near = found[(sims >= threshold - SLACK) & (names[found] != own)]
+            exact = near[np.einsum("ij,j->i", vectors[near], q) >= threshold]
+            a.append(np.full(len(exact), own))
             b.append(names[exact])
+            there = homes[near]
+            new = np.unique(there[~np.isin(there, visited[k])]).tolist()
+            if new:
+                on.append({"a": own, "b": None, "label": label, "dim": dim, "vector": packed[k], "visited": visited[k], "to": new, "entries": [names[near[(there == s).any(1)]].tolist() for s in new]})
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        none = [pa.nulls(len(pairs), f.type) for f in list(_FOUND)[2:]]
+        return pa.concat_tables([pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], _FOUND), pa.Table.from_pylist(on, _FOUND)])
 
     return run
 
 
+def search_graph(index: DataFrame, threshold: float, beam: int) -> DataFrame:
+    """Links (a < b) that searches of all rows over the graph of all shards find; each round is written out."""
+    keys = ["label", "dim", "shard"]
+    columns = [*(c for c in index.columns if c not in keys), "entries", *keys]
+    found = materialise(index.withColumn("entries", F.expr("cast(null as array<long>)")).select(columns).groupBy(*keys).applyInArrow(_search(threshold, beam), FOUND), "found")
+    pairs = found
+    while True:
+        # a search enters a shard once, at every node of it that the last round reached
+        merged = found.where("b is null").groupBy("a", "label", "dim").agg(F.first("vector").alias("vector"), F.first("visited").alias("visited"), F.flatten(F.collect_list("to")).alias("to"), F.flatten(F.collect_list("entries")).alias("entries"))
+        asked = merged.select(F.col("a").alias("node"), "vector", F.array_union("visited", "to").alias("homes"), "label", "dim", F.arrays_zip("to", "entries").alias("z"), F.explode(F.array_distinct("to")).alias("shard"))
+        guests = asked.withColumn("entries", F.expr("array_distinct(flatten(transform(filter(z, x -> x.to = shard), x -> x.entries)))")).withColumn("near", F.expr("cast(null as array<int>)"))
+        blocks = materialise(asked.groupBy(*keys).agg(F.expr(f"cast(ceil(count(*) / {GUESTS}) as int)").alias("blocks")), "blocks")
+        if blocks.isEmpty():
+            return pairs.where("b is not null").select("a", "b").distinct()
+        held = index.join(blocks, keys).withColumn("entries", F.expr("cast(null as array<long>)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = guests.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        both = held.select(*columns, "block").unionAll(dealt.select(*columns, "block"))
+        found = materialise(both.groupBy(*keys, "block").applyInArrow(_search(threshold, beam), FOUND), "found")
+        pairs = pairs.unionAll(found)
+
+
 VALID = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 
 
 def _pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [unit(np.array([v], np.float64))[0].tobytes() for v in batch.column(batch.schema.get_field_index("embedding")).to_pylist()]
+        column = batch.column(batch.schema.get_field_index("embedding"))
+        kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
         keep = [batch.column(k) for k in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(rows, pa.binary())], [*batch.schema.names[:-1], "vector"])
+        yield pa.RecordBatch.from_arrays([*keep, pa.array([np.array(v, kind).tobytes() for v in column.to_pylist()], pa.binary())], [*batch.schema.names[:-1], "vector"])
 
 
 def _assign(centroids: dict[tuple[int, int], np.ndarray], overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, dims, vectors = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            rows, shards = [], []
+            rows, homes, shards = [], [], []
             for i, (label, dim, v) in enumerate(zip(labels, dims, vectors, strict=True)):
-                sims = centroids[label, dim] @ np.frombuffer(v, np.float64)
-                for s in np.argsort(-sims, kind="stable")[:overlap].tolist():
-                    rows.append(i)
-                    shards.append(s)
-            out = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shards)], ["node", "label", "dim", "vector", "shard"])
+                sims = centroids[label, dim] @ _matrix([v], dim)[0]
+                own = np.argsort(-sims, kind="stable")[:overlap].tolist()
+                rows.extend([i] * len(own))
+                homes.extend([own] * len(own))
+                shards.extend(own)
+            out = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(homes, pa.list_(pa.int32())), pa.array(shards, pa.int32())], ["node", "label", "dim", "vector", "homes", "shard"])
 
     return run
 
@@ -169,7 +222,7 @@ def _exact(queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], thresh
             for (label, dim), (ids, vectors) in queries.items():
                 own = np.flatnonzero((labels == label) & (dims == dim))
                 if len(own):
-                    sims = np.frombuffer(b"".join(batch.column(3).take(pa.array(own)).to_pylist()), np.float64).reshape(-1, dim) @ vectors.T
+                    sims = _matrix(batch.column(3).take(pa.array(own)), dim) @ vectors.T
                     i, j = np.nonzero(sims >= threshold)
                     a, b = names[own[i]], ids[j]
                     keep = a != b
@@ -188,8 +241,8 @@ def fit_centroids(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         held.setdefault((r.label, r.dim), []).append((r.node, bytes(r.vector)))
     out = {}
     for (label, dim), n in shards.items():
-        rows = [np.frombuffer(v, np.float64) for _, v in sorted(held.get((label, dim), []))]
-        out[label, dim] = k_means(np.array(rows), min(n, len(rows))) if rows else np.ones((1, dim)) / np.sqrt(dim)
+        rows = [v for _, v in sorted(held.get((label, dim), []))]
+        out[label, dim] = k_means(_matrix(rows, dim), min(n, len(rows))) if rows else np.ones((1, dim)) / np.sqrt(dim)
     return out
 
 
@@ -199,16 +252,14 @@ def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     picked = nodes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(AUDIT_QUERIES).collect()
     queries: dict[tuple[int, int], list] = {}
     for r in picked:
-        queries.setdefault((r.label, r.dim), []).append((r.node, np.frombuffer(bytes(r.vector), np.float64)))
+        queries.setdefault((r.label, r.dim), []).append((r.node, _matrix([bytes(r.vector)], r.dim)[0]))
     exact = {k: (np.array([x for x, _ in v]), np.array([x for _, x in v])) for k, v in queries.items()}
     true = materialise(nodes.select("node", "label", "dim", "vector").mapInArrow(_exact(exact, threshold), "a long, b long").distinct(), "audit")
     total = true.count()
     for attempt in range(ATTEMPTS):
-        sharded = materialise(nodes.select("node", "label", "dim", "vector").mapInArrow(_assign(centroids, OVERLAP + attempt), "node long, label long, dim long, vector binary, shard long"), "shards")
-        keys = ["label", "dim", "shard"]
-        lists = sharded.groupBy(*keys).applyInArrow(_build, "node long, near array<long>")
-        graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        pairs = materialise(sharded.join(graph.hint("merge"), "node").groupBy(*keys).applyInArrow(_search(threshold, BEAM << attempt), "a long, b long").distinct(), "links")
+        sharded = nodes.select("node", "label", "dim", "vector").mapInArrow(_assign(centroids, OVERLAP + attempt), INDEX)
+        index = materialise(sharded.groupBy("label", "dim", "shard").applyInArrow(_build, f"{INDEX}, near array<int>"), "index")
+        pairs = materialise(search_graph(index, threshold, BEAM << attempt), "links")
         recall = 1 - true.join(pairs.hint("merge"), ["a", "b"], "left_anti").count() / total if total else 1.0
         if recall >= RECALL_TARGET:
             break

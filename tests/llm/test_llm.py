@@ -311,6 +311,17 @@ def test_vectors_recall_over_many_shards(spark, monkeypatch):
     assert (got <= true).all() and got.sum() >= 0.95 * true.sum()
 
 
+def test_vectors_of_a_group_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=24) + rng.normal(size=(900, 24)) * 0.22).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    true = ((u @ u.T) >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<float>")
+    got = np.array([r.n_links for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()])
+    assert true.mean() > 300 and (got <= true).all() and got.sum() >= 0.99 * true.sum()
+
+
 # pieces
 
 
