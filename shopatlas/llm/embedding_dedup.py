@@ -6,8 +6,9 @@ nearest candidates to a flat graph, and the lists of all shards make one graph:
 neighbours in every shard that holds it.  Each node searches from itself and the medoids of its
 shards and expands over everything in range; a search that reaches a node held by shards where it
 has not been goes on there in the next round, entering at all such nodes, until none has anywhere
-left to go.  What is found is verified in double precision.  An audit compares a hash sample of queries with all rows; recall below the
-target widens the shards' overlap and the search.
+left to go.  What is found is verified in double precision.  An audit compares hash samples of each label's rows with all of the label,
+more of them where few have links; recall of the queries of any label below the target widens the
+shards' overlap and the search, and a result that stays below what is promised is an error.
 """
 from __future__ import annotations
 
@@ -26,7 +27,8 @@ THRESHOLD = 0.93
 SHARD, MOST_SHARDS, SAMPLE_PER_SHARD = 1500, 1024, 32
 OVERLAP, CANDIDATES, DEGREE, ALPHA, BEAM = 2, 64, 24, 1.2, 16
 SLACK = 0.06  # the search expands nodes whose cosine is at most this far below the threshold
-AUDIT_QUERIES, RECALL_TARGET, ATTEMPTS = 200, 0.97, 3
+AUDIT_DRAWS, AUDIT_LINKED, AUDIT_MOST = (200, 800, 3200), 50, 20_000  # queries a label until so many have links; queries a pass
+RECALL_TARGET, RECALL_LEAST, ATTEMPTS = 0.97, 0.9, 4
 BLOCK = 512
 GUESTS = 8192  # searches from elsewhere that a task runs in a shard
 
@@ -220,24 +222,34 @@ def _exact(queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], thresh
         for batch in batches:
             names, labels, dims = (batch.column(k).to_numpy() for k in (0, 1, 2))
             for (label, dim), (ids, vectors) in queries.items():
-                own = np.flatnonzero((labels == label) & (dims == dim))
-                if len(own):
-                    sims = _matrix(batch.column(3).take(pa.array(own)), dim) @ vectors.T
-                    i, j = np.nonzero(sims >= threshold)
-                    a, b = names[own[i]], ids[j]
-                    keep = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+                rows = np.flatnonzero((labels == label) & (dims == dim))
+                for lo in range(0, len(rows), BLOCK):
+                    own = rows[lo : lo + BLOCK]
+                    i, j = np.nonzero(_matrix(batch.column(3).take(pa.array(own)), dim) @ vectors.T >= threshold)
+                    a, q = names[own[i]], ids[j]
+                    a, q = a[a != q], q[a != q]
+                    columns = [np.full(len(q), label), np.full(len(q), dim), q, np.minimum(a, q), np.maximum(a, q)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["label", "dim", "q", "a", "b"])
 
     return run
 
 
-def fit_centroids(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+def _of(keys: list[tuple[int, int]]):
+    """Whether a row is of one of the labels and dimensions."""
+    return F.struct("label", "dim").isin(*(F.struct(F.lit(x).cast("long"), F.lit(d).cast("long")) for x, d in keys))
+
+
+def _sampled(nodes: DataFrame, shares: dict[tuple[int, int], float], salt: str) -> DataFrame:
+    """A hash sample of rows, of each label and dimension in its own share."""
+    share = F.coalesce(*(F.when((F.col("label") == k[0]) & (F.col("dim") == k[1]), F.lit(min(1.0, x))) for k, x in shares.items()), F.lit(0.0))
+    return nodes.where(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)).select("label", "dim", "node", "vector")
+
+
+def fit_centroids(nodes: DataFrame, sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], np.ndarray]:
     """Centroids by label and dimension from a hash sample of at most about SAMPLE_PER_SHARD rows a shard."""
-    counts = {(r.label, r.dim): r["count"] for r in nodes.groupBy("label", "dim").count().collect()}
-    shards = {k: min(MOST_SHARDS, max(1, -(-n // SHARD))) for k, n in counts.items()}
-    share = F.coalesce(*(F.when((F.col("label") == k[0]) & (F.col("dim") == k[1]), F.lit(min(1.0, SAMPLE_PER_SHARD * shards[k] / n))) for k, n in counts.items())) if counts else F.lit(0.0)
+    shards = {k: min(MOST_SHARDS, max(1, -(-n // SHARD))) for k, n in sizes.items()}
     held: dict[tuple[int, int], list] = {}
-    for r in nodes.where(F.pmod(F.xxhash64("node", F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20)).select("label", "dim", "node", "vector").collect():
+    for r in _sampled(nodes, {k: SAMPLE_PER_SHARD * shards[k] / n for k, n in sizes.items()}, "fit").collect():
         held.setdefault((r.label, r.dim), []).append((r.node, bytes(r.vector)))
     out = {}
     for (label, dim), n in shards.items():
@@ -246,24 +258,54 @@ def fit_centroids(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
+def audit_links(nodes: DataFrame, sizes: dict[tuple[int, int], int], threshold: float) -> DataFrame:
+    """All links (a, b) of sampled queries q: of each label until AUDIT_LINKED of them have links."""
+    out = nodes.sparkSession.createDataFrame([], "label long, dim long, q long, a long, b long")
+    todo = sorted(sizes)
+    for want in AUDIT_DRAWS:
+        lacking = []
+        for lo in range(0, len(todo), max(1, AUDIT_MOST // want)):
+            keys = todo[lo : lo + max(1, AUDIT_MOST // want)]
+            queries: dict[tuple[int, int], list] = {}
+            for r in _sampled(nodes, {k: want / sizes[k] for k in keys}, "audit").collect():
+                queries.setdefault((r.label, r.dim), []).append((r.node, bytes(r.vector)))
+            packed = {k: (np.array([x for x, _ in v]), _matrix([x for _, x in v], k[1])) for k, v in queries.items()}
+            true = materialise(nodes.select("node", "label", "dim", "vector").mapInArrow(_exact(packed, threshold), out.schema), "audit")
+            linked = {(r.label, r.dim): r.n for r in true.groupBy("label", "dim").agg(F.countDistinct("q").alias("n")).collect()}
+            done = [k for k in keys if linked.get(k, 0) >= AUDIT_LINKED or want >= sizes[k] or want == AUDIT_DRAWS[-1]]
+            if done:
+                out = out.unionAll(true.where(_of(done)))
+            lacking += sorted(set(keys) - set(done))
+        todo = lacking
+    return out
+
+
+def audited_recall(true: DataFrame, pairs: DataFrame, sizes: dict[tuple[int, int], int]) -> float:
+    """The smallest recall of a label, a mean over its queries; labels of which too little is known count together."""
+    hits = true.join(pairs.withColumn("hit", F.lit(1)).hint("merge"), ["a", "b"], "left").groupBy("label", "dim", "q").agg((F.count("hit") / F.count("*")).alias("recall"))
+    alone, few = [], []
+    for r in hits.groupBy("label", "dim").agg(F.avg("recall").alias("recall"), F.count("*").alias("n")).collect():
+        (alone if r.n >= AUDIT_LINKED or sizes[r.label, r.dim] <= AUDIT_DRAWS[-1] else few).append((r.recall, r.n))
+    if few:
+        alone.append((sum(x * n for x, n in few) / sum(n for _, n in few), 0))
+    return min((x for x, _ in alone), default=1.0)
+
+
 def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """Linked pairs of nodes (a < b) and the audited recall."""
-    centroids = fit_centroids(nodes)
-    picked = nodes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(AUDIT_QUERIES).collect()
-    queries: dict[tuple[int, int], list] = {}
-    for r in picked:
-        queries.setdefault((r.label, r.dim), []).append((r.node, _matrix([bytes(r.vector)], r.dim)[0]))
-    exact = {k: (np.array([x for x, _ in v]), np.array([x for _, x in v])) for k, v in queries.items()}
-    true = materialise(nodes.select("node", "label", "dim", "vector").mapInArrow(_exact(exact, threshold), "a long, b long").distinct(), "audit")
-    total = true.count()
+    """Linked pairs of nodes (a < b) and the audited recall; the audit's own links are among them."""
+    sizes = {(r.label, r.dim): r["count"] for r in nodes.groupBy("label", "dim").count().collect()}
+    centroids = fit_centroids(nodes, sizes)
+    true = audit_links(nodes, sizes, threshold)
     for attempt in range(ATTEMPTS):
-        sharded = nodes.select("node", "label", "dim", "vector").mapInArrow(_assign(centroids, OVERLAP + attempt), INDEX)
+        sharded = nodes.select("node", "label", "dim", "vector").mapInArrow(_assign(centroids, OVERLAP << attempt), INDEX)
         index = materialise(sharded.groupBy("label", "dim", "shard").applyInArrow(_build, f"{INDEX}, near array<int>"), "index")
         pairs = materialise(search_graph(index, threshold, BEAM << attempt), "links")
-        recall = 1 - true.join(pairs.hint("merge"), ["a", "b"], "left_anti").count() / total if total else 1.0
+        recall = audited_recall(true, pairs, sizes)
         if recall >= RECALL_TARGET:
             break
-    return pairs, recall
+    if recall < RECALL_LEAST:
+        raise ValueError(f"audited recall {recall:.3f} of the links is below {RECALL_LEAST}")
+    return pairs.unionAll(true.select("a", "b")).distinct(), recall
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -282,7 +324,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_col:
         nodes = materialise(grouped.select("node", "label", F.size("embedding").cast("long").alias("dim"), "n", "first", "embedding").mapInArrow(_pack_vectors, "node long, label long, dim long, n long, first long, vector binary"), "nodes")
         if nodes.select("node").distinct().count() == nodes.count():
             break
-    pairs, _ = find_links(nodes, threshold)
+    pairs = materialise(find_links(nodes, threshold)[0], "links")
     both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
     others = both.join(nodes.select(F.col("node").alias("other"), "n").hint("merge"), "other").groupBy("node").agg(F.sum("n").alias("linked"))
     roots = connected_components(pairs)

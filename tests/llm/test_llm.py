@@ -322,6 +322,16 @@ def test_vectors_of_a_group_over_many_shards(spark, monkeypatch):
     assert true.mean() > 300 and (got <= true).all() and got.sum() >= 0.99 * true.sum()
 
 
+def test_vectors_audit_sees_few_links_and_fails_loudly(spark, monkeypatch):
+    v = np.random.default_rng(6).normal(size=(1500, 24)).astype(np.float32)
+    v[1400:1403] = v[:3] * np.float32(1.5) + np.float32(0.01)
+    df = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<float>")
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    monkeypatch.setattr(embedding_dedup, "search_graph", lambda index, threshold, beam: spark.createDataFrame([], "a long, b long"), raising=False)
+    with pytest.raises(ValueError, match="recall"):
+        embedding_dedup.near_duplicates(df)
+
+
 # pieces
 
 
