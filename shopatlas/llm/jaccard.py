@@ -458,16 +458,18 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, id_col: str = "doc
     roots = connected_components(links)
     if not large.isEmpty():
         # classes outside their bucket's largest component against all of the bucket that is not in theirs,
-        # by bit map inside the bucket's blocks: only likely pairs become rows
+        # by bit map inside the bucket's blocks: only likely pairs become rows.  Classes outside and inside are cut
+        # into blocks each, and a group is a block (i) of those outside with another (j >= i) or one of those inside
         members = materialise(large.join(roots.withColumnRenamed("node", "class").hint("merge"), "class", "left").select("bucket", "class", "code", "n", F.coalesce("root", "class").alias("label")), "members")
         per_label = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
         main = per_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("k"), F.count("*").alias("labels"))
-        mixed = main.where("labels > 1").select("bucket", F.col("m.label").alias("main"), F.expr(f"cast(ceil(k / {BLOCK_ROWS}) as int)").alias("blocks"))
+        mixed = main.where("labels > 1").select("bucket", F.col("m.label").alias("main"), F.expr(f"cast(ceil((k - m.k) / {BLOCK_ROWS}) as int)").alias("outer"), F.expr(f"cast(ceil(m.k / {BLOCK_ROWS}) as int)").alias("inner"))
         rows = members.join(mixed.hint("merge"), "bucket").join(known.select("class", "map").hint("merge"), "class").withColumn("apart", F.expr("label <> main"))
-        own = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-        asking = rows.where("apart").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("asks", F.lit(True))
-        columns = ["bucket", "block", "class", "code", "n", "label", "map", "asks"]
-        pairs = materialise(own.select(columns).unionAll(asking.select(columns)).groupBy("bucket", "block").applyInArrow(_compare, "a long, b long").distinct(), "likely")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("apart"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+        asks = "transform(sequence(block, outer + inner - 1), x -> struct(block as i, x as j, true as asks))"
+        told = "transform(sequence(0, if(apart, block, outer - 1)), x -> struct(x as i, if(apart, block, outer + block) as j, false as asks))"
+        dealt = rows.withColumn("to", F.explode(F.expr(f"if(apart, concat({asks}, {told}), {told})"))).select("bucket", "to.*", "class", "code", "n", "label", "map")
+        pairs = materialise(dealt.groupBy("bucket", "i", "j").applyInArrow(_compare, "a long, b long").distinct(), "likely")
         if not pairs.isEmpty():
             links = links.union(verified(pairs))
             roots = connected_components(links)

@@ -181,6 +181,24 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small_bucket):
     assert got == _near_brute(cases)
 
 
+def test_near_duplicates_bound_groups_of_a_shared_passage(spark, monkeypatch):
+    passage = " ".join(f"common{k}" for k in range(60))
+    texts = [f"{passage} " + " ".join(f"own{i}x{k}" for k in range(50)) for i in range(300)]
+    texts.append(texts[7] + " end")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 32)
+    compare, seen = jaccard._compare, spark.sparkContext.accumulator(0)
+
+    def bounded(table):
+        seen.add(1)
+        assert len(table) <= 4 * 32
+        return compare(table)
+
+    monkeypatch.setattr(jaccard, "_compare", bounded)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert seen.value > 0 and got == {i: i for i in range(300)} | {300: 7}
+
+
 def test_near_duplicates_edges(docs, none):
     out = jaccard.near_duplicates(docs).collect()
     by = {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None}
