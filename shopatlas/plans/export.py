@@ -20,9 +20,24 @@ def write_geojson(locations: DataFrame, path: str) -> None:
 
 
 def feature_collections(locations: DataFrame) -> DataFrame:
-    """chain_slug, document: a whole FeatureCollection (for chains whose file has to be one document)."""
-    own = geojson_rows(locations).groupBy("chain_slug").agg(F.array_sort(F.collect_list(F.struct("id", "feature"))).alias("f"))
-    return own.select("chain_slug", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("document"))
+    """chain_slug, part, id, line: the lines of a whole FeatureCollection of each chain.
+
+    The document of a chain is its lines in the order of part and id: a head (part 0), a feature a
+    line (1, from the second on with a comma before it) and a tail (2).
+    """
+    rows = geojson_rows(locations)
+    ends = rows.groupBy(F.col("chain_slug").alias("slug")).agg(F.min("id").alias("first"))
+    comma = F.when(F.col("id") == F.col("first"), "").otherwise(",")
+    own = rows.join(ends, F.col("chain_slug").eqNullSafe(F.col("slug"))).select("chain_slug", F.lit(1).alias("part"), "id", F.concat(comma, "feature").alias("line"))
+    end = lambda part, line: ends.select(F.col("slug").alias("chain_slug"), F.lit(part).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(line).alias("line"))
+    return own.unionAll(end(0, '{"type":"FeatureCollection","features":[')).unionAll(end(2, "]}"))
+
+
+def write_collections(locations: DataFrame, path: str) -> None:
+    """A folder a chain; its files one after another, in the order of their names, are the chain's document."""
+    order = ["chain_slug", "part", "id"]
+    rows = feature_collections(locations).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select("chain_slug", F.col("line").alias("value")).write.partitionBy("chain_slug").text(path)
 
 
 def source_features(shops: DataFrame) -> DataFrame:

@@ -23,9 +23,10 @@ def geojson_per_chain(t):
 
 @BOOK.add(f"SELECT chain_slug, count(*) AS features, min(id) AS first_id FROM ({FULL}) WHERE lng IS NOT NULL GROUP BY 1")
 def geojson_documents(t):
-    docs = export.feature_collections(_full(t))
-    f = F.from_json("document", "features array<struct<id: long>>")["features"]
-    return docs.select("chain_slug", F.size(f).cast("long").alias("features"), F.get(f, F.lit(0))["id"].alias("first_id"))
+    """Counted from the lines of the documents; the first feature is the one without a comma."""
+    lines = export.feature_collections(_full(t)).where("part = 1")
+    own = F.from_json(F.ltrim("line", F.lit(",")), "id long")["id"]
+    return lines.groupBy("chain_slug").agg(F.count(own).alias("features"), F.min(F.when(~F.col("line").startswith(","), own)).alias("first_id"))
 
 
 @BOOK.add(f"SELECT concat('s', CAST(l.id AS STRING)) AS shop_id, round(round(w.lng, 9), 6) AS x, round(round(w.lat, 9), 6) AS y FROM location l JOIN ({wgs_sql('(SELECT id, lng, lat, ' + chr(39) + 'GCJ02' + chr(39) + ' AS coordinate_system FROM location WHERE lng IS NOT NULL)')}) w ON w.id = l.id")

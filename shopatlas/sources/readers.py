@@ -175,6 +175,14 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("f.id").alias("id"), F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), "f.properties.*")
 
 
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of feature collections with a feature a line, whatever number of files they are in."""
+    shape = "id long, geometry struct<coordinates:array<double>>, properties struct<name:string, chain_slug:string, category_slug:string, address:string, city:string>"
+    line = F.regexp_replace("value", r"^\s*,|,\s*$", "")
+    f = spark.read.text(path).select(line.alias("line")).where(F.col("line").startswith('{"type":"Feature",')).select(F.from_json("line", shape).alias("f"))
+    return f.select(F.col("f.id").alias("id"), F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), "f.properties.*")
+
+
 def read_catalog(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
     """Chains of a catalogue file, all or of one category."""
     chains = spark.read.schema("id long, name string, slug string, category_slug string, location_count long").json(path, multiLine=True)
