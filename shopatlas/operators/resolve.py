@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.storage import materialise
+from .components import connected_components
 from .search import radius_pairs
 from .stats import first_seen
 
@@ -28,21 +29,9 @@ def same_name_pairs(locations: DataFrame, radius_m: float = RADIUS_M, chain: str
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, cluster (the smallest id connected to it) for all ``nodes``; edges are (left_id, right_id).
-
-    Rounds of taking the smallest label among neighbours and jumping to that label's own label;
-    each round is written out, which cuts the lineage.
-    """
-    both = materialise(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).unionAll(edges.select("right_id", "left_id")), "edges")
-    labels = materialise(nodes.select("id", F.col("id").alias("cluster")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "id").hint("merge"), "id", "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), F.col("cluster").alias("old"))
-        jump = step.select(F.col("id").alias("cluster"), F.col("cluster").alias("next"))
-        out = materialise(step.join(jump.hint("merge"), "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster"), "old"), "labels")
-        labels = out.select("id", "cluster")
-        if out.where("cluster <> old").isEmpty():
-            return labels
+    """id, cluster (the smallest id connected to it) for all ``nodes``; edges are (left_id, right_id)."""
+    roots = connected_components(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    return nodes.select("id").join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
 def duplicate_clusters(locations: DataFrame, radius_m: float = RADIUS_M, mode: str = "components") -> DataFrame:

@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Only a session in one local process may do without: it gets a temporary folder.  On a
+    cluster, where machines don't share such a folder, a missing setting is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isEmpty():
+            path = held.get()
+        elif context.master.split("[")[0] == "local":
             path = tempfile.mkdtemp(prefix="shopatlas-")
-            spark.sparkContext.setCheckpointDir(path)
-            return path
-        path = held.get()
+            context.setCheckpointDir(path)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     return path.rstrip("/")
 
 
@@ -25,7 +32,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet and read back, which cuts the lineage and survives lost executors."""
+    """Write as Parquet into the shared folder and read back: a lineage cut that survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
