@@ -13,15 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import fresh_path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.storage import materialise  # noqa: F401
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +54,7 @@ def byte_codes(seed: int) -> np.ndarray:
     return mix64(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)  # odd, so they have inverses modulo 2**64
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -84,34 +76,37 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class SpanHasher:
-    """64-bit polynomial hashes of any byte span of a buffer, from prefix sums modulo 2**64."""
+    """64-bit polynomial hashes of any byte span of a buffer, from prefix sums modulo 2**64.
 
-    _up = np.zeros(0, np.uint64)
-    _down = np.zeros(0, np.uint64)
+    Not for spans of a thousand bytes and more that someone else chooses: such hashes have known clashes there.
+    """
 
-    def __init__(self, data: np.ndarray, seed: int = 1):
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, data: np.ndarray, seed: int = 1, base: int = 0):
         n = len(data) + 1
-        if len(SpanHasher._up) < n:
-            size = max(n, 2 * len(SpanHasher._up))
-            SpanHasher._up = _powers(BASE, size)
-            SpanHasher._down = _powers(pow(BASE, -1, 2**64), size)
+        held = SpanHasher._powers.get(base)
+        if held is None or len(held[0]) < n:
+            size = max(n, 2 * len(held[0]) if held else 0)
+            held = SpanHasher._powers[base] = (_powers(BASES[base], size), _powers(pow(BASES[base], -1, 2**64), size))
+        up, self.down = held
         with np.errstate(over="ignore"):
             self.prefix = np.zeros(n, np.uint64)
             np.take(byte_codes(seed), data, out=self.prefix[1:])
-            self.prefix[1:] *= SpanHasher._up[: n - 1]
+            self.prefix[1:] *= up[: n - 1]
             np.cumsum(self.prefix, out=self.prefix)
 
     def windows(self, length: int) -> np.ndarray:
         """As ``spans``, of every span of one length in the buffer."""
         with np.errstate(over="ignore"):
             raw = self.prefix[length:] - self.prefix[: len(self.prefix) - length]
-            raw *= SpanHasher._down[: len(raw)]
+            raw *= self.down[: len(raw)]
             raw += np.uint64(length * 0xD6E8FEB86659FD93 % 2**64)
             return mix64(raw, out=raw)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            raw = (self.prefix[end] - self.prefix[start]) * SpanHasher._down[start]
+            raw = (self.prefix[end] - self.prefix[start]) * self.down[start]
             return mix64(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -162,18 +157,20 @@ def hash_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-BLOOM_BITS = 1 << 24
+BLOOM_LEAST, BLOOM_MOST = 1 << 20, 1 << 27  # bits
 
 
-def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit map of fixed size (2 MB) over a column of 64-bit hashes, two bits a key.
+def bloom_of(keys: DataFrame, column: str, expected: int) -> np.ndarray:
+    """A bit map over a column of 64-bit hashes, two bits a key and about 16 for each ``expected`` one.
 
-    Spark merges it word by word; only the words come to the driver.  It serves to leave rows out
-    of a shuffle; where it is full it lets all rows through, which costs time but no result.
+    Spark merges it word by word; only the words come to the driver, 16 MB at most.  It serves to
+    leave rows out of a shuffle; beyond some ten million keys, where it fills, more and more rows
+    go through the shuffle that needn't, which costs time but no result.
     """
-    bit = F.explode(F.array(*(F.expr(f"shiftrightunsigned({column}, {s}) & {BLOOM_BITS - 1}") for s in (0, 32)))).alias("bit")
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * expected).bit_length()))
+    bit = F.explode(F.array(*(F.expr(f"shiftrightunsigned({column}, {s}) & {bits - 1}") for s in (0, 32)))).alias("bit")
     words = keys.select(bit).groupBy(F.expr("cast(bit div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("m"))
-    out = np.zeros(BLOOM_BITS // 32, np.uint32)
+    out = np.zeros(bits // 32, np.uint32)
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("m").to_numpy().astype(np.uint32)
     return out
@@ -184,6 +181,38 @@ def bloom_hits(keys: np.ndarray, bloom: np.ndarray) -> np.ndarray:
     u = keys.view(np.uint64)
     hit = np.ones(len(u), bool)
     for s in (0, 32):
-        bit = (u >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1)
+        bit = (u >> np.uint64(s)) & np.uint64(32 * len(bloom) - 1)
         hit &= (bloom[(bit // np.uint64(32)).astype(np.int64)] >> (bit % np.uint64(32)).astype(np.uint32)) & 1 > 0
     return hit
+
+
+def in_bloom(bloom: np.ndarray, wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``mapInArrow`` function: the rows whose ``k`` may be in the map, or those whose ``k`` isn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = bloom_hits(batch.column(batch.schema.get_field_index("k")).to_numpy(), bloom)
+            yield batch.filter(pa.array(hit if wanted else ~hit))
+
+    return run
+
+
+HOT_KEYS, HOT_ROWS, SALTS = 64, 1000, 64
+
+
+def hot_keys(counted: DataFrame, key: str, count: str) -> list[int]:
+    """Hashes of the keys with most rows: at most HOT_KEYS of them, of HOT_ROWS rows at least."""
+    return [r[0] for r in counted.where(F.col(count) >= HOT_ROWS).orderBy(F.col(count).desc()).select(F.xxhash64(key)).limit(HOT_KEYS).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list[int]) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key at most), whose rows of the ``hot`` keys are repeated.
+
+    A key that holds a large part of ``left`` is so dealt over SALTS keys of the shuffle.
+    """
+    if not hot:
+        return left.join(right.hint("merge"), key, "left")
+    is_hot = F.coalesce(F.xxhash64(key).isin(*hot), F.lit(False))
+    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(spread.hint("merge"), [key, "_salt"], "left").drop("_salt")

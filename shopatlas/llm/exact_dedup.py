@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import SpanHasher, arrow_batches, lower_ascii, materialise, text_bytes
+from .common import SpanHasher, arrow_batches, hot_keys, lower_ascii, materialise, salted_join, text_bytes
 
 WINDOW, MEAN_CHUNK, LONGEST_CHUNK = 32, 4096, 65536
 
@@ -37,7 +38,7 @@ def chunk_edges(data: np.ndarray, offsets: np.ndarray, hashed: SpanHasher | None
     return edges
 
 
-_RECIPES = "doc_id long, chunks array<struct<weak: long, length: long, strong: binary>>, text_sha256 string"
+_CHUNKS = ArrayType(StructType([StructField("weak", LongType()), StructField("length", LongType()), StructField("strong", BinaryType())]))
 _CHUNK = pa.struct([("weak", pa.int64()), ("length", pa.int64()), ("strong", pa.binary())])
 
 
@@ -52,22 +53,26 @@ def _recipes(batch: pa.RecordBatch) -> pa.RecordBatch:
     chunks = pa.StructArray.from_arrays([pa.array(hashed.spans(edges, ends).view(np.int64)), pa.array(ends - edges), pa.array(strong, pa.binary())], fields=list(_CHUNK))
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(edges, offsets).astype(np.int32)), chunks)
     whole = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(whole, pa.string())], ["doc_id", "chunks", "text_sha256"])
+    return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists, pa.array(whole, pa.string())], ["doc_id", *batch.schema.names[2:], "chunks", "text_sha256"])
 
 
-def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``documents``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``documents``: doc_id, the ``carry`` columns, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.  Of equal texts the
     largest id stays.  Rows that repeat both id and text have the same answer (each counts in
     group_size); a null id stays only in a group that has no other.  An empty table gives no row;
-    other columns are not read.  A very large group costs one row per task in the aggregation,
-    and its join is a skewed equi-join that Spark splits.
+    other columns are not read.  Only groups of two or more are joined back, and the largest of
+    them are dealt over many keys of that join.
     """
-    recipes = materialise(documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(arrow_batches(_recipes), _RECIPES), "recipes")
+    own = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    shape = StructType([*(f for f in own.schema if f.name != "text"), StructField("chunks", _CHUNKS), StructField("text_sha256", StringType())])
+    recipes = materialise(own.mapInArrow(arrow_batches(_recipes), shape), "recipes")
     chunk = recipes.select(F.explode("chunks").alias("c")).select("c.*")
     clash = chunk.groupBy("weak").agg(F.min("strong").alias("a"), F.max("strong").alias("b"), F.min("length").alias("m"), F.max("length").alias("n")).where("a <> b or m <> n")
     part = "weak" if clash.isEmpty() else "strong"
-    listed = recipes.select("doc_id", "text_sha256", F.col(f"chunks.{part}").alias("recipe"))
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return listed.join(groups.hint("merge"), "recipe").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    listed = recipes.select("doc_id", *carry, "text_sha256", F.col(f"chunks.{part}").alias("recipe"))
+    groups = materialise(listed.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count("*").alias("rows")).where("rows > 1"), "groups")
+    joined = salted_join(listed, groups, "recipe", hot_keys(groups, "recipe", "rows"))
+    keep_id = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("top"))
+    return joined.withColumn("keep_id", keep_id).select("doc_id", *carry, "keep_id", F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")

@@ -5,10 +5,12 @@ among its first 75 places, so equal strings have it at the same place, and a phr
 string starts with one trigger.  The dictionary holds each extended phrase (all strings that start
 in it) once; the parse says where a phrase stands first in corpus order (id, place).  Every later
 occurrence of a dictionary phrase is repeated as a whole.  A string can also stand in two different
-phrases, but only in phrases with equal 26 bytes at the trigger; the suffixes of just those
-dictionary phrases are grouped by their first 100 bytes and take the first of the group, which
-is what the suffix order of dictionary and parse is needed for.  A full suffix array of the
-dictionary is not built: its order beyond 100 bytes decides nothing here.
+phrases, but only in phrases with equal 26 bytes at the trigger (the core).  The dictionary is dealt by core, and
+the suffixes of a core's phrases are put in order by a suffix array (ranks of 8 bytes, doubled to 100).
+Suffixes that share their first 100 bytes stand together there, and the parse's order says which of
+them is first in the corpus.  The parse's own suffixes need no order: a 100-byte string lies whole in the
+extended phrase that it starts in.  A core with very many phrases is dealt on by its single strings, which are
+then grouped as they are.
 """
 from __future__ import annotations
 
@@ -20,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, bloom_hits, bloom_of, bound_batches, hash_partitions, materialise, ragged_arange, slices, text_bytes
+from .common import SpanHasher, bloom_of, bound_batches, hash_partitions, in_bloom, materialise, ragged_arange, slices, text_bytes
 
 LENGTH, GRAM, PLACES = 100, 16, 75
 CORE = LENGTH - PLACES + 1
 SLICE = 1 << 20  # bytes of text that a task has in hand
+PART_BYTES = 32 << 20  # bytes of text whose phrases make a part
+MOST_PARTS = 1 << 19
 HOT = 8  # different phrases of one core in a slice, from which all of them go straight to the suffixes
 
 
@@ -105,13 +109,13 @@ def _parse(parts: int):
         for batch in slices(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
             ids, sums = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            hashed = SpanHasher(data)
+            hashed, again = SpanHasher(data), SpanHasher(data, 2, 1)
             start, count, trigger = phrases(data, offsets, hashed)
             if not len(start):
                 continue
             of = np.searchsorted(offsets, start, side="right") - 1
             core = hashed.spans(trigger, trigger + CORE)
-            whole = hashed.spans(start, start + count + LENGTH - 1)
+            whole = again.spans(start, start + count + LENGTH - 1)  # with the core 128 bits of two bases
             place, reach = start - offsets[of], trigger - start
             order, later = _first_of((core, whole), (ids[of], sums[of], place))
             found = _send_runs(_DONE, order[later], of, ids, sums, place, count, reach, parts)
@@ -142,80 +146,109 @@ def _by_text(ids, sums, place, count, reach, todo: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(sums[head]), pa.array(np.full(len(head), todo)), pa.array([runs[x:y].tobytes() for x, y in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())], ["id", "sum", "todo", "runs"])
 
 
-def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray], list[bytes]]]:
-    """The rows of each part and kind, put together."""
-    held: dict[tuple[int, int], list[tuple]] = {}
-    for batch in batches:
-        for part, kind, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.setdefault((part, kind), []).append(columns)
-    for (_, kind), rows in held.items():
-        first, second, ids, sums, counts, places, small, text = zip(*rows, strict=True)
-        counts = np.frombuffer(b"".join(counts), np.uint32)
-        small_kind = np.uint8 if kind == _STRINGS else np.dtype((np.uint8, 3))
-        yield kind, {
-            "first": np.frombuffer(b"".join(first), np.uint64), "second": np.frombuffer(b"".join(second), np.uint64),
-            "ids": np.repeat(np.frombuffer(b"".join(ids), np.int64), counts), "sums": np.repeat(np.frombuffer(b"".join(sums), np.int64), counts),
-            "place": np.frombuffer(b"".join(places), np.uint32).astype(np.int64), "small": np.frombuffer(b"".join(small), small_kind).astype(np.int64),
-        }, list(text)
+def _received(rows: list[tuple]) -> tuple[dict[str, np.ndarray], bytes]:
+    """The rows of one part and kind, put together."""
+    first, second, ids, sums, counts, places, small, text = (b"".join(x) for x in zip(*rows, strict=True))
+    counts = np.frombuffer(counts, np.uint32)
+    return {
+        "first": np.frombuffer(first, np.uint64), "second": np.frombuffer(second, np.uint64),
+        "ids": np.repeat(np.frombuffer(ids, np.int64), counts), "sums": np.repeat(np.frombuffer(sums, np.int64), counts),
+        "place": np.frombuffer(places, np.uint32).astype(np.int64), "small": np.frombuffer(small, np.uint8).astype(np.int64),
+    }, text
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each part decides: phrases, single strings or fragments that stand earlier elsewhere."""
-    for kind, x, text in _received(batches):
-        ids, sums, place, small = x["ids"], x["sums"], x["place"], x["small"]
-        if kind == _RUNS:
-            for todo in (_DONE, _BY_FRAGMENT, _BY_STRING):
-                pick = np.flatnonzero(small[:, 0] == todo)
-                yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 1], small[pick, 2], todo)
-        elif kind == _STRINGS:
-            order, later = _first_of((x["first"], x["second"]), (ids, sums, place))
-            yield _strings_done(ids, sums, place, order[later])
-        elif kind == _FRAGMENTS:
-            yield from _suffix_groups(x, b"".join(text))
-        else:
-            core, whole, marked = x["first"], x["second"], small[:, 2]
-            order, later = _first_of((core, whole, marked), (ids, sums, place))
-            pick = order[later & (marked[order] == 0)]
-            yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 0], small[pick, 1], _DONE)
-            own = order[~later]
-            new = np.ones(len(own), bool)
-            new[1:] = core[own][1:] != core[own][:-1]
-            group = np.cumsum(new) - 1
-            fresh = new.copy()
-            fresh[1:] |= whole[own][1:] != whole[own][:-1]
-            kinds = np.bincount(group, fresh) if len(own) else np.zeros(0)
-            hot = (np.bincount(group, marked[own]) > 0) | (kinds > WIDE_CORE) if len(own) else new
-            for todo, chosen in ((_BY_STRING, hot), (_BY_FRAGMENT, ~hot & (kinds > 1))):
-                pick = own[chosen[group] & (marked[own] == 0)]
-                yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 0], small[pick, 1], todo)
+    """What each part decides: phrases, single strings or fragments that stand earlier elsewhere.
+
+    Spark sorts a task's rows by part and kind; one part's rows of one kind at a time are in hand.
+    """
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for part, kind, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (part, kind) != now and held:
+                yield from _decide(now[1], *_received(held))
+                held = []
+            now = (part, kind)
+            held.append(columns)
+    if held:
+        yield from _decide(now[1], *_received(held))
+
+
+def _decide(kind: int, x: dict[str, np.ndarray], text: bytes) -> Iterator[pa.RecordBatch]:
+    ids, sums, place = x["ids"], x["sums"], x["place"]
+    small = x["small"] if kind == _STRINGS else x["small"].reshape(-1, 3)
+    if kind == _RUNS:
+        for todo in (_DONE, _BY_FRAGMENT, _BY_STRING):
+            pick = np.flatnonzero(small[:, 0] == todo)
+            yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 1], small[pick, 2], todo)
+    elif kind == _STRINGS:
+        order, later = _first_of((x["first"], x["second"]), (ids, sums, place))
+        yield _strings_done(ids, sums, place, order[later])
+    elif kind == _FRAGMENTS:
+        yield from _suffix_groups(x["first"], ids, sums, place, small[:, 0], text)
+    else:
+        core, whole, marked = x["first"], x["second"], small[:, 2]
+        order, later = _first_of((core, whole, marked), (ids, sums, place))
+        pick = order[later & (marked[order] == 0)]
+        yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 0], small[pick, 1], _DONE)
+        own = order[~later]
+        new = np.ones(len(own), bool)
+        new[1:] = core[own][1:] != core[own][:-1]
+        group = np.cumsum(new) - 1
+        fresh = new.copy()
+        fresh[1:] |= whole[own][1:] != whole[own][:-1]
+        kinds = np.bincount(group, fresh) if len(own) else np.zeros(0)
+        hot = (np.bincount(group, marked[own]) > 0) | (kinds > WIDE_CORE) if len(own) else new
+        for todo, chosen in ((_BY_STRING, hot), (_BY_FRAGMENT, ~hot & (kinds > 1))):
+            pick = own[chosen[group] & (marked[own] == 0)]
+            yield _by_text(ids[pick], sums[pick], place[pick], small[pick, 0], small[pick, 1], todo)
 
 
 def _strings_done(ids, sums, place, pick) -> pa.RecordBatch:
     return _by_text(ids[pick], sums[pick], place[pick], np.ones(len(pick)), np.zeros(len(pick)), _DONE)
 
 
-def _suffix_groups(x: dict[str, np.ndarray], text: bytes) -> Iterator[pa.RecordBatch]:
-    """Suffixes of the dictionary fragments grouped by their first 100 bytes, some cores at a time."""
-    ids, sums, place, count = x["ids"], x["sums"], x["place"], x["small"][:, 0]
+def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Rank of every suffix of the buffer by its first ``length`` bytes (8 or more); equal ones share a rank.
+
+    Prefix doubling: ranks of 8 bytes give those of 16, and so on; the last step lays two ranks of the
+    longest power of two over each other.  Behind the buffer stand zero bytes.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(length, np.uint8)])
+    value = np.zeros(n + length - 7, np.uint64)
+    for k in range(8):
+        value = (value << np.uint64(8)) | padded[k : k + len(value)]
+    rank = np.unique(value, return_inverse=True)[1].reshape(-1)
+    reach = 8
+    while reach < length:
+        step = min(reach, length - reach)
+        pair = rank[: len(rank) - step] * np.int64(len(value)) + rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1].reshape(-1)
+        reach += step
+    return rank[:n]
+
+
+def _suffix_groups(core: np.ndarray, ids: np.ndarray, sums: np.ndarray, place: np.ndarray, count: np.ndarray, text: bytes) -> Iterator[pa.RecordBatch]:
+    """Suffixes of the dictionary fragments in suffix order, some cores at a time; of equal ones the parse's first stays."""
     data = np.frombuffer(text, np.uint8)
     ends = np.cumsum(count + LENGTH - 1)
     begin = ends - (count + LENGTH - 1)
-    order = np.argsort(x["first"], kind="stable")
-    core = x["first"][order]
-    edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(core)), bool), core[1:] != core[:-1]]))
-    bounds = np.append(edges, len(core))
+    order = np.argsort(core, kind="stable")
+    core = core[order]
+    bounds = np.append(np.flatnonzero(np.concatenate([np.ones(min(1, len(core)), bool), core[1:] != core[:-1]])), len(core))
+    total = np.concatenate([[0], np.cumsum(count[order])])[bounds]
     lo = 0
-    while lo < len(edges):
-        total = np.cumsum(count[order[bounds[lo] :]])[bounds[lo + 1 :] - bounds[lo] - 1]
-        hi = lo + max(1, int(np.searchsorted(total, 1 << 18)))
-        own = order[bounds[lo] : bounds[min(hi, len(edges))]]
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 18), side="right")) - 1)
+        own = order[bounds[lo] : bounds[hi]]
         size = count[own] + LENGTH - 1
-        buffer = data[np.repeat(begin[own], size) + ragged_arange(size)]
+        ranks = suffix_ranks(data[np.repeat(begin[own], size) + ragged_arange(size)])
         at = np.repeat(np.cumsum(size) - size, count[own]) + ragged_arange(count[own])
-        one, two = (SpanHasher(buffer, seed).spans(at, at + LENGTH) for seed in (11, 12))
         row = np.repeat(own, count[own])
         where = place[row] + ragged_arange(count[own])
-        sort, later = _first_of((one, two), (ids[row], sums[row], where))
+        sort, later = _first_of((ranks[at],), (ids[row], sums[row], where))
         yield _strings_done(ids[row], sums[row], where, sort[later])
         lo = hi
 
@@ -243,7 +276,7 @@ def _look_up(parts: int):
                 at = np.repeat(start, count) + ragged_arange(count)
                 of = np.repeat(of, count)
                 place = at - offsets[of]
-                one, two = (SpanHasher(data, seed).spans(at, at + LENGTH) for seed in (11, 12))
+                one, two = (SpanHasher(data, 11 + k, k).spans(at, at + LENGTH) for k in (0, 1))
                 order, later = _first_of((one, two), (ids[of], sums[of], place))
                 found += _send_runs(_DONE, order[later], of, ids, sums, place, np.ones(len(of)), np.zeros(len(of)), parts)
                 own = order[~later]
@@ -284,15 +317,6 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.string(),), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _only(bloom: np.ndarray, wanted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = bloom_hits(batch.column(batch.schema.get_field_index("k")).to_numpy(), bloom)
-            yield batch.filter(pa.array(hit if wanted else ~hit))
-
-    return run
-
-
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``documents``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -303,19 +327,21 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = documents.sparkSession
     bound_batches(spark)
-    parts = hash_partitions(spark)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    tasks = hash_partitions(spark)
+    parts = min(MOST_PARTS, max(tasks, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)))
+    deal = lambda rows: rows.repartitionById(min(parts, 1 << 16), F.col("part").cast("int")).sortWithinPartitions("part", "kind").mapInArrow(_resolve, _OUT)
     texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("sum", F.xxhash64("text")).withColumn("k", F.xxhash64("id", "sum"))
     parsed = texts.select("id", "text", "sum").mapInArrow(_parse(parts), _ROWS)
-    found = materialise(parsed.repartition(parts, "part").mapInArrow(_resolve, _OUT), "phrases")
+    found = materialise(deal(parsed), "phrases")
     left = found.where(f"todo <> {_DONE}")
     runs_of = lambda todo: F.collect_list(F.when(F.col("todo") == todo, F.col("runs")))
     open_runs = left.groupBy("id", "sum").agg(runs_of(_BY_FRAGMENT).alias("fragments"), runs_of(_BY_STRING).alias("strings"))
-    wanted = texts.mapInArrow(_only(bloom_of(left.select(F.xxhash64("id", "sum").alias("k")), "k"), True), texts.schema)
+    wanted = texts.mapInArrow(in_bloom(bloom_of(left.select(F.xxhash64("id", "sum").alias("k")), "k", left.count()), True), texts.schema)
     asked = wanted.select("id", "sum", "text").join(open_runs.hint("merge"), ["id", "sum"]).select("id", "sum", "text", "fragments", "strings")
-    looked_up = asked.mapInArrow(_look_up(parts), _ROWS).repartition(parts, "part").mapInArrow(_resolve, _OUT)
+    looked_up = deal(asked.mapInArrow(_look_up(parts), _ROWS))
     repeated = materialise(found.where(f"todo = {_DONE}").union(looked_up).groupBy("id", "sum").agg(F.collect_list("runs").alias("runs")), "repeats")
-    bloom = bloom_of(repeated.select(F.xxhash64("id", "sum").alias("k")), "k")
-    hit = texts.mapInArrow(_only(bloom, True), texts.schema).join(repeated.hint("merge"), ["id", "sum"], "left").select("doc_id", "text", "runs")
-    clean = texts.mapInArrow(_only(bloom, False), texts.schema).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs"))
+    bloom = bloom_of(repeated.select(F.xxhash64("id", "sum").alias("k")), "k", repeated.count())
+    hit = texts.mapInArrow(in_bloom(bloom, True), texts.schema).join(repeated.hint("merge"), ["id", "sum"], "left").select("doc_id", "text", "runs")
+    clean = texts.mapInArrow(in_bloom(bloom, False), texts.schema).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("runs"))
     return hit.mapInArrow(_finish, _RESULT).union(clean.mapInArrow(_finish, _RESULT))
