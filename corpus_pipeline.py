@@ -20,16 +20,39 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs, langid.fit(docs), LEAST_SCORE)
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a digest of the text; the digest's column has a name that no other has."""
+    name = "_sha"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.sha2(F.coalesce("text", F.lit("")), 256)), name
+
+
+def _take(docs: DataFrame, sha: str, chosen: DataFrame) -> DataFrame:
+    """The chosen rows (doc_id, digest, n), one of each; of n > 1 rows alike in both the first by a hash of all columns."""
+    columns = [c for c in docs.columns if c != sha]
+    wanted = chosen.toDF("_id", "_text", "_n").hint("merge")
+    joined = docs.join(wanted, (F.col(sha) == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    several = joined.where("_n > 1").groupBy("_id", "_text").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    return joined.where("_n = 1").select(*columns).union(several.select("_row.*"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """One row of each text: that with the largest doc_id; of rows that share it too, one."""
+    rows, sha = _named(docs)
+    kept = exact_dedup.exact_dedup(rows, carry=(sha,)).where("kept").groupBy("text_sha256", "doc_id", sha).agg(F.count("*").alias("n"))
+    chosen = kept.groupBy("text_sha256").agg(F.min(F.struct(sha, "doc_id", "n")).alias("c"))
+    return _take(rows, sha, chosen.select("c.doc_id", f"c.{sha}", "c.n"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    kept = jaccard.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """One row of each group of near duplicates: that with the smallest doc_id; texts without words stay."""
+    rows, sha = _named(docs)
+    linked = materialise(jaccard.linked_rows(rows, carry=(sha,)), "linked")
+    counted = linked.where("root is not null").groupBy("root", "doc_id", sha).agg(F.count("*").alias("n"))
+    chosen = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", sha, "n")).alias("c")).select("c.doc_id", f"c.{sha}", "c.n")
+    wordless = linked.where("root is null").select("doc_id", sha, F.lit(1).cast("long").alias("n")).distinct()
+    return _take(rows, sha, chosen.union(wordless))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
