@@ -13,7 +13,7 @@ BD_ANGLE = math.pi * 3000.0 / 180.0
 GCJ_BOX = (72.004, 137.8347, 0.8293, 55.8271)
 EARTH_RADIUS_M = 6371008.8
 METRES_PER_DEGREE = 111000.0
-WIDEST_LATITUDE = 54.0
+HALF_GLOBE_M = math.pi * EARTH_RADIUS_M
 
 
 def _waves(x: Column, terms: list[tuple[float, float]]) -> Column:
@@ -31,6 +31,7 @@ def out_of_china(lng: Column, lat: Column) -> Column:
 
 
 def _shift(lng: Column, lat: Column) -> tuple[Column, Column]:
+    """Shift of GCJ-02 in degrees (east, north); all numbers are fixed values of its definition."""
     x, y = lng - 105.0, lat - 35.0
     shared = _waves(x, [(20.0, 6.0), (20.0, 2.0)])
     north = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * F.sqrt(F.abs(x)) + shared + _waves(y, [(20.0, 1.0), (40.0, 1 / 3)]) + _waves(y, [(160.0, 1 / 12), (320.0, 1 / 30)])
@@ -105,10 +106,40 @@ def distance_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def cell_steps(radius_m: float) -> tuple[float, float]:
-    """Cell size in degrees (lng, lat) at which 3 x 3 cells cover the radius up to WIDEST_LATITUDE."""
-    step = radius_m / METRES_PER_DEGREE
-    return step / math.cos(math.radians(WIDEST_LATITUDE)), step
+def band_height(radius_m: float) -> float:
+    """Height in degrees of latitude bands such that points within the radius are at most one band apart."""
+    return min(radius_m / METRES_PER_DEGREE, 200.0)
+
+
+def band_of(lat: Column, radius_m: float) -> Column:
+    return F.floor((lat + 90.0) / band_height(radius_m))
+
+
+def band_width(band: Column, radius_m: float) -> Column:
+    """Degrees of longitude that points within the radius are at most apart, if one is in the band and the other at most one band away."""
+    height = band_height(radius_m)
+    south = band * height - 90.0
+    outer = F.greatest(F.abs(south - height), F.abs(south + 2 * height))
+    if radius_m >= HALF_GLOBE_M / 2:
+        return F.lit(360.0)
+    ratio = math.sin(radius_m / (2 * EARTH_RADIUS_M)) / F.cos(F.radians(outer))
+    return F.when((outer >= 90.0) | (ratio >= 1.0), 360.0).otherwise(F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
+
+
+def cell_in_band(lng: Column, width: Column) -> Column:
+    """Number of the cell in its band, counted east from 180 degrees west."""
+    return F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / width)
+
+
+def cells_around(lng: Column, width: Column) -> Column:
+    """Numbers of all cells of a band that have points within a cell's width, across 180 degrees too."""
+    at = F.pmod(lng + 180.0, F.lit(360.0))
+    cell, last = F.floor(at / width), F.ceil(F.lit(360.0) / width) - 1
+    near = F.sequence(F.greatest(cell - 1, F.lit(0)), F.least(cell + 1, last))
+    west = F.when(at < width, F.sequence(F.least(F.floor((at - width + 360.0) / width), last), last))
+    east = F.when(at + width >= 360.0, F.sequence(F.lit(0).cast("long"), F.least(F.floor((at + width - 360.0) / width), last)))
+    none = F.expr("cast(array() as array<bigint>)")
+    return F.array_distinct(F.concat(near, F.coalesce(west, none), F.coalesce(east, none)))
 
 
 def thinning_step(west: float, south: float, east: float, north: float, most: int) -> float:
@@ -145,6 +176,11 @@ def cell_key(lat: Column, lng: Column, step: Column) -> Column:
     return F.concat_ws("|", *(F.format_string("%.4f", round_half_up(x)) for x in (lat, lng, step)))
 
 
+def visited_key(lat: Column, lng: Column, step: Column) -> Column:
+    """lat,lng,step at four decimals, halves to the even digit, as a crawl remembers its cells."""
+    return F.concat_ws(",", *(F.format_string("%.4f", round_half_even(x)) for x in (lat, lng, step)))
+
+
 def point_geojson(lng: Column, lat: Column) -> Column:
     """GeoJSON Point at nine decimals, null without coordinates."""
     body = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.round(lng, 9), F.round(lat, 9)).alias("coordinates")))

@@ -62,21 +62,22 @@ def query_scope(province: Column, city: Column) -> Column:
 
 
 def invalid_reason(external_id, name, address, province, city, district, lng, lat) -> Column:
-    """First rule that a record breaks, null for a valid one."""
+    """Code of the first rule that a record breaks, null for a valid one."""
     texts = F.lit(False)
     for x in (province, city, district, address, name):
         texts = texts | out_of_text(x)
     blank = lambda x: F.coalesce(x, F.lit("")) == ""
     return (
-        F.when(blank(external_id), "external_id is required")
-        .when(blank(address) & blank(name), "name or address is required")
-        .when(lng.isNull() | lat.isNull(), "coordinates are required after enrichment")
-        .when(texts, "location is outside mainland China scope")
-        .when(out_of_coordinates(lng, lat), "coordinates are outside mainland China scope")
-        .when(~in_box(lng, lat, *VALID_BOX), "coordinates are outside expected China bounds")
+        F.when(blank(external_id), "no_id")
+        .when(blank(address) & blank(name), "nameless")
+        .when(lng.isNull() | lat.isNull(), "unplaced")
+        .when(texts, "text_out_of_scope")
+        .when(out_of_coordinates(lng, lat), "place_out_of_scope")
+        .when(~in_box(lng, lat, *VALID_BOX), "place_out_of_bounds")
     )
 
 
+# The expressions that tell the brands.
 def _not_a_shop(name: Column) -> Column:
     return (name.contains("有限公司") & ~name.contains("店")) | name.rlike("公交站|地铁站")
 
@@ -109,6 +110,11 @@ def is_enabled_shop(overseas: Column, enabled: Column, city_code: Column, lng: C
     return ~_is(overseas) & F.coalesce(enabled != 0, F.lit(True)) & ~_is(city_code.rlike("^(15681|15682)")) & _is(in_box(x, y, *box))
 
 
+def is_portal_restaurant(type_code: Column, city_code: Column, requested: Column) -> Column:
+    """A restaurant (type H) whose city code is the one that was asked for."""
+    return _is(type_code == "H") & _is(F.coalesce(city_code.cast("string"), F.lit("")) == requested.cast("string"))
+
+
 def csv_list(value: str | None) -> list[str]:
     """Trimmed non-empty parts of a comma-separated parameter, in order, each once."""
     return list(dict.fromkeys(x.strip() for x in (value or "").split(",") if x.strip()))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 CHAIN_PREFIXES = ("全家便利店", "全家FamilyMart", "FamilyMart", "全家", "7-ELEVEn", "7-ELEVEN", "7-11", "永辉超市", "永辉", "盒马", "麦当劳", "肯德基", "KFC", "七鲜超市", "七鲜生活")
 REGION_SUFFIXES = ("特别行政区", "维吾尔自治区", "壮族自治区", "回族自治区", "自治区", "省", "市")
 SHORT_SUFFIXES = ("特别行政区", "自治区", "自治州", "地区", "盟", "省", "市")
-STREET_WORDS = "路|街|道|巷|里|大道|大街|公路|快速|环线"
 MUNICIPALITIES = ("北京市", "上海市", "天津市", "重庆市")
 HAN = r"[\x{4e00}-\x{9fff}]"
+STREET = HAN + r"{2,30}(?:路|街|道|巷|里|大道|大街|公路|快速|环线)\d+(?:-\d+)?"
+AFTER_COMMA, SQUARE, MALL = "[、，／/].*", "^(.+?广场)", "^(.+?(?:购物中心|购物广场))"
+REGION_MARKS = "省市区县 "
 # Damaged spellings (pattern, replacement) in the order in which they are mended.
 REPAIRS = (
     (r"金\?M阁(?=金茗阁)", ""), (r"\?I岭", "下梅林"), (r"\?蚩谡", "坦尾"), (r"五羊\?站", "五羊邨站"), (r"沥\?蛘", "沥滘"), (r"厦\?蛘", "厦滘"),
@@ -60,9 +62,8 @@ def address_core(address: Column, province: Column, city_: Column, district: Col
     p, c = region(province), region(city_)
     prefixes = F.array(no_space(province), no_space(city_), no_space(district), F.concat(p, c), F.concat(p, F.lit("省"), c, F.lit("市")), F.concat(c, F.lit("市")))
     cut = F.aggregate(prefixes, no_space(address), lambda a, q: F.when((q != "") & F.startswith(a, q), F.substring(a, F.length(q) + 1, F.length(a))).otherwise(a))
-    rest = F.replace(F.ltrim(cut, F.lit("省市区县 ")), F.lit("号"), F.lit(""))
-    street = f"({HAN}{{2,30}}(?:{STREET_WORDS}))(\\d+(?:-\\d+)?)"
-    whole = F.regexp_extract(rest, street, 0)
+    rest = F.replace(F.ltrim(cut, F.lit(REGION_MARKS)), F.lit("号"), F.lit(""))
+    whole = F.regexp_extract(rest, STREET, 0)
     return F.lower(F.when(whole != "", whole).otherwise(rest))
 
 
@@ -191,8 +192,8 @@ def acceptable(score: Column) -> Column:
 
 def address_fallbacks(address: Column) -> Column:
     """Shorter spellings of an address to look up, distinct and in order."""
-    cut = stripped(F.regexp_replace(address, "[、，／/].*", ""))
-    found = F.array(blank_to_null(cut), match(address, "^(.+?广场)"), match(address, "^(.+?(?:购物中心|购物广场))"))
+    cut = stripped(F.regexp_replace(address, AFTER_COMMA, ""))
+    found = F.array(blank_to_null(cut), match(address, SQUARE), match(address, MALL))
     return F.filter(F.array_distinct(F.array_compact(found)), lambda x: x != address)
 
 

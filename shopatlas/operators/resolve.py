@@ -1,15 +1,13 @@
 """Entity resolution: the same store by content or by name and distance."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import geo, text
 from ..plans.storage import materialise
 from .components import connected_components
-from .search import radius_pairs
-from .stats import first_seen
+from .search import cells, radius_pairs
 
 RADIUS_M = 50.0
 
@@ -34,42 +32,109 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
+def _named_points(locations: DataFrame, chain: str = "chain_id") -> DataFrame:
+    """Located rows with a usable name, and their normalised name."""
+    return locations.withColumn("norm_name", text.store_name(F.col("name"))).where("norm_name <> '' and lng is not null and lat is not null")
+
+
+def same_store_edges(locations: DataFrame, radius_m: float = RADIUS_M, chain: str = "chain_id") -> DataFrame:
+    """Edges (left_id, right_id) that connect the same stores as ``same_name_pairs`` does, in number in proportion to the rows.
+
+    Rows at one place are tied to the first of them, places in one fine cell (less than the radius across)
+    to the cell's first place, and cells to each other by their first places.  Only places with a neighbour
+    cell that is still apart are compared one by one.
+    """
+    store = [chain, "norm_name"]
+    named = materialise(_named_points(locations, chain).select("id", *store, "lng", "lat"), "named")
+    places = named.groupBy(*store, "lng", "lat").agg(F.min("id").alias("place"))
+    step = radius_m / 2 / geo.METRES_PER_DEGREE
+    fy = F.floor((F.col("lat") + 90.0) / step)
+    narrow = F.greatest(F.cos(F.radians(F.least(F.abs(fy * step - 90.0), F.abs((fy + 1) * step - 90.0)))), F.lit(0.01))  # of the parallel nearest the equator
+    places = places.withColumns({"fy": fy, "fx": F.floor((F.col("lng") + 180.0) * narrow / step)})
+    fine = [*store, "fx", "fy"]
+    firsts = places.groupBy(*fine).agg(F.min(F.struct("place", "lng", "lat")).alias("f"))
+    at = materialise(places.join(firsts.hint("merge"), fine).select(F.col("place").alias("id"), *store, "lng", "lat", F.col("f.place").alias("cell"), F.col("f.lng").alias("cell_lng"), F.col("f.lat").alias("cell_lat")), "places")
+    copies = named.join(at.select(F.col("id").alias("place"), *store, "lng", "lat").hint("merge"), [*store, "lng", "lat"]).where("id <> place").select(F.col("place").alias("left_id"), F.col("id").alias("right_id"))
+    # a polar cell is wider than it seems; what does not reach the cell's first place is a cell of its own
+    within = geo.distance_m(F.col("lng"), F.col("lat"), F.col("cell_lng"), F.col("cell_lat")) <= radius_m
+    at = at.withColumn("cell", F.when(within, F.col("cell")).otherwise(F.col("id")))
+    inner = at.where("id <> cell").select(F.col("cell").alias("left_id"), F.col("id").alias("right_id"))
+    heads = at.where("id = cell")
+    outer = radius_pairs(heads, heads, radius_m, on=tuple(store)).where("left_id < right_id").select("left_id", "right_id")
+    known = materialise(inner.union(outer), "edges")
+    rooted = materialise(at.join(components(at.select("id"), known).withColumnRenamed("cluster", "root").hint("merge"), "id"), "rooted")
+    # places of different roots: cells near a place that hold another root
+    tagged = cells(rooted, radius_m)
+    around = cells(rooted, radius_m, around=True)
+    mixed = tagged.groupBy(*store, "cx", "cy").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = around.join(mixed.hint("merge"), [*store, "cx", "cy"]).where("low <> root or high <> root")
+    pairs = tagged.select("id", *store, "cx", "cy", "lng", "lat", "root").join(apart.select(F.col("id").alias("other"), *store, "cx", "cy", F.col("lng").alias("x2"), F.col("lat").alias("y2"), F.col("root").alias("root2")).hint("merge"), [*store, "cx", "cy"])
+    late = pairs.where((F.col("root") != F.col("root2")) & (geo.distance_m(F.col("lng"), F.col("lat"), F.col("x2"), F.col("y2")) <= radius_m))
+    ties = late.groupBy("root", "root2").agg(F.min("id").alias("left_id"), F.min("other").alias("right_id")).select("left_id", "right_id")
+    return copies.union(known).union(ties)
+
+
 def duplicate_clusters(locations: DataFrame, radius_m: float = RADIUS_M, mode: str = "components") -> DataFrame:
     """id, cluster, keep: which stores are one, and the one to keep.
 
     ``components``: everything connected by same-name pairs is one cluster.  ``greedy``: within a
     component stores are taken in id order, each absorbing its surviving neighbours; the most
     complete of them stays.  The most complete has the longest address, district and city; ties
-    go to the smallest id.
+    go to the smallest id (greedy: to the store that absorbs, then to the smallest id).
     """
-    pairs = materialise(same_name_pairs(locations, radius_m), "pairs")
-    labels = components(locations.select("id"), pairs)
+    if mode not in ("components", "greedy"):
+        raise ValueError(f"unknown mode: {mode}")
+    edges = materialise(same_store_edges(locations, radius_m), "edges")
+    labels = components(locations.select("id"), edges)
     score = text.richness(F.col("address"), F.col("district"), F.col("city"))
     scored = labels.join(locations.select("id", score.alias("score")).hint("merge"), "id")
     if mode == "components":
         best = scored.groupBy("cluster").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
         return scored.join(best.hint("merge"), "cluster").select("id", "cluster", (F.col("id") == F.col("best")).alias("keep"))
-    if mode != "greedy":
-        raise ValueError(f"unknown mode: {mode}")
-    near = pairs.select(F.col("left_id").alias("id"), F.col("right_id").alias("other")).unionAll(pairs.select("right_id", "left_id")).groupBy("id").agg(F.collect_list("other").alias("near"))
-    rows = scored.join(near.hint("merge"), "id", "left").select("cluster", "id", "score.*", "near")
-    return rows.groupBy("cluster").applyInPandas(_absorb, "id long, cluster long, keep boolean")
-
-
-def _absorb(group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy clean-up of one component (a handful of stores)."""
-    group = group.sort_values("id")
-    score = {r.id: (r.address, r.district, r.city) for r in group.itertuples()}
-    near = {r.id: sorted(r.near) if r.near is not None else [] for r in group.itertuples()}
-    alive = dict.fromkeys(group["id"], True)
-    for seed in group["id"]:
-        if not alive[seed]:
-            continue
-        pool = [seed, *(x for x in near[seed] if alive[x])]
-        best = max(pool, key=lambda x: score[x])  # the first of equals
-        for x in pool:
-            alive[x] = x == best
-    return pd.DataFrame({"id": group["id"], "cluster": group["cluster"], "keep": [alive[x] for x in group["id"]]})
+    gone = greedy_losers(locations, radius_m).withColumn("gone", F.lit(True))
+    return labels.join(gone.hint("merge"), "id", "left").select("id", "cluster", F.col("gone").isNull().alias("keep"))
+
+
+def greedy_losers(locations: DataFrame, radius_m: float = RADIUS_M, chain: str = "chain_id") -> DataFrame:
+    """Ids that the greedy rule drops, found in rounds of joins.
+
+    All rows at one place have the same neighbours, so the first store that takes one of them takes all:
+    a place is a node that has its smallest id (the next to absorb) and its most complete row.  A place
+    acts in a round when no other within two steps of it acts before it by id; those that act together
+    can't touch each other's neighbours.
+    """
+    score = text.richness(F.col("address"), F.col("district"), F.col("city"))
+    store = [chain, "norm_name"]
+    rows = materialise(_named_points(locations, chain).select("id", *store, "lng", "lat", score.alias("score")), "rows")
+    rank = F.struct("score", -F.col("id"))
+    places = rows.groupBy(*store, "lng", "lat").agg(F.min("id").alias("place"), F.max_by("id", rank).alias("top"), F.max("score").alias("top_score"), F.min_by("score", "id").alias("first_score"))
+    places = materialise(places, "places")
+    pairs = radius_pairs(places, places, radius_m, on=tuple(store), left_id="place", right_id="place").where("left_id <> right_id")
+    near = materialise(pairs.select(F.col("left_id").alias("place"), F.col("right_id").alias("other")).union(places.select("place", F.col("place").alias("other"))), "near")
+    # next: the id that is still to act (null: none); alive: the row that still stands at a touched place
+    state = places.select("place", F.col("place").alias("next"), F.col("top").alias("alive"), F.col("top_score").alias("alive_score"), F.col("first_score").alias("next_score"))
+    while True:
+        state = materialise(state, "state")
+        waiting = state.where("next is not null").select("place", "next")
+        if waiting.isEmpty():
+            break
+        one = near.join(waiting.withColumnRenamed("place", "other").hint("merge"), "other").groupBy("place").agg(F.min("next").alias("least"))
+        two = near.join(one.withColumnRenamed("place", "other").hint("merge"), "other").groupBy("place").agg(F.min("least").alias("least"))
+        acting = waiting.join(two.hint("merge"), "place").where("next = least").select(F.col("place").alias("by"), F.col("next").alias("seed"))
+        acting = acting.join(state.select(F.col("place").alias("by"), F.col("next_score").alias("seed_score")).hint("merge"), "by")
+        reach = near.withColumnRenamed("place", "by").join(acting.hint("merge"), "by").select("by", "seed", "seed_score", F.col("other").alias("place"))
+        touched = materialise(reach.join(state.select("place", "alive", "alive_score").hint("merge"), "place", "left"), "touched")
+        best = touched.where("alive is not null").groupBy("by", "seed", "seed_score").agg(F.max(F.struct(F.col("alive_score").alias("score"), (-F.col("alive")).alias("minus"), F.col("place").alias("at"))).alias("b"))
+        # the store that absorbs wins among equals
+        own = F.col("seed_score") >= F.col("b.score")
+        won = best.select("by", F.when(own, F.col("seed")).otherwise(-F.col("b.minus")).alias("winner"), F.when(own, F.col("by")).otherwise(F.col("b.at")).alias("at"), F.col("b.score").alias("won_score"), F.col("seed").alias("by_seed"))
+        change = touched.select("by", "place").join(won.hint("merge"), "by").select("place", F.when(F.col("place") == F.col("at"), F.struct("winner", "won_score", "by_seed")).alias("c"), F.lit(True).alias("hit"))
+        after = state.join(change.hint("merge"), "place", "left")
+        hit = F.coalesce("hit", F.lit(False))
+        # a winner with a larger id than the one that absorbed is still to act itself
+        later = F.when(F.col("c.winner") > F.col("c.by_seed"), F.col("c.winner"))
+        state = after.select("place", F.when(hit, later).otherwise(F.col("next")).alias("next"), F.when(hit, F.col("c.winner")).otherwise(F.col("alive")).alias("alive"), F.when(hit, F.col("c.won_score")).otherwise(F.col("alive_score")).alias("alive_score"), F.when(hit, F.col("c.won_score")).otherwise(F.col("next_score")).alias("next_score"))
+    return rows.select("id").join(state.where("alive is not null").select(F.col("alive").alias("id")).hint("merge"), "id", "left_anti")
 
 
 def deleted_by_chain(locations: DataFrame, clusters: DataFrame, chain: str = "chain_id") -> DataFrame:
@@ -91,11 +156,3 @@ def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIU
     pairs = radius_pairs(pool.where("ordinal >= 0"), pool, radius_m, on=("chain_id", "norm_name"), left_id="ordinal", right_id="rank")
     best = pairs.where(F.col("right_id.ordinal") <= F.col("left_id")).groupBy("left_id").agg(F.min("right_id").alias("best")).select(F.col("left_id").alias("ordinal"), F.col("best.external_id").alias("known_id"))
     return batch.join(best.hint("merge"), "ordinal", "left").withColumn("external_id", F.coalesce("known_id", "external_id")).drop("known_id")
-
-
-def unique_identity(records: DataFrame, order: str = "ordinal") -> DataFrame:
-    """First record of each identity."""
-    key = text.identity(*(F.col(c) for c in ("province", "city", "district", "name", "address")))
-    return first_seen(records.withColumn("_id", key), ["_id"], [order]).drop("_id")
-
-

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scope
 from ..plans.storage import materialise
+from .stats import number_within
 
 
 def with_chain(locations: DataFrame, chains: DataFrame, categories: DataFrame) -> DataFrame:
@@ -50,15 +52,17 @@ def thin_by_cell(locations: DataFrame, step: float, how: str = "round", by: tupl
     columns = rows.columns
     best = rows.groupBy(*by, cell("lng").alias("_x"), cell("lat").alias("_y")).agg(F.min_by(F.struct(*columns), "id").alias("_row"))
     out = best.select("_row.*")
-    if most is not None:
-        rank = F.row_number().over(W.partitionBy(*by).orderBy("id")) if by else F.row_number().over(W.orderBy("id"))
-        out = out.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
+    if most is not None and by:
+        out = out.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("id"))).where(F.col("_n") <= most).drop("_n")
+    elif most is not None:
+        out = out.orderBy("id").limit(most)
     return out
 
 
 def chain_rank(locations: DataFrame, chain: str = "chain_slug") -> DataFrame:
     """Adds rn, the place of a row in its chain by id: sorting by (rn, chain) interleaves the chains."""
-    return locations.withColumn("rn", F.row_number().over(W.partitionBy(chain).orderBy("id")))
+    numbered = number_within(locations, chain, ["id"], "rn")
+    return numbered.withColumn("rn", F.col("rn").cast("int"))
 
 
 def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
@@ -95,19 +99,23 @@ def nearby(locations: DataFrame, lng: float, lat: float, radius_m: float = 3000.
 
 
 def cells(df: DataFrame, radius_m: float, around: bool = False) -> DataFrame:
-    """Adds the grid cell (cx, cy) of each row, or with ``around`` a row for each of the 3 x 3 cells about it."""
-    dx, dy = geo.cell_steps(radius_m)
-    x, y = F.floor(F.col("lng") / dx), F.floor(F.col("lat") / dy)
+    """Adds the grid cell (cx, cy) of each row, or with ``around`` a row for each cell that may hold points within the radius.
+
+    A cell is part of a latitude band, and as wide as points of the band can be apart, so that at any
+    latitude, across 180 degrees and at the poles three bands of about three cells are enough.
+    """
+    band = geo.band_of(F.col("lat"), radius_m)
     if not around:
-        return df.withColumns({"cx": x, "cy": y})
-    near = F.expr("array(-1L, 0L, 1L)")
-    return df.withColumn("cx", F.explode(F.transform(near, lambda d: x + d))).withColumn("cy", F.explode(F.transform(near, lambda d: y + d)))
+        own = df.withColumn("cy", band)
+        return own.withColumn("cx", geo.cell_in_band(F.col("lng"), geo.band_width(F.col("cy"), radius_m)))
+    near = df.withColumn("cy", F.explode(F.transform(F.expr("array(-1L, 0L, 1L)"), lambda d: band + d)))
+    return near.withColumn("cx", F.explode(geo.cells_around(F.col("lng"), geo.band_width(F.col("cy"), radius_m))))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, on: tuple[str, ...] = (), left_id: str = "id", right_id: str = "id") -> DataFrame:
     """Pairs (left_id, right_id, distance_m) within the radius and equal in the ``on`` columns.
 
-    A cell join: the right side stands in 3 x 3 cells, so the join is an equi-join on cells and
+    A cell join: the right side stands in all cells around it, so the join is an equi-join on cells and
     ``on`` with the distance as a residual; skewed cells are split by Spark's adaptive join.
     Rows without coordinates or with a null ``on`` column pair with nothing.
     """
@@ -117,29 +125,52 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, on: tuple[s
     return near.where(F.col("distance_m") <= radius_m).select("left_id", "right_id", "distance_m", *on)
 
 
-def nearest(queries: DataFrame, locations: DataFrame, k: int, radius_m: float, rounds: int = 12, query_id: str = "id") -> DataFrame:
-    """The k nearest locations of each query point (query_id, id, distance_m, rank).
+FAR_M = 100_000.0
+DEGREE_HALF_DIAGONAL_M = 79_000.0  # no point of a one-degree cell is farther from the cell's middle
+
 
-    Each round doubles the radius for the queries that have fewer than k within it; the number
-    of rounds grows with the logarithm of the largest distance, and a query that still lacks k
-    after the last round keeps what lies within its radius.
+def nearest(queries: DataFrame, locations: DataFrame, k: int, radius_m: float, query_id: str = "id") -> DataFrame:
+    """The k nearest locations of each query point (query_id, id, distance_m, rank), all if there are fewer.
+
+    Each round takes four times the radius for the queries that have fewer than k within it.  Beyond
+    FAR_M the rest is ranked by one-degree cells, of which there are at most 64,800: the cells' middles
+    bound the distance of a query's k-th location, and only cells that can hold nearer ones are joined.
+    Rows without coordinates take no part.
     """
-    todo, done, radius = queries, None, radius_m
-    for turn in range(rounds):
-        found = radius_pairs(todo, locations, radius, left_id=query_id)
-        w = W.partitionBy("left_id").orderBy("distance_m", "right_id")
-        ranked = materialise(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "nearest")
+    located = locations.where("lng is not null and lat is not null")
+    todo, done, radius = queries.where("lng is not null and lat is not null"), [], radius_m
+    while radius < FAR_M:
+        ranked = materialise(_ranked(radius_pairs(todo, located, radius, left_id=query_id), k), "nearest")
         full = ranked.where(F.col("rank") == k).select(F.col("left_id").alias(query_id))
-        last = turn == rounds - 1
-        out = ranked if last else ranked.join(full.withColumnRenamed(query_id, "left_id").hint("merge"), "left_id", "left_semi")
-        done = out if done is None else done.union(out)
-        if last:
-            break
+        done.append(ranked.join(full.withColumnRenamed(query_id, "left_id").hint("merge"), "left_id", "left_semi"))
         todo = materialise(todo.join(full.hint("merge"), query_id, "left_anti"), "nearest")
         if todo.isEmpty():
             break
-        radius *= 2
-    return done.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), "distance_m", "rank")
+        radius *= 4
+    else:
+        done.append(_ranked(_far_pairs(todo, located, k, query_id), k))
+    return reduce(DataFrame.unionByName, done).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), "distance_m", "rank")
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    own = W.partitionBy("left_id").orderBy("distance_m", "right_id")
+    return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("left_id", "right_id", "distance_m", "rank")
+
+
+def _far_pairs(queries: DataFrame, located: DataFrame, k: int, query_id: str) -> DataFrame:
+    """Pairs among which the k nearest of each query are."""
+    square = {"gx": F.floor(F.pmod(F.col("lng") + 180.0, F.lit(360.0))), "gy": F.least(F.floor(F.col("lat") + 90.0), F.lit(179))}
+    gridded = located.withColumns(square)
+    full = materialise(gridded.groupBy("gx", "gy").agg(F.count("*").alias("n")), "cells")
+    asked = queries.select(F.col(query_id).alias("left_id"), F.col("lng").alias("x1"), F.col("lat").alias("y1"))
+    each = asked.crossJoin(F.broadcast(full))  # at most 360 x 180 rows are sent
+    each = each.withColumn("middle", geo.distance_m(F.col("x1"), F.col("y1"), F.col("gx") - 179.5, F.col("gy") - 89.5))
+    held = F.sum("n").over(W.partitionBy("left_id").orderBy("middle", "gx", "gy"))
+    bound = F.min(F.when(F.col("held") >= k, F.col("middle"))).over(W.partitionBy("left_id"))
+    near = each.withColumn("held", held).withColumn("bound", bound)
+    near = near.where(F.col("bound").isNull() | (F.col("middle") <= F.col("bound") + 2 * DEGREE_HALF_DIAGONAL_M)).select("left_id", "x1", "y1", "gx", "gy")
+    rows = gridded.select(F.col("id").alias("right_id"), F.col("lng").alias("x2"), F.col("lat").alias("y2"), "gx", "gy")
+    return near.join(rows.hint("merge"), ["gx", "gy"]).withColumn("distance_m", geo.distance_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
 
 
 def like_search(locations: DataFrame, pattern: str, limit: int | None = 100) -> DataFrame:

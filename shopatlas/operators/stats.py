@@ -94,22 +94,46 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(rest, F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def plateau_windows(log: DataFrame, size: int, least_stores: int, most_new: int, queue: str | None = None) -> DataFrame:
-    """New stores per ``size`` requests: window, requests, new_stores, store_count, stop.
+def plateau_windows(log: DataFrame, size: int, least_stores: int | str, most_new: int, queue: str | None = None, by: str | None = None) -> DataFrame:
+    """New stores per ``size`` requests: window, requests, new_stores, store_count, stop, after ``by`` where that is given.
 
-    ``log`` has ``seq`` (1, 2, ...) and ``store``.  stop marks the first full window with at least
-    ``least_stores`` so far and fewer than ``most_new`` new ones (and an empty queue where a column
-    holds its length).  Only one row a window passes through the running sum.
+    ``log`` has ``seq`` (1, 2, ..., of each ``by`` on its own) and ``store``.  stop marks the first full window with at least
+    ``least_stores`` so far (a number, or a column that holds it) and fewer than ``most_new`` new ones (and an empty queue
+    where a column holds its length).  Only one row a window passes through the running sum.
     """
+    own = [by] if by else []
     window = F.floor((F.col("seq") - 1) / size).alias("window")
-    new = log.groupBy("store").agg(F.min("seq").alias("seq")).groupBy(window).agg(F.count("*").alias("new_stores"))
+    new = log.groupBy(*own, "store").agg(F.min("seq").alias("seq")).groupBy(*own, window).agg(F.count("*").alias("new_stores"))
     length = F.max_by(queue, "seq") if queue else F.lit(0)
-    every = log.groupBy(window).agg(F.count("*").alias("requests"), length.alias("queue"))
-    out = every.join(new, "window", "left").withColumn("new_stores", F.coalesce("new_stores", F.lit(0)))
-    out = out.withColumn("store_count", F.sum("new_stores").over(W.orderBy("window").rowsBetween(W.unboundedPreceding, 0)))
-    hit = (F.col("requests") == size) & (F.col("store_count") >= least_stores) & (F.col("new_stores") < most_new) & (F.col("queue") <= 0)
-    first = F.min(F.when(hit, F.col("window"))).over(W.orderBy("window").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return out.select("window", "requests", "new_stores", "store_count", F.coalesce(F.col("window") == first, F.lit(False)).alias("stop"))
+    least = F.max(least_stores) if isinstance(least_stores, str) else F.lit(least_stores)
+    every = log.groupBy(*own, window).agg(F.count("*").alias("requests"), length.alias("queue"), least.alias("least"))
+    out = every.join(new.hint("merge"), [*own, "window"], "left").withColumn("new_stores", F.coalesce("new_stores", F.lit(0)))
+    along = (W.partitionBy(*own) if by else W.partitionBy(F.lit(0))).orderBy("window")
+    out = out.withColumn("store_count", F.sum("new_stores").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    hit = (F.col("requests") == size) & (F.col("store_count") >= F.col("least")) & (F.col("new_stores") < most_new) & (F.col("queue") <= 0)
+    first = F.min(F.when(hit, F.col("window"))).over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return out.select(*own, "window", "requests", "new_stores", "store_count", F.coalesce(F.col("window") == first, F.lit(False)).alias("stop"))
+
+
+def pending_small_first(counts: DataFrame, completed: DataFrame) -> DataFrame:
+    """Cities (city, n) that are not completed, those with few expected stores first, each with its place."""
+    left = counts.join(completed.select("city").distinct(), "city", "left_anti")
+    return left.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("n", "city"))).orderBy("place")  # a row a city
+
+
+def number_within(df: DataFrame, by: str, order: list[str], name: str = "seq") -> DataFrame:
+    """Adds 1, 2, ... in the given order within each ``by``, of which one may hold most rows.
+
+    Rows are cut into ranges of (by, order) and numbered within them.  What stands before a range's
+    part of a key is a table of at most one row a range and key.
+    """
+    parts = materialise(df.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = materialise(parts.groupBy("_part", by).agg(F.count("*").alias("_n")), "sizes")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("_part", by).orderBy(*order))
+    offsets = sizes.select(F.col("_part").alias("_p"), F.col(by).alias("_c"), before.alias("_before"))
+    joined = parts.withColumn("_rn", own).join(offsets.hint("merge"), (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_c")))
+    return joined.select(*df.columns, (F.col("_rn") + F.col("_before")).cast("long").alias(name))
 
 
 def number_by(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:

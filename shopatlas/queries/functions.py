@@ -65,6 +65,10 @@ def wgs_sql(source: str = "location") -> str:
     return f"{pick} 'WGS84' UNION ALL {_moved_sql(pick + chr(39) + 'GCJ02' + chr(39), '-')} UNION ALL {_moved_sql(_BD.format(pick + chr(39) + 'BD09' + chr(39)), '-')}"
 
 
+# Locations with their coordinates in WGS-84, in which all distances are measured.
+LOCATED = f"(SELECT l.* REPLACE (w.lng AS lng, w.lat AS lat) FROM location l JOIN ({wgs_sql()}) w ON w.id = l.id)"
+
+
 @BOOK.add(_ROUND.format(wgs_sql()))
 def to_wgs84(t):
     return geo.with_wgs84(t.location).select("id", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
@@ -141,7 +145,10 @@ def _or_null(x: str) -> str:
 _INFER = _or_null(f"regexp_replace(regexp_extract(address, '({_HAN}{{2,10}}?(?:市|地区|盟|州))', 1), '市$', '')")
 
 
-@BOOK.add(f"SELECT id, {_INFER} AS inferred, {_or_null(chr(114) + 'egexp_replace(trim(city), ' + chr(39) + '市$' + chr(39) + ', ' + chr(39) * 2 + ')')} AS hint FROM location")
+_HINT = _or_null("regexp_replace(trim(city), '市$', '')")
+
+
+@BOOK.add(f"SELECT id, {_INFER} AS inferred, {_HINT} AS hint FROM location")
 def infer_city(t):
     return t.location.select("id", text.city_of_address(F.col("address")).alias("inferred"), text.city_hint(F.col("city")).alias("hint"))
 
@@ -263,8 +270,8 @@ def scope_filter(t):
 
 def reason_sql(source: str = "location") -> str:
     texts = " OR ".join(_marked(x) for x in ("province", "city", "district", "address", "name"))
-    return f"""SELECT *, CASE WHEN coalesce(external_id, '') = '' THEN 'external_id is required' WHEN coalesce(address, '') = '' AND coalesce(name, '') = '' THEN 'name or address is required' WHEN lng IS NULL OR lat IS NULL THEN 'coordinates are required after enrichment'
-WHEN {texts} THEN 'location is outside mainland China scope' WHEN {OUT_BOX} THEN 'coordinates are outside mainland China scope' WHEN NOT (lng BETWEEN 73 AND 136 AND lat BETWEEN 3 AND 54) THEN 'coordinates are outside expected China bounds' END AS reason FROM {source}"""
+    return f"""SELECT *, CASE WHEN coalesce(external_id, '') = '' THEN 'no_id' WHEN coalesce(address, '') = '' AND coalesce(name, '') = '' THEN 'nameless' WHEN lng IS NULL OR lat IS NULL THEN 'unplaced'
+WHEN {texts} THEN 'text_out_of_scope' WHEN {OUT_BOX} THEN 'place_out_of_scope' WHEN NOT (lng BETWEEN 73 AND 136 AND lat BETWEEN 3 AND 54) THEN 'place_out_of_bounds' END AS reason FROM {source}"""
 
 
 @BOOK.add(f"SELECT id, reason FROM ({reason_sql()})")

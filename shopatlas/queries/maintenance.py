@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scope
+from ..functions import geo, scope
 from ..operators import reconcile, resolve, stats, tiling, upsert
 from .book import Book
-from .functions import IDENTITY, city_sql, name_sql
+from .functions import IDENTITY, LOCATED, city_sql, name_sql
 from .search import FULL, haversine_sql
 
 BOOK = Book()
@@ -17,7 +17,7 @@ def richer_wins(t):
     return resolve.richer_wins(t.location, order="id").select("id", "external_id")
 
 
-_NEAR = f"SELECT a.id AS a, b.id AS b FROM location a JOIN location b ON a.chain_id = b.chain_id AND a.cust = b.cust AND a.id <> b.id WHERE {haversine_sql('a.lng', 'a.lat', 'b.lng', 'b.lat')} <= 50"
+_NEAR = f"SELECT a.id AS a, b.id AS b FROM {LOCATED} a JOIN {LOCATED} b ON a.chain_id = b.chain_id AND a.cust = b.cust AND a.id <> b.id WHERE {haversine_sql('a.lng', 'a.lat', 'b.lng', 'b.lat')} <= 50"
 
 
 @BOOK.add(f"""WITH RECURSIVE e AS MATERIALIZED ({_NEAR}), r(a, b) AS (SELECT id, id FROM location UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
@@ -25,28 +25,29 @@ c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY 1),
 k AS (SELECT c.*, row_number() OVER (PARTITION BY cluster ORDER BY len(coalesce(address, '')) DESC, len(coalesce(district, '')) DESC, len(coalesce(city, '')) DESC, c.id) AS rn FROM c JOIN location l ON l.id = c.id)
 SELECT id, cluster, rn = 1 AS keep FROM k""")
 def dedupe_clusters(t):
-    return resolve.duplicate_clusters(t.location)
+    return resolve.duplicate_clusters(geo.with_wgs84(t.location))
 
 
 @BOOK.add()
 def dedupe_greedy(t):
     """The greedy mode depends on the order of its own steps, which SQL cannot replay."""
-    return resolve.duplicate_clusters(t.location, mode="greedy")
+    return resolve.duplicate_clusters(geo.with_wgs84(t.location), mode="greedy")
 
 
 @BOOK.add(f"""WITH RECURSIVE e AS MATERIALIZED ({_NEAR}), r(a, b) AS (SELECT id, id FROM location UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY 1), k AS (SELECT l.chain_id, row_number() OVER (PARTITION BY cluster ORDER BY len(coalesce(address, '')) DESC, len(coalesce(district, '')) DESC, len(coalesce(city, '')) DESC, c.id) AS rn FROM c JOIN location l ON l.id = c.id)
 SELECT chain_id, count(*) AS deleted FROM k WHERE rn > 1 GROUP BY 1""")
 def dedupe_deleted(t):
-    return resolve.deleted_by_chain(t.location, resolve.duplicate_clusters(t.location))
+    return resolve.deleted_by_chain(t.location, resolve.duplicate_clusters(geo.with_wgs84(t.location)))
 
 
 def _halves(t):
-    old, new = t.location.where("id % 4 = 0"), t.location.where("id % 4 <> 0").withColumn("ordinal", F.col("id"))
+    located = geo.with_wgs84(t.location)
+    old, new = located.where("id % 4 = 0"), located.where("id % 4 <> 0").withColumn("ordinal", F.col("id"))
     return old.withColumn("external_id", F.concat(F.lit("s"), F.col("id").cast("string"))), new.withColumn("external_id", F.concat(F.lit("b"), F.col("id").cast("string")))
 
 
-_POOL = f"SELECT id, chain_id, cust, lng, lat, CASE WHEN id % 4 = 0 THEN concat('s', CAST(id AS STRING)) ELSE concat('b', CAST(id AS STRING)) END AS e, CASE WHEN id % 4 = 0 THEN -1 ELSE id END AS o, {name_sql('name')} AS nn FROM location"
+_POOL = f"SELECT id, chain_id, cust, lng, lat, CASE WHEN id % 4 = 0 THEN concat('s', CAST(id AS STRING)) ELSE concat('b', CAST(id AS STRING)) END AS e, CASE WHEN id % 4 = 0 THEN -1 ELSE id END AS o, {name_sql('name')} AS nn FROM {LOCATED}"
 RESOLVED = f"""SELECT b.id, coalesce((SELECT min(struct_pack(o := p.o, e := p.e)).e FROM ({_POOL}) p WHERE p.chain_id = b.chain_id AND p.nn = b.nn AND p.cust = b.cust AND p.o <= b.o AND {haversine_sql('b.lng', 'b.lat', 'p.lng', 'p.lat')} <= 50), b.e) AS external_id FROM ({_POOL}) b WHERE b.o >= 0"""
 
 

@@ -7,6 +7,7 @@ from ..functions import geo, scope
 from ..operators import search as ops
 from ..operators import stats
 from .book import Book, Tables
+from .functions import LOCATED
 
 BOOK = Book()
 BOX = (100.0, 22.0, 118.0, 40.0)
@@ -103,11 +104,11 @@ def nearest_k(t):
 
 
 @BOOK.add(f"""SELECT a.id AS left_id, b.id AS right_id, round({haversine_sql('a.lng', 'a.lat', 'b.lng', 'b.lat')}, 3) AS distance_m
-FROM location a JOIN location b ON a.chain_id = b.chain_id AND a.cust = b.cust AND a.id < b.id WHERE {haversine_sql('a.lng', 'a.lat', 'b.lng', 'b.lat')} <= 50""")
+FROM {LOCATED} a JOIN {LOCATED} b ON a.chain_id = b.chain_id AND a.cust = b.cust AND a.id < b.id WHERE {haversine_sql('a.lng', 'a.lat', 'b.lng', 'b.lat')} <= 50""")
 def radius_pairs(t):
     from ..operators.resolve import same_name_pairs
 
-    return same_name_pairs(t.location).select("left_id", "right_id", F.round("distance_m", 3).alias("distance_m"))
+    return same_name_pairs(geo.with_wgs84(t.location)).select("left_id", "right_id", F.round("distance_m", 3).alias("distance_m"))
 
 
 @BOOK.add(f"SELECT {ROW} FROM ({FULL}) WHERE name ILIKE '%customer%1_店%' OR address ILIKE '%customer%1_店%' OR city ILIKE '%customer%1_店%'")
