@@ -25,6 +25,23 @@ def lattice(spark: SparkSession, west: float, south: float, east: float, north:
     return out.where(~bad)
 
 
+def lattice_of(boxes: DataFrame, step: float, holes: str = "none") -> DataFrame:
+    """As ``lattice``, for every row's own box (west, south, east, north); other columns stay."""
+    steps = lambda low, high: F.greatest(F.lit(0), F.floor((F.col(high) - F.col(low) - step / 2) / step + 1e-9) + 1)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))
+    grid = boxes.withColumn("i", F.explode(upto(steps("south", "north")))).withColumn("j", F.explode(upto(steps("west", "east"))))
+    out = grid.withColumns({"lat": F.col("south") + step / 2 + F.col("i") * step, "lng": F.col("west") + step / 2 + F.col("j") * step, "step": F.lit(step)})
+    bad = {"none": F.lit(False), "scope": scope.out_of_coordinates(F.col("lng"), F.col("lat")), "grid": scope.out_of_grid(F.col("lng"), F.col("lat"))}[holes]
+    return out.where(~bad)
+
+
+def chain_boxes(points: DataFrame, chain: str = "chain_id") -> DataFrame:
+    """The box about each chain's located stores, at whole degrees."""
+    located = points.where("lng is not null and lat is not null")
+    edge = lambda f, c: f(c).cast("double")
+    return located.groupBy(chain).agg(edge(F.floor, F.min("lng")).alias("west"), edge(F.floor, F.min("lat")).alias("south"), edge(F.ceil, F.max("lng")).alias("east"), edge(F.ceil, F.max("lat")).alias("north"))
+
+
 def km_lattice(centres: DataFrame, span_km: float, step_km: float) -> DataFrame:
     """Points about each centre (lat, lng): rows and columns step_km apart out to span_km."""
     steps = max(int(span_km / step_km), 1)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from .stats import last_wins
 
 
@@ -36,8 +37,8 @@ def seed_upsert(existing: DataFrame, seeds: DataFrame, key: str = "slug", change
 def rename_value(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
     """Rename a value, and add a row for it if neither was there (other columns null)."""
     renamed = df.withColumn(column, F.when(F.col(column) == old, new).otherwise(F.col(column)))
-    one = df.sparkSession.range(1).select(F.lit(new).alias(column))
-    missing = one.join(renamed.select(column), column, "left_anti")
+    there = renamed.agg(F.max(F.col(column).eqNullSafe(new)).alias("there"))
+    missing = there.where("not coalesce(there, false)").select(F.lit(new).alias(column))
     return renamed.unionByName(missing, allowMissingColumns=True)
 
 
@@ -67,3 +68,14 @@ def copy_with_skips(rows: DataFrame, chains: DataFrame) -> tuple[DataFrame, Data
     ids = chains.select(F.col("slug").alias("chain_slug"), F.col("id").alias("target_chain_id"))
     skipped = rows.join(ids, "chain_slug", "left_anti").groupBy("chain_slug").agg(F.count("*").alias("skipped"))
     return rows.join(ids, "chain_slug"), skipped
+
+
+def truncate_and_load(rows: DataFrame, chains: DataFrame, path: str) -> DataFrame:
+    """Replace the table at ``path`` by the rows of known chains; per unknown slug how many were skipped.
+
+    The new table is written beside the old one first, so ``rows`` may be read from it.
+    """
+    known, skipped = copy_with_skips(rows, chains)
+    report = materialise(skipped, "skipped")
+    materialise(known, "load").write.mode("overwrite").parquet(path)
+    return report

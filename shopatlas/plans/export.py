@@ -1,11 +1,13 @@
 """Exports: GeoJSON, catalogue files, manifests and partitioned snapshots."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators.search import feature
+from .storage import materialise
 
 
 def geojson_rows(locations: DataFrame) -> DataFrame:
@@ -33,11 +35,22 @@ def feature_collections(locations: DataFrame) -> DataFrame:
     return own.unionAll(end(0, '{"type":"FeatureCollection","features":[')).unionAll(end(2, "]}"))
 
 
-def write_collections(locations: DataFrame, path: str) -> None:
+def write_collections(locations: DataFrame, path: str, mode: str = "error") -> None:
     """A folder a chain; its files one after another, in the order of their names, are the chain's document."""
     order = ["chain_slug", "part", "id"]
     rows = feature_collections(locations).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.select("chain_slug", F.col("line").alias("value")).write.partitionBy("chain_slug").text(path)
+    rows.select("chain_slug", F.col("line").alias("value")).write.mode(mode).partitionBy("chain_slug").text(path)
+
+
+def write_release(locations: DataFrame, path: str) -> int:
+    """Collections in a folder named by the number of stores, and a manifest that names it; the number.
+
+    A reader takes the release that the manifest names, so a new one counts only once it is whole.
+    """
+    total = geojson_rows(locations).count()
+    write_collections(locations, f"{path}/release-{total}", "overwrite")
+    locations.sparkSession.createDataFrame([(total,)], "location_count long").write.mode("overwrite").json(f"{path}/manifest")
+    return total
 
 
 def source_features(shops: DataFrame) -> DataFrame:
@@ -57,6 +70,22 @@ def write_by(df: DataFrame, path: str, key: str) -> None:
     df.where(F.col(key).isNotNull()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def write_by_with_stats(df: DataFrame, path: str, key: str) -> DataFrame:
+    """As ``write_by``; of each partition written how many rows it has and had (null: it is new)."""
+    rows = materialise(df, "partitions")
+    stats = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    try:
+        had = df.sparkSession.read.parquet(path).groupBy(key).agg(F.count("*").alias("rows_before"))
+        stats = stats.join(had.hint("merge"), key, "left")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stats = stats.withColumn("rows_before", F.lit(None).cast("long"))
+    stats = materialise(stats, "partition-stats")
+    write_by(rows, path, key)
+    return stats
+
+
 def backup(df: DataFrame, path: str) -> DataFrame:
     """A snapshot of the rows in a folder of its own; returns its one-row count."""
     df.write.parquet(path)

@@ -80,10 +80,10 @@ def paged_first_seen(t):
 @BOOK.add("SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL")
 def charset_decode(t):
     """Texts to GB18030 or UTF-8 bytes and back (rows of the conversations whose text is not null)."""
-    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     own = t.conversations.where("text is not null")
-    raw = F.when(F.expr("turn % 2 = 0"), F.encode("text", "UTF-8")).otherwise(F.encode("text", "GB18030"))
-    return own.select("conv_id", "turn", readers.decode_page(raw).alias("text"))
+    with readers.java_charsets(t.spark):
+        raw = F.when(F.expr("turn % 2 = 0"), F.encode("text", "UTF-8")).otherwise(F.encode("text", "GB18030"))
+        return storage.materialise(own.select("conv_id", "turn", readers.decode_page(raw, "UTF-8").alias("text")), "decoded")
 
 
 @BOOK.add("SELECT external_id, name FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY coalesce(city, '~') DESC, id DESC) AS rn FROM location) WHERE rn = 1")
@@ -171,7 +171,7 @@ _SRC = "SELECT o_orderkey AS k, c_custkey AS c, c_name AS n, concat('中山路',
 
 def _records(t):
     """Records of every source's own shape, from orders and customers."""
-    s = t.spark.sql(_SRC.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), orders=t.orders, customer=t.customer)
+    s = storage.materialise(t.spark.sql(_SRC.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), orders=t.orders, customer=t.customer), "records")
     e = lambda *x: s.selectExpr(*x)
     poi = ("concat('p', k) AS id", "a AS address", "concat(x, ',', y) AS location", "p AS pname", "t AS cityname", "CAST(NULL AS STRING) AS adname")
     area = "named_struct('name', '天河区', 'fields', named_struct('parent', named_struct('name', CASE WHEN c % 2 = 0 THEN t END, 'fields', named_struct('parent', named_struct('name', '上海'))))) AS area"
@@ -186,7 +186,7 @@ def _records(t):
         "yonghui": e("concat(CASE k % 2 WHEN 0 THEN '永辉' ELSE '' END, n) AS name", "concat(t, a) AS address", "p AS province", "t AS city"),
         "family-mart": e("concat(CASE k % 3 WHEN 0 THEN 'FamilyMart' WHEN 1 THEN '全家' ELSE '' END, n) AS name", "a AS address", "p AS province", "t AS city"),
         "kfc": e("concat('k', k) AS storecode", "concat(CASE k % 2 WHEN 0 THEN 'kfc' ELSE '' END, n) AS storename", "a AS address", "t AS cityName", "CAST(NULL AS STRING) AS districtName", "CASE k % 3 WHEN 0 THEN '' ELSE CAST(x AS STRING) END AS lng", "CAST(x AS STRING) AS longitude", "CAST(y AS STRING) AS lat", "CAST(NULL AS STRING) AS latitude", "CASE k % 5 WHEN 0 THEN '710000' ELSE '440100' END AS gbCityCode"),
-        "kfc-list": e("n AS storeName", "a AS addressDetail", "t AS cityName", "CAST(NULL AS STRING) AS provinceName", "p AS pro", "CASE k % 2 WHEN 0 THEN concat('c', k) END AS storeCode", "CAST(x AS STRING) AS lng", "'-' AS lat"),
+        "kfc-list": e("n AS storeName", "a AS addressDetail", "t AS cityName", "CAST(NULL AS STRING) AS provinceName", "p AS province", "CASE k % 2 WHEN 0 THEN concat('c', k) END AS storeCode", "CAST(x AS STRING) AS lng", "'-' AS lat"),
         "aldi": e("k AS id", f"named_struct('storesName', n, 'storesAddress', concat(t, a), 'area', {area.removesuffix(' AS area')}) AS fields"),
         "costco": e("concat('co', k) AS external_id", "n AS name", "a AS address", "p AS province", "t AS city", "CAST(NULL AS STRING) AS district", "x AS longitude", "y AS latitude", "CASE k % 2 WHEN 0 THEN 'GCJ02' END AS coordinate_system"),
         "mcdonalds": e("k AS id", "n AS title", "CASE k % 2 WHEN 0 THEN a ELSE '' END AS address", "p AS province", "t AS city", "CAST(NULL AS STRING) AS district", "named_struct('lng', CASE WHEN k % 3 > 0 THEN x END, 'lat', CASE WHEN k % 3 > 0 THEN y END) AS location"),
@@ -216,7 +216,7 @@ _ALL = " UNION ALL ".join(
         _branch("yonghui", _IN, _HASH("yh", "n"), "concat('永辉', n)", "concat(t, a)", "p", "replace(t, '市', '')"),
         _branch("family-mart", _IN, _HASH("fm", "n"), "concat(CASE k % 3 WHEN 0 THEN 'FamilyMart' ELSE '全家' END, n)", province="p", city="t"),
         _branch("kfc", "k % 5 > 0", "concat('k', CAST(k AS STRING))", "concat(CASE k % 2 WHEN 0 THEN 'kfc' ELSE '肯德基' END, n)", city="t", lng="x", lat="y"),
-        _branch("kfc-list", external=f"CASE k % 2 WHEN 0 THEN concat('c', CAST(k AS STRING)) ELSE {_HASH('kfc', 'n')} END", province="p", city="t", lng="x"),
+        _branch("kfc-list", external=f"CASE k % 2 WHEN 0 THEN concat('kfc-c', CAST(k AS STRING)) ELSE {_HASH('kfc', 'n')} END", name="concat('肯德基', n)", province="p", city="t", lng="x"),
         _branch("aldi", external="concat('aldi-', CAST(k AS STRING))", address="concat(t, a)", province="'上海市'", city="t", district="'天河区'"),
         _branch("costco", external="concat('co', CAST(k AS STRING))", province="p", city="t", lng="x", lat="y", crs="CASE k % 2 WHEN 0 THEN 'GCJ02' ELSE 'WGS84' END"),
         _branch("mcdonalds", "k % 2 = 0 OR k % 3 > 0", "concat('mcd-', CAST(k AS STRING))", address="CASE k % 2 WHEN 0 THEN a END", province="p", city="t", lng="CASE WHEN k % 3 > 0 THEN x END", lat="CASE WHEN k % 3 > 0 THEN y END"),

@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scope, text
 
+# Columns that a record may bring along (with an underscore in front) through any normaliser.
+AUDIT = {"raw_payload": "string", "source_type": "string", "source_url": "string", "postal_code": "string", "last_seen_at": "timestamp"}
 CANONICAL = {"chain_slug": "string", "external_id": "string", "name": "string", "address": "string", "province": "string", "city": "string", "district": "string", "longitude": "double", "latitude": "double", "coordinate_system": "string"}
 Normaliser = Callable[[DataFrame], DataFrame]
 _registry: dict[str, Normaliser] = {}
@@ -39,10 +41,22 @@ def slugs() -> list[str]:
 
 
 def canonical(df: DataFrame, slug: str, **columns) -> DataFrame:
-    """Exactly the canonical columns; those not given are null."""
+    """Exactly the canonical columns, those not given as null, and the audit columns that the records carry."""
     columns["chain_slug"] = F.lit(slug)
     given = {k: (v if isinstance(v, Column) else F.col(v)) for k, v in columns.items()}
-    return df.select(*(given.get(k, F.lit(None)).cast(t).alias(k) for k, t in CANONICAL.items()))
+    carried = [F.col(f"_{k}").cast(t).alias(k) for k, t in AUDIT.items() if f"_{k}" in df.columns]
+    return df.select(*(given.get(k, F.lit(None)).cast(t).alias(k) for k, t in CANONICAL.items()), *carried)
+
+
+def audited(df: DataFrame, source_type: str, source_url: str | None = None, seen_at: Column | None = None, postal_code: str | None = None) -> DataFrame:
+    """Records that carry the audit columns: the whole source record as JSON, where and when it was seen."""
+    own = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return df.withColumns({"_raw_payload": own, "_source_type": F.lit(source_type), "_source_url": F.lit(source_url), "_last_seen_at": F.current_timestamp() if seen_at is None else seen_at, "_postal_code": F.col(postal_code) if postal_code else F.lit(None)})
+
+
+def raw_row(stored: DataFrame, location_id: int) -> DataFrame:
+    """The stored source record of one location."""
+    return stored.where(F.col("id") == location_id).select("id", "external_id", "source_type", "source_url", "raw_payload")
 
 
 def normalise(sources: dict[str, DataFrame]) -> DataFrame:
@@ -132,18 +146,32 @@ def family_mart(df: DataFrame) -> DataFrame:
 
 @register("kfc")
 def kfc_portal(df: DataFrame) -> DataFrame:
-    """Restaurant rows of the requested city, outside the excluded city codes."""
+    """Rows outside the excluded city codes; where they say so, restaurants of the requested city only."""
     out = F.coalesce(F.col("gbCityCode").rlike("^(710000|810000|820000)"), F.lit(False))
     own = df.where(there("storecode", "storename", "address") & ~out)
+    if {"typeCode", "requestCityCode"} <= set(df.columns):
+        own = own.where(scope.is_portal_restaurant(F.col("typeCode"), F.col("gbCityCode"), F.col("requestCityCode")))
     return canonical(own, "kfc", external_id="storecode", name=text.prefixed(F.col("storename"), "肯德基", "KFC"), address="address", city="cityName", district="districtName", longitude=text.first_number(F.col("lng"), F.col("longitude")), latitude=text.first_number(F.col("lat"), F.col("latitude")), coordinate_system=F.lit("GCJ02"))
 
 
+def _first(df: DataFrame, *names: str) -> Column:
+    """The first of these columns that is there and neither null nor blank."""
+    return F.coalesce(*(text.blank_to_null(F.col(n).cast("string")) for n in names if n in df.columns), F.lit(None).cast("string"))
+
+
+def _number(df: DataFrame, *names: str) -> Column:
+    found = [F.col(n) for n in names if n in df.columns]
+    return text.first_number(*found) if found else F.lit(None).cast("double")
+
+
 @register("kfc-list")
 def kfc_list(df: DataFrame) -> DataFrame:
-    """Older rows: the id is the code, or else a hash of the content."""
-    province = F.coalesce(text.blank_to_null(F.col("provinceName")), F.col("pro"))
-    key = text.content_id("kfc", province, F.col("cityName"), F.lit(None).cast("string"), F.col("storeName"), F.col("addressDetail"))
-    return canonical(df.where(there("storeName", "addressDetail")), "kfc-list", external_id=F.coalesce(text.blank_to_null(F.col("storeCode")), key), name="storeName", address="addressDetail", province=province, city="cityName", longitude=text.first_number(F.col("lng")), latitude=text.first_number(F.col("lat")), coordinate_system=F.lit("GCJ02"))
+    """Older rows, under any of their fields' names: the id is the code, or else a hash of the content."""
+    name, address = text.stripped(_first(df, "storeName", "name")), text.stripped(_first(df, "addressDetail", "address"))
+    code, province, city, district = _first(df, "storeCode", "storeId", "code"), _first(df, "provinceName", "province"), _first(df, "cityName", "city"), _first(df, "districtName", "district")
+    own = df.where((F.coalesce(name, F.lit("")) != "") & (F.coalesce(address, F.lit("")) != ""))
+    key = F.coalesce(F.concat(F.lit("kfc-"), code), text.content_id("kfc", province, city, district, name, address))
+    return canonical(own, "kfc-list", external_id=key, name=text.prefixed(name, "肯德基", "KFC"), address=address, province=province, city=city, district=district, longitude=_number(df, "lng", "lon", "longitude", "mapLng", "x"), latitude=_number(df, "lat", "latitude", "mapLat", "y"), coordinate_system=F.lit("GCJ02"))
 
 
 @register("aldi")
@@ -159,6 +187,23 @@ def opening_hours(start: Column, end: Column) -> Column:
     return F.concat(F.substring(start, 1, 5), F.lit("-"), F.substring(end, 1, 5))
 
 
+# The stores of the inline list (id, name, address, province, city, district, longitude, latitude, coordinate system).
+STATIC_STORES = [
+    ("costco-shanghai-minhang", "开市客上海闵行会员店", "上海市闵行区朱建路235号", "上海市", "上海市", "闵行区", None, None, None),
+    ("costco-shanghai-pudong", "开市客上海浦东会员店", "上海市浦东新区康新公路5178号", "上海市", "上海市", "浦东新区", None, None, None),
+    ("costco-suzhou", "开市客苏州会员店", "江苏省苏州市高新区城际路9号", "江苏省", "苏州市", "虎丘区", None, None, None),
+    ("costco-ningbo", "开市客宁波会员店", "浙江省宁波市鄞州区首南东路1998号", "浙江省", "宁波市", "鄞州区", None, None, None),
+    ("costco-hangzhou", "开市客杭州会员店", "浙江省杭州市萧山区鸿达路63号", "浙江省", "杭州市", "萧山区", None, None, None),
+    ("costco-shenzhen", "开市客深圳会员店", "广东省深圳市龙华区民治街道龙塘社区民达路68号", "广东省", "深圳市", "龙华区", 114.013758, 22.626941, "GCJ02"),
+    ("costco-nanjing", "开市客南京会员店", "江苏省南京市江宁区吉印大道3788号", "江苏省", "南京市", "江宁区", None, None, None),
+]
+
+
+def static_stores(spark: SparkSession) -> DataFrame:
+    """The inline list as source records."""
+    return spark.createDataFrame(STATIC_STORES, "external_id string, name string, address string, province string, city string, district string, longitude double, latitude double, coordinate_system string")
+
+
 @register("costco")
 def costco(df: DataFrame) -> DataFrame:
     """A fixed list; without coordinates where it has none."""

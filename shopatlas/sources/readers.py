@@ -1,7 +1,10 @@
 """Readers: landed JSON, HTML pages, GeoJSON and snapshots to rows."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +44,43 @@ def cards(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFra
     return items.select("page", "pos", text.match(F.col("item"), r"""(?is)<a[^>]*href=["']([^"']*)""").alias("href"), plain(F.col("item")).alias("label"))
 
 
+def disclosure_rows(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """page, pos, city, name of tables whose first two cells are a city and a store, each behind its label."""
+    rows = table_rows(pages, html, key).where("size(cells) >= 2")
+    cell = lambda k, label: text.blank_to_null(text.strip_label(F.get("cells", F.lit(k)), label))
+    return rows.select("page", "pos", cell(0, "城市").alias("city"), cell(1, "门店名称").alias("name")).where("city is not null and name is not null")
+
+
 def labelled(lines: Column, label: str) -> Column:
-    """What follows ``label`` in the first line that starts with it."""
+    """What follows ``label`` (and a colon) in the first line that starts with it."""
     hit = F.get(F.filter(lines, lambda x: x.startswith(label)), F.lit(0))
-    return text.blank_to_null(text.stripped(F.substring(hit, len(label) + 1, 1 << 20)))
+    return text.blank_to_null(text.stripped(F.regexp_replace(F.substring(hit, len(label) + 1, 1 << 20), "^：", "")))
+
+
+# The labels of a store card's lines.
+CARD_LABELS = ("营业时间", "门店地址", "服务电话", "团购电话", "了解门店")
+
+
+def store_cards(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """page, pos, store_id, display_name, address, hours, phone of ``div.store-item`` cards.
+
+    The id comes from the card's link, the rest from its lines; a card without id or address is left
+    out.  A card reaches to the next one.
+    """
+    blocks = F.slice(F.split(F.col(html), r"""(?i)<div[^>]*class=["'][^"']*\bstore-item\b[^>]*>"""), 2, 1 << 30)
+    cards_ = pages.select(F.col(key).alias("page"), F.posexplode(blocks).alias("pos", "card"))
+    lines = F.filter(F.transform(F.split(F.regexp_replace("card", TAG, "\n"), "\n"), text.stripped), lambda x: x != "")
+    own = cards_.withColumn("lines", lines)
+    unlabelled = lambda x: x.contains("-") & ~reduce(lambda a, b: a | b, (x.startswith(k) for k in CARD_LABELS))
+    return own.select(
+        "page",
+        "pos",
+        text.match(F.col("card"), r"""(?i)<a[^>]*href=["'][^"']*storeId=(\d+)""").alias("store_id"),
+        F.get(F.filter("lines", unlabelled), F.lit(0)).alias("display_name"),
+        labelled(F.col("lines"), "门店地址").alias("address"),
+        labelled(F.col("lines"), "营业时间").alias("hours"),
+        labelled(F.col("lines"), "服务电话").alias("phone"),
+    ).where("store_id is not null and address is not null")
 
 
 def js_objects(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
@@ -60,19 +96,24 @@ def largest_page(html: Column, below: int = 10_000) -> Column:
     return F.array_max(F.filter(numbers, lambda x: x < below))
 
 
+_BRACE = re.compile("[{}]")
+
+
 def balanced(html: str, opening: str) -> list[str]:
     """The {...} that follows each occurrence of ``opening``, by counting braces."""
     out, at = [], html.find(opening)
     while at >= 0:
-        start, depth, k = html.find("{", at + len(opening)), 0, 0
-        if start < 0:
-            break
-        for k in range(start, len(html)):
-            depth += {"{": 1, "}": -1}.get(html[k], 0)
-            if depth == 0:
-                out.append(html[start : k + 1])
+        start, depth, end = -1, 0, at + len(opening)
+        for m in _BRACE.finditer(html, end):
+            start = m.start() if start < 0 and m[0] == "{" else start
+            depth += (1 if m[0] == "{" else -1) if start >= 0 else 0
+            if start >= 0 and depth == 0:
+                end = m.end()
+                out.append(html[start:end])
                 break
-        at = html.find(opening, k + 1)
+        if start < 0 or depth:
+            break
+        at = html.find(opening, end)
     return out
 
 
@@ -92,18 +133,45 @@ def embedded_json(pages: DataFrame, opening: str = "data_json:'", html: str = "h
     return pages.where(F.col(html).contains(opening)).select(F.col(key).cast("long"), html).mapInArrow(cut, "page long, pos int, json string")
 
 
+@contextmanager
+def java_charsets(spark: SparkSession):
+    """GB18030 for the columns that are made inside, and U+FFFD for what can't be decoded; afterwards the session is as it was."""
+    names = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "true")
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def decode_page(content: Column, first: str = "GB18030") -> Column:
-    """Text of page bytes: the first charset unless that fails, else the other of GB18030 and UTF-8.
+    """Text of page bytes: by the first of GB18030 and UTF-8 unless that fails, else by the other.
 
-    GB18030 needs spark.sql.legacy.javaCharsets; bytes valid as UTF-8 are read as such first.
+    Some bytes are valid in both, so the order is the source's.  A charset fails where the text does not
+    give the bytes back.  Use it in DataFrames made inside ``java_charsets``.
     """
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, first))
+    gb = F.decode(content, "GB18030")
+    is_gb, is_utf8 = F.encode(gb, "GB18030") == content, F.is_valid_utf8(content.cast("string"))
+    utf8 = F.decode(content, "UTF-8")
+    if first == "GB18030":
+        return F.when(is_gb, gb).otherwise(utf8)
+    return F.when(is_utf8 | ~is_gb, utf8).otherwise(gb)
 
 
 def route_status(responses: DataFrame, column: str = "body", quota: int = 121) -> DataFrame:
-    """Adds route: quota, transient (neither 0 nor 200), or ok."""
-    status = F.get_json_object(column, "$.message.status").try_cast("int")
-    return responses.withColumn("route", F.when(status == quota, "quota").when(~F.coalesce(status, F.lit(0)).isin(0, 200), "transient").otherwise("ok"))
+    """Adds route: quota, transient (a status that is neither 0 nor 200, or no number), or ok (no status too)."""
+    status = F.get_json_object(column, "$.message.status")
+    return responses.withColumn("route", F.when(status == str(quota), "quota").when(~F.coalesce(status, F.lit("0")).isin("0", "200"), "transient").otherwise("ok"))
+
+
+def ok_rows(responses: DataFrame, column: str = "body", key: str = "id") -> DataFrame:
+    """key, pos, record (JSON) of the objects in ``data`` of responses on the ok route."""
+    listed = F.from_json(F.get_json_object(column, "$.data"), "array<string>")
+    rows = route_status(responses, column).where("route = 'ok'").select(key, F.posexplode(listed).alias("pos", "record"))
+    return rows.where(F.ltrim("record").startswith("{"))
 
 
 def two_tables(payloads: DataFrame, column: str = "body", key: str = "id") -> DataFrame:
@@ -129,6 +197,30 @@ def merge_files(rows: DataFrame, key: str, file: str = "file") -> DataFrame:
     return last_wins(rows, [key], [file])
 
 
+def read_city_files(spark: SparkSession, path: str, shape: str, key: str = "external_id") -> DataFrame:
+    """Stores of several JSON files; of an id the store of the later file (by path) counts.
+
+    A file's lines are objects whose ``stores`` map ids to stores of the given shape.
+    """
+    rows = spark.read.schema(f"stores map<string, struct<{shape}>>").json(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.explode("stores").alias(key, "store"))
+    return last_wins(rows, [key], ["file"]).select(key, "store.*")
+
+
+def read_saved(spark: SparkSession, path: str, version: str, shape: str) -> DataFrame:
+    """Rows saved as JSON lines (adapter_version, store); none of them where they were saved by another version."""
+    return versioned(spark.read.schema(f"adapter_version string, store struct<{shape}>").json(path), version).select("store.*")
+
+
+def read_release(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the release that the manifest names; the chain is the folder's."""
+    total = spark.read.schema("location_count long").json(f"{path}/manifest").first()
+    if total is None:
+        raise ValueError(f"no manifest in {path}")
+    rows = read_geojson_lines(spark, f"{path}/release-{total[0]}", file=True)
+    chain = F.url_decode(F.regexp_extract("file", "/chain_slug=([^/]*)/", 1))
+    return rows.drop("chain_slug").withColumn("chain_slug", chain).drop("file")
+
+
 def versioned(df: DataFrame, version: str) -> DataFrame:
     """The snapshot's rows if written by this version, else none."""
     return df.where(F.col("adapter_version") == version)
@@ -175,12 +267,13 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("f.id").alias("id"), F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), "f.properties.*")
 
 
-def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of feature collections with a feature a line, whatever number of files they are in."""
+def read_geojson_lines(spark: SparkSession, path: str, file: bool = False) -> DataFrame:
+    """Rows of feature collections with a feature a line, whatever number of files they are in; with ``file`` their file's path."""
     shape = "id long, geometry struct<coordinates:array<double>>, properties struct<name:string, chain_slug:string, category_slug:string, address:string, city:string>"
     line = F.regexp_replace("value", r"^\s*,|,\s*$", "")
-    f = spark.read.text(path).select(line.alias("line")).where(F.col("line").startswith('{"type":"Feature",')).select(F.from_json("line", shape).alias("f"))
-    return f.select(F.col("f.id").alias("id"), F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), "f.properties.*")
+    more = [F.col("_metadata.file_path").alias("file")] if file else []
+    f = spark.read.text(path).select(line.alias("line"), *more).where(F.col("line").startswith('{"type":"Feature",')).select(F.from_json("line", shape).alias("f"), *(["file"] if file else []))
+    return f.select(F.col("f.id").alias("id"), F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), "f.properties.*", *(["file"] if file else []))
 
 
 def read_catalog(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
