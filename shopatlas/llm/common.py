@@ -5,6 +5,7 @@ batch at a time.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -117,7 +118,7 @@ def ragged_arange(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64) - np.repeat(ends - counts, counts)
 
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -126,6 +127,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Let the system have the memory that this process has freed: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library can
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in runs of about ``most`` bytes of text, which bounds a task's memory; a longer text stands alone."""
     for batch in batches:
@@ -139,6 +147,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_B
             hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
 
 
 def arrow_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

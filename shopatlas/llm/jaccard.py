@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..operators.components import connected_components
-from .common import bloom_hits, bloom_of, bound_batches, hash_partitions, hot_keys, lower_ascii, materialise, mix64, ragged_arange, salted_join, slices, text_bytes
+from .common import bloom_hits, bloom_of, bound_batches, give_back, hash_partitions, hot_keys, lower_ascii, materialise, mix64, ragged_arange, salted_join, slices, text_bytes
 
 WORDS = 5
 CELLS, ROWS = 1 << 16, 2
@@ -105,15 +105,20 @@ def exact_shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) ->
     text = np.repeat(np.arange(len(count)), size)
     at = np.repeat(bounds[:-1], size) + ragged_arange(size)
     # the words of a shingle; places behind a short text hold -1
-    place = at[:, None] + np.arange(words)
-    table = np.where(place < bounds[1:][text][:, None], np.append(index, -1)[np.minimum(place, len(index))], -1)
+    padded, last = np.append(index, np.full(words, -1)), bounds[1:][text]
+    columns = [padded[at + k] for k in range(words)]
+    short = np.flatnonzero(at + words > last)
+    for k in range(words):
+        columns[k][short] = np.where(at[short] + k < last[short], columns[k][short], -1)
     with np.errstate(over="ignore"):
-        rough = mix64((table.astype(np.uint64) * (mix64(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1))).sum(1))
-    order = np.argsort(rough, kind="stable")
-    near = rough[order][1:] == rough[order][:-1]
-    same = (table[order][1:] == table[order][:-1]).all(1)
-    if (near & ~same).any():  # two different shingles have one rough number
-        return text, np.unique(table, axis=0, return_inverse=True)[1].reshape(-1)
+        weights = mix64(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+        rough = mix64(sum(c.astype(np.uint64) * w for c, w in zip(columns, weights, strict=True)))
+    order = np.argsort(rough)
+    sorted_ = rough[order]
+    near = sorted_[1:] == sorted_[:-1]
+    a, b = order[1:][near], order[:-1][near]
+    if any((c[a] != c[b]).any() for c in columns):  # two different shingles have one rough number
+        return text, np.unique(np.stack(columns, 1), axis=0, return_inverse=True)[1].reshape(-1)
     number = np.empty(len(order), np.int64)
     number[order] = np.concatenate([np.zeros(min(1, len(order)), np.int64), np.cumsum(~near)])
     return text, number
@@ -361,6 +366,7 @@ def _pairs(parts: int):
                 held.append(columns)
         if held:
             yield from _part_pairs(now, held, parts)
+        give_back()
 
     return run
 
@@ -515,11 +521,11 @@ def _verify(words: int, threshold: tuple[int, int]):
                 n = batch.num_rows
                 both = pa.chunked_array([batch.column(2), batch.column(3)])
                 text, number = exact_shingles(*text_bytes(both), words)
-                text, number = np.unique(np.stack([text, number], 1), axis=0).T
-                size = np.bincount(text, minlength=2 * n)
-                order = np.lexsort((number, text % n))
-                same = (text[order][1:] % n == text[order][:-1] % n) & (number[order][1:] == number[order][:-1])
-                common = np.bincount(text[order][1:][same] % n, minlength=n)
+                kinds = int(number.max(initial=0)) + 1
+                keys = np.unique(text * kinds + number)
+                size = np.bincount(keys // kinds, minlength=2 * n)
+                cut = int(size[:n].sum())  # the first texts' keys, then the second ones'
+                common = np.bincount(np.intersect1d(keys[:cut], keys[cut:] - n * kinds, assume_unique=True) // kinds, minlength=n)
                 mask = pa.array((common > 0) & (den * common >= num * (size[:n] + size[n:] - common)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
