@@ -11,7 +11,7 @@ from ..streaming import ingest as streaming
 from .book import Book
 from .functions import _moved_sql, city_sql, wgs_sql
 from .search import _EXPORT, FULL, _full, haversine_sql
-from .sources import _SRC, _records
+from .sources import _SCRIPT, _SRC, _records
 
 BOOK = Book()
 
@@ -298,3 +298,12 @@ def stored_as_source_all(t):
 def point_geojson_all(t):
     own = t.location.select("id", F.from_json(geo.point_geojson(F.col("lng"), F.col("lat")), "type string, coordinates array<double>").alias("p"))
     return own.select("id", F.col("p.type").alias("type"), F.get("p.coordinates", F.lit(0)).alias("x"))
+
+
+@BOOK.add("SELECT event_id AS page, 0::BIGINT AS pos, event_id AS id, 2::BIGINT AS deep, true AS even FROM events UNION ALL SELECT event_id, 1, -1, NULL, true FROM events WHERE event_id % 3 = 0")
+def embedded_json_parts(t):
+    """Embedded objects cut out whole: what lies deepest in them, and that their braces are as many on either side."""
+    pages = t.events.select(F.col("event_id").alias("page_id"), F.expr(_SCRIPT).alias("html"))
+    found = readers.embedded_json(pages)
+    braces = lambda c: F.length("json") - F.length(F.replace("json", F.lit(c), F.lit("")))
+    return found.select("page", F.col("pos").cast("long").alias("pos"), F.get_json_object("json", "$.id").cast("long").alias("id"), F.get_json_object("json", "$.in.a[1].b").cast("long").alias("deep"), (braces("{") == braces("}")).alias("even"))
