@@ -5,12 +5,14 @@ piece is longest, then the one before it, and so on.  A character that is no pie
 unknown score and becomes byte pieces.  Scores are added in double precision, exact for the whole
 numbers of a rank-scored model.
 
-Short texts: two characters that stand side by side in no piece are cut apart on every path, so a
-text falls into words there, and each distinct word is segmented once per worker.  Giant texts are cut into chunks.  A path's state at
-a chunk's edge is how far its next cut lies behind it.  Every chunk gives a transfer matrix from the
-states at its start to those at its end; the matrices' max-plus products give every chunk's entry
-scores; chunks then say from which entry state each exit state is reached; composing these from the
-right gives each chunk its exit state, and all chunks are backtraced independently.
+Two characters that stand side by side in no piece are cut apart on every path, so a text falls into
+words there, and each distinct word is segmented once per worker.  Giant texts are cut into chunks.
+A path's state at a chunk's edge is how far its next cut lies behind it.  Every chunk gives a transfer
+matrix from the states at its start to those at its end; the matrices' max-plus products give every
+chunk's entry scores; chunks then say from which entry state each exit state is reached and keep how
+long the best last piece before each cut is; composing the states from the right gives each chunk its
+exit state, and all chunks are backtraced independently.  Where a chunk has certain cuts, only what lies
+before the first and behind the last of them depends on the states.
 """
 from __future__ import annotations
 
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordTable
-from .common import materialise, slices, text_bytes
+from .common import hash_partitions, materialise, slices, text_bytes
 
 GIANT, CHUNK = 65536, 16384
+CHUNKS_A_TASK = 4
+MOST_WORDS = 500_000  # distinct words that a worker remembers
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: what an unknown character costs beyond the lowest score
 
@@ -38,7 +42,13 @@ class PieceModel:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        from sentencepiece import sentencepiece_model_pb2
+
         library = SentencePieceProcessor(model_file=path)
+        proto = sentencepiece_model_pb2.ModelProto.FromString(library.serialized_model_proto())
+        rules = proto.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that put a space in front and otherwise leave texts as they are can be used")
         n = library.get_piece_size()
         self.pieces = [library.id_to_piece(i) for i in range(n)]
         special = [library.is_control(i) or library.is_unknown(i) or library.is_unused(i) or library.is_byte(i) for i in range(n)]
@@ -47,7 +57,7 @@ class PieceModel:
         self.unknown = min(x for x, _ in self.scores.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.scores))
         by_word = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
-        inside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        inside = self.inside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         # where two bytes may be cut apart: no piece holds the two characters side by side
         self.apart = np.zeros((256, 256), bool)
         mark = lambda c: SPACE if c == 32 else chr(c)
@@ -56,20 +66,17 @@ class PieceModel:
                 self.apart[x, y] = mark(x) + mark(y) not in inside
         self.apart[128:, 32] = by_word
         table = [b"" if library.is_control(i) or library.is_unknown(i) else bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.known: dict[str, tuple[float, list[int]]] = {}
         self.size = np.array([len(x) for x in table])
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(table), np.uint8)
 
-    def ending_at(self, text: str, t: int, least: int = 0) -> list[tuple[int, float]]:
-        """(start, score) of the pieces that end at ``t`` and start at ``least`` or later, longest first."""
-        found = []
-        get = self.scores.get
-        for a in range(max(least, t - self.longest), t):
-            if (hit := get(text[a:t])) is not None:
-                found.append((a, hit[0]))
-        if (not found or found[-1][0] != t - 1) and t - 1 >= least:
-            found.append((t - 1, self.unknown))
-        return found
+    def certain_cuts(self, text: str) -> np.ndarray:
+        """Places between two characters that no piece holds side by side."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pairs, of = np.unique((points[:-1] << np.uint64(32)) | points[1:], return_inverse=True)
+        apart = np.array([chr(x >> 32) + chr(x & 0xFFFFFFFF) not in self.inside for x in pairs.tolist()], bool)
+        return 1 + np.flatnonzero(apart[of.reshape(-1)]) if len(pairs) else np.zeros(0, np.int64)
 
     def ids(self, text: str, cuts: list[int]) -> list[int]:
         """Ids of the pieces between successive cuts."""
@@ -83,54 +90,104 @@ class PieceModel:
                 out.append(hit[1])
         return out
 
-    def forward(self, text: str, end: int, entry: np.ndarray) -> tuple[list[float], list[int]]:
-        """Best score of every cut, and the cut before it (-1: entered from the chunk before).
+    def forward(self, text: str, end: int, entry: list[float]) -> tuple[list[float], list[int]]:
+        """Best score of every cut, and the length of the piece before it (0: entered from the chunk before).
 
         Cuts at ``end`` and behind are reached by pieces that start before ``end`` only.
         """
-        n = min(len(text), end + self.longest - 1)
-        best, back = [-np.inf] * (n + 1), [-1] * (n + 1)
-        for t in range(min(len(entry), n + 1)):
-            best[t] = float(entry[t])
-        for t in range(1, n + 1):
-            for a, score in self.ending_at(text, t):
-                if a < end and best[a] + score > best[t]:
-                    best[t], back[t] = best[a] + score, a
-        return best, back
-
-    def segment(self, text: str) -> list[int]:
-        """Ids of a text (with its space marks in place)."""
         get, longest, unknown = self.scores.get, self.longest, self.unknown
-        n = len(text)
-        best, back = [0.0] * (n + 1), [0] * (n + 1)
+        n = min(len(text), end + longest - 1)
+        best, back = [-np.inf] * (n + 1), [0] * (n + 1)
+        best[: len(entry)] = entry[: n + 1]
         for t in range(1, n + 1):
-            top, hit = -np.inf, None
-            for a in range(t - longest if t > longest else 0, t):  # longest pieces first: they win ties
+            top, hit = best[t], None
+            for a in range(t - longest if t > longest else 0, min(t, end)):  # longest pieces first: they win ties
                 if (hit := get(text[a:t])) is not None and (v := best[a] + hit[0]) > top:
-                    top, back[t] = v, a
-            if hit is None and (v := best[t - 1] + unknown) > top:
-                top, back[t] = v, t - 1
+                    top, back[t] = v, t - a
+            if hit is None and t <= end and (v := best[t - 1] + unknown) > top:
+                top, back[t] = v, 1
             best[t] = top
-        cuts = [n]
-        while cuts[-1] > 0:
-            cuts.append(back[cuts[-1]])
-        return self.ids(text, cuts[::-1])
+        return best, back
+
+    def into(self, text: str) -> np.ndarray:
+        """Best score from each place to the end of the text."""
+        n = len(text)
+        best = np.full(n + 1, -np.inf)
+        best[n] = 0
+        for a in range(n - 1, -1, -1):
+            for t in range(a + 1, min(n, a + self.longest) + 1):
+                hit = self.scores.get(text[a:t])
+                if hit is not None or t == a + 1:
+                    best[a] = max(best[a], best[t] + (hit[0] if hit else self.unknown))
+        return best
+
+    @staticmethod
+    def trace(back: list[int], t: int) -> list[int]:
+        """Cuts up to ``t``, from the one that was entered."""
+        cuts = [t]
+        while back[cuts[-1]]:
+            cuts.append(cuts[-1] - back[cuts[-1]])
+        return cuts[::-1]
+
+    def segment(self, text: str) -> tuple[float, list[int]]:
+        """Score and ids of a text (with its space marks in place)."""
+        best, back = self.forward(text, len(text), [0.0])
+        return best[len(text)], self.ids(text, self.trace(back, len(text)))
+
+    def words(self, text: str, cuts: list[int]) -> list[tuple[float, list[int]]]:
+        """Score and ids of what lies between successive certain cuts; each word is segmented once."""
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            word = text[a:b]
+            if (hit := self.known.get(word)) is None:
+                if len(self.known) >= MOST_WORDS:
+                    self.known.clear()
+                hit = self.known[word] = self.segment(word)
+            out.append(hit)
+        return out
 
     def matrix(self, text: str, end: int) -> np.ndarray:
         """Transfer matrix of a chunk: best score from entry state i to exit state j."""
         k = self.longest
+        cuts = self.certain_cuts(text[: end + 1]).tolist()
+        if cuts:
+            enter = np.full(k, -np.inf)
+            enter[: cuts[0] + 1] = self.into(text[: cuts[0]])[:k]
+            leave = np.full(k, -np.inf)
+            tail = self.forward(text[cuts[-1] :], end - cuts[-1], [0.0])[0][end - cuts[-1] :]
+            leave[: len(tail)] = tail
+            return enter[:, None] + sum(x for x, _ in self.words(text, cuts)) + leave
         n = min(len(text), end + k - 1)
         best = np.full((n + 1, k), -np.inf)
-        for i in range(min(k, n + 1)):
-            best[i, i] = 0
+        best[np.arange(min(k, n + 1)), np.arange(min(k, n + 1))] = 0
         for t in range(1, n + 1):
-            for a, score in self.ending_at(text, t):
-                if a < end:
-                    np.maximum(best[t], best[a] + score, out=best[t])
+            for a in range(max(0, t - k), min(t, end)):
+                hit = self.scores.get(text[a:t])
+                if hit is not None or a == t - 1:
+                    np.maximum(best[t], best[a] + (hit[0] if hit else self.unknown), out=best[t])
         out = np.full((k, k), -np.inf)
         out[:, : n - end + 1] = best[end:].T
         return out
 
+    def chunk(self, text: str, end: int, entry: list[float]) -> tuple[list[int], list[int], str, list[int], int]:
+        """What a chunk's entry scores decide.
+
+        The entry state that each exit state comes from, the ids up to the last certain cut, the
+        text behind it (all of it without such a cut), the piece lengths there, and the chunk's end in it.
+        """
+        cuts = self.certain_cuts(text[: end + 1]).tolist()
+        if not cuts:
+            best, back = self.forward(text, end, entry)
+            comes = [0 if t >= len(best) or best[t] == -np.inf else self.trace(back, t)[0] for t in range(end, end + self.longest)]
+            return comes, [], text, back, end
+        _, back = self.forward(text[: cuts[0]], cuts[0], entry[: cuts[0] + 1])
+        head = self.trace(back, cuts[0])
+        ids = self.ids(text, head)
+        for _, own in self.words(text, cuts):
+            ids += own
+        tail = text[cuts[-1] :]
+        return [head[0]] * self.longest, ids, tail, self.forward(tail, end - cuts[-1], [0.0])[1], end - cuts[-1]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of the ids; the space that encoding put in front goes."""
         ids = np.asarray(ids, np.int64)
@@ -148,10 +205,10 @@ class PieceTable(WordTable):
         self.model = PieceModel(path)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        return [self.model.segment(w.decode().replace(" ", SPACE)) for w in words]
+        return [self.model.segment(w.decode().replace(" ", SPACE))[1] for w in words]
 
     def encode_whole(self, text: str) -> list[int]:
-        return self.model.segment(text.replace(" ", SPACE))
+        return self.model.segment(text.replace(" ", SPACE))[1]
 
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.zeros(len(data), bool)
@@ -250,24 +307,17 @@ def _entries(table: pa.Table) -> pa.Table:
     return pa.table({"row": table.column("row"), "k": table.column("k"), "entry": pa.array([e.tobytes() for e in entry], pa.binary())})
 
 
-def _back_map(model: PieceModel, text: str, size: int, entry: np.ndarray) -> tuple[list[int], list[int]]:
-    """The entry state that each exit state comes from, and every cut's predecessor."""
-    _, back = model.forward(text, size, entry)
-    comes = []
-    for j in range(model.longest):
-        t = size + j
-        while 0 <= t < len(back) and back[t] >= 0:
-            t = back[t]
-        comes.append(t if t < model.longest and t < size else 0)
-    return comes, back
+_INSIDE = "row long, k long, doc_id long, text_sha256 string, comes array<long>, ids binary, tail string, back binary, size long"
 
 
-def _comes_from(path: str):
+def _inside(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_table(path).model
         for batch in batches:
-            out = [_back_map(model, t, n, np.frombuffer(e, np.float64))[0] for t, n, e in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["row", "k", "comes"])
+            rows = [model.chunk(t, n, np.frombuffer(e, np.float64).tolist()) for t, n, e in zip(*(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True)]
+            comes, ids, tail, back, size = zip(*rows, strict=True) if rows else [()] * 5
+            packed = [pa.array([np.array(x, "<i4").tobytes() for x in y], pa.binary()) for y in (ids, back)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(comes, pa.list_(pa.int64())), packed[0], pa.array(tail, pa.string()), packed[1], pa.array(size, pa.int64())], ["row", "k", "doc_id", "text_sha256", "comes", "ids", "tail", "back", "size"])
 
     return run
 
@@ -287,13 +337,10 @@ def _backtrace(path: str):
         model = piece_table(path).model
         for batch in batches:
             out = []
-            for text, size, entry, leave in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                _, back = _back_map(model, text, size, np.frombuffer(entry, np.float64))
-                cuts = [size + leave]
-                while back[cuts[-1]] >= 0:
-                    cuts.append(back[cuts[-1]])
-                out.append(np.array(model.ids(text, cuts[::-1]), "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(6), batch.column(7), pa.array(out, pa.binary())], ["row", "k", "doc_id", "text_sha256", "ids"])
+            for ids, tail, back, size, leave in zip(*(batch.column(c).to_pylist() for c in (4, 5, 6, 7, 8)), strict=True):
+                cuts = model.trace(np.frombuffer(back, "<i4").tolist(), size + leave)
+                out.append(ids + np.array(model.ids(tail, cuts), "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["row", "k", "doc_id", "text_sha256", "ids"])
 
     return run
 
@@ -314,13 +361,14 @@ def encode(documents: DataFrame, model: str, giant: int = GIANT, id_col: str = "
     short = texts.where(F.length("text") <= giant).mapInArrow(_short(model), _ENCODED)
     giants = texts.where(F.length("text") > giant)
     chunks = materialise(giants.mapInArrow(_chunks(model), "row long, k long, doc_id long, text_sha256 string, text string, size long"), "chunks")
-    spread = chunks.select("row", "k", "text", "size").repartition("row", "k")
+    tasks = max(hash_partitions(documents.sparkSession), -(-chunks.count() // CHUNKS_A_TASK))  # by chunks: their bytes are few, their work is not
+    spread = chunks.select("row", "k", "text", "size").repartition(tasks, "row", "k")
     matrices = spread.mapInArrow(_matrices(model), "row long, k long, matrix binary")
     entries = materialise(matrices.groupBy("row").applyInArrow(_entries, "row long, k long, entry binary"), "entries")
-    entered = chunks.select("row", "k", "text", "size").join(entries.hint("merge"), ["row", "k"]).select("row", "k", "text", "size", "entry")
-    comes = entered.mapInArrow(_comes_from(model), "row long, k long, comes array<long>")
-    exits = materialise(comes.groupBy("row").applyInArrow(_exits, "row long, k long, leave long"), "exits")
-    final = chunks.join(entries.hint("merge"), ["row", "k"]).join(exits.hint("merge"), ["row", "k"]).select("row", "k", "text", "size", "entry", "leave", "doc_id", "text_sha256")
+    entered = chunks.join(entries.hint("merge"), ["row", "k"]).select("row", "k", "doc_id", "text_sha256", "text", "size", "entry")
+    inside = materialise(entered.repartition(tasks, "row", "k").mapInArrow(_inside(model), _INSIDE), "inside")
+    exits = inside.select("row", "k", "comes").groupBy("row").applyInArrow(_exits, "row long, k long, leave long")
+    final = inside.join(exits.hint("merge"), ["row", "k"]).select("row", "k", "doc_id", "text_sha256", "ids", "tail", "back", "size", "leave").repartition(tasks, "row", "k")
     long = final.mapInArrow(_backtrace(model), "row long, k long, doc_id long, text_sha256 string, ids binary").groupBy("row").applyInArrow(_together, _ENCODED)
     return short.union(long)
 
