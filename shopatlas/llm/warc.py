@@ -2,8 +2,9 @@
 
 ``write_streams`` makes archives as careless writers do (one gzip stream per file);
 ``normalise`` inflates each stream once, rewrites every record as its own gzip member and lists
-the members' offsets; ``read_records`` opens single members by that index.  Archives are rows
-(name, content) like those of Spark's binaryFile source, so they live wherever Spark can write.
+the members' offsets; ``read_records`` opens single members by that index, which is a table of its own.
+Archives are rows (name, content) like those of Spark's binaryFile source, so they live wherever Spark
+can write; a content is a whole .warc.gz file.  Archives from elsewhere may have any number of gzip members.
 """
 from __future__ import annotations
 
@@ -18,8 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import fresh_path
-from .common import materialise
+from .common import bloom_of, hot_keys, in_bloom, materialise, salted_join
 
 ARCHIVE_BYTES = 32 << 20
 LEVEL = 1
@@ -34,7 +34,11 @@ def record_id(page_id: int | None, number: int = 0) -> str:
 
 
 def page_of(uri: str) -> int | None:
-    value = uuid.UUID(uri[10:-1]).int
+    """The page of a record that was written here; null for others and for pages without an id."""
+    try:
+        value = uuid.UUID(uri.strip("<>")).int
+    except ValueError:
+        return None
     return None if value >= _NULL else value - _NULL * (value >> 63)
 
 
@@ -54,10 +58,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and content block of one record."""
+    """Header fields (lower-case names) and content block of one record; bytes that are not UTF-8 are replaced."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:]))
-    return fields, rest[: int(fields["content-length"])]
+    fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode(errors="replace").split("\r\n")[1:]))
+    return fields, rest[: _length(fields.get("content-length"))]
+
+
+def _length(value: str | None) -> int:
+    if value is None or not value.isascii() or not value.isdigit():
+        raise ValueError(f"a record without a Content-Length: {value!r}")
+    return int(value)
 
 
 def records_of(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -70,8 +80,8 @@ def records_of(stream: Iterator[bytes]) -> Iterator[bytes]:
             if need is None:
                 if (at := held.find(b"\r\n\r\n")) < 0:
                     break
-                length = next(int(x.split(b":")[1]) for x in bytes(held[:at]).split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                need = at + 4 + length + 4
+                lengths = [x.split(b":", 1)[1].strip().decode("latin-1") for x in bytes(held[:at]).split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                need = at + 4 + _length(lengths[0] if lengths else None) + 4
             if len(held) < need:
                 break
             yield bytes(held[:need])
@@ -81,18 +91,24 @@ def records_of(stream: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the stream ends inside a record")
 
 
-def inflate(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+def inflate(content: bytes, step: int = 1 << 20, feed: int = 1 << 16) -> Iterator[bytes]:
     """Inflate a gzip file of one or more members piece by piece."""
-    while content:
-        engine = zlib.decompressobj(31)
-        data = content
-        while not engine.eof:
-            if out := engine.decompress(data, step):
-                yield out
-            elif not engine.unconsumed_tail and not engine.eof:
-                raise ValueError("the gzip stream is cut short")
-            data = engine.unconsumed_tail
-        content = engine.unused_data
+    view, at, data, engine = memoryview(content), 0, b"", None
+    while data or at < len(view):
+        if not data:
+            data = bytes(view[at : at + feed])
+            at += len(data)
+        engine = engine or zlib.decompressobj(31)
+        if out := engine.decompress(data, step):
+            yield out
+        data = engine.unused_data if engine.eof else engine.unconsumed_tail
+        engine = None if engine.eof else engine
+    while engine is not None:
+        if out := engine.decompress(b"", step):
+            yield out
+        elif not engine.eof:
+            raise ValueError("the gzip stream is cut short")
+        engine = None if engine.eof else engine
 
 
 def deflate(raw: bytes) -> bytes:
@@ -106,11 +122,17 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     Payloads are equal when SHA-256 and length are; a null html is empty.  Of equal payloads of at
     least ``min_bytes`` bytes the largest id is the response (rows that repeat that id too).  A
     group without any id has responses only; a row without id in another group is a revisit.
-    Only groups of two or more rows are joined, and Spark splits a very large one.
+    Only rows of groups of two or more are moved (a bit map of their digests leaves out the others), and
+    the largest groups are dealt over many keys of the join.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumns({"sum": F.unhex(F.sha2("html", 256)), "size": F.octet_length("html")})
-    many = own.where(F.col("size") >= min_bytes).groupBy("sum", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return own.join(many.hint("merge"), ["sum", "size"], "left").select("page_id", "url", "html", F.when(F.col("first") != F.coalesce("page_id", F.lit(None), F.col("first") - 1), F.col("first")).alias("refers_to"))
+    own = own.withColumn("k", F.xxhash64("sum"))
+    many = materialise(own.where(F.col("size") >= min_bytes).groupBy("sum").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "groups")
+    bloom = bloom_of(many.select(F.xxhash64("sum").alias("k")), "k", many.count())
+    joined = salted_join(own.mapInArrow(in_bloom(bloom, True), own.schema), many, "sum", hot_keys(many, "sum", "n"))
+    refers_to = F.when(F.col("first") != F.coalesce("page_id", F.lit(None), F.col("first") - 1), F.col("first"))
+    alone = own.mapInArrow(in_bloom(bloom, False), own.schema)
+    return joined.select("page_id", "url", "html", refers_to.alias("refers_to")).union(alone.select("page_id", "url", "html", F.lit(None).cast("long")))
 
 
 def write_streams(marked: DataFrame) -> DataFrame:
@@ -150,6 +172,8 @@ def normalise(archives: DataFrame) -> DataFrame:
                 members, index, at = [], [], 0
                 for raw in records_of(inflate(content)):
                     fields, _ = parse(raw)
+                    if "warc-record-id" not in fields or "warc-type" not in fields:
+                        raise ValueError(f"{name}: a record without WARC-Record-ID or WARC-Type")
                     members.append(deflate(raw))
                     index.append({"offset": at, "length": len(members[-1]), "record_id": fields["warc-record-id"], "type": fields["warc-type"]})
                     at += len(members[-1])
@@ -164,11 +188,11 @@ def sidecar(normalised: DataFrame) -> DataFrame:
     return normalised.select("name", F.explode("members").alias("m")).select("name", "m.*")
 
 
-def read_records(normalised: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every indexed record.
+def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every indexed response and revisit.
 
-    A response's digest is computed from its payload and must equal the one in its header; a
-    revisit's digest and length are those its header gives for the full payload.
+    A response's digest is computed from its payload and must equal the one in its header, if that is
+    there; a revisit's digest and length are those its header gives for the full payload.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +201,23 @@ def read_records(normalised: DataFrame) -> DataFrame:
                 rows = []
                 for m in members:
                     fields, block = parse(zlib.decompress(content[m["offset"] : m["offset"] + m["length"]], 31))
+                    if fields["warc-type"] not in ("response", "revisit"):
+                        continue
                     head, _, payload = block.partition(b"\r\n\r\n")
-                    said = fields["warc-payload-digest"].removeprefix("sha1:")
-                    full = int(head.rpartition(b"Content-Length: ")[2])
-                    if fields["warc-type"] == "response" and (digest(payload) != said or len(payload) != full):
-                        raise ValueError(f"{fields['warc-record-id']}: the payload differs from its digest")
+                    sizes = [x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                    said, full = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(sizes[0]) if sizes else len(payload)
+                    if fields["warc-type"] == "response":
+                        own = digest(payload)
+                        if (said and said != own) or len(payload) != full:
+                            raise ValueError(f"{fields['warc-record-id']}: the payload differs from its digest")
+                        said = own
                     refers_to = fields.get("warc-refers-to")
                     rows.append((page_of(fields["warc-record-id"]), full, said, fields["warc-type"], page_of(refers_to) if refers_to else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return normalised.select("content", "members").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    members = index.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members"))  # of one archive, which is of bounded size
+    return archives.select("name", "content").join(members.hint("merge"), "name").select("content", "members").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -196,5 +226,4 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Null payloads are empty, null urls get a urn; an empty table gives no row; other columns are not read.
     """
     normalised = materialise(normalise(write_streams(mark_revisits(pages, min_bytes))), "archives")
-    sidecar(normalised).write.parquet(fresh_path(pages.sparkSession, "archive-index"))
-    return read_records(normalised)
+    return read_records(normalised.select("name", "content"), materialise(sidecar(normalised), "archive-index"))
