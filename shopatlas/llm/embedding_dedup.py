@@ -1,12 +1,14 @@
 """Near-duplicate vectors by a robust-pruned graph built on overlapping cluster shards.
 
 Equal vectors of a label are one node.  Each label is cut into shards by centroids (fitted on a
-bounded sample), every node goes to its OVERLAP nearest shards, each shard prunes its nodes'
+bounded sample; a shard that comes out too large is cut again by centroids of its own), every node goes to its
+OVERLAP nearest shards, each shard prunes its nodes'
 nearest candidates to a flat graph, and the lists of all shards make one graph: a node has its
 neighbours in every shard that holds it.  Each node searches from itself and the medoids of its
 shards and expands over everything in range; a search that reaches a node held by shards where it
 has not been goes on there in the next round, entering at all such nodes, until none has anywhere
-left to go.  What is found is verified in double precision.  An audit compares hash samples of each label's rows with all of the label,
+left to go.  What is found is verified in double precision.  A task gives each node's links in its shard as
+one packed list and ties the nodes by a tree, so that a dense group costs no row a pair.  An audit compares hash samples of each label's rows with all of the label,
 more of them where few have links; recall of the queries of any label below the target widens the
 shards' overlap and the search, and a result that stays below what is promised is an error.
 """
@@ -20,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .components import connected_components
+from ..operators.components import connected_components
+from .common import bound_batches, hot_keys, materialise, salted_join
 
 THRESHOLD = 0.93
 SHARD, MOST_SHARDS, SAMPLE_PER_SHARD = 1500, 1024, 32
+LARGE, CUTS = 6000, 4  # rows of a shard from which it is cut again; how often that is done
 OVERLAP, CANDIDATES, DEGREE, ALPHA, BEAM = 2, 64, 24, 1.2, 16
 SLACK = 0.06  # the search expands nodes whose cosine is at most this far below the threshold
 AUDIT_DRAWS, AUDIT_LINKED, AUDIT_MOST = (200, 800, 3200), 50, 20_000  # queries a label until so many have links; queries a pass
@@ -119,15 +122,49 @@ def _build(table: pa.Table) -> pa.Table:
     return table.append_column("near", pa.array([r[r >= 0].tolist() for r in lists], pa.list_(pa.int32())))
 
 
-INDEX = "node long, label long, dim long, vector binary, homes array<int>, shard int"
-FOUND = "a long, b long, label long, dim long, vector binary, visited array<int>, to array<int>, entries array<array<long>>"
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("label", pa.int64()), ("dim", pa.int64()), ("vector", pa.binary()), ("visited", pa.list_(pa.int32())), ("to", pa.list_(pa.int32())), ("entries", pa.list_(pa.list_(pa.int64())))])
+INDEX = "node long, label long, dim long, vector binary, n long, homes array<long>, shard long"
+FOUND = "a long, b long, links binary, n long, label long, dim long, vector binary, visited array<long>, to array<long>, entries array<array<long>>"
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.binary()), ("n", pa.int64()), ("label", pa.int64()), ("dim", pa.int64()), ("vector", pa.binary()), ("visited", pa.list_(pa.int64())), ("to", pa.list_(pa.int64())), ("entries", pa.list_(pa.list_(pa.int64())))])
+
+
+def local_roots(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """The smallest number that each of 0..size-1 is connected to by the edges u, v."""
+    root = np.arange(size)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, u, root[v])
+        np.minimum.at(low, v, root[u])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def link_lists(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> pa.Table:
+    """FOUND rows of links (a, b) of nodes that stand for n rows each: lists of (other, n) by node, and edges that connect the same nodes."""
+    who, other, n = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([n_b, n_a])
+    order = np.lexsort((other, who))
+    who, other, n = who[order], other[order], n[order]
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (other[1:] != other[:-1])
+    who, other, n = who[new], other[new], n[new]
+    names, at = np.unique(who, return_index=True)
+    ends = np.append(at[1:], len(who))[: len(at)].tolist()
+    packed = np.stack([other, n], 1)
+    lists = [packed[x:y].tobytes() for x, y in zip(at.tolist(), ends, strict=True)]
+    root = local_roots(np.searchsorted(names, who), np.searchsorted(names, other), len(names))
+    tied = np.flatnonzero(root != np.arange(len(names)))
+    none = lambda k, rows: [pa.nulls(rows, f.type) for f in list(_FOUND)[k:]]
+    return pa.concat_tables([
+        pa.table([pa.array(names), pa.nulls(len(names), pa.int64()), pa.array(lists, pa.binary()), *none(3, len(names))], _FOUND),
+        pa.table([pa.array(names[tied]), pa.array(names[root[tied]]), *none(2, len(tied))], _FOUND),
+    ])
 
 
 def _search(threshold: float, beam: int):
     """Searches in a shard: of its own rows, or where there are guests (rows with entries) of these.
 
-    Rows out are links (a, b), or searches that go on: shards ``to`` and the nodes to enter at.
+    Rows out are lists of links and edges (``link_lists``), or searches that go on: shards ``to`` and the nodes to enter at.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -135,8 +172,11 @@ def _search(threshold: float, beam: int):
         guest = table.column("entries").is_valid()
         guests, table = table.filter(guest), table.filter(pc.invert(guest)).sort_by("node")
         vectors = _matrix(table.column("vector"), dim)
-        names = table.column("node").to_numpy()
-        homes = np.array(table.column("homes").to_pylist(), np.int64)
+        names, counts = table.column("node").to_numpy(), table.column("n").to_numpy()
+        held = table.column("homes").to_pylist()
+        homes = np.full((len(held), max(map(len, held), default=0)), -1, np.int64)
+        for i, x in enumerate(held):
+            homes[i, : len(x)] = x
         links: list[list[int]] = [[] for _ in names]
         for i, near in enumerate(table.column("near").to_pylist()):
             links[i].extend(near)
@@ -144,7 +184,7 @@ def _search(threshold: float, beam: int):
                 links[j].append(i)
         neighbours = [np.unique(np.array(x, np.int64)) for x in links]
         asking = guests if len(guests) else table
-        asks, packed, visited = asking.column("node").to_numpy(), asking.column("vector").to_pylist(), asking.column("homes").to_pylist()
+        asks, many, packed, visited = asking.column("node").to_numpy(), asking.column("n").to_numpy(), asking.column("vector").to_pylist(), asking.column("homes").to_pylist()
         queries = _matrix(packed, dim)
         doors = [np.searchsorted(names, x) for x in guests.column("entries").to_pylist()] if len(guests) else [[i] for i in range(len(names))]
         start = medoid(vectors)
@@ -154,34 +194,32 @@ def _search(threshold: float, beam: int):
             found, sims = range_search(vectors, neighbours, q, np.concatenate([[start], doors[k]]).astype(np.int64), threshold - 1e-9, beam)
             near = found[(sims >= threshold - SLACK) & (names[found] != own)]
             exact = near[np.einsum("ij,j->i", vectors[near], q) >= threshold]
-            a.append(np.full(len(exact), own))
-            b.append(names[exact])
+            a.append(np.full(len(exact), k))
+            b.append(exact)
             there = homes[near]
-            new = np.unique(there[~np.isin(there, visited[k])]).tolist()
+            new = np.unique(there[(there >= 0) & ~np.isin(there, visited[k])]).tolist()
             if new:
-                on.append({"a": own, "b": None, "label": label, "dim": dim, "vector": packed[k], "visited": visited[k], "to": new, "entries": [names[near[(there == s).any(1)]].tolist() for s in new]})
+                on.append({"a": own, "n": int(many[k]), "label": label, "dim": dim, "vector": packed[k], "visited": visited[k], "to": new, "entries": [names[near[(there == s).any(1)]].tolist() for s in new]})
         a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        none = [pa.nulls(len(pairs), f.type) for f in list(_FOUND)[2:]]
-        return pa.concat_tables([pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], _FOUND), pa.Table.from_pylist(on, _FOUND)])
+        return pa.concat_tables([link_lists(asks[a], names[b], many[a], counts[b]), pa.Table.from_pylist(on, _FOUND)])
 
     return run
 
 
 def search_graph(index: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """Links (a < b) that searches of all rows over the graph of all shards find; each round is written out."""
+    """FOUND rows (lists of links, and edges) of searches of all rows over the graph of all shards; each round is written out."""
     keys = ["label", "dim", "shard"]
     columns = [*(c for c in index.columns if c not in keys), "entries", *keys]
     found = materialise(index.withColumn("entries", F.expr("cast(null as array<long>)")).select(columns).groupBy(*keys).applyInArrow(_search(threshold, beam), FOUND), "found")
     pairs = found
     while True:
         # a search enters a shard once, at every node of it that the last round reached
-        merged = found.where("b is null").groupBy("a", "label", "dim").agg(F.first("vector").alias("vector"), F.first("visited").alias("visited"), F.flatten(F.collect_list("to")).alias("to"), F.flatten(F.collect_list("entries")).alias("entries"))
-        asked = merged.select(F.col("a").alias("node"), "vector", F.array_union("visited", "to").alias("homes"), "label", "dim", F.arrays_zip("to", "entries").alias("z"), F.explode(F.array_distinct("to")).alias("shard"))
+        merged = found.where("vector is not null").groupBy("a", "label", "dim").agg(F.first("vector").alias("vector"), F.first("n").alias("n"), F.first("visited").alias("visited"), F.flatten(F.collect_list("to")).alias("to"), F.flatten(F.collect_list("entries")).alias("entries"))
+        asked = merged.select(F.col("a").alias("node"), "vector", "n", F.array_union("visited", "to").alias("homes"), "label", "dim", F.arrays_zip("to", "entries").alias("z"), F.explode(F.array_distinct("to")).alias("shard"))
         guests = asked.withColumn("entries", F.expr("array_distinct(flatten(transform(filter(z, x -> x.to = shard), x -> x.entries)))")).withColumn("near", F.expr("cast(null as array<int>)"))
         blocks = materialise(asked.groupBy(*keys).agg(F.expr(f"cast(ceil(count(*) / {GUESTS}) as int)").alias("blocks")), "blocks")
         if blocks.isEmpty():
-            return pairs.where("b is not null").select("a", "b").distinct()
+            return pairs.where("vector is null").select("a", "b", "links")
         held = index.join(blocks, keys).withColumn("entries", F.expr("cast(null as array<long>)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
         dealt = guests.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         both = held.select(*columns, "block").unionAll(dealt.select(*columns, "block"))
@@ -196,44 +234,129 @@ def _pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("embedding"))
         kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)  # rows of nulls are gone, and so are nulls in rows
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]) * flat.itemsize
+        packed = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))])
         keep = [batch.column(k) for k in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array([np.array(v, kind).tobytes() for v in column.to_pylist()], pa.binary())], [*batch.schema.names[:-1], "vector"])
+        yield pa.RecordBatch.from_arrays([*keep, packed.cast(pa.binary())], [*batch.schema.names[:-1], "vector"])
 
 
 def _assign(centroids: dict[tuple[int, int], np.ndarray], overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, dims, vectors = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            rows, homes, shards = [], [], []
-            for i, (label, dim, v) in enumerate(zip(labels, dims, vectors, strict=True)):
-                sims = centroids[label, dim] @ _matrix([v], dim)[0]
-                own = np.argsort(-sims, kind="stable")[:overlap].tolist()
-                rows.extend([i] * len(own))
-                homes.extend([own] * len(own))
-                shards.extend(own)
-            out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(homes, pa.list_(pa.int32())), pa.array(shards, pa.int32())], ["node", "label", "dim", "vector", "homes", "shard"])
+            labels, dims = (batch.column(k).to_numpy() for k in (1, 2))
+            for label, dim in sorted(set(zip(labels.tolist(), dims.tolist(), strict=True))):
+                rows = np.flatnonzero((labels == label) & (dims == dim))
+                near = nearest_centroids(_matrix(batch.column(3).take(pa.array(rows)), dim), centroids[label, dim], overlap)
+                out = batch.take(pa.array(np.repeat(rows, near.shape[1])))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel(), pa.int64())], ["node", "label", "dim", "vector", "n", "shard"])
+
+    return run
+
+
+def nearest_centroids(vectors: np.ndarray, centroids: np.ndarray, overlap: int) -> np.ndarray:
+    return np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :overlap]
+
+
+_KEYS = ["label", "dim", "shard"]
+
+
+def _fit_inside(table: pa.Table) -> pa.Table:
+    """Centroids of the sample of a large shard."""
+    table = table.sort_by("node")
+    want = int(table.column("want")[0].as_py())
+    centres = k_means(_matrix(table.column("vector"), table.column("dim")[0].as_py()), min(want, len(table)))
+    return pa.table({**{k: table.column(k)[:1] for k in _KEYS}, "centres": pa.array([centres.tobytes()], pa.binary()), "chunks": table.column("chunks")[:1]})
+
+
+def _assign_inside(overlap: int):
+    def run(rows: pa.Table, fitted: pa.Table) -> pa.Table:
+        dim = rows.column("dim")[0].as_py()
+        centres = np.frombuffer(fitted.column("centres")[0].as_py(), np.float64).reshape(-1, dim)
+        near = nearest_centroids(_matrix(rows.column("vector"), dim), centres, overlap)
+        out = rows.take(pa.array(np.repeat(np.arange(len(rows)), near.shape[1])))
+        shard = out.column("shard").to_numpy() * (MOST_SHARDS + 1) + near.ravel() + 1
+        return pa.table({**{k: out.column(k) for k in ("node", "label", "dim", "vector", "n")}, "shard": pa.array(shard, pa.int64())})
 
     return run
 
 
-def _exact(queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], threshold: float):
+def sharded(nodes: DataFrame, centroids: dict[tuple[int, int], np.ndarray], overlap: int) -> DataFrame:
+    """INDEX rows: each node once in each of its shards, of which none has more than LARGE rows but where they can't be told apart.
+
+    A larger shard is cut by centroids of a sample of its own, in tasks, and its rows in chunks of bounded size.
+    """
+    shape = "node long, label long, dim long, vector binary, n long, shard long"
+    rows = materialise(nodes.select("node", "label", "dim", "vector", "n").mapInArrow(_assign(centroids, overlap), shape), "shards")
+    for _ in range(CUTS):
+        sizes = rows.groupBy(*_KEYS).agg(F.count("*").alias("rows")).where(F.col("rows") > LARGE)
+        sizes = materialise(sizes.withColumns({"want": F.least(F.lit(MOST_SHARDS), F.ceil(F.col("rows") / SHARD)), "chunks": F.ceil(F.col("rows") / GUESTS)}), "sizes")
+        if sizes.isEmpty():
+            break
+        large = rows.join(sizes.hint("merge"), _KEYS)
+        sample = large.where(F.pmod(F.xxhash64("node", F.lit("cut")), F.lit(1 << 20)) < F.col("want") * SAMPLE_PER_SHARD / F.col("rows") * (1 << 20))
+        fitted = sample.select("node", *_KEYS, "vector", "want", "chunks").groupBy(*_KEYS).applyInArrow(_fit_inside, "label long, dim long, shard long, centres binary, chunks long")
+        dealt = fitted.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+        chunked = large.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).select("node", "label", "dim", "vector", "n", "shard", "chunk")
+        cut = chunked.groupBy(*_KEYS, "chunk").cogroup(dealt.groupBy(*_KEYS, "chunk")).applyInArrow(_assign_inside(overlap), shape)
+        rest = rows.join(sizes.select(*_KEYS).hint("merge"), _KEYS, "left_anti").select("node", "label", "dim", "vector", "n", "shard")
+        rows = materialise(rest.union(cut).dropDuplicates(["node", "shard"]), "shards")
+    homes = rows.groupBy("node").agg(F.sort_array(F.collect_set("shard")).cast("array<bigint>").alias("homes"))
+    return rows.join(homes.hint("merge"), "node").select("node", "label", "dim", "vector", "n", "homes", "shard")
+
+
+_TRUE = "label long, dim long, q long, other long, n_q long, n_other long"
+
+
+def _exact(queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, labels, dims = (batch.column(k).to_numpy() for k in (0, 1, 2))
-            for (label, dim), (ids, vectors) in queries.items():
+            names, labels, dims, many = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            for (label, dim), (ids, vectors, counts) in queries.items():
                 rows = np.flatnonzero((labels == label) & (dims == dim))
                 for lo in range(0, len(rows), BLOCK):
                     own = rows[lo : lo + BLOCK]
                     i, j = np.nonzero(_matrix(batch.column(3).take(pa.array(own)), dim) @ vectors.T >= threshold)
-                    a, q = names[own[i]], ids[j]
-                    a, q = a[a != q], q[a != q]
-                    columns = [np.full(len(q), label), np.full(len(q), dim), q, np.minimum(a, q), np.maximum(a, q)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["label", "dim", "q", "a", "b"])
+                    i, j = i[names[own[i]] != ids[j]], j[names[own[i]] != ids[j]]
+                    columns = [np.full(len(j), label), np.full(len(j), dim), ids[j], names[own[i]], counts[j], many[own[i]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["label", "dim", "q", "other", "n_q", "n_other"])
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each link of the lists (q, links)."""
+    for batch in batches:
+        lists = batch.column(1).to_pylist()
+        flat = np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2)
+        q = np.repeat(batch.column(0).to_numpy(), [len(x) // 16 for x in lists])
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.ascontiguousarray(flat[:, 0]))], ["q", "other"])
+
+
+def _sum_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, linked: rows that a node's different links stand for, from lists (node, links) in order of their nodes."""
+    held: list[tuple[int, bytes]] = []
+
+    def summed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        flat = np.frombuffer(b"".join(x for _, x in rows), np.int64).reshape(-1, 2)
+        node = np.repeat(np.array([k for k, _ in rows], np.int64), [len(x) // 16 for _, x in rows])
+        order = np.lexsort((flat[:, 0], node))
+        node, other, n = node[order], flat[order, 0], flat[order, 1]
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (other[1:] != other[:-1])
+        names, at = np.unique(node[new], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.add.reduceat(n[new], at) if len(at) else np.zeros(0, np.int64))], ["node", "linked"])
+
+    for batch in batches:
+        for node, links in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and node != held[-1][0] and sum(len(x) for _, x in held) >= 4 << 20:
+                yield summed(held)
+                held = []
+            held.append((node, links))
+    if held:
+        yield summed(held)
+
+
 def _of(keys: list[tuple[int, int]]):
     """Whether a row is of one of the labels and dimensions."""
     return F.struct("label", "dim").isin(*(F.struct(F.lit(x).cast("long"), F.lit(d).cast("long")) for x, d in keys))
@@ -242,7 +365,7 @@ def _of(keys: list[tuple[int, int]]):
 def _sampled(nodes: DataFrame, shares: dict[tuple[int, int], float], salt: str) -> DataFrame:
     """A hash sample of rows, of each label and dimension in its own share."""
     share = F.coalesce(*(F.when((F.col("label") == k[0]) & (F.col("dim") == k[1]), F.lit(min(1.0, x))) for k, x in shares.items()), F.lit(0.0))
-    return nodes.where(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)).select("label", "dim", "node", "vector")
+    return nodes.where(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)).select("label", "dim", "node", "vector", "n")
 
 
 def fit_centroids(nodes: DataFrame, sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], np.ndarray]:
@@ -259,8 +382,8 @@ def fit_centroids(nodes: DataFrame, sizes: dict[tuple[int, int], int]) -> dict[t
 
 
 def audit_links(nodes: DataFrame, sizes: dict[tuple[int, int], int], threshold: float) -> DataFrame:
-    """All links (a, b) of sampled queries q: of each label until AUDIT_LINKED of them have links."""
-    out = nodes.sparkSession.createDataFrame([], "label long, dim long, q long, a long, b long")
+    """All links (q, other) of sampled queries q: of each label until AUDIT_LINKED of them have links."""
+    out = nodes.sparkSession.createDataFrame([], _TRUE)
     todo = sorted(sizes)
     for want in AUDIT_DRAWS:
         lacking = []
@@ -268,9 +391,9 @@ def audit_links(nodes: DataFrame, sizes: dict[tuple[int, int], int], threshold:
             keys = todo[lo : lo + max(1, AUDIT_MOST // want)]
             queries: dict[tuple[int, int], list] = {}
             for r in _sampled(nodes, {k: want / sizes[k] for k in keys}, "audit").collect():
-                queries.setdefault((r.label, r.dim), []).append((r.node, bytes(r.vector)))
-            packed = {k: (np.array([x for x, _ in v]), _matrix([x for _, x in v], k[1])) for k, v in queries.items()}
-            true = materialise(nodes.select("node", "label", "dim", "vector").mapInArrow(_exact(packed, threshold), out.schema), "audit")
+                queries.setdefault((r.label, r.dim), []).append((r.node, bytes(r.vector), r.n))
+            packed = {k: (np.array([x[0] for x in v]), _matrix([x[1] for x in v], k[1]), np.array([x[2] for x in v])) for k, v in queries.items()}
+            true = materialise(nodes.select("node", "label", "dim", "vector", "n").mapInArrow(_exact(packed, threshold), out.schema), "audit")
             linked = {(r.label, r.dim): r.n for r in true.groupBy("label", "dim").agg(F.countDistinct("q").alias("n")).collect()}
             done = [k for k in keys if linked.get(k, 0) >= AUDIT_LINKED or want >= sizes[k] or want == AUDIT_DRAWS[-1]]
             if done:
@@ -280,9 +403,12 @@ def audit_links(nodes: DataFrame, sizes: dict[tuple[int, int], int], threshold:
     return out
 
 
-def audited_recall(true: DataFrame, pairs: DataFrame, sizes: dict[tuple[int, int], int]) -> float:
+def audited_recall(true: DataFrame, found: DataFrame, sizes: dict[tuple[int, int], int]) -> float:
     """The smallest recall of a label, a mean over its queries; labels of which too little is known count together."""
-    hits = true.join(pairs.withColumn("hit", F.lit(1)).hint("merge"), ["a", "b"], "left").groupBy("label", "dim", "q").agg((F.count("hit") / F.count("*")).alias("recall"))
+    asked = true.select(F.col("q").alias("a")).distinct()
+    lists = found.where("links is not null").join(asked.hint("merge"), "a", "left_semi").select(F.col("a").alias("q"), "links")
+    pairs = lists.mapInArrow(_unpacked, "q long, other long").distinct()
+    hits = true.join(pairs.withColumn("hit", F.lit(1)).hint("merge"), ["q", "other"], "left").groupBy("label", "dim", "q").agg((F.count("hit") / F.count("*")).alias("recall"))
     alone, few = [], []
     for r in hits.groupBy("label", "dim").agg(F.avg("recall").alias("recall"), F.count("*").alias("n")).collect():
         (alone if r.n >= AUDIT_LINKED or sizes[r.label, r.dim] <= AUDIT_DRAWS[-1] else few).append((r.recall, r.n))
@@ -291,46 +417,55 @@ def audited_recall(true: DataFrame, pairs: DataFrame, sizes: dict[tuple[int, int
     return min((x for x, _ in alone), default=1.0)
 
 
+def _as_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The audit's links as lists and edges."""
+    for batch in batches:
+        q, other, n_q, n_other = (batch.column(k).to_numpy() for k in (2, 3, 4, 5))
+        yield from link_lists(q, other, n_q, n_other).select(["a", "b", "links"]).to_batches()
+
+
 def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """Linked pairs of nodes (a < b) and the audited recall; the audit's own links are among them."""
+    """Lists of links (a, links) and edges (a, b) of the nodes, and the audited recall; the audit's own links are among them."""
     sizes = {(r.label, r.dim): r["count"] for r in nodes.groupBy("label", "dim").count().collect()}
     centroids = fit_centroids(nodes, sizes)
     true = audit_links(nodes, sizes, threshold)
     for attempt in range(ATTEMPTS):
-        sharded = nodes.select("node", "label", "dim", "vector").mapInArrow(_assign(centroids, OVERLAP << attempt), INDEX)
-        index = materialise(sharded.groupBy("label", "dim", "shard").applyInArrow(_build, f"{INDEX}, near array<int>"), "index")
-        pairs = materialise(search_graph(index, threshold, BEAM << attempt), "links")
-        recall = audited_recall(true, pairs, sizes)
+        index = materialise(sharded(nodes, centroids, OVERLAP << attempt).groupBy("label", "dim", "shard").applyInArrow(_build, f"{INDEX}, near array<int>"), "index")
+        found = search_graph(index, threshold, BEAM << attempt)
+        recall = audited_recall(true, found, sizes)
         if recall >= RECALL_TARGET:
             break
     if recall < RECALL_LEAST:
         raise ValueError(f"audited recall {recall:.3f} of the links is below {RECALL_LEAST}")
-    return pairs.unionAll(true.select("a", "b")).distinct(), recall
+    return found.unionAll(true.mapInArrow(_as_found, "a long, b long, links binary")), recall
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``embeddings``: vec_id, n_links, component_id, kept.
 
-    Rows link with rows of the same label (not null) and dimension at cosine >= ``threshold``;
+    Rows link with rows of the same label (of any type, not null) and dimension at cosine >= ``threshold``;
     vectors that are null, empty, zero or hold null or non-finite numbers link with nothing.  Equal
     rows are counted one by one but compared once.  A null id counts in n_links only; a row that
     repeats an id is a row of its own.  component_id is the smallest id reachable, itself
     included.  An empty table gives no row; other columns are not read.
     """
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("named"), F.col(vector_col).alias("embedding"))
     for seed in range(8):  # another seed should two vectors ever share a hash
-        own = rows.withColumn("node", F.when(F.expr(f"label is not null and ({VALID})"), F.xxhash64("label", "embedding", F.lit(seed))))
-        grouped = own.where("node is not null").groupBy("node", "label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
-        nodes = materialise(grouped.select("node", "label", F.size("embedding").cast("long").alias("dim"), "n", "first", "embedding").mapInArrow(_pack_vectors, "node long, label long, dim long, n long, first long, vector binary"), "nodes")
-        if nodes.select("node").distinct().count() == nodes.count():
+        own = rows.withColumn("label", F.xxhash64("named", F.lit(seed))).withColumn("node", F.when(F.expr(f"named is not null and ({VALID})"), F.xxhash64("named", "embedding", F.lit(seed))))
+        grouped = own.where("node is not null").groupBy("node", "label", "named", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+        nodes = materialise(grouped.select("node", "label", "named", F.size("embedding").cast("long").alias("dim"), "n", "first", "embedding").mapInArrow(_pack_vectors, "node long, label long, named string, dim long, n long, first long, vector binary"), "nodes")
+        if nodes.select("node").distinct().count() == nodes.count() and nodes.groupBy("label").agg((F.min("named") != F.max("named")).alias("clash")).where("clash").isEmpty():
             break
-    pairs = materialise(find_links(nodes, threshold)[0], "links")
-    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
-    others = both.join(nodes.select(F.col("node").alias("other"), "n").hint("merge"), "other").groupBy("node").agg(F.sum("n").alias("linked"))
-    roots = connected_components(pairs)
+    else:
+        raise ValueError("hashes of vectors or labels clash under every seed")
+    found = find_links(nodes, threshold)[0]
+    bound_batches(embeddings.sparkSession)
+    lists = found.where("links is not null").select(F.col("a").alias("node"), "links").repartition("node").sortWithinPartitions("node")
+    others = lists.mapInArrow(_sum_links, "node long, linked long")
+    roots = connected_components(found.where("b is not null").select("a", "b"))
     known = nodes.select("node", "n", "first").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     per_node = known.join(least.hint("merge"), "root").join(others.hint("merge"), "node", "left").select("node", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
-    out = own.select("vec_id", "node").join(per_node.hint("merge"), "node", "left")
+    out = salted_join(own.select("vec_id", "node"), materialise(per_node, "counted"), "node", hot_keys(nodes, "node", "n"))
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), component.isNull()).alias("kept"))
