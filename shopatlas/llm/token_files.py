@@ -51,7 +51,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
     """Write the ids of all texts in ascending id order; returns the written files as a DataFrame.
 
     Null texts are empty (only the end id is written); null ids come first; rows that repeat an
-    id are written one after another; an empty table writes no segment.  Other columns are not
+    id are written one after another, in the order of a hash of their text; an empty table writes no segment.  Other columns are not
     read, whatever their names.  One range shuffle, no other.
     """
 
@@ -70,7 +70,8 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([before]), pa.array([len(own)]), pa.array([payload])], ["part", "segment", "ids_before", "n_ids", "payload"])
                 number, before, lo = number + 1, before + len(own), hi
 
-    ordered = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("sum", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("id", "sum").sortWithinPartitions("id", "sum").select("id", "text")  # so that one id's rows, null's too, are cut apart
     packed = ordered.mapInArrow(segments, "part long, segment long, ids_before long, n_ids long, payload binary")
     packed.write.option("compression", "zstd").parquet(path)
     return documents.sparkSession.read.schema(packed.schema).parquet(path)
