@@ -116,10 +116,48 @@ def test_packing_edges(docs, none):
     out = packing.pack_documents(docs, queries.tokenizer_path()).collect()
     assert sum(r.length for r in out) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in out if r.doc_id}.values()) + sum(r.length for r in out if r.doc_id is None)
     assert packing.pack_documents(none, queries.tokenizer_path()).count() == 0
-    doc, start, length, seq, offset = packing.pack(np.array([5000, 1, 2048, 700, 0, 700, 700]))
+    doc, start, length, seq, offset, _ = packing.pack(np.array([5000, 1, 2048, 700, 0, 700, 700]))
     assert length.sum() == 9149 and np.bincount(doc, length, 7).tolist() == [5000, 1, 2048, 700, 0, 700, 700]
 
 
+def test_packing_follows_the_cost_rule():
+    rng = random.Random(9)
+    for _ in range(30):
+        lengths = [rng.choice([0, rng.randint(1, 40), rng.randint(1, 200)]) for _ in range(rng.randint(1, 40))]
+        got = sorted(zip(*(x.tolist() for x in packing.pack(np.array(lengths), 64)[:5])))
+        rest = [n % 64 for n in lengths]
+        tail = sum(rest) % 64
+        room = [64] * (sum(rest) // 64) + [1 << k for k in range(6, -1, -1) if tail >> k & 1]
+        size, cost = list(room), [0.0] * len(room)
+        want, n_whole = [], 0
+        for d, n in enumerate(lengths):
+            for k in range(n // 64):
+                want.append((d, 64 * k, 64, n_whole, 0))
+                n_whole += 1
+        for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+            left, at = rest[d], lengths[d] - rest[d]
+            while left:
+                able = [s for s in range(len(room)) if room[s] >= left] or [s for s in range(len(room)) if room[s]]
+                s = min(able, key=lambda s: (cost[s], s))
+                n = min(left, room[s])
+                want.append((d, at, n, n_whole + s, size[s] - room[s]))
+                room[s] -= n
+                cost[s] += packing.LINEAR * n + packing.QUADRATIC * n * n
+                left, at = left - n, at + n
+        assert got == sorted(want)
+
+
+def test_packing_has_one_tail_a_task(spark, monkeypatch):
+    monkeypatch.setattr(packing, "slices", lambda batches: packing_slices(batches, most=2000))
+    from shopatlas.llm.common import slices as packing_slices
+
+    df = spark.createDataFrame([(k, "some words and more " * (k % 90)) for k in range(200)], "doc_id long, text string").coalesce(1)
+    sizes = {}
+    for r in packing.pack_documents(df, queries.tokenizer_path()).collect():
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    assert sum(n < 2048 for n in sizes.values()) <= 11 and len(sizes) > 15
+
+
 # exact and near duplicates
 
 
@@ -199,6 +237,39 @@ def test_near_duplicates_bound_groups_of_a_shared_passage(spark, monkeypatch):
     assert seen.value > 0 and got == {i: i for i in range(300)} | {300: 7}
 
 
+def test_near_duplicates_of_words_that_clash_in_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 under every odd base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = " ".join(f"w{k}" for k in range(7))
+    cases = [(1, word), (2, other), (3, f"{text} {word}"), (4, f"{text} {other}"), (5, word.upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(cases, "doc_id long, text string")).collect()}
+    assert got == _near_brute(cases) and got[2][1] == 2 and got[4][1] == 4
+
+
+def test_exact_shingles_equal_words():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    text, number = jaccard.exact_shingles(*bpe.text_bytes(pa.array(texts)))
+    want = [(k, tuple(w[i : i + 5])) for k, t in enumerate(texts) if (w := t.split()) for i in range(max(1, len(w) - 4))]
+    assert text.tolist() == [k for k, _ in want]
+    names = {}
+    assert all(names.setdefault(x, n) == n for (_, x), n in zip(want, number.tolist())) and len(set(names.values())) == len(names)
+
+
+def test_near_duplicates_deal_hot_signatures_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    rng = random.Random(7)
+    base = [f"t{rng.randint(0, 400)}" for _ in range(60)]
+    passage = " ".join(f"common{k}" for k in range(60))
+    texts = [_edited(rng, base, k % 9) for k in range(150)] + [passage + " " + _edited(rng, ["q"] * 30, 30) for _ in range(120)]
+    cases = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(cases, "doc_id long, text string").repartition(3)).collect()}
+    assert got == _near_brute(cases)
+
+
 def test_near_duplicates_edges(docs, none):
     out = jaccard.near_duplicates(docs).collect()
     by = {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None}
@@ -219,7 +290,7 @@ def test_allotments_find_every_linked_pair():
                 continue
             sets, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
             cost = rng.integers(0, 50, len(sets))
-            of, sign, code = jaccard.signatures(sets, bounds, cost)
+            of, sign, code, _ = jaccard.signatures(sets, bounds, cost)
             big, small = (0, 1) if len(a) >= len(b) else (1, 0)
             asks = {s: c for s, c in zip(sign[of == big].tolist(), code[of == big].tolist()) if c >= 4}
             hit = [s for s, c in zip(sign[of == small].tolist(), code[of == small].tolist()) if s in asks and jaccard.probes(np.array([asks[s]]), np.array([c]))[0]]
@@ -259,9 +330,21 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot, wide):
     texts = ["ab" * 300, "a" * 450, "a" * 99, "a" * 100, None, "", "é" * 120] + ["".join(rng.choice("ab") for _ in range(rng.randint(0, 400))) for _ in range(20)]
     texts += ["".join(rng.choice(blocks)[rng.randint(0, 30) :] for _ in range(5)) for _ in range(60)]
     cases = [(i * 3 - 9, t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(repeats, "PART_BYTES", 5000)  # several parts a task
     assert _repeats(spark.createDataFrame(cases, "doc_id long, text string").repartition(5)) == _repeats_brute(cases)
 
 
+def test_suffix_ranks_are_the_order_of_the_bytes():
+    data = np.random.default_rng(3).integers(0, 3, 900).astype(np.uint8)
+    data[400:700] = data[:300]
+    raw = data.tobytes() + bytes(100)
+    whole = [raw[k : k + 100] for k in range(len(data))]
+    want = {x: k for k, x in enumerate(sorted(set(whole)))}
+    ranks = repeats.suffix_ranks(data)
+    assert (np.argsort(ranks, kind="stable") == sorted(range(len(whole)), key=lambda k: (whole[k], k))).all()
+    assert len(set(ranks.tolist())) == len(want) and len({(r, w) for r, w in zip(ranks.tolist(), whole)}) == len(want)
+
+
 def test_repeats_on_the_tables(spark, corpus):
     assert {r.doc_id: tuple(r)[1:] for r in queries.op3_repeats(spark, SF).collect()} == _repeats_brute(corpus.items())
 
@@ -299,6 +382,11 @@ def test_secrets_checksum_and_redaction(spark, docs, none):
     df = spark.createDataFrame([(1, f"é {good} password=longenough1"), (2, bad), (3, None), (4, "secret: 'token=abcdefghij'")], "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
     assert spans[1] == "forge:2:42,assign:43:63" and spans[2] == "" and spans[3] == ""
+    key = "xprv9s21ZrQH143K3QTDL4LXw2F7HEK3wJUD2nW2nRk4stbPy6cq3jPPqjiChkVvvNKmPGJxWUtg6LnF5kejMRNNU3TGtRBeJgk33yuGBxrMPHi"  # a published test vector
+    more = spark.createDataFrame([(1, f"({key})"), (2, f"x{key}"), (3, key[:-1] + "j"), (4, "x" + good), (5, f"é{good}.")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.scan(more).collect()} == {1: "wallet:1:112", 2: "", 3: "", 4: "", 5: "forge:1:41"}
+    mixed = spark.createDataFrame([(1, f"é token={good}é token: abcdefgh12é")], "doc_id long, text string")  # base and checked spans overlap
+    assert secrets.redact(mixed).first().text == "é [secret]é [secret]é"
     texts = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert texts[1] == "é [secret] [secret]" and texts[2] == bad and texts[3] is None
     assert secrets.scan(docs).count() == secrets.redact(docs).count() == len(CASES) and secrets.scan(none).count() == secrets.redact(none).count() == 0
@@ -329,6 +417,24 @@ def test_vectors_recall_over_many_shards(spark, monkeypatch):
     assert (got <= true).all() and got.sum() >= 0.95 * true.sum()
 
 
+def test_vectors_of_large_shards_are_cut_again(spark, monkeypatch):
+    for name, value in (("SHARD", 50), ("MOST_SHARDS", 3), ("LARGE", 120)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(80, 16))
+    v = (centres[rng.integers(0, 80, 900)] + rng.normal(size=(900, 16)) * 0.15).astype(np.float32)
+    df = spark.createDataFrame([(i, "ab"[i % 2], x.tolist()) for i, x in enumerate(v)], "vec_id long, label string, embedding array<float>")
+    seen = []
+    build = embedding_dedup.sharded
+    monkeypatch.setattr(embedding_dedup, "sharded", lambda *a: seen.append(build(*a)) or seen[-1])
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    same = np.arange(900)[:, None] % 2 == np.arange(900) % 2
+    true = (((u @ u.T) >= 0.93) & same).sum(1) - 1
+    got = np.array([r.n_links for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()])
+    assert (got <= true).all() and got.sum() >= 0.95 * true.sum()
+    assert max(r["count"] for r in seen[-1].groupBy("label", "dim", "shard").count().collect()) <= 120 << 2
+
+
 def test_vectors_of_a_group_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD", 60)
     rng = np.random.default_rng(5)
@@ -345,7 +451,7 @@ def test_vectors_audit_sees_few_links_and_fails_loudly(spark, monkeypatch):
     v[1400:1403] = v[:3] * np.float32(1.5) + np.float32(0.01)
     df = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<float>")
     monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
-    monkeypatch.setattr(embedding_dedup, "search_graph", lambda index, threshold, beam: spark.createDataFrame([], "a long, b long"), raising=False)
+    monkeypatch.setattr(embedding_dedup, "search_graph", lambda index, threshold, beam: spark.createDataFrame([], "a long, b long, links binary"), raising=False)
     with pytest.raises(ValueError, match="recall"):
         embedding_dedup.near_duplicates(df)
 
@@ -367,19 +473,66 @@ def test_pieces_equal_the_library():
     model, rng = pieces.PieceModel(path), random.Random(2)
     for _ in range(300):
         t = " ".join("".join(rng.choice(["th", "er", "in", "a", "é", "ing", "st", "x", "qu", "ö", "Z", "."]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12)))
-        assert model.segment("▁" + t.replace(" ", "▁")) == library.encode(t)
+        assert model.segment("▁" + t.replace(" ", "▁"))[1] == library.encode(t)
         assert model.decode(np.array(library.encode(t))).decode() == library.decode(library.encode(t)) == t
 
 
+def _best_pieces(model, text):
+    """Plain dynamic programme over the whole text."""
+    text = "▁" + text.replace(" ", "▁")
+    best, back = [0.0], [0]
+    for t in range(1, len(text) + 1):
+        found = []
+        for a in range(max(0, t - model.longest), t):
+            if (hit := model.scores.get(text[a:t])) is not None:
+                found.append((best[a] + hit[0], t - a, a))
+            elif a == t - 1:
+                found.append((best[a] + model.unknown, 1, a))
+        top = max(found)
+        best.append(top[0])
+        back.append(top[2])
+    cuts = [len(text)]
+    while cuts[-1]:
+        cuts.append(back[cuts[-1]])
+    return model.ids(text, cuts[::-1])
+
+
+@pytest.fixture(scope="module")
+def plain_pieces(corpus):
+    model = pieces.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
+    return {i: _best_pieces(model, t) if t else [] for i, t in corpus.items()}
+
+
+@pytest.mark.parametrize("giant", [2000, 65536])
+def test_pieces_of_the_tables_equal_the_plain_programme(spark, corpus, plain_pieces, monkeypatch, giant):
+    monkeypatch.setattr(pieces.encode, "__defaults__", (giant, "doc_id", "text"))
+    got = {r.doc_id: (r.n_ids, r.ids_crc32, r.decoded_sha256, r.round_trip) for r in queries.op8_sentencepiece(spark, SF).collect()}
+    assert set(got) == set(corpus)
+    for i, t in corpus.items():
+        ids = plain_pieces[i]
+        assert got[i] == (len(ids), _crc(ids), hashlib.sha256((t or "").encode()).hexdigest(), True)
+
+
+def test_pieces_refuse_models_that_change_texts(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto.FromString(open(queries.tokenizer_path("piece_bpe_32k.model"), "rb").read())
+    m.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "other.model"
+    path.write_bytes(m.SerializeToString())
+    with pytest.raises(ValueError, match="leave texts"):
+        pieces.PieceModel(str(path))
+
+
 def test_pieces_in_chunks_and_back(spark, docs, none, monkeypatch):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     monkeypatch.setattr(pieces, "CHUNK", 40)
     rng = random.Random(8)
-    cases = [(i, "".join(rng.choice("abtheringst  \n中é") for _ in range(rng.randint(0, 500)))) for i in range(40)] + [(100, None), (101, ""), (102, " x")]
+    cases = [(i, "".join(rng.choice("abtheringst  \n中é") for _ in range(rng.randint(0, 500)))) for i in range(40)] + [(100, None), (101, ""), (102, " x"), (103, "e" * 300), (104, "=" * 170 + " " * 90 + "ther" * 40), (105, "▁a▁" * 60)]
     df = spark.createDataFrame(cases, "doc_id long, text string")
     whole, parts = ({r.doc_id: list(r.ids) for r in pieces.encode(df, path, giant=n).collect()} for n in (10**9, 50))
     model = pieces.PieceModel(path)
-    assert whole == parts and all(whole[i] == (model.segment("▁" + t.replace(" ", "▁")) if t else []) for i, t in cases)
+    assert whole == parts and all(whole[i] == (_best_pieces(model, t) if t else []) for i, t in cases)
     assert all(r.round_trip for r in pieces.decode(pieces.encode(docs, path), path).collect())
     assert pieces.decode(pieces.encode(none, path), path).count() == 0
 
@@ -417,6 +570,27 @@ def test_members_open_alone():
     assert gzip.decompress(warc.deflate(raw[3])) == raw[3]
 
 
+def test_archives_from_elsewhere(spark):
+    import gzip
+
+    page = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello"
+    lines = ["WARC/1.0", "WARC-Type: {}", "WARC-Record-ID: <urn:uuid:{}>", "X-Note: \u00e9".encode("latin-1").decode("latin-1"), "Content-Length: {}"]
+    make = lambda kind, i, body: "\r\n".join(lines).format(kind, f"12345678-1234-5678-1234-00000000000{i}", len(body)).encode("latin-1") + b"\r\n\r\n" + body + b"\r\n\r\n"
+    raw = [make("warcinfo", 1, b"software: x"), make("response", 2, page), make("response", 3, b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 9)]
+    archives = spark.createDataFrame([("many", b"".join(gzip.compress(x) for x in raw)), ("one", gzip.compress(b"".join(raw)))], "name string, content binary")
+    made = warc.normalise(archives)
+    index = warc.sidecar(made)
+    rows = {(r.payload_bytes, r.payload_digest) for r in warc.read_records(made, index).collect()}
+    assert rows == {(5, warc.digest(b"hello")), (2304, warc.digest(bytes(range(256)) * 9))}
+    whole = {r.name: r.content for r in made.select("name", "content").collect()}
+    for r in index.collect():  # any gzip reader opens the file, and a member alone
+        assert gzip.decompress(whole[r.name][r.offset : r.offset + r.length]) in raw
+    assert gzip.decompress(whole["one"]) == gzip.decompress(whole["many"]) == b"".join(raw)
+    for bad, why in ((raw[1].replace(b"Content-Length", b"Length"), "Content-Length"), (raw[1].replace(b"WARC-Type", b"Type"), "WARC-Type"), (raw[1][:-9], "inside")):
+        with pytest.raises(Exception, match=why):
+            warc.normalise(spark.createDataFrame([("bad", gzip.compress(bad))], "name string, content binary")).collect()
+
+
 # languages
 
 
@@ -454,6 +628,43 @@ def test_pipeline_stages(spark, docs, none):
         assert steps[name](spark, none, SF).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    cases = [(5, "a"), (5, "b"), (9, "a"), (9, "A"), (9, "A"), (None, "c"), (None, "c"), (None, "d"), (None, "a"), (None, None), (1, ""), (7, text), (7, f"{text} x"), (7, f"{text} x"), (None, f"{text} x y"), (7, "other text")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(cases)], "doc_id long, text string, _sha int").repartition(3)
+    steps = dict(corpus_pipeline.STAGES)
+    exact = steps["exact_dedup"](spark, df, SF).collect()
+    low = sorted((r.text or "").lower() for r in exact)
+    assert low == sorted({(t or "").lower() for _, t in cases})
+    ids = {(r.text or "").lower(): r.doc_id for r in exact}
+    assert ids["a"] == 9 and ids["b"] == 5 and ids["c"] is ids["d"] is None and ids[""] == 1 and ids[f"{text} x"] == 7
+    near = [(r.doc_id, r.text) for r in steps["near_dedup"](spark, df, SF).collect()]
+    assert sorted(t.lower() for _, t in near if t and len(t) < 20) == ["a", "b", "c", "d", "other text"] and sum(not t for _, t in near) == 2
+    assert len([t for _, t in near if t and t.startswith("w0 ")]) == 1 and (7, "other text") in near and len(near) == 8
+
+
+def test_pipeline_equals_its_operators(spark):
+    """run() against the stages' own rules applied to plain rows: what each drops, keeps and packs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = langid.fit(docs)
+    judged = {r.doc_id: r for r in langid.predict(docs, net).collect()}
+    left = {r.doc_id: r.text or "" for r in docs.collect() if judged[r.doc_id].lang_pred != "und" and judged[r.doc_id].score >= corpus_pipeline.LEAST_SCORE}
+    last = {}
+    for i, t in sorted(left.items()):
+        last[re.sub("[A-Z]", lambda m: m[0].lower(), t)] = i
+    left = {i: left[i] for i in last.values()}
+    near = _near_brute(sorted(left.items()))
+    left = {i: t for i, t in left.items() if near[i][1] == i}
+    clean = secrets.redact(spark.createDataFrame(sorted(left.items()), "doc_id long, text string"))
+    want = {}
+    for r in packing.pack_documents(clean, queries.tokenizer_path()).collect():
+        want.setdefault(r.doc_id, set()).add(r.doc_tokens)
+    got = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got.setdefault(r.doc_id, set()).add(r.doc_tokens)
+    assert got == want
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.columns[0] == "doc_id"
