@@ -17,6 +17,7 @@ from .common import lower_ascii, slices, text_bytes
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 TRAIN_PER_LANGUAGE, TRAIN_WINDOWS = 400, 6
+MOST_LANGUAGES = 64  # the most frequent ones are learned
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 UNKNOWN = "und"
 
@@ -99,15 +100,17 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork:
     """Train on about TRAIN_PER_LANGUAGE documents a language (fewer where there are fewer).
 
-    The sample is drawn by a hash of the id among rows with text and language that are not held out;
-    TRAIN_WINDOWS windows spread over each text are used.  Only these come to the driver.
+    The sample is drawn by a hash of id and text among rows with text and language that are not held out,
+    and rows alike in both count once; TRAIN_WINDOWS windows spread over each text are used.  Only these
+    come to the driver, of at most MOST_LANGUAGES languages.
     """
     known = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit("train")))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return ByteNetwork([], *[np.zeros((0, 0), np.float32)] * 5)
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, TRAIN_PER_LANGUAGE / n)))), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < share * (1 << 20))
+    sample = known.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "h"])
     size = F.length("text")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring("text", (i * F.greatest(size - WINDOW, F.lit(0)) / (TRAIN_WINDOWS - 1)).cast("int") + 1, WINDOW))
     rows = sorted(((r.doc_id, r.lang, r.p) for r in sample.select("doc_id", "lang", F.array_distinct(pieces).alias("p")).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
