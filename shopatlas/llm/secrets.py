@@ -1,8 +1,8 @@
 """Secret scan: keyword prefilter, anchored expressions at the hits, embedded checksums.
 
 An Aho-Corasick automaton runs once over a whole Arrow batch of lower-cased bytes; an expression
-is tried only where one of its keywords ends.  Tokens with an embedded CRC-32 (fixed public
-formats) are reported only when it holds.
+is tried only where one of its keywords ends.  Tokens with an embedded checksum (fixed public
+formats: CRC-32 in base 62, twofold SHA-256 in base 58) are reported only when it holds.
 """
 from __future__ import annotations
 
@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, lower_ascii, text_bytes
 
 # Kinds in the order in which they are listed at equal starts.
-KINDS = ("assign", "access", "hex", "forge", "registry")
-KEYWORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "forge": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "registry": ("npm_",)}
+KINDS = ("assign", "access", "hex", "forge", "registry", "wallet")
+KEYWORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "forge": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "registry": ("npm_",), "wallet": ("xprv", "yprv", "zprv")}
 PATTERNS = {
     "assign": re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
     "forge": re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "registry": re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
+    "wallet": re.compile(rb"[xyz]prv[1-9A-HJ-NP-Za-km-z]{107}(?![A-Za-z0-9])"),
 }
+CHECKED = ("forge", "registry", "wallet")  # stand free of letters and digits on the left, and hold a checksum
+BASE58 = b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_RUN = 32
 
@@ -40,11 +43,24 @@ def base62_crc32(body: bytes) -> bytes:
     return out
 
 
+def base58_holds(token: bytes) -> bool:
+    """Whether the last four of 82 bytes are the start of the twofold SHA-256 of the others."""
+    x = 0
+    for c in token:
+        x = x * 58 + BASE58.index(c)
+    if x >= 1 << (82 * 8):
+        return False
+    raw = x.to_bytes(82, "big")
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
 def _holds(kind: str, m: re.Match) -> bool:
     if kind == "assign":
         return m.end(1) - m.start(1) >= 8
     if kind == "access":
         return m.end() - m.start() >= 16
+    if kind == "wallet":
+        return base58_holds(m[0])
     return base62_crc32(m[1]) == m[2]
 
 
@@ -89,6 +105,8 @@ def find(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int
         if start < done[kind]:
             continue
         k = int(np.searchsorted(offsets, start, side="right")) - 1
+        if kind in CHECKED and start > offsets[k] and raw[start - 1 : start].isalnum():
+            continue
         if (m := PATTERNS[kind].match(raw, start, int(offsets[k + 1]))) is None:
             continue
         done[kind] = m.end()
