@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, hot_keys, in_bloom, materialise, salted_join
+from .common import bloom_of, hash_partitions, hot_keys, in_bloom, materialise, salted_join
 
-ARCHIVE_BYTES = 32 << 20
+ARCHIVE_BYTES, ARCHIVES_A_TASK = 32 << 20, 2
 LEVEL = 1
 DATE = "1970-01-01T00:00:00Z"
 _NULL = 1 << 64
@@ -216,8 +216,11 @@ def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    members = index.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members"))  # of one archive, which is of bounded size
-    return archives.select("name", "content").join(members.hint("merge"), "name").select("content", "members").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # archives are large: they are dealt by their number, a few to a task
+    tasks = max(hash_partitions(archives.sparkSession), -(-archives.count() // ARCHIVES_A_TASK))
+    members = index.repartition(tasks, "name").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members"))  # of one archive, which is of bounded size
+    whole = archives.select("name", "content").repartition(tasks, "name")
+    return whole.join(members.hint("merge"), "name").select("content", "members").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
