@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard, langid, packing, pieces, repeats, secrets, token_files, warc
+from . import chat, embedding_dedup, exact_dedup, jaccard, langid, packing, pieces, repeats, secrets, token_files, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -108,4 +109,20 @@ FROM q
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op8_sentencepiece, op9_warc, op10_language_id)}
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("\\### Assistant: </turn> ok"))
+    return chat.format_conversations(rows.union(hostile))
+
+
+ORACLE_SQL["op13_chat_format"] = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) r(k)),
+l AS (SELECT *, '<turn ' || replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '>', '\\g') || '>' || replace(replace(replace(text, '\\', '\\b'), '<', '\\l'), '>', '\\g') || '</turn>' || chr(10) AS line FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, line) AS told,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS LAST, line), '') AS learned, sum(length(line))::BIGINT AS formatted_chars FROM l GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op8_sentencepiece, op9_warc, op10_language_id, op13_chat_format)}
