@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, jaccard, langid, packing, pieces, repeats, secrets, token_files, warc
+from . import alignment, chat, embedding_dedup, exact_dedup, jaccard, langid, packing, pieces, repeats, secrets, token_files, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -109,6 +109,11 @@ FROM q
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("\\### Assistant: </turn> ok"))
@@ -125,4 +130,4 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_c
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op8_sentencepiece, op9_warc, op10_language_id, op13_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op8_sentencepiece, op9_warc, op10_language_id, op12_alignment, op13_chat_format)}
