@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, embedding_dedup, exact_dedup, jaccard, langid, packing, pieces, repeats, secrets, token_files, warc
+from . import alignment, chat, collocations, embedding_dedup, exact_dedup, jaccard, langid, packing, pieces, repeats, secrets, token_files, warc
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -109,6 +109,27 @@ FROM q
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_collocations"] = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents),
+w AS MATERIALIZED (SELECT lang, t FROM (SELECT lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS t FROM p) WHERE len(t) > 0),
+one AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(t) AS x FROM w) GROUP BY 1, 2),
+two AS MATERIALIZED (SELECT lang, a, b, count(*) AS f FROM (SELECT lang, t[i] AS a, t[i + 1] AS b FROM (SELECT lang, t, unnest(range(1, len(t))) AS i FROM w)) GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+three AS MATERIALIZED (SELECT lang, a, b, c, count(*) AS f FROM (SELECT lang, t[i] AS a, t[i + 1] AS b, t[i + 2] AS c FROM (SELECT lang, t, unnest(range(1, len(t) - 1)) AS i FROM w)) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+c AS (SELECT two.lang, two.a || ' ' || two.b AS phrase, two.f AS a, x.f AS l, y.f AS r, 1 AS k FROM two JOIN one x ON x.lang = two.lang AND x.x = two.a JOIN one y ON y.lang = two.lang AND y.x = two.b
+    WHERE NOT EXISTS (SELECT 1 FROM three t WHERE t.lang = two.lang AND t.a = two.a AND t.b = two.b AND 100 * t.f >= 50 * two.f) AND NOT EXISTS (SELECT 1 FROM three t WHERE t.lang = two.lang AND t.b = two.a AND t.c = two.b AND 100 * t.f >= 50 * two.f)
+  UNION ALL SELECT t.lang, concat_ws(' ', t.a, t.b, t.c), t.f, x.f, y.f, 1 FROM three t JOIN one x ON x.lang = t.lang AND x.x = t.a JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+  UNION ALL SELECT t.lang, concat_ws(' ', t.a, t.b, t.c), t.f, x.f, y.f, 2 FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one y ON y.lang = t.lang AND y.x = t.c),
+s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM c),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, n.n, o.score FROM o JOIN (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang) n ON n.lang = o.lang WHERE o.rank <= 2000
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
     return found.withColumnRenamed("groups", "groups_sha256")
@@ -130,4 +151,4 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_c
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op8_sentencepiece, op9_warc, op10_language_id, op12_alignment, op13_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_repeats, op4_secrets, op5_exact_dedup, op6_token_output, op7_embedding_dedup, op8_sentencepiece, op9_warc, op10_language_id, op11_collocations, op12_alignment, op13_chat_format)}
