@@ -24,7 +24,7 @@ from .bpe import WordTable, word_table
 from .common import bound_batches, materialise, slices, text_bytes
 from .pieces import SPACE, PieceModel
 
-SLICE_TEXT = 4 << 20
+SLICE_TEXT = 1 << 20
 DOC_BITS = 40  # of a (document, end) key, below the document's number in its slice: ends of up to a terabyte
 
 
