@@ -38,14 +38,18 @@ def _named_points(locations: DataFrame, chain: str = "chain_id") -> DataFrame:
 
 
 def same_store_edges(locations: DataFrame, radius_m: float = RADIUS_M, chain: str = "chain_id") -> DataFrame:
-    """Edges (left_id, right_id) that connect the same stores as ``same_name_pairs`` does, in number in proportion to the rows.
+    """Edges (left_id, right_id) that connect the same stores as ``same_name_pairs`` does, in number in proportion to the rows."""
+    store = [chain, "norm_name"]
+    return near_edges(materialise(_named_points(locations, chain).select("id", *store, "lng", "lat"), "named"), radius_m, store)
+
+
+def near_edges(named: DataFrame, radius_m: float, store: list[str]) -> DataFrame:
+    """Edges (left_id, right_id) that connect all rows (id, lng, lat and the ``store`` columns) within the radius of each other.
 
     Rows at one place are tied to the first of them, places in one fine cell (less than the radius across)
     to the cell's first place, and cells to each other by their first places.  Only places with a neighbour
     cell that is still apart are compared one by one.
     """
-    store = [chain, "norm_name"]
-    named = materialise(_named_points(locations, chain).select("id", *store, "lng", "lat"), "named")
     places = named.groupBy(*store, "lng", "lat").agg(F.min("id").alias("place"))
     step = radius_m / 2 / geo.METRES_PER_DEGREE
     fy = F.floor((F.col("lat") + 90.0) / step)
@@ -140,19 +144,3 @@ def greedy_losers(locations: DataFrame, radius_m: float = RADIUS_M, chain: str =
 def deleted_by_chain(locations: DataFrame, clusters: DataFrame, chain: str = "chain_id") -> DataFrame:
     gone = clusters.where(~F.col("keep")).select("id")
     return locations.join(gone.hint("merge"), "id", "left_semi").groupBy(chain).agg(F.count("*").alias("deleted"))
-
-
-def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
-    """``batch`` with the external id under which each store is already known.
-
-    Both have chain_id, external_id, name, lng, lat, and the batch an ``ordinal``.  A store takes the
-    id of the first store of its chain with the same normalised name within the radius: stored ones
-    first (by id), then earlier ones of the batch.  Without name or coordinates it keeps its own.
-    """
-    key = ["chain_id", "external_id"]
-    stored = snapshot.select(*key, "name", "lng", "lat", F.lit(-1).cast("long").alias("ordinal"))
-    pool = stored.unionByName(batch.select(*key, "name", "lng", "lat", F.col("ordinal").cast("long").alias("ordinal")))
-    pool = pool.withColumn("norm_name", text.store_name(F.col("name"))).where("norm_name <> ''").withColumn("rank", F.struct("ordinal", "external_id"))
-    pairs = radius_pairs(pool.where("ordinal >= 0"), pool, radius_m, on=("chain_id", "norm_name"), left_id="ordinal", right_id="rank")
-    best = pairs.where(F.col("right_id.ordinal") <= F.col("left_id")).groupBy("left_id").agg(F.min("right_id").alias("best")).select(F.col("left_id").alias("ordinal"), F.col("best.external_id").alias("known_id"))
-    return batch.join(best.hint("merge"), "ordinal", "left").withColumn("external_id", F.coalesce("known_id", "external_id")).drop("known_id")

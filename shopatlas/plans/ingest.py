@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, scope
-from ..operators import resolve, upsert
+from ..operators import canonical, upsert
 from .storage import materialise
 
 KEYS = ["chain_id", "external_id"]
@@ -46,6 +46,6 @@ def ingest(snapshot: DataFrame, records: DataFrame) -> Ingested:
     """
     tagged = materialise(tag(records), "batch")
     valid = materialise(to_wgs(tagged.where("reason is null")), "converted")
-    named = resolve.canonical_ids(snapshot, valid)
+    named = canonical.canonical_ids(snapshot, valid)
     out = upsert.upsert(snapshot, named, KEYS, VALUES, KEPT)
     return Ingested(out, tagged.where("reason is not null"), run_metrics(tagged))

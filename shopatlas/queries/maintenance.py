@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, scope
-from ..operators import reconcile, resolve, stats, tiling, upsert
+from ..operators import canonical, reconcile, resolve, stats, tiling, upsert
+from ..plans.storage import materialise
 from .book import Book
 from .functions import IDENTITY, LOCATED, city_sql, name_sql
 from .search import FULL, haversine_sql
@@ -25,36 +26,56 @@ c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY 1),
 k AS (SELECT c.*, row_number() OVER (PARTITION BY cluster ORDER BY len(coalesce(address, '')) DESC, len(coalesce(district, '')) DESC, len(coalesce(city, '')) DESC, c.id) AS rn FROM c JOIN location l ON l.id = c.id)
 SELECT id, cluster, rn = 1 AS keep FROM k""")
 def dedupe_clusters(t):
-    return resolve.duplicate_clusters(geo.with_wgs84(t.location))
+    return resolve.duplicate_clusters(located(t))
 
 
 @BOOK.add()
 def dedupe_greedy(t):
     """The greedy mode depends on the order of its own steps, which SQL cannot replay."""
-    return resolve.duplicate_clusters(geo.with_wgs84(t.location), mode="greedy")
+    return resolve.duplicate_clusters(located(t), mode="greedy")
 
 
 @BOOK.add(f"""WITH RECURSIVE e AS MATERIALIZED ({_NEAR}), r(a, b) AS (SELECT id, id FROM location UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY 1), k AS (SELECT l.chain_id, row_number() OVER (PARTITION BY cluster ORDER BY len(coalesce(address, '')) DESC, len(coalesce(district, '')) DESC, len(coalesce(city, '')) DESC, c.id) AS rn FROM c JOIN location l ON l.id = c.id)
 SELECT chain_id, count(*) AS deleted FROM k WHERE rn > 1 GROUP BY 1""")
 def dedupe_deleted(t):
-    return resolve.deleted_by_chain(t.location, resolve.duplicate_clusters(geo.with_wgs84(t.location)))
+    return resolve.deleted_by_chain(t.location, resolve.duplicate_clusters(located(t)))
+
+
+def located(t):
+    """Locations with WGS-84 coordinates, written: else the conversion is repeated inside every distance."""
+    return materialise(geo.with_wgs84(t.location), "located")
 
 
 def _halves(t):
-    located = geo.with_wgs84(t.location)
-    old, new = located.where("id % 4 = 0"), located.where("id % 4 <> 0").withColumn("ordinal", F.col("id"))
+    rows = located(t)
+    old, new = rows.where("id % 4 = 0"), rows.where("id % 4 <> 0").withColumn("ordinal", F.col("id"))
     return old.withColumn("external_id", F.concat(F.lit("s"), F.col("id").cast("string"))), new.withColumn("external_id", F.concat(F.lit("b"), F.col("id").cast("string")))
 
 
 _POOL = f"SELECT id, chain_id, cust, lng, lat, CASE WHEN id % 4 = 0 THEN concat('s', CAST(id AS STRING)) ELSE concat('b', CAST(id AS STRING)) END AS e, CASE WHEN id % 4 = 0 THEN -1 ELSE id END AS o, {name_sql('name')} AS nn FROM {LOCATED}"
-RESOLVED = f"""SELECT b.id, coalesce((SELECT min(struct_pack(o := p.o, e := p.e)).e FROM ({_POOL}) p WHERE p.chain_id = b.chain_id AND p.nn = b.nn AND p.cust = b.cust AND p.o <= b.o AND {haversine_sql('b.lng', 'b.lat', 'p.lng', 'p.lat')} <= 50), b.e) AS external_id FROM ({_POOL}) b WHERE b.o >= 0"""
 
 
-@BOOK.add(RESOLVED)
+def resolved_sql(pool: str) -> str:
+    """id, external_id of the batch rows (o >= 0) of a pool (id, chain_id, cust, lng, lat, e, o), taken one after another.
+
+    Each store (chain and customer) walks through its own rows: ``rows`` is what the table holds of it, ``seen`` the cells met.
+    """
+    near = haversine_sql("q.lng", "q.lat", "s.lng", "s.lat")
+    return f"""WITH RECURSIVE pool AS MATERIALIZED (SELECT *, round(lng, 4) AS cx, round(lat, 4) AS cy, row_number() OVER (PARTITION BY chain_id, cust ORDER BY o, e) AS k FROM ({pool}) WHERE lng IS NOT NULL),
+walk AS (SELECT DISTINCT chain_id, cust, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS x, []::STRUCT(n BIGINT, e VARCHAR, lng DOUBLE, lat DOUBLE)[] AS rows, []::STRUCT(cx DOUBLE, cy DOUBLE, e VARCHAR)[] AS seen FROM pool
+  UNION ALL SELECT chain_id, cust, k, CASE WHEN o >= 0 THEN id END, x,
+    list_append(list_filter(rows, lambda q: q.e <> x), struct_pack(n := coalesce(list_filter(rows, lambda q: q.e = x)[1].n, k), e := x, lng := lng, lat := lat)),
+    CASE WHEN o >= 0 THEN list_append(seen, struct_pack(cx := cx, cy := cy, e := x)) ELSE seen END
+  FROM (SELECT s.*, CASE WHEN s.o < 0 THEN s.e ELSE coalesce(list_filter(s.seen, lambda c: c.cx = s.cx AND c.cy = s.cy)[1].e, list_sort(list_filter(s.rows, lambda q: {near} <= 50))[1].e, s.e) END AS x
+    FROM (SELECT p.*, w.rows, w.seen FROM walk w JOIN pool p ON p.chain_id = w.chain_id AND p.cust = w.cust AND p.k = w.k + 1) s))
+SELECT id, x AS external_id FROM walk WHERE id IS NOT NULL"""
+
+
+@BOOK.add(resolved_sql(_POOL) + f" UNION ALL SELECT id, e FROM ({_POOL}) WHERE o >= 0 AND lng IS NULL")
 def resolve_ids(t):
     old, new = _halves(t)
-    return resolve.canonical_ids(old, new).select("id", "external_id")
+    return canonical.canonical_ids(old, new).select("id", "external_id")
 
 
 @BOOK.add("""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, external_id ORDER BY id DESC) AS rn FROM location WHERE id % 3 > 0) WHERE rn = 1),

@@ -7,8 +7,9 @@ from ..operators import stats
 from ..plans import export, ingest, storage
 from ..streaming import ingest as streaming
 from .book import Book, Tables
-from .functions import name_sql, reason_sql, wgs_sql
-from .search import _EXPORT, FULL, _full, _parts, haversine_sql
+from .functions import reason_sql, wgs_sql
+from .maintenance import resolved_sql
+from .search import _EXPORT, FULL, _full, _parts
 
 BOOK = Book()
 
@@ -79,9 +80,9 @@ def _batches(t: Tables):
     return old.select(*ingest.KEYS, *ingest.VALUES, *ingest.KEPT), base.where("id % 5 <> 0")
 
 
-_WGS = f"SELECT l.id, l.chain_id, l.cust, concat('e', CAST(l.id AS STRING)) AS e, l.name, l.seen_at, r.reason, w.lng, w.lat, {name_sql('l.name')} AS nn, CASE WHEN l.id % 5 = 0 THEN -1 ELSE l.id END AS o FROM location l JOIN ({reason_sql()}) r ON r.id = l.id JOIN ({wgs_sql()}) w ON w.id = l.id WHERE l.lng IS NOT NULL AND (l.id % 5 = 0 OR r.reason IS NULL)"
+_WGS = f"SELECT l.id, l.chain_id, l.cust, concat('e', CAST(l.id AS STRING)) AS e, l.name, l.seen_at, r.reason, w.lng, w.lat, CASE WHEN l.id % 5 = 0 THEN -1 ELSE l.id END AS o FROM location l JOIN ({reason_sql()}) r ON r.id = l.id JOIN ({wgs_sql()}) w ON w.id = l.id WHERE l.lng IS NOT NULL AND (l.id % 5 = 0 OR r.reason IS NULL)"
 _INGESTED = f"""WITH p AS MATERIALIZED ({_WGS}),
-b AS (SELECT p.*, coalesce((SELECT min(struct_pack(o := q.o, e := q.e)).e FROM p q WHERE q.chain_id = p.chain_id AND q.nn = p.nn AND q.cust = p.cust AND q.o <= p.o AND {haversine_sql('p.lng', 'p.lat', 'q.lng', 'q.lat')} <= 50), p.e) AS x FROM p WHERE o >= 0),
+b AS (SELECT p.*, r.external_id AS x FROM p JOIN ({resolved_sql('p')}) r ON r.id = p.id),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, x ORDER BY id DESC) AS rn FROM b) WHERE rn = 1),
 s AS (SELECT * FROM p WHERE o < 0)
 SELECT coalesce(n.chain_id, s.chain_id) AS chain_id, coalesce(n.x, s.e) AS external_id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE s.name END AS name, round(CASE WHEN n.id IS NOT NULL THEN n.lng ELSE s.lng END, 6) AS lng, coalesce(s.seen_at, n.seen_at) AS created_at

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scope
 from ..operators import search as ops
 from ..operators import stats
+from ..plans.storage import materialise
 from .book import Book, Tables
 from .functions import LOCATED
 
@@ -108,7 +109,7 @@ FROM {LOCATED} a JOIN {LOCATED} b ON a.chain_id = b.chain_id AND a.cust = b.cust
 def radius_pairs(t):
     from ..operators.resolve import same_name_pairs
 
-    return same_name_pairs(geo.with_wgs84(t.location)).select("left_id", "right_id", F.round("distance_m", 3).alias("distance_m"))
+    return same_name_pairs(materialise(geo.with_wgs84(t.location), "located")).select("left_id", "right_id", F.round("distance_m", 3).alias("distance_m"))
 
 
 @BOOK.add(f"SELECT {ROW} FROM ({FULL}) WHERE name ILIKE '%customer%1_店%' OR address ILIKE '%customer%1_店%' OR city ILIKE '%customer%1_店%'")
