@@ -1,7 +1,6 @@
 """Known ids for a batch of stores, as if its records were resolved and upserted one after the other."""
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from ..functions import geo, text
 from ..plans.storage import materialise
 from .components import connected_components
 from .resolve import RADIUS_M, near_edges
+from .sphere import Grid
 
 PLACE = ["chain_id", "norm_name", "lng", "lat"]
 CELL = ["chain_id", "norm_name", "cx", "cy"]
@@ -45,27 +45,14 @@ class _Table:
     """The rows that a component's records see: where each id stands now, the first written first."""
 
     def __init__(self, radius_m: float):
-        self.radius = radius_m
         self.rows: dict[tuple, tuple] = {}
-        self.grid: dict[tuple, dict[tuple, int]] = {}
+        self.grid = Grid(radius_m)
         self.known: dict[tuple, str] = {}
 
-    def _cube(self, lng: float, lat: float) -> tuple[int, int, int]:
-        """Cell of a cubic grid through the globe: no poles, no date line."""
-        x, y = math.radians(lng), math.radians(lat)
-        size = geo.EARTH_RADIUS_M / self.radius
-        return (math.floor(size * math.cos(y) * math.cos(x)), math.floor(size * math.cos(y) * math.sin(x)), math.floor(size * math.sin(y)))
-
     def near(self, store: tuple, lng: float, lat: float):
         """The id of the first row of the same store within the radius."""
-        x, y, z = self._cube(lng, lat)
-        best = None
-        for cube in ((x + i, y + j, z + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)):
-            for key in self.grid.get((store, *cube), ()):
-                rank, _, at_lng, at_lat = self.rows[key]
-                if (best is None or rank < best[0]) and metres(lng, lat, at_lng, at_lat) <= self.radius:
-                    best = (rank, key[1])
-        return best[1] if best else None
+        found = self.grid.near(lng, lat, store)
+        return min(found, key=lambda key: self.rows[key][0])[1] if found else None
 
     def write(self, key: tuple, store: tuple | None, lng: float, lat: float) -> None:
         """Insert or move a row; one without a place can't be found."""
@@ -73,17 +60,10 @@ class _Table:
         if key in self.rows:
             rank, old, at_lng, at_lat = self.rows[key]
             if old:
-                del self.grid[(old, *self._cube(at_lng, at_lat))][key]
+                self.grid.remove(key, at_lng, at_lat, old)
         self.rows[key] = (rank, store, lng, lat)
         if store:
-            self.grid.setdefault((store, *self._cube(lng, lat)), {})[key] = rank
-
-
-def metres(lng1: float, lat1: float, lng2: float, lat2: float) -> float:
-    """Great-circle distance, as ``geo.distance_m``."""
-    dy, dx = math.radians(lat2 - lat1) / 2, math.radians(lng2 - lng1) / 2
-    h = math.sin(dy) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(dx) ** 2
-    return 2 * geo.EARTH_RADIUS_M * math.asin(math.sqrt(min(h, 1.0)))
+            self.grid.add(key, lng, lat, store)
 
 
 def _replayed(radius_m: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -32,7 +32,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
-def _named_points(locations: DataFrame, chain: str = "chain_id") -> DataFrame:
+def named_points(locations: DataFrame, chain: str = "chain_id") -> DataFrame:
     """Located rows with a usable name, and their normalised name."""
     return locations.withColumn("norm_name", text.store_name(F.col("name"))).where("norm_name <> '' and lng is not null and lat is not null")
 
@@ -40,7 +40,7 @@ def _named_points(locations: DataFrame, chain: str = "chain_id") -> DataFrame:
 def same_store_edges(locations: DataFrame, radius_m: float = RADIUS_M, chain: str = "chain_id") -> DataFrame:
     """Edges (left_id, right_id) that connect the same stores as ``same_name_pairs`` does, in number in proportion to the rows."""
     store = [chain, "norm_name"]
-    return near_edges(materialise(_named_points(locations, chain).select("id", *store, "lng", "lat"), "named"), radius_m, store)
+    return near_edges(materialise(named_points(locations, chain).select("id", *store, "lng", "lat"), "named"), radius_m, store)
 
 
 def near_edges(named: DataFrame, radius_m: float, store: list[str]) -> DataFrame:
@@ -95,52 +95,12 @@ def duplicate_clusters(locations: DataFrame, radius_m: float = RADIUS_M, mode: s
     if mode == "components":
         best = scored.groupBy("cluster").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
         return scored.join(best.hint("merge"), "cluster").select("id", "cluster", (F.col("id") == F.col("best")).alias("keep"))
+    from .greedy import greedy_losers
+
     gone = greedy_losers(locations, radius_m).withColumn("gone", F.lit(True))
     return labels.join(gone.hint("merge"), "id", "left").select("id", "cluster", F.col("gone").isNull().alias("keep"))
 
 
-def greedy_losers(locations: DataFrame, radius_m: float = RADIUS_M, chain: str = "chain_id") -> DataFrame:
-    """Ids that the greedy rule drops, found in rounds of joins.
-
-    All rows at one place have the same neighbours, so the first store that takes one of them takes all:
-    a place is a node that has its smallest id (the next to absorb) and its most complete row.  A place
-    acts in a round when no other within two steps of it acts before it by id; those that act together
-    can't touch each other's neighbours.
-    """
-    score = text.richness(F.col("address"), F.col("district"), F.col("city"))
-    store = [chain, "norm_name"]
-    rows = materialise(_named_points(locations, chain).select("id", *store, "lng", "lat", score.alias("score")), "rows")
-    rank = F.struct("score", -F.col("id"))
-    places = rows.groupBy(*store, "lng", "lat").agg(F.min("id").alias("place"), F.max_by("id", rank).alias("top"), F.max("score").alias("top_score"), F.min_by("score", "id").alias("first_score"))
-    places = materialise(places, "places")
-    pairs = radius_pairs(places, places, radius_m, on=tuple(store), left_id="place", right_id="place").where("left_id <> right_id")
-    near = materialise(pairs.select(F.col("left_id").alias("place"), F.col("right_id").alias("other")).union(places.select("place", F.col("place").alias("other"))), "near")
-    # next: the id that is still to act (null: none); alive: the row that still stands at a touched place
-    state = places.select("place", F.col("place").alias("next"), F.col("top").alias("alive"), F.col("top_score").alias("alive_score"), F.col("first_score").alias("next_score"))
-    while True:
-        state = materialise(state, "state")
-        waiting = state.where("next is not null").select("place", "next")
-        if waiting.isEmpty():
-            break
-        one = near.join(waiting.withColumnRenamed("place", "other").hint("merge"), "other").groupBy("place").agg(F.min("next").alias("least"))
-        two = near.join(one.withColumnRenamed("place", "other").hint("merge"), "other").groupBy("place").agg(F.min("least").alias("least"))
-        acting = waiting.join(two.hint("merge"), "place").where("next = least").select(F.col("place").alias("by"), F.col("next").alias("seed"))
-        acting = acting.join(state.select(F.col("place").alias("by"), F.col("next_score").alias("seed_score")).hint("merge"), "by")
-        reach = near.withColumnRenamed("place", "by").join(acting.hint("merge"), "by").select("by", "seed", "seed_score", F.col("other").alias("place"))
-        touched = materialise(reach.join(state.select("place", "alive", "alive_score").hint("merge"), "place", "left"), "touched")
-        best = touched.where("alive is not null").groupBy("by", "seed", "seed_score").agg(F.max(F.struct(F.col("alive_score").alias("score"), (-F.col("alive")).alias("minus"), F.col("place").alias("at"))).alias("b"))
-        # the store that absorbs wins among equals
-        own = F.col("seed_score") >= F.col("b.score")
-        won = best.select("by", F.when(own, F.col("seed")).otherwise(-F.col("b.minus")).alias("winner"), F.when(own, F.col("by")).otherwise(F.col("b.at")).alias("at"), F.col("b.score").alias("won_score"), F.col("seed").alias("by_seed"))
-        change = touched.select("by", "place").join(won.hint("merge"), "by").select("place", F.when(F.col("place") == F.col("at"), F.struct("winner", "won_score", "by_seed")).alias("c"), F.lit(True).alias("hit"))
-        after = state.join(change.hint("merge"), "place", "left")
-        hit = F.coalesce("hit", F.lit(False))
-        # a winner with a larger id than the one that absorbed is still to act itself
-        later = F.when(F.col("c.winner") > F.col("c.by_seed"), F.col("c.winner"))
-        state = after.select("place", F.when(hit, later).otherwise(F.col("next")).alias("next"), F.when(hit, F.col("c.winner")).otherwise(F.col("alive")).alias("alive"), F.when(hit, F.col("c.won_score")).otherwise(F.col("alive_score")).alias("alive_score"), F.when(hit, F.col("c.won_score")).otherwise(F.col("next_score")).alias("next_score"))
-    return rows.select("id").join(state.where("alive is not null").select(F.col("alive").alias("id")).hint("merge"), "id", "left_anti")
-
-
 def deleted_by_chain(locations: DataFrame, clusters: DataFrame, chain: str = "chain_id") -> DataFrame:
     gone = clusters.where(~F.col("keep")).select("id")
     return locations.join(gone.hint("merge"), "id", "left_semi").groupBy(chain).agg(F.count("*").alias("deleted"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopatlas import fixtures
 from shopatlas.functions import geo, text
-from shopatlas.operators import canonical
+from shopatlas.operators import canonical, sphere
 from shopatlas.plans import ingest
 
 STORED = "chain_id int, external_id string, name string, lng double, lat double"
@@ -25,7 +25,7 @@ def plain(stored, batch, names, radius=50.0):
         if located:
             cell = (c, name, round(x, 4), round(y, 4))
             if cell not in seen:
-                near = [k[1] for k, v in table.items() if k[0] == c and v[0] == name and v[1] is not None and v[2] is not None and canonical.metres(x, y, v[1], v[2]) <= radius]
+                near = [k[1] for k, v in table.items() if k[0] == c and v[0] == name and v[1] is not None and v[2] is not None and sphere.metres(x, y, v[1], v[2]) <= radius]
                 seen[cell] = near[0] if near else e
             known = seen[cell]
         if known is not None:

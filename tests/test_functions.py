@@ -208,19 +208,24 @@ def _greedy(stores):
     return set(alive)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_greedy_and_components_equal_plain_steps(spark, seed):
+@pytest.mark.parametrize("seed, replayed", [(0, 100_000), (1, 100_000), (2, 1)])
+def test_greedy_and_components_equal_plain_steps(spark, monkeypatch, seed, replayed):
     import random
 
+    from shopatlas.operators import greedy
+
+    monkeypatch.setattr(greedy, "REPLAYED", replayed)  # beyond it components go by rounds
+
     rng = random.Random(seed)
     rows = []
-    for k in range(160):
+    n = 160 if replayed > 1 else 40
+    for k in range(n):
         spot = rng.choice([(110 + rng.randint(0, 9) / 2500, 30 + rng.randint(0, 3) / 2500), (110 + rng.random() / 300, 30 + rng.random() / 900)])
         rows.append((k, rng.randint(1, 2), rng.choice(["店", "KFC店", "铺"]), "路" * rng.randint(0, 3), "区" * rng.randint(0, 1), None, *spot))
     rows += [(900, 1, "店", "x", None, None, None, None), (901, 1, "KFC", "x", None, None, 110.0, 30.0)]
     df = spark.createDataFrame(rows, "id long, chain_id int, name string, address string, district string, city string, lng double, lat double")
     groups = {}
-    for r in rows[:160]:
+    for r in rows[:n]:
         groups.setdefault((r[1], r[2].replace("KFC", "")), []).append((r[0], r[6], r[7], (len(r[3]), len(r[4]), 0)))
     kept = {r.id for r in resolve.duplicate_clusters(df, mode="greedy").collect() if r.keep}
     assert kept == set().union(*map(_greedy, groups.values())) | {900, 901}
@@ -234,6 +239,16 @@ def test_greedy_and_components_equal_plain_steps(spark, seed):
     assert {r.id: r.cluster for r in resolve.duplicate_clusters(df).collect()} == root
 
 
+def test_greedy_ends_on_a_long_chain(spark, monkeypatch):
+    from shopatlas.operators import greedy
+
+    monkeypatch.setattr(greedy, "survivors_by_rounds", None)  # no rounds at all
+    n = 10_000
+    df = spark.range(n).select("id", F.lit(1).alias("chain_id"), F.lit("店").alias("name"), F.lit("x").alias("address"), F.lit(None).cast("string").alias("district"), F.lit(None).cast("string").alias("city"), (110 + F.col("id") * 40 / 111195).alias("lng"), F.lit(0.0).alias("lat"))
+    kept = {r.id for r in resolve.duplicate_clusters(df, mode="greedy").collect() if r.keep}
+    assert kept == set(range(0, n, 2))
+
+
 def test_greedy_equals_plain_steps_on_the_table(spark):
     from conftest import SF
 
