@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..plans.storage import materialise
 from .components import connected_components
-from .resolve import RADIUS_M, near_edges
+from .resolve import RADIUS_M, cell_edges, with_cell
 from .sphere import Grid
 
 PLACE = ["chain_id", "norm_name", "lng", "lat"]
-CELL = ["chain_id", "norm_name", "cx", "cy"]
+CELL = ["chain_id", "norm_name", "rx", "ry"]
 CELL_REACH_M = 16.0  # two points of one cell of four decimals are not farther apart
 
 
@@ -29,16 +29,12 @@ def _cell(c: str) -> Column:
 
 
 def _linked(rows: DataFrame, radius_m: float) -> DataFrame:
-    """Edges (a, b) between nodes whose records may touch each other: places near each other, and all nodes of one id."""
-    places = materialise(rows.where("norm_name is not null").groupBy(*CELL, "lng", "lat").agg(F.first("node").alias("id")), "places")
-    edges = near_edges(places, radius_m, ["chain_id", "norm_name"]).toDF("a", "b")
-    if radius_m < CELL_REACH_M:
-        least = places.groupBy(*CELL).agg(F.min("id").alias("a"))
-        edges = edges.union(places.join(least.hint("merge"), CELL).select("a", "id"))
+    """Edges (a, b) between nodes whose records may touch each other: cells near each other, and all nodes of one id."""
     key = ["chain_id", "external_id"]
     held = materialise(rows.where("external_id is not null").select(*key, "node").distinct(), "ids")
     several = held.groupBy(*key).agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
-    return edges.union(held.join(several.hint("merge"), key).select("a", "node"))
+    recur = held.join(several.hint("merge"), key).select("a", F.col("node").alias("b"))
+    return cell_edges(rows.where("norm_name is not null"), radius_m, ["chain_id", "norm_name"]).union(recur)
 
 
 class _Table:
@@ -107,17 +103,19 @@ def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIU
     its own.  It then takes that id's row over: the row has its name and place from now on.  A
     record without name or coordinates keeps its own id and leaves that id's row without a place.
 
-    Records that can touch each other form components: by near places of one name, and by ids that
-    recur.  A component of one place, however many copies it has, is settled by an aggregation.
+    Records that can touch each other form components: by neighbouring cells of one name, and by ids
+    that recur.  A component of one place, however many copies it has, is settled by an aggregation.
     Of others only what comes before the last new cell can matter; that is replayed in order,
     component by component, in a stream whose memory is the component's ids.
     """
     key = ["chain_id", "external_id", "name", "lng", "lat"]
     rows = snapshot.select(*key, F.lit(-1).cast("long").alias("ordinal")).unionByName(batch.select(*key, F.col("ordinal").cast("long").alias("ordinal")))
-    rows = rows.withColumn("norm_name", _named()).withColumns({"cx": F.when(F.col("norm_name").isNotNull(), _cell("lng")), "cy": F.when(F.col("norm_name").isNotNull(), _cell("lat"))})
-    node = F.when(F.col("norm_name").isNotNull(), F.xxhash64(F.lit("place"), *PLACE)).otherwise(F.xxhash64(F.lit("id"), "chain_id", "external_id"))
-    rows = materialise(rows.drop("name").withColumn("node", node), "records")  # two nodes of one hash only make a component larger
-    roots = connected_components(_linked(rows, radius_m))
+    rows = rows.withColumn("norm_name", _named()).withColumns({"rx": F.when(F.col("norm_name").isNotNull(), _cell("lng")), "ry": F.when(F.col("norm_name").isNotNull(), _cell("lat"))})
+    reach = max(radius_m, CELL_REACH_M)
+    apart = F.xxhash64(F.lit("id"), "chain_id", "external_id")
+    rows = with_cell(rows.drop("name"), reach, ["chain_id", "norm_name"]).withColumn("node", F.when(F.col("norm_name").isNotNull(), F.col("node")).otherwise(apart))
+    rows = materialise(rows, "records")  # two nodes of one hash only make a component larger
+    roots = connected_components(_linked(rows, reach))
     rooted = materialise(rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
     placed = rooted.where("norm_name is not null")
     firsts = materialise(placed.where("ordinal >= 0").groupBy("root", *CELL).agg(F.min("ordinal").alias("ordinal")), "cells")
@@ -128,7 +126,7 @@ def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIU
     single = placed.join(kinds.where("single").hint("merge"), "root", "left_semi").groupBy("root").agg(F.min(F.struct("ordinal", "external_id")).alias("best"))
     settled = firsts.join(single.hint("merge"), "root").select(*CELL, F.col("best.external_id").alias("known_id"))
     mixed = rooted.join(kinds.where("not single").drop("single").hint("merge"), "root").where(F.col("ordinal") <= F.col("last"))
-    mixed = mixed.select("root", "ordinal", F.col("chain_id").cast("string").alias("chain_id"), "external_id", "norm_name", "lng", "lat", "cx", "cy").repartition("root").sortWithinPartitions("root", "ordinal", "external_id")
+    mixed = mixed.select("root", "ordinal", F.col("chain_id").cast("string").alias("chain_id"), "external_id", "norm_name", "lng", "lat", "rx", "ry").repartition("root").sortWithinPartitions("root", "ordinal", "external_id")
     answers = materialise(mixed.mapInArrow(_replayed(radius_m), "ordinal long, known_id string"), "replayed")
     known = settled.union(firsts.join(answers.hint("merge"), "ordinal").select(*CELL, "known_id")).toDF("_chain", "_norm", "_x", "_y", "known_id")
     own = batch.withColumn("_name", _named()).alias("b")

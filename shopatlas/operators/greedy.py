@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..plans.storage import materialise
 from .components import connected_components
-from .resolve import RADIUS_M, named_points, near_edges
+from .resolve import RADIUS_M, cell_edges, named_points, with_cell
 from .search import radius_pairs
 from .sphere import Grid
 
@@ -31,9 +31,9 @@ def greedy_losers(locations: DataFrame, radius_m: float = RADIUS_M, chain: str =
     score = text.richness(F.col("address"), F.col("district"), F.col("city"))
     store = [chain, "norm_name"]
     rows = materialise(named_points(locations, chain).select("id", *store, "lng", "lat", score.alias("score")), "rows")
-    places = materialise(places_of(rows, store), "places")
-    roots = connected_components(near_edges(places.withColumnRenamed("place", "id"), radius_m, store).toDF("a", "b"))
-    rooted = materialise(places.join(roots.withColumnRenamed("node", "place").hint("merge"), "place", "left").withColumn("root", F.coalesce("root", "place")), "rooted")
+    places = materialise(with_cell(places_of(rows, store), radius_m, store), "places")
+    roots = connected_components(cell_edges(places, radius_m, store))
+    rooted = materialise(places.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
     sizes = materialise(rooted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     sized = rooted.join(sizes.hint("merge"), "root")
     alone = sized.where("n = 1").select(F.when(F.col("first_score") >= F.col("top_score"), F.col("place")).otherwise(F.col("top")).alias("id"))
@@ -41,7 +41,7 @@ def greedy_losers(locations: DataFrame, radius_m: float = RADIUS_M, chain: str =
     replayed = few.repartition("root").sortWithinPartitions("root", "place").mapInArrow(_replayed(radius_m), "id long")
     kept = [alone, replayed]
     if not sizes.where(F.col("n") > REPLAYED).isEmpty():
-        kept.append(survivors_by_rounds(materialise(sized.where(F.col("n") > REPLAYED).select(*places.columns), "large"), radius_m, store))
+        kept.append(survivors_by_rounds(materialise(sized.where(F.col("n") > REPLAYED).drop("root", "n"), "large"), radius_m, store))
     return rows.select("id").join(reduce(DataFrame.union, kept).hint("merge"), "id", "left_anti")
 
 

@@ -78,6 +78,22 @@ def near_edges(named: DataFrame, radius_m: float, store: list[str]) -> DataFrame
     return copies.union(known).union(ties)
 
 
+def with_cell(points: DataFrame, radius_m: float, store: list[str], name: str = "node") -> DataFrame:
+    """``points`` with a hash of their cell and ``store`` columns."""
+    return cells(points, radius_m).withColumn(name, F.xxhash64(*store, "cx", "cy")).drop("cx", "cy")
+
+
+def cell_edges(points: DataFrame, radius_m: float, store: list[str]) -> DataFrame:
+    """Edges (a, b) between the cells of ``with_cell`` that may hold points within the radius of each other.
+
+    Nothing is measured, so components of cells may be larger than need be, but no two points within
+    the radius are in different ones.
+    """
+    held = materialise(with_cell(points.select(*store, "lng", "lat").distinct(), radius_m, store, "a"), "cells")
+    near = cells(held, radius_m, around=True).select("a", F.xxhash64(*store, "cx", "cy").alias("b")).where("a <> b").distinct()
+    return near.join(held.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi").select("a", "b")
+
+
 def duplicate_clusters(locations: DataFrame, radius_m: float = RADIUS_M, mode: str = "components") -> DataFrame:
     """id, cluster, keep: which stores are one, and the one to keep.
 

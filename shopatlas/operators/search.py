@@ -133,8 +133,9 @@ def nearest(queries: DataFrame, locations: DataFrame, k: int, radius_m: float, q
     """The k nearest locations of each query point (query_id, id, distance_m, rank), all if there are fewer.
 
     Each round takes four times the radius for the queries that have fewer than k within it.  Beyond
-    FAR_M the rest is ranked by one-degree cells, of which there are at most 64,800: the cells' middles
-    bound the distance of a query's k-th location, and only cells that can hold nearer ones are joined.
+    FAR_M the rest is ranked by one-degree cells, of which there are at most 64,800: distances of cells,
+    counted for all queries of a cell at once, bound that of a k-th location, and only cells that can
+    hold nearer ones are joined.
     Rows without coordinates take no part.
     """
     located = locations.where("lng is not null and lat is not null")
@@ -157,20 +158,69 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("left_id", "right_id", "distance_m", "rank")
 
 
+def _squares(points: DataFrame, lng: str = "lng", lat: str = "lat") -> DataFrame:
+    """``points`` with the number of their one-degree cell."""
+    gx = F.floor(F.pmod(F.col(lng) + 180.0, F.lit(360.0)))
+    return points.withColumn("square", gx * 180 + F.least(F.floor(F.col(lat) + 90.0), F.lit(179)))
+
+
+def _middles(squares: DataFrame) -> DataFrame:
+    """``squares`` (one row a cell) with the point in their middle."""
+    return squares.withColumns({"lng": F.expr("square div 180") - 179.5, "lat": F.col("square") % 180 - 89.5})
+
+
+def _square_bounds(asked: DataFrame, full: DataFrame, k: int) -> DataFrame:
+    """Pairs (square, other, bound): the cells that can hold one of the k nearest of any query in a cell.
+
+    ``asked`` are cells with queries, ``full`` cells with locations and their number n, 64,800 at
+    most of both.  Rounds take four times the radius for cells around which fewer than k are counted;
+    ``bound`` is how far the middle of the cell that holds the k-th is from the own one.
+    """
+    todo, radius, out = asked, FAR_M, []
+    while True:
+        reach = radius_pairs(todo, full, radius, left_id="square", right_id="square").join(full.select(F.col("square").alias("right_id"), "n").hint("merge"), "right_id")
+        along = F.sum("n").over(W.partitionBy("left_id").orderBy("distance_m", "right_id"))
+        last = radius >= geo.HALF_GLOBE_M
+        bound = F.min(F.when(F.col("held") >= k, F.col("distance_m")))
+        bounds = reach.withColumn("held", along).groupBy(F.col("left_id").alias("square")).agg((F.coalesce(bound, F.lit(geo.HALF_GLOBE_M)) if last else bound).alias("bound"))
+        done = materialise(todo.join(bounds.where("bound is not null").hint("merge"), "square"), "bounds")
+        near = radius_pairs(done, full, min(radius, geo.HALF_GLOBE_M) + 4 * DEGREE_HALF_DIAGONAL_M, left_id="square", right_id="square").withColumnsRenamed({"left_id": "square", "right_id": "other"})
+        out.append(near.join(done.select("square", "bound").hint("merge"), "square").where(F.col("distance_m") <= F.col("bound") + 4 * DEGREE_HALF_DIAGONAL_M).select("square", "other", "bound"))
+        todo = materialise(todo.join(done.select("square").hint("merge"), "square", "left_anti"), "squares")
+        if last or todo.isEmpty():
+            return reduce(DataFrame.union, out)
+        radius *= 4
+
+
 def _far_pairs(queries: DataFrame, located: DataFrame, k: int, query_id: str) -> DataFrame:
-    """Pairs among which the k nearest of each query are."""
-    square = {"gx": F.floor(F.pmod(F.col("lng") + 180.0, F.lit(360.0))), "gy": F.least(F.floor(F.col("lat") + 90.0), F.lit(179))}
-    gridded = located.withColumns(square)
-    full = materialise(gridded.groupBy("gx", "gy").agg(F.count("*").alias("n")), "cells")
-    asked = queries.select(F.col(query_id).alias("left_id"), F.col("lng").alias("x1"), F.col("lat").alias("y1"))
-    each = asked.crossJoin(F.broadcast(full))  # at most 360 x 180 rows are sent
-    each = each.withColumn("middle", geo.distance_m(F.col("x1"), F.col("y1"), F.col("gx") - 179.5, F.col("gy") - 89.5))
-    held = F.sum("n").over(W.partitionBy("left_id").orderBy("middle", "gx", "gy"))
-    bound = F.min(F.when(F.col("held") >= k, F.col("middle"))).over(W.partitionBy("left_id"))
-    near = each.withColumn("held", held).withColumn("bound", bound)
-    near = near.where(F.col("bound").isNull() | (F.col("middle") <= F.col("bound") + 2 * DEGREE_HALF_DIAGONAL_M)).select("left_id", "x1", "y1", "gx", "gy")
-    rows = gridded.select(F.col("id").alias("right_id"), F.col("lng").alias("x2"), F.col("lat").alias("y2"), "gx", "gy")
-    return near.join(rows.hint("merge"), ["gx", "gy"]).withColumn("distance_m", geo.distance_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    """Pairs among which the k nearest of each query are.
+
+    What is near is settled for pairs of cells, once for all queries of a cell; then each query
+    meets the rows of the cells that can matter to it.
+    """
+    gridded = _squares(located)
+    full = _middles(materialise(gridded.groupBy("square").agg(F.count("*").alias("n")), "cells"))
+    asked = _squares(queries.select(F.col(query_id).alias("left_id"), F.col("lng").alias("x1"), F.col("lat").alias("y1")), "x1", "y1")
+    pairs = materialise(_square_bounds(_middles(materialise(asked.select("square").distinct(), "asked")), full, k), "cell-pairs")
+    near = asked.join(pairs.hint("merge"), "square")
+    middle = geo.distance_m(F.col("x1"), F.col("y1"), F.expr("other div 180") - 179.5, F.col("other") % 180 - 89.5)
+    near = near.where(middle <= F.col("bound") + 3 * DEGREE_HALF_DIAGONAL_M).select("left_id", "x1", "y1", F.col("other").alias("square"))
+    rows = gridded.select(F.col("id").alias("right_id"), F.col("lng").alias("x2"), F.col("lat").alias("y2"), "square")
+    return near.join(rows.hint("merge"), "square").withColumn("distance_m", geo.distance_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+
+
+MOST_FEATURES = 50_000  # fixed value: features of a box above which it is thinned
+
+
+def box_rows(locations: DataFrame, west: float, south: float, east: float, north: float, most: int = MOST_FEATURES, categories: str | None = None, chains: str | None = None) -> DataFrame:
+    """A box as the API gives it: counted first, then whole, or above ``most`` thinned by a step from the box's size.
+
+    Only the count comes to the driver.  Of a thinned box the row with the smallest id of each cell stays.
+    """
+    inside = in_bbox(locations, west, south, east, north, categories, chains)
+    if inside.count() <= most:
+        return inside
+    return thin_by_cell(inside, geo.thinning_step(west, south, east, north, most))
 
 
 def like_search(locations: DataFrame, pattern: str, limit: int | None = 100) -> DataFrame:

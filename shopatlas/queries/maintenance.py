@@ -53,26 +53,27 @@ def _halves(t):
     return old.withColumn("external_id", F.concat(F.lit("s"), F.col("id").cast("string"))), new.withColumn("external_id", F.concat(F.lit("b"), F.col("id").cast("string")))
 
 
-_POOL = f"SELECT id, chain_id, cust, lng, lat, CASE WHEN id % 4 = 0 THEN concat('s', CAST(id AS STRING)) ELSE concat('b', CAST(id AS STRING)) END AS e, CASE WHEN id % 4 = 0 THEN -1 ELSE id END AS o, {name_sql('name')} AS nn FROM {LOCATED}"
+_POOL = f"SELECT id, chain_id, cust, lng, lat, CASE WHEN id % 4 = 0 THEN concat('s', CAST(id AS STRING)) ELSE concat('b', CAST(id AS STRING)) END AS e, CASE WHEN id % 4 = 0 THEN -1 ELSE id END AS o, 0 AS run FROM {LOCATED}"
 
 
 def resolved_sql(pool: str) -> str:
-    """id, external_id of the batch rows (o >= 0) of a pool (id, chain_id, cust, lng, lat, e, o), taken one after another.
+    """id, o, external_id of the batch rows (o >= 0) of a pool (id, chain_id, cust, lng, lat, e, o, run), taken one after another.
 
-    Each store (chain and customer) walks through its own rows: ``rows`` is what the table holds of it, ``seen`` the cells met.
+    Each store (chain and customer) walks through its own rows: ``rows`` is what the table holds of it (rows of
+    earlier runs in the order of their ids, then those of this run as they came), ``seen`` the cells met.
     """
     near = haversine_sql("q.lng", "q.lat", "s.lng", "s.lat")
     return f"""WITH RECURSIVE pool AS MATERIALIZED (SELECT *, round(lng, 4) AS cx, round(lat, 4) AS cy, row_number() OVER (PARTITION BY chain_id, cust ORDER BY o, e) AS k FROM ({pool}) WHERE lng IS NOT NULL),
-walk AS (SELECT DISTINCT chain_id, cust, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS x, []::STRUCT(n BIGINT, e VARCHAR, lng DOUBLE, lat DOUBLE)[] AS rows, []::STRUCT(cx DOUBLE, cy DOUBLE, e VARCHAR)[] AS seen FROM pool
-  UNION ALL SELECT chain_id, cust, k, CASE WHEN o >= 0 THEN id END, x,
-    list_append(list_filter(rows, lambda q: q.e <> x), struct_pack(n := coalesce(list_filter(rows, lambda q: q.e = x)[1].n, k), e := x, lng := lng, lat := lat)),
-    CASE WHEN o >= 0 THEN list_append(seen, struct_pack(cx := cx, cy := cy, e := x)) ELSE seen END
-  FROM (SELECT s.*, CASE WHEN s.o < 0 THEN s.e ELSE coalesce(list_filter(s.seen, lambda c: c.cx = s.cx AND c.cy = s.cy)[1].e, list_sort(list_filter(s.rows, lambda q: {near} <= 50))[1].e, s.e) END AS x
+walk AS (SELECT DISTINCT chain_id, cust, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS o, NULL::VARCHAR AS x, []::STRUCT(n BIGINT, run BIGINT, e VARCHAR, lng DOUBLE, lat DOUBLE)[] AS rows, []::STRUCT(cx DOUBLE, cy DOUBLE, run BIGINT, e VARCHAR)[] AS seen FROM pool
+  UNION ALL SELECT chain_id, cust, k, CASE WHEN o >= 0 THEN id END, o, x,
+    list_append(list_filter(rows, lambda q: q.e <> x), struct_pack(n := coalesce(list_filter(rows, lambda q: q.e = x)[1].n, k), run := coalesce(list_filter(rows, lambda q: q.e = x)[1].run, run), e := x, lng := lng, lat := lat)),
+    CASE WHEN o >= 0 THEN list_append(seen, struct_pack(cx := cx, cy := cy, run := run, e := x)) ELSE seen END
+  FROM (SELECT s.*, CASE WHEN s.o < 0 THEN s.e ELSE coalesce(list_filter(s.seen, lambda c: c.cx = s.cx AND c.cy = s.cy AND c.run = s.run)[1].e, list_sort(list_transform(list_filter(s.rows, lambda q: {near} <= 50), lambda q: struct_pack(n := CASE WHEN q.run = s.run THEN q.n ELSE 0 END, e := q.e)))[1].e, s.e) END AS x
     FROM (SELECT p.*, w.rows, w.seen FROM walk w JOIN pool p ON p.chain_id = w.chain_id AND p.cust = w.cust AND p.k = w.k + 1) s))
-SELECT id, x AS external_id FROM walk WHERE id IS NOT NULL"""
+SELECT id, o, x AS external_id FROM walk WHERE id IS NOT NULL"""
 
 
-@BOOK.add(resolved_sql(_POOL) + f" UNION ALL SELECT id, e FROM ({_POOL}) WHERE o >= 0 AND lng IS NULL")
+@BOOK.add(f"SELECT id, external_id FROM ({resolved_sql(_POOL)})" + f" UNION ALL SELECT id, e FROM ({_POOL}) WHERE o >= 0 AND lng IS NULL")
 def resolve_ids(t):
     old, new = _halves(t)
     return canonical.canonical_ids(old, new).select("id", "external_id")

@@ -80,12 +80,16 @@ def _batches(t: Tables):
     return old.select(*ingest.KEYS, *ingest.VALUES, *ingest.KEPT), base.where("id % 5 <> 0")
 
 
-_WGS = f"SELECT l.id, l.chain_id, l.cust, concat('e', CAST(l.id AS STRING)) AS e, l.name, l.seen_at, r.reason, w.lng, w.lat, CASE WHEN l.id % 5 = 0 THEN -1 ELSE l.id END AS o FROM location l JOIN ({reason_sql()}) r ON r.id = l.id JOIN ({wgs_sql()}) w ON w.id = l.id WHERE l.lng IS NOT NULL AND (l.id % 5 = 0 OR r.reason IS NULL)"
-_INGESTED = f"""WITH p AS MATERIALIZED ({_WGS}),
-b AS (SELECT p.*, r.external_id AS x FROM p JOIN ({resolved_sql('p')}) r ON r.id = p.id),
-n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, x ORDER BY id DESC) AS rn FROM b) WHERE rn = 1),
+_WGS = f"SELECT l.id, l.chain_id, l.cust, concat('e', CAST(l.id AS STRING)) AS e, l.name, l.seen_at, r.reason, w.lng, w.lat, CASE WHEN l.id % 5 = 0 THEN -1 ELSE l.id END AS o, 0 AS run FROM location l JOIN ({reason_sql()}) r ON r.id = l.id JOIN ({wgs_sql()}) w ON w.id = l.id WHERE l.lng IS NOT NULL AND (l.id % 5 = 0 OR r.reason IS NULL)"
+
+
+def _ingested_sql(pool: str) -> str:
+    """The snapshot after the rows of a pool: values of an id's last record, created_at of the stored row or else of the first run's last record."""
+    return f"""WITH p AS MATERIALIZED ({pool}),
+b AS (SELECT p.*, r.external_id AS x FROM p JOIN ({resolved_sql('p')}) r ON r.o = p.o),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, x ORDER BY o DESC) AS rn, first_value(seen_at) OVER (PARTITION BY chain_id, x ORDER BY run, o DESC) AS born FROM b) WHERE rn = 1),
 s AS (SELECT * FROM p WHERE o < 0)
-SELECT coalesce(n.chain_id, s.chain_id) AS chain_id, coalesce(n.x, s.e) AS external_id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE s.name END AS name, round(CASE WHEN n.id IS NOT NULL THEN n.lng ELSE s.lng END, 6) AS lng, coalesce(s.seen_at, n.seen_at) AS created_at
+SELECT coalesce(n.chain_id, s.chain_id) AS chain_id, coalesce(n.x, s.e) AS external_id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE s.name END AS name, round(CASE WHEN n.id IS NOT NULL THEN n.lng ELSE s.lng END, 6) AS lng, coalesce(s.seen_at, n.born) AS created_at
 FROM n FULL JOIN s ON s.chain_id = n.chain_id AND s.e = n.x"""
 
 
@@ -93,20 +97,25 @@ def _shown(snapshot):
     return snapshot.select("chain_id", "external_id", "name", F.round("lng", 6).alias("lng"), "created_at")
 
 
-@BOOK.add(_INGESTED)
+@BOOK.add(_ingested_sql(_WGS))
 def ingest_end_to_end(t):
     return _shown(ingest.ingest(*_batches(t)).snapshot)
 
 
-@BOOK.add(_INGESTED)
+_RUNS = f"""SELECT * REPLACE (CASE WHEN o < 0 THEN o ELSE (id % 2) * 1000000000 + o END AS o, CASE WHEN o < 0 THEN -1 ELSE id % 2 END AS run) FROM ({_WGS})
+UNION ALL SELECT * REPLACE (2000000000 + o AS o, 2 AS run) FROM ({_WGS}) WHERE o >= 0 AND id % 7 = 0"""
+
+
+@BOOK.add(_ingested_sql(_RUNS))
 def stream_ingest(t):
-    """The same ingest as a stream over files of records, one batch."""
+    """The same ingest as a stream in three batches: even ids, odd ids, and every seventh record once more."""
     old, new = _batches(t)
     landed = storage.fresh_path(t.spark, "landed")
-    new.write.parquet(landed)
-    store = streaming.SnapshotStore(t.spark, storage.fresh_path(t.spark, "snapshots"))
+    for run, own in enumerate(("id % 2 = 0", "id % 2 = 1", "id % 7 = 0")):
+        new.where(own).withColumn("ordinal", F.col("ordinal") + run * 1_000_000_000).coalesce(1).write.mode("append").parquet(landed)
+    store = streaming.SnapshotStore(t.spark, storage.fresh_path(t.spark, "snapshots"), buckets=16)
     store.start(old)
-    query = streaming.stream_ingest(t.spark.readStream.schema(new.schema).parquet(landed), store, storage.fresh_path(t.spark, "progress"))
+    query = streaming.stream_ingest(t.spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(landed), store, storage.fresh_path(t.spark, "progress"))
     query.awaitTermination()
     return _shown(store.read(query.lastProgress["batchId"] if query.lastProgress else -1))
 

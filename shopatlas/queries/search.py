@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, scope
+from ..operators import layout, stats
 from ..operators import search as ops
-from ..operators import stats
-from ..plans.storage import materialise
+from ..plans.storage import fresh_path, materialise
 from .book import Book, Tables
 from .functions import LOCATED
 
@@ -86,6 +86,50 @@ def cap_combined(t):
     return ops.cap_combined(_full(t), 200).select("id", "chain_slug", "rn")
 
 
+_BOXES = {"whole": (100.0, 22.0, 118.0, 40.0, 50_000), "thinned": (100.0, 22.0, 118.0, 40.0, 300), "tight": (73.0, 18.0, 136.0, 54.0, 900)}
+
+
+def _box_sql(name):
+    w, s, e, n, most = _BOXES[name]
+    step = geo.thinning_step(w, s, e, n, most)
+    inside = f"SELECT *, count(*) OVER () AS total, row_number() OVER (PARTITION BY floor(lng / {step} + 0.5), floor(lat / {step} + 0.5) ORDER BY id) AS rn FROM ({FULL}) WHERE lng BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n} AND {NOT_OUT}"
+    return f"SELECT '{name}' AS box, {ROW} FROM ({inside}) WHERE total <= {most} OR rn = 1"
+
+
+@BOOK.add(" UNION ALL ".join(map(_box_sql, _BOXES)))
+def bbox_count_then_choose(t):
+    """Three boxes, each counted first: one whole, two thinned by steps of their own."""
+    rows = materialise(_full(t), "full")
+    each = [_row(ops.box_rows(rows, *box)).select(F.lit(name).alias("box"), "*") for name, box in _BOXES.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@BOOK.add(f"SELECT {ROW} FROM ({FULL}) WHERE lng BETWEEN 108.0 AND 112.0 AND lat BETWEEN 28.0 AND 32.0")
+def bbox_layout(t):
+    """A box of one city read from a table in the order of a space-filling curve."""
+    path = fresh_path(t.spark, "spatial")
+    layout.write_spatial(_full(t), path)
+    return _row(layout.read_box(t.spark, path, 108.0, 28.0, 112.0, 32.0))
+
+
+def _side_sql(lat, west, east):
+    """Positive north of the great circle from (west, lat) to (east, lat): the point times the vector product of both ends."""
+    point = lambda x, y: (f"cos(radians({y})) * cos(radians({x}))", f"cos(radians({y})) * sin(radians({x}))", f"sin(radians({y}))")
+    (ax, ay, az), (bx, by, bz), (px, py, pz) = point(west, lat), point(east, lat), point("lng", "lat")
+    return f"({px}) * ({ay} * {bz} - {az} * {by}) + ({py}) * ({az} * {bx} - {ax} * {bz}) + ({pz}) * ({ax} * {by} - {ay} * {bx})"
+
+
+_WIDE = (75.0, 30.0, 130.0, 45.0)
+
+
+@BOOK.add(f"SELECT {ROW} FROM ({FULL}) WHERE lng BETWEEN 75.0 AND 130.0 AND {_side_sql('30.0', '75.0', '130.0')} >= 0 AND {_side_sql('45.0', '75.0', '130.0')} <= 0")
+def bbox_geodesic(t):
+    """A wide box with great-circle edges, which planar edges cut differently at top and bottom."""
+    path = fresh_path(t.spark, "spatial")
+    layout.write_spatial(_full(t), path)
+    return _row(layout.read_geodesic_box(t.spark, path, *_WIDE))
+
+
 def haversine_sql(x1, y1, x2, y2):
     h = f"pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2)"
     return f"2 * 6371008.8 * asin(sqrt(least({h}, 1.0)))"

@@ -1,32 +1,101 @@
-"""The ingest as a stream: files of records in, snapshot folders out; first-seen filtering."""
+"""The ingest as a stream: files of records in, a bucketed snapshot that each batch changes in part; first-seen filtering."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text
 from ..plans.ingest import KEPT, KEYS, VALUES, ingest
+from ..plans.storage import materialise
 
 
 class SnapshotStore:
-    """Snapshots as numbered folders; a batch reads the newest one before its own and writes the next.
+    """A snapshot in buckets by chain and normalised name; a batch reads and writes only the buckets that it touches.
 
-    A batch that is run again after a failure overwrites its own folder, so each batch counts once.
+    A store that a record can match has the record's chain and name, so it lies in the record's
+    bucket.  A second table, in buckets by id, says in which bucket each id's row lies: a record
+    may rename the row of its own id, which leaves its old bucket.  Each batch writes the buckets
+    it changed into folders of its own, then a manifest with the version of every bucket (two rows a
+    bucket at most).  The manifest comes last: a batch that failed before it left nothing that is
+    read, and is run again over its own folders.  Older versions stay until someone removes them.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.columns = [*KEYS, *VALUES, *KEPT]
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/snapshot-{batch_id + 1:09d}"
+    def _bucket(self, *columns: Column | str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _by_name(self) -> Column:
+        return self._bucket("chain_id", F.coalesce(text.store_name(F.col("name")), F.lit("")))
+
+    def _versions(self, batch_id: int) -> dict[str, dict[int, int]]:
+        """Kind of table to bucket to the batch that wrote it last."""
+        out: dict[str, dict[int, int]] = {"rows": {}, "ids": {}}
+        try:
+            found = self.spark.read.parquet(f"{self.path}/manifest-{batch_id + 1:09d}").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise ValueError(f"the snapshot after batch {batch_id} was never written") from e
+        for r in found:
+            out[r.kind][r.bucket] = r.version
+        return out
+
+    def _load(self, kind: str, versions: dict[int, int], wanted: set[int] | None, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{kind}-{v + 1:09d}/bucket={b}" for b, v in sorted(versions.items()) if wanted is None or b in wanted]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _save(self, kind: str, df: DataFrame, batch_id: int, versions: dict[int, int], touched: set[int]) -> set[int]:
+        """Write the touched buckets anew; the version map follows."""
+        place = f"{self.path}/{kind}-{batch_id + 1:09d}"
+        df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(place)
+        written = {r.bucket for r in df.select("bucket").distinct().collect()}
+        for b in touched - written:
+            versions.pop(b, None)
+        versions.update({b: batch_id for b in written})
+        return written
+
+    def _publish(self, batch_id: int, versions: dict[str, dict[int, int]]) -> None:
+        rows = [(kind, b, v) for kind, held in versions.items() for b, v in held.items()]
+        self.spark.createDataFrame(rows, "kind string, bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{batch_id + 1:09d}")
 
     def start(self, snapshot: DataFrame) -> None:
-        snapshot.select(*KEYS, *VALUES, *KEPT).write.mode("overwrite").parquet(self._folder(-1))
+        rows = materialise(snapshot.select(*self.columns).withColumn("bucket", self._by_name()), "start")
+        versions: dict[str, dict[int, int]] = {"rows": {}, "ids": {}}
+        self._save("rows", rows, -1, versions["rows"], set())
+        self._save("ids", rows.select(*KEYS, F.col("bucket").alias("at"), self._bucket(*KEYS)), -1, versions["ids"], set())
+        self._publish(-1, versions)
+
+    def _schemas(self, like: DataFrame) -> tuple[str, str]:
+        kinds = dict(like.dtypes)
+        return ", ".join(f"{c} {kinds[c]}" for c in self.columns), ", ".join(f"{c} {kinds[c]}" for c in KEYS) + ", at int"
 
     def read(self, batch_id: int) -> DataFrame:
         """The snapshot after this batch."""
-        return self.spark.read.parquet(self._folder(batch_id))
+        versions = self._versions(batch_id)["rows"]
+        paths = [f"{self.path}/rows-{v + 1:09d}/bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.parquet(*paths).select(*self.columns)
 
     def apply(self, records: DataFrame, batch_id: int) -> None:
-        ingest(self.read(batch_id - 1), records).snapshot.write.mode("overwrite").parquet(self._folder(batch_id))
+        """Ingest one batch of records into the buckets that it touches."""
+        records = materialise(records, "records")
+        schema, id_schema = self._schemas(records)
+        versions = self._versions(batch_id - 1)
+        some = lambda df: {r[0] for r in df.distinct().collect()}  # noqa: E731  (bucket numbers)
+        names, ids = some(records.select(self._by_name())), some(records.select(self._bucket(*KEYS)))
+        index = self._load("ids", versions["ids"], ids, id_schema)
+        own = records.select(*KEYS).distinct()
+        names |= some(index.join(own.hint("merge"), KEYS, "left_semi").select("at"))
+        held = self._load("rows", versions["rows"], names, schema)
+        after = materialise(ingest(held, records).snapshot.select(*self.columns).withColumn("bucket", self._by_name()), "after")
+        moved = after.join(own.hint("merge"), KEYS, "left_semi").select(*KEYS, F.col("bucket").alias("at"))
+        ids_after = index.join(moved.select(*KEYS).hint("merge"), KEYS, "left_anti").unionByName(moved)
+        self._save("rows", after, batch_id, versions["rows"], names)
+        self._save("ids", materialise(ids_after.select(*KEYS, "at", self._bucket(*KEYS)), "ids"), batch_id, versions["ids"], ids)
+        self._publish(batch_id, versions)
 
 
 def stream_ingest(records: DataFrame, store: SnapshotStore, checkpoint: str):
