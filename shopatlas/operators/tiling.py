@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, scope
+from .stats import number_by
 
 MEGA_RADIUS, CITY_RADIUS = 0.35, 0.18
 
@@ -92,6 +93,13 @@ def quadtree(points: DataFrame, west: float, south: float, step: float, levels:
     return out.select("level", "x", "y", "n")
 
 
+def city_order(centres: DataFrame, points: DataFrame, order: list[str], mega: list[str]) -> DataFrame:
+    """Centres (city, lng, lat) with rank, stores and place (1, 2, ...): by rank, then stores near the city, most first, then name in Chinese order."""
+    ranked = city_priority(centres, order, mega).join(box_counts(points, city_boxes(centres, mega)).hint("merge"), "city")
+    keyed = ranked.withColumns({"_few": -F.col("stores"), "_name": F.collate("city", "zh")})
+    return number_by(keyed, ["rank", "_few", "_name", "city"], "place").drop("_few", "_name")
+
+
 def city_boxes(centres: DataFrame, mega: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Adds radius and west, south, east, north of each city's box; listed cities have the wide one."""
     radius = F.when(F.col("city").isin(*mega), MEGA_RADIUS).otherwise(CITY_RADIUS) if mega else F.lit(CITY_RADIUS)

@@ -1,10 +1,11 @@
 """Table maintenance as full-outer joins of a snapshot with a batch (plain Parquet has no MERGE)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import versions
 from ..plans.storage import materialise
 from .stats import last_wins
 
@@ -73,9 +74,18 @@ def copy_with_skips(rows: DataFrame, chains: DataFrame) -> tuple[DataFrame, Data
 def truncate_and_load(rows: DataFrame, chains: DataFrame, path: str) -> DataFrame:
     """Replace the table at ``path`` by the rows of known chains; per unknown slug how many were skipped.
 
-    The new table is written beside the old one first, so ``rows`` may be read from it.
+    The new table is a version of its own that takes the old one's place when it is whole, so ``rows``
+    may be read from it, and a load that fails leaves it as it was.
     """
     known, skipped = copy_with_skips(rows, chains)
     report = materialise(skipped, "skipped")
-    materialise(known, "load").write.mode("overwrite").parquet(path)
+    versions.publish(known, path, lambda df, folder: df.write.parquet(folder))
     return report
+
+
+def read_loaded(spark: SparkSession, path: str) -> DataFrame:
+    """The table that was loaded last."""
+    held = versions.current(spark, path)
+    if held is None:
+        raise ValueError(f"nothing was loaded into {path}")
+    return spark.read.parquet(f"{path}/{held.folder}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators.search import feature
+from . import versions
 from .storage import materialise
 
 
@@ -43,13 +44,15 @@ def write_collections(locations: DataFrame, path: str, mode: str = "error") -> N
 
 
 def write_release(locations: DataFrame, path: str) -> int:
-    """Collections in a folder named by the number of stores, and a manifest that names it; the number.
+    """Collections as a new version named by the rows' content; the number of stores.
 
-    A reader takes the release that the manifest names, so a new one counts only once it is whole.
+    Rows that equal the current release's are not written again.  A reader takes the version that
+    the journal names last, and a new one is named only once it is whole.
     """
-    total = geojson_rows(locations).count()
-    write_collections(locations, f"{path}/release-{total}", "overwrite")
-    locations.sparkSession.createDataFrame([(total,)], "location_count long").write.mode("overwrite").json(f"{path}/manifest")
+    total, digest = versions.content_digest(geojson_rows(locations))
+    before = versions.current(locations.sparkSession, path)
+    if before is None or (before.rows, before.digest) != (total, digest):
+        versions.publish(locations, path, write_collections, total, digest)
     return total
 
 

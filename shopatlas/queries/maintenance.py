@@ -243,6 +243,15 @@ def city_box_counts(t):
     return tiling.box_counts(t.location, tiling.city_boxes(t.city_center, ("NATION_3", "NATION_5")))
 
 
+_NEAR_CITY = "SELECT c.city, count(l.id) AS stores FROM city_center c LEFT JOIN location l ON l.lng BETWEEN c.lng - CASE WHEN c.city IN ('NATION_9') THEN 0.35 ELSE 0.18 END AND c.lng + CASE WHEN c.city IN ('NATION_9') THEN 0.35 ELSE 0.18 END AND l.lat BETWEEN c.lat - CASE WHEN c.city IN ('NATION_9') THEN 0.35 ELSE 0.18 END AND c.lat + CASE WHEN c.city IN ('NATION_9') THEN 0.35 ELSE 0.18 END GROUP BY 1"
+
+
+@BOOK.add(f"SELECT city, stores, row_number() OVER (ORDER BY CASE city WHEN 'NATION_7' THEN 0 WHEN 'NATION_2' THEN 1 WHEN 'NATION_9' THEN 3 ELSE 102 END, stores DESC, city) AS place FROM ({_NEAR_CITY})")
+def city_order(t):
+    """The place of each city: by list, stores near it, and name."""
+    return tiling.city_order(t.city_center.select("city", "lng", "lat"), t.location, ["NATION_7", "NATION_2"], ["NATION_9"]).select("city", "stores", "place")
+
+
 _BOXES = " UNION ALL ".join(f"SELECT '{k}' AS box, {w}::DOUBLE AS w, {s}::DOUBLE AS s, {e}::DOUBLE AS e, {n}::DOUBLE AS n" for k, (w, s, e, n) in (scope.REGION_BOXES | scope.GAP_BOXES).items())
 
 

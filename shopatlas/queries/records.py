@@ -1,12 +1,14 @@
 """Records of single sources, saved files and releases, and variants of windows, grids and tiles."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, scope, sql, text
 from ..operators import stats, tiling, upsert
 from ..plans import export, storage
-from ..sources import projections, readers
+from ..sources import projections, readers, relational
 from ..streaming import ingest as streaming
 from .book import Book
 from .functions import _moved_sql, city_sql, wgs_sql
@@ -14,6 +16,7 @@ from .search import _EXPORT, FULL, _full, haversine_sql
 from .sources import _SCRIPT, _SRC, _records
 
 BOOK = Book()
+DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 _CARD = "concat('<ul><div class=\"store-item x\"><a href=\"/stores/info?storeId=', CAST(s_suppkey AS STRING), '\">了解门店</a><div> 上海市-', s_name, '</div><p>营业时间：07:30 - 22:00</p><div>门店地址：', s_name, '路1号</div><div>服务电话：021-', CAST(s_nationkey AS STRING), '</div></div><div class=\"store-item\"><a href=\"/x\">y</a>', CASE s_suppkey % 3 WHEN 0 THEN '<div>门店地址：z</div>' ELSE '' END, '</div><div class=\"store-item\"><a href=\"?storeId=9\">无地址-店</a></div></ul>')"
 
@@ -87,13 +90,13 @@ def static_stores(t):
     """The inline list, and how many locations are in each one's city."""
     own = projections.get("costco")(projections.static_stores(t.spark))
     n = t.location.groupBy(text.city(F.col("city")).alias("key")).agg(F.count("*").alias("n"))
-    joined = own.join(n, text.city(own.city) == n.key, "left")
+    joined = own.join(n.hint("merge"), text.city(own.city) == n.key, "left")
     return joined.select("external_id", "district", "longitude", "coordinate_system", F.coalesce("n", F.lit(0)).alias("stores"))
 
 
 @BOOK.add(f"SELECT id, name, chain_slug, city FROM ({FULL}) WHERE lng IS NOT NULL")
 def geojson_release(t):
-    """Two releases written, the older one of every other store; the one that the manifest names is read, all chains."""
+    """Two releases written, the older one of every other store; the newest is read, all chains."""
     path = storage.fresh_path(t.spark, "releases")
     export.write_release(_full(t).where("id % 2 = 0"), path)
     export.write_release(_full(t), path)
@@ -135,7 +138,7 @@ def truncate_and_load(t):
     known = t.chain.where("id % 5 > 0")
     upsert.truncate_and_load(_full(t).where("id % 2 = 0"), known, path)
     report = upsert.truncate_and_load(_full(t).where("id % 2 = 1"), known, path)
-    loaded = t.spark.read.parquet(path).groupBy(F.col("chain_slug").alias("slug")).agg(F.count("*").alias("n"))
+    loaded = upsert.read_loaded(t.spark, path).groupBy(F.col("chain_slug").alias("slug")).agg(F.count("*").alias("n"))
     return loaded.select(F.lit("loaded").alias("kind"), "slug", "n").union(report.select(F.lit("skipped"), "chain_slug", "skipped"))
 
 
@@ -300,10 +303,35 @@ def point_geojson_all(t):
     return own.select("id", F.col("p.type").alias("type"), F.get("p.coordinates", F.lit(0)).alias("x"))
 
 
-@BOOK.add("SELECT event_id AS page, 0::BIGINT AS pos, event_id AS id, 2::BIGINT AS deep, true AS even FROM events UNION ALL SELECT event_id, 1, -1, NULL, true FROM events WHERE event_id % 3 = 0")
+_EMBEDDED = "SELECT event_id AS page, 0::BIGINT AS pos, event_id AS id, 2::BIGINT AS deep, true AS even FROM events UNION ALL SELECT event_id, 1, -1, NULL, true FROM events WHERE event_id % 3 = 0"
+
+
+@BOOK.add(_EMBEDDED)
 def embedded_json_parts(t):
     """Embedded objects cut out whole: what lies deepest in them, and that their braces are as many on either side."""
     pages = t.events.select(F.col("event_id").alias("page_id"), F.expr(_SCRIPT).alias("html"))
     found = readers.embedded_json(pages)
     braces = lambda c: F.length("json") - F.length(F.replace("json", F.lit(c), F.lit("")))
     return found.select("page", F.col("pos").cast("long").alias("pos"), F.get_json_object("json", "$.id").cast("long").alias("id"), F.get_json_object("json", "$.in.a[1].b").cast("long").alias("deep"), (braces("{") == braces("}")).alias("even"))
+
+
+@BOOK.add(_EMBEDDED)
+def embedded_json_sql(t):
+    """The same rows from SQL: a table function called for each page."""
+    readers.register_embedded_json(t.spark, "embedded_objects")
+    pages = t.events.select(F.col("event_id").alias("page"), F.expr(_SCRIPT).alias("html"))
+    found = t.spark.sql("""SELECT p.page, CAST(o.pos AS BIGINT) AS pos, o.json, CAST(get_json_object(o.json, '$.id') AS BIGINT) AS id, CAST(get_json_object(o.json, '$.in.a[1].b') AS BIGINT) AS deep
+        FROM {pages} p, LATERAL embedded_objects(p.html, "data_json:'") o""", pages=pages)
+    braces = lambda c: F.length("json") - F.length(F.replace("json", F.lit(c), F.lit("")))
+    return found.select("page", "pos", "id", "deep", (braces("{") == braces("}")).alias("even"))
+
+
+@BOOK.add("SELECT id, chain_id, name, round(lng, 6) AS lng FROM location WHERE id % 3 > 0 AND id > 100")
+def jdbc_load_and_scan(t):
+    """Locations loaded into a database inside this process, twice, and read back in ranges of their id."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = t.location.select("id", "chain_id", "name", "lng")
+    relational.load_table(rows.where("id % 3 = 0"), url, "stores", **DERBY)
+    relational.load_table(rows.where("id % 3 > 0"), url, "stores", **DERBY)
+    found = relational.scan_table(t.spark, url, "stores", "id", 4, **DERBY).where("id > 100")
+    return found.select("id", "chain_id", "name", F.round("lng", 6).alias("lng"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.stats import first_seen, last_wins
+from ..plans import versions
 
 TAG = r"(?s)<[^>]+>"
 
@@ -117,6 +118,18 @@ def balanced(html: str, opening: str) -> list[str]:
     return out
 
 
+class EmbeddedObjects:
+    """Rows pos, json for ``LATERAL``: the objects embedded in one page."""
+
+    def eval(self, html: str, opening: str):
+        yield from enumerate(balanced(html, opening) if html and opening else [])
+
+
+def register_embedded_json(spark: SparkSession, name: str = "embedded_json") -> None:
+    """Let SQL call ``LATERAL embedded_json(html, opening)``: a table function that gets its pages in Arrow batches."""
+    spark.udtf.register(name, F.udtf(EmbeddedObjects, returnType="pos int, json string", useArrow=True))
+
+
 def embedded_json(pages: DataFrame, opening: str = "data_json:'", html: str = "html", key: str = "page_id") -> DataFrame:
     """page, pos, json of the objects embedded in page scripts.
 
@@ -212,11 +225,11 @@ def read_saved(spark: SparkSession, path: str, version: str, shape: str) -> Data
 
 
 def read_release(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the release that the manifest names; the chain is the folder's."""
-    total = spark.read.schema("location_count long").json(f"{path}/manifest").first()
-    if total is None:
-        raise ValueError(f"no manifest in {path}")
-    rows = read_geojson_lines(spark, f"{path}/release-{total[0]}", file=True)
+    """Rows of the newest release; the chain is the folder's."""
+    release = versions.current(spark, path)
+    if release is None:
+        raise ValueError(f"no release in {path}")
+    rows = read_geojson_lines(spark, f"{path}/{release.folder}", file=True)
     chain = F.url_decode(F.regexp_extract("file", "/chain_slug=([^/]*)/", 1))
     return rows.drop("chain_slug").withColumn("chain_slug", chain).drop("file")
 
