@@ -1,6 +1,6 @@
 """Shared helpers: Arrow text buffers, vectorised byte hashing, shared-folder tables.
 
-Nothing here sends rows to the driver.  Helpers that run inside tasks work on one Arrow
+Only bounded things reach the driver (a bit map, a few hot keys), never rows.  Helpers that run inside tasks work on one Arrow
 batch at a time.
 """
 from __future__ import annotations
@@ -118,6 +118,13 @@ def ragged_arange(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64) - np.repeat(ends - counts, counts)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of ``df`` has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
@@ -195,12 +202,12 @@ def bloom_hits(keys: np.ndarray, bloom: np.ndarray) -> np.ndarray:
     return hit
 
 
-def in_bloom(bloom: np.ndarray, wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``mapInArrow`` function: the rows whose ``k`` may be in the map, or those whose ``k`` isn't."""
+def in_bloom(bloom: np.ndarray, wanted: bool, column: str = "k") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``mapInArrow`` function: the rows whose ``column`` may be in the map, or those whose isn't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = bloom_hits(batch.column(batch.schema.get_field_index("k")).to_numpy(), bloom)
+            hit = bloom_hits(batch.column(batch.schema.get_field_index(column)).to_numpy(), bloom)
             yield batch.filter(pa.array(hit if wanted else ~hit))
 
     return run

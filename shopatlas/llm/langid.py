@@ -6,6 +6,7 @@ their letters.  The filters of all widths are one matrix product per batch of wi
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, slices, text_bytes
+from .common import free_name, lower_ascii, slices, text_bytes
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 TRAIN_PER_LANGUAGE, TRAIN_WINDOWS = 400, 6
-MOST_LANGUAGES = 64  # the most frequent ones are learned
+TRAIN_MOST = 25_600  # documents in all: with more than 64 languages each has an even share, one at least
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 UNKNOWN = "und"
 
@@ -98,19 +99,28 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork:
-    """Train on about TRAIN_PER_LANGUAGE documents a language (fewer where there are fewer).
+    """Train on about TRAIN_PER_LANGUAGE documents of every language (fewer where there are fewer), TRAIN_MOST in all.
 
     The sample is drawn by a hash of id and text among rows with text and language that are not held out,
     and rows alike in both count once; TRAIN_WINDOWS windows spread over each text are used.  Only these
-    come to the driver, of at most MOST_LANGUAGES languages.
+    come to the driver.  Every label is learned; more labels than TRAIN_MOST are an error.
     """
     known = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     known = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit("train")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(TRAIN_MOST + 1).collect()}
+    if len(counts) > TRAIN_MOST:
+        raise ValueError(f"more than {TRAIN_MOST} languages to learn")
     if not counts:
         return ByteNetwork([], *[np.zeros((0, 0), np.float32)] * 5)
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, TRAIN_PER_LANGUAGE / n)))), F.col("lang"))
-    sample = known.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "h"])
+    each = max(1, min(TRAIN_PER_LANGUAGE, TRAIN_MOST // len(counts)))
+    share = F.element_at(F.from_json(F.lit(json.dumps({k: min(1.0, each / n) for k, n in counts.items()})), "map<string, double>"), F.col("lang"))
+    drawn = F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)
+    if each < TRAIN_PER_LANGUAGE:  # a draw of few may miss a language, so its first row by hash is taken in any case
+        first = known.groupBy("lang").agg(F.min("h").alias("h"))
+        sample = known.where(drawn).unionByName(known.join(first.hint("merge"), ["lang", "h"], "left_semi").select(*known.columns))
+    else:
+        sample = known.where(drawn)
+    sample = sample.dropDuplicates(["lang", "h"])
     size = F.length("text")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring("text", (i * F.greatest(size - WINDOW, F.lit(0)) / (TRAIN_WINDOWS - 1)).cast("int") + 1, WINDOW))
     rows = sorted(((r.doc_id, r.lang, r.p) for r in sample.select("doc_id", "lang", F.array_distinct(pieces).alias("p")).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
@@ -187,5 +197,5 @@ def keep_identified(documents: DataFrame, net: ByteNetwork, least: float = 0.5,
             lang, score = _judge(net, batch.column(place), batch.column(len(names)).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array((lang != UNKNOWN) & (score >= least)))
 
-    lettered = F.expr(LETTERED.replace("text", f"`{text_col}`")).alias("_lettered")
+    lettered = F.expr(LETTERED.replace("text", f"`{text_col}`")).alias(free_name(documents, "_lettered"))
     return documents.select("*", lettered).mapInArrow(run, documents.schema)

@@ -70,8 +70,8 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([before]), pa.array([len(own)]), pa.array([payload])], ["part", "segment", "ids_before", "n_ids", "payload"])
                 number, before, lo = number + 1, before + len(own), hi
 
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("sum", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("id", "sum").sortWithinPartitions("id", "sum").select("id", "text")  # so that one id's rows, null's too, are cut apart
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumns({"sum": F.xxhash64("text"), "deal": F.rand(7)})
+    ordered = rows.repartitionByRange("id", "sum", "deal").sortWithinPartitions("id", "sum").select("id", "text")  # so that one id's rows, null's too and rows alike in both, are cut apart
     packed = ordered.mapInArrow(segments, "part long, segment long, ids_before long, n_ids long, payload binary")
     packed.write.option("compression", "zstd").parquet(path)
     return documents.sparkSession.read.schema(packed.schema).parquet(path)

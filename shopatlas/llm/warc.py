@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, hash_partitions, hot_keys, in_bloom, materialise, salted_join
+from .common import bloom_of, bound_batches, hash_partitions, hot_keys, in_bloom, materialise, salted_join
 
 ARCHIVE_BYTES, ARCHIVES_A_TASK = 32 << 20, 2
 LEVEL = 1
@@ -188,45 +188,56 @@ def sidecar(normalised: DataFrame) -> DataFrame:
     return normalised.select("name", F.explode("members").alias("m")).select("name", "m.*")
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            for m in members:
+                fields, block = parse(zlib.decompress(content[m["offset"] : m["offset"] + m["length"]], 31))
+                if fields["warc-type"] not in ("response", "revisit"):
+                    continue
+                head, _, payload = block.partition(b"\r\n\r\n")
+                sizes = [x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                said, full = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(sizes[0]) if sizes else len(payload)
+                if fields["warc-type"] == "response":
+                    own = digest(payload)
+                    if (said and said != own) or len(payload) != full:
+                        raise ValueError(f"{fields['warc-record-id']}: the payload differs from its digest")
+                    said = own
+                refers_to = fields.get("warc-refers-to")
+                rows.append((page_of(fields["warc-record-id"]), full, said, fields["warc-type"], page_of(refers_to) if refers_to else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
 def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every indexed response and revisit.
 
     A response's digest is computed from its payload and must equal the one in its header, if that is
-    there; a revisit's digest and length are those its header gives for the full payload.
+    there; a revisit's digest and length are those its header gives for the full payload.  Archives and
+    index are tables of their own here, which are joined by name; ``read_indexed`` moves no content.
     """
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for m in members:
-                    fields, block = parse(zlib.decompress(content[m["offset"] : m["offset"] + m["length"]], 31))
-                    if fields["warc-type"] not in ("response", "revisit"):
-                        continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    sizes = [x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                    said, full = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(sizes[0]) if sizes else len(payload)
-                    if fields["warc-type"] == "response":
-                        own = digest(payload)
-                        if (said and said != own) or len(payload) != full:
-                            raise ValueError(f"{fields['warc-record-id']}: the payload differs from its digest")
-                        said = own
-                    refers_to = fields.get("warc-refers-to")
-                    rows.append((page_of(fields["warc-record-id"]), full, said, fields["warc-type"], page_of(refers_to) if refers_to else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
     # archives are large: they are dealt by their number, a few to a task
     tasks = max(hash_partitions(archives.sparkSession), -(-archives.count() // ARCHIVES_A_TASK))
     members = index.repartition(tasks, "name").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members"))  # of one archive, which is of bounded size
     whole = archives.select("name", "content").repartition(tasks, "name")
-    return whole.join(members.hint("merge"), "name").select("content", "members").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return whole.join(members.hint("merge"), "name").select("content", "members").mapInArrow(_read, _RECORD)
+
+
+def read_indexed(normalised: DataFrame) -> DataFrame:
+    """As ``read_records``, of archives that hold their index beside their content: each task opens what it reads."""
+    bound_batches(normalised.sparkSession)
+    return normalised.select("content", "members").mapInArrow(_read, _RECORD)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write all pages as WARC records, normalise the archives, read them back by the index.
+    """Write all pages as WARC records, normalise the archives, write the index beside them, read them back by it.
 
     Null payloads are empty, null urls get a urn; an empty table gives no row; other columns are not read.
     """
     normalised = materialise(normalise(write_streams(mark_revisits(pages, min_bytes))), "archives")
-    return read_records(normalised.select("name", "content"), materialise(sidecar(normalised), "archive-index"))
+    materialise(sidecar(normalised), "archive-index")  # a row a record, for whoever looks one up
+    return read_indexed(normalised)

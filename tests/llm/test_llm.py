@@ -87,6 +87,17 @@ def test_token_files(spark, corpus, tokenizer):
         start += len(ids)
 
 
+def test_token_files_cut_rows_alike_in_id_and_text(spark, tmp_path):
+    own = F.col("id") % 3 == 0
+    df = spark.range(3000).select(F.when(own, F.col("id")).otherwise(7).alias("doc_id"), F.when(own, F.format_string("text %d", "id")).otherwise("always the same").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_files.write_token_files(df.repartition(4), str(tmp_path / "tokens"), queries.tokenizer_path())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert token_files.read_token_files(files).count() == 3000
+    held = sorted(r.n for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    assert len(held) == 4 and held[-1] < 0.4 * sum(held)
+
+
 def test_token_files_edges(docs, none, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", 3)
     out = token_files.token_output(docs, queries.tokenizer_path()).orderBy("start").collect()
@@ -612,9 +623,58 @@ def test_language_edges(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, None, 8, 9, 10, 11, 12}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    words = {f"l{k:02d}": [chr(0x4E00 + 7 * k + j) * 3 for j in range(5)] for k in range(70)}
+    rows = [(100 * k + j, " ".join(w * 3), lang) for k, (lang, w) in enumerate(words.items()) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df).languages == sorted(words)
+    monkeypatch.setattr(langid, "TRAIN_MOST", 70)  # a share of one document
+    assert langid.fit(df).languages == sorted(words)
+    monkeypatch.setattr(langid, "TRAIN_MOST", 69)
+    with pytest.raises(ValueError, match="69"):
+        langid.fit(df)
+
+
+def test_network_equals_plain_loops(spark, docs):
+    net = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts = ["hello world", "é" * 300, "die der und " * 40, "x"]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    found = langid.text_scores(net, langid.lower_ascii(np.frombuffer(b"".join(data), np.uint8)), offsets)
+    for d, got in zip(data, found, strict=True):
+        d = bytes(b + 32 if 65 <= b <= 90 else b for b in d)
+        total, weight = np.zeros(len(net.languages)), 0
+        for lo in range(0, len(d), langid.WINDOW):
+            window = d[lo : lo + langid.WINDOW]
+            padded = window.ljust(langid.WINDOW + max(langid.WIDTHS), b"\0")
+            hidden = np.full(net.filters.shape[1], -np.inf)
+            for at in range(langid.WINDOW):
+                x = np.concatenate([net.embedding[padded[at + j]] for j in range(max(langid.WIDTHS))])
+                hidden = np.maximum(hidden, x @ net.filters)
+            logits = np.maximum(hidden + net.bias, 0) @ net.dense + net.offset
+            p = np.exp(logits - logits.max())
+            letters = sum(97 <= b <= 122 or b >= 128 for b in window)
+            total, weight = total + letters * p / p.sum(), weight + letters
+        assert np.allclose(got, total / weight, atol=1e-4), (got, total / weight)
+
+
 # the pipeline
 
 
+@pytest.mark.parametrize("extra", [("_id", "_text", "_n", "_row", "_sha", "_lettered"), ("_key", "_i", "_t", "k", "root", "group", "kept", "text_sha256")])
+def test_pipeline_stages_with_clashing_columns(spark, extra):
+    text = " ".join(f"w{k}" for k in range(40))
+    cases = [(1, "Same text"), (2, "same text"), (3, text), (4, f"{text} x"), (5, "alone")]
+    df = spark.createDataFrame([(i, t, "en", *(f"{c}{i}" for c in extra)) for i, t in cases], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in extra))
+    steps = dict(corpus_pipeline.STAGES)
+    for name, left in (("language_id", None), ("exact_dedup", [2, 3, 4, 5]), ("near_dedup", [1, 3, 5]), ("secret_scan", [1, 2, 3, 4, 5])):
+        out = steps[name](spark, df, SF)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert left is None or sorted(r.doc_id for r in rows if r.doc_id != 2 or name != "near_dedup") == left
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
+
+
 def test_pipeline_stages(spark, docs, none):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "exact_dedup", "near_dedup", "secret_scan", "packing"]
