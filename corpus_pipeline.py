@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopatlas.llm import exact_dedup, jaccard, langid, packing, secrets
-from shopatlas.llm.common import materialise
+from shopatlas.llm.common import bloom_of, free_name, in_bloom, materialise
 from shopatlas.llm.queries import tokenizer_path
 
 LEAST_SCORE = 0.3
@@ -22,37 +22,47 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def _named(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a digest of the text; the digest's column has a name that no other has."""
-    name = "_sha"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_sha")
     return docs.withColumn(name, F.sha2(F.coalesce("text", F.lit("")), 256)), name
 
 
-def _take(docs: DataFrame, sha: str, chosen: DataFrame) -> DataFrame:
-    """The chosen rows (doc_id, digest, n), one of each; of n > 1 rows alike in both the first by a hash of all columns."""
+def _settle(docs: DataFrame, sha: str, marks: DataFrame) -> DataFrame:
+    """One row of each group that has several; rows outside such groups all stay.
+
+    ``marks`` (group, doc_id, sha, first, n) holds id and digest of all rows in groups, ``n`` alike in
+    both; the one with the smallest ``first`` stays, and of n rows alike the first by a hash of all
+    columns.  A bit map of the digests keeps rows that stand alone out of the join.
+    """
     columns = [c for c in docs.columns if c != sha]
-    wanted = chosen.toDF("_id", "_text", "_n").hint("merge")
-    joined = docs.join(wanted, (F.col(sha) == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    several = joined.where("_n > 1").groupBy("_id", "_text").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
-    return joined.where("_n = 1").select(*columns).union(several.select("_row.*"))
+    best = marks.groupBy("group").agg(F.min("first").alias("best"), F.sum("n").alias("rows")).where("rows > 1")
+    several = materialise(marks.join(best.hint("merge"), "group").select("doc_id", "sha", F.when(F.col("first") == F.col("best"), F.col("n")).alias("n")), "grouped")
+    keys = several.select(F.xxhash64("sha").alias("k")).distinct()
+    bloom, key = bloom_of(keys, "k", keys.count()), free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(sha))
+    alone = keyed.mapInArrow(in_bloom(bloom, False, key), keyed.schema).select(*columns)
+    near = keyed.mapInArrow(in_bloom(bloom, True, key), keyed.schema)
+    wanted, (i, t, n, row) = several, (free_name(docs, f"_{c}") for c in ("i", "t", "n", "row"))
+    wanted = wanted.select(F.col("doc_id").alias(i), F.col("sha").alias(t), F.coalesce("n", F.lit(0)).alias(n))
+    joined = near.join(wanted.hint("merge"), (F.col(sha) == F.col(t)) & F.col("doc_id").eqNullSafe(F.col(i)), "left")
+    once = joined.where(F.col(n).isNull() | (F.col(n) == 1)).select(*columns)
+    first = joined.where(F.col(n) > 1).groupBy(i, t).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row))
+    return alone.union(once).union(first.select(f"{row}.*"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text: that with the largest doc_id; of rows that share it too, one."""
     rows, sha = _named(docs)
-    kept = exact_dedup.exact_dedup(rows, carry=(sha,)).where("kept").groupBy("text_sha256", "doc_id", sha).agg(F.count("*").alias("n"))
-    chosen = kept.groupBy("text_sha256").agg(F.min(F.struct(sha, "doc_id", "n")).alias("c"))
-    return _take(rows, sha, chosen.select("c.doc_id", f"c.{sha}", "c.n"))
+    found = exact_dedup.exact_dedup(rows, carry=(sha,)).where("group_size > 1")
+    marks = found.groupBy(F.col("text_sha256").alias("group"), "doc_id", F.col(sha).alias("sha"), "kept").agg(F.count("*").alias("n"))
+    return _settle(rows, sha, marks.select("group", "doc_id", "sha", F.struct(~F.col("kept"), "sha", "doc_id").alias("first"), "n"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the smallest doc_id; texts without words stay."""
     rows, sha = _named(docs)
-    linked = materialise(jaccard.linked_rows(rows, carry=(sha,)), "linked")
-    counted = linked.where("root is not null").groupBy("root", "doc_id", sha).agg(F.count("*").alias("n"))
-    chosen = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", sha, "n")).alias("c")).select("c.doc_id", f"c.{sha}", "c.n")
-    wordless = linked.where("root is null").select("doc_id", sha, F.lit(1).cast("long").alias("n")).distinct()
-    return _take(rows, sha, chosen.union(wordless))
+    linked = materialise(jaccard.linked_rows(rows, carry=(sha,)), "linked").where("root is not null")
+    marks = linked.groupBy(F.col("root").alias("group"), "doc_id", F.col(sha).alias("sha")).agg(F.count("*").alias("n"))
+    return _settle(rows, sha, marks.select("group", "doc_id", "sha", F.struct(F.col("doc_id").isNull(), "doc_id", "sha").alias("first"), "n"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
