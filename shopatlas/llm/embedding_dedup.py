@@ -15,6 +15,7 @@ shards' overlap and the search, and a result that stays below what is promised i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,11 @@ SHARD, MOST_SHARDS, SAMPLE_PER_SHARD = 1500, 1024, 32
 LARGE, CUTS = 6000, 4  # rows of a shard from which it is cut again; how often that is done
 OVERLAP, CANDIDATES, DEGREE, ALPHA, BEAM = 2, 64, 24, 1.2, 16
 SLACK = 0.06  # the search expands nodes whose cosine is at most this far below the threshold
-AUDIT_DRAWS, AUDIT_LINKED, AUDIT_MOST = (200, 800, 3200), 50, 20_000  # queries a label until so many have links; queries a pass
+AUDIT_DRAWS, AUDIT_LINKED = (200, 800, 3200), 50  # queries a label until so many have links
 RECALL_TARGET, RECALL_LEAST, ATTEMPTS = 0.97, 0.9, 4
 BLOCK = 512
-GUESTS = 8192  # searches from elsewhere that a task runs in a shard
+GUESTS = 8192  # searches from elsewhere that a task runs in a shard; rows of a chunk
+LINKS_AT_ONCE = 1 << 18  # links that a search holds before it hands them on, so that a dense shard does not hold all of its own
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -167,7 +169,8 @@ def _search(threshold: float, beam: int):
     Rows out are lists of links and edges (``link_lists``), or searches that go on: shards ``to`` and the nodes to enter at.
     """
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         label, dim = (table.column(k)[0].as_py() for k in ("label", "dim"))
         guest = table.column("entries").is_valid()
         guests, table = table.filter(guest), table.filter(pc.invert(guest)).sort_by("node")
@@ -188,8 +191,16 @@ def _search(threshold: float, beam: int):
         queries = _matrix(packed, dim)
         doors = [np.searchsorted(names, x) for x in guests.column("entries").to_pylist()] if len(guests) else [[i] for i in range(len(names))]
         start = medoid(vectors)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         on: list[dict] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            who, other = np.concatenate(a), np.concatenate(b)
+            del a[1:], b[1:]
+            yield from link_lists(asks[who], names[other], many[who], counts[other]).to_batches()
+            yield from pa.Table.from_pylist(on, _FOUND).to_batches()
+            on.clear()
+
         for k, (q, own) in enumerate(zip(queries, asks.tolist(), strict=True)):
             found, sims = range_search(vectors, neighbours, q, np.concatenate([[start], doors[k]]).astype(np.int64), threshold - 1e-9, beam)
             near = found[(sims >= threshold - SLACK) & (names[found] != own)]
@@ -200,8 +211,11 @@ def _search(threshold: float, beam: int):
             new = np.unique(there[(there >= 0) & ~np.isin(there, visited[k])]).tolist()
             if new:
                 on.append({"a": own, "n": int(many[k]), "label": label, "dim": dim, "vector": packed[k], "visited": visited[k], "to": new, "entries": [names[near[(there == s).any(1)]].tolist() for s in new]})
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.concat_tables([link_lists(asks[a], names[b], many[a], counts[b]), pa.Table.from_pylist(on, _FOUND)])
+            waiting += len(exact) + 1
+            if waiting >= LINKS_AT_ONCE:
+                yield from flush()
+                waiting = 0
+        yield from flush()
 
     return run
 
@@ -241,19 +255,6 @@ def _pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*keep, packed.cast(pa.binary())], [*batch.schema.names[:-1], "vector"])
 
 
-def _assign(centroids: dict[tuple[int, int], np.ndarray], overlap: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, dims = (batch.column(k).to_numpy() for k in (1, 2))
-            for label, dim in sorted(set(zip(labels.tolist(), dims.tolist(), strict=True))):
-                rows = np.flatnonzero((labels == label) & (dims == dim))
-                near = nearest_centroids(_matrix(batch.column(3).take(pa.array(rows)), dim), centroids[label, dim], overlap)
-                out = batch.take(pa.array(np.repeat(rows, near.shape[1])))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel(), pa.int64())], ["node", "label", "dim", "vector", "n", "shard"])
-
-    return run
-
-
 def nearest_centroids(vectors: np.ndarray, centroids: np.ndarray, overlap: int) -> np.ndarray:
     return np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :overlap]
 
@@ -281,15 +282,17 @@ def _assign_inside(overlap: int):
     return run
 
 
-def sharded(nodes: DataFrame, centroids: dict[tuple[int, int], np.ndarray], overlap: int) -> DataFrame:
+def sharded(nodes: DataFrame, overlap: int) -> DataFrame:
     """INDEX rows: each node once in each of its shards, of which none has more than LARGE rows but where they can't be told apart.
 
-    A larger shard is cut by centroids of a sample of its own, in tasks, and its rows in chunks of bounded size.
+    A label is a shard at first.  One of more than two times SHARD rows, and later any of more than LARGE, is
+    cut by centroids of a sample of its own, in tasks, its rows in chunks of bounded size: nothing of a
+    label reaches the driver, however many labels there are.
     """
     shape = "node long, label long, dim long, vector binary, n long, shard long"
-    rows = materialise(nodes.select("node", "label", "dim", "vector", "n").mapInArrow(_assign(centroids, overlap), shape), "shards")
-    for _ in range(CUTS):
-        sizes = rows.groupBy(*_KEYS).agg(F.count("*").alias("rows")).where(F.col("rows") > LARGE)
+    rows = nodes.select("node", "label", "dim", "vector", "n", F.lit(0).cast("long").alias("shard"))
+    for turn in range(1 + CUTS):
+        sizes = rows.groupBy(*_KEYS).agg(F.count("*").alias("rows")).where(F.col("rows") > (LARGE if turn else min(LARGE, 2 * SHARD)))
         sizes = materialise(sizes.withColumns({"want": F.least(F.lit(MOST_SHARDS), F.ceil(F.col("rows") / SHARD)), "chunks": F.ceil(F.col("rows") / GUESTS)}), "sizes")
         if sizes.isEmpty():
             break
@@ -308,18 +311,23 @@ def sharded(nodes: DataFrame, centroids: dict[tuple[int, int], np.ndarray], over
 _TRUE = "label long, dim long, q long, other long, n_q long, n_other long"
 
 
-def _exact(queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, labels, dims, many = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
-            for (label, dim), (ids, vectors, counts) in queries.items():
-                rows = np.flatnonzero((labels == label) & (dims == dim))
-                for lo in range(0, len(rows), BLOCK):
-                    own = rows[lo : lo + BLOCK]
-                    i, j = np.nonzero(_matrix(batch.column(3).take(pa.array(own)), dim) @ vectors.T >= threshold)
-                    i, j = i[names[own[i]] != ids[j]], j[names[own[i]] != ids[j]]
-                    columns = [np.full(len(j), label), np.full(len(j), dim), ids[j], names[own[i]], counts[j], many[own[i]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["label", "dim", "q", "other", "n_q", "n_other"])
+def _exact(threshold: float):
+    """All links of queries with a chunk of their label's rows."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        dim = rows.column("dim")[0].as_py() if len(rows) and len(queries) else 0
+        out = [[np.zeros(0, np.int64)] * 4]
+        if dim:
+            asked = _matrix(queries.column("vector"), dim)
+            names, many, ids, counts = (t.column(c).to_numpy() for t in (rows, queries) for c in ("node", "n"))
+            for lo in range(0, len(rows), BLOCK):
+                i, j = np.nonzero(_matrix(rows.column("vector").slice(lo, BLOCK), dim) @ asked.T >= threshold)
+                i, j = i[names[lo + i] != ids[j]] + lo, j[names[lo + i] != ids[j]]
+                out.append([ids[j], names[i], counts[j], many[i]])
+        q, other, n_q, n_other = (np.concatenate(x) for x in zip(*out, strict=True))
+        label = rows.column("label")[0].as_py() if dim else 0
+        columns = [np.full(len(q), label), np.full(len(q), dim), q, other, n_q, n_other]
+        return pa.table([pa.array(x, pa.int64()) for x in columns], ["label", "dim", "q", "other", "n_q", "n_other"])
 
     return run
 
@@ -357,64 +365,65 @@ def _sum_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield summed(held)
 
 
-def _of(keys: list[tuple[int, int]]):
-    """Whether a row is of one of the labels and dimensions."""
-    return F.struct("label", "dim").isin(*(F.struct(F.lit(x).cast("long"), F.lit(d).cast("long")) for x, d in keys))
+_LABEL = ["label", "dim"]
 
 
-def _sampled(nodes: DataFrame, shares: dict[tuple[int, int], float], salt: str) -> DataFrame:
-    """A hash sample of rows, of each label and dimension in its own share."""
-    share = F.coalesce(*(F.when((F.col("label") == k[0]) & (F.col("dim") == k[1]), F.lit(min(1.0, x))) for k, x in shares.items()), F.lit(0.0))
-    return nodes.where(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)).select("label", "dim", "node", "vector", "n")
+def _linked_of(nodes: DataFrame, queries: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """All links of the queries (label, dim, node, vector, n), written: each label's rows in chunks, every chunk with all its queries."""
+    queries = materialise(queries, "queries")
+    chunks = sizes.select(*_LABEL, F.ceil(F.col("rows") / GUESTS).alias("chunks")).hint("merge")
+    dealt = queries.join(chunks, _LABEL).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = nodes.join(chunks, _LABEL).join(queries.select(*_LABEL).distinct().hint("merge"), _LABEL, "left_semi").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    columns = [*_LABEL, "chunk", "node", "vector", "n"]
+    return materialise(rows.select(columns).groupBy(*_LABEL, "chunk").cogroup(dealt.select(columns).groupBy(*_LABEL, "chunk")).applyInArrow(_exact(threshold), _TRUE), "audit")
 
 
-def fit_centroids(nodes: DataFrame, sizes: dict[tuple[int, int], int]) -> dict[tuple[int, int], np.ndarray]:
-    """Centroids by label and dimension from a hash sample of at most about SAMPLE_PER_SHARD rows a shard."""
-    shards = {k: min(MOST_SHARDS, max(1, -(-n // SHARD))) for k, n in sizes.items()}
-    held: dict[tuple[int, int], list] = {}
-    for r in _sampled(nodes, {k: SAMPLE_PER_SHARD * shards[k] / n for k, n in sizes.items()}, "fit").collect():
-        held.setdefault((r.label, r.dim), []).append((r.node, bytes(r.vector)))
-    out = {}
-    for (label, dim), n in shards.items():
-        rows = [v for _, v in sorted(held.get((label, dim), []))]
-        out[label, dim] = k_means(_matrix(rows, dim), min(n, len(rows))) if rows else np.ones((1, dim)) / np.sqrt(dim)
-    return out
-
-
-def audit_links(nodes: DataFrame, sizes: dict[tuple[int, int], int], threshold: float) -> DataFrame:
-    """All links (q, other) of sampled queries q: of each label until AUDIT_LINKED of them have links."""
-    out = nodes.sparkSession.createDataFrame([], _TRUE)
-    todo = sorted(sizes)
+def audit_links(nodes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """All links (q, other) of sampled queries q: of each label (label, dim, rows) until AUDIT_LINKED of them have links."""
+    out, todo = [], sizes
     for want in AUDIT_DRAWS:
-        lacking = []
-        for lo in range(0, len(todo), max(1, AUDIT_MOST // want)):
-            keys = todo[lo : lo + max(1, AUDIT_MOST // want)]
-            queries: dict[tuple[int, int], list] = {}
-            for r in _sampled(nodes, {k: want / sizes[k] for k in keys}, "audit").collect():
-                queries.setdefault((r.label, r.dim), []).append((r.node, bytes(r.vector), r.n))
-            packed = {k: (np.array([x[0] for x in v]), _matrix([x[1] for x in v], k[1]), np.array([x[2] for x in v])) for k, v in queries.items()}
-            true = materialise(nodes.select("node", "label", "dim", "vector", "n").mapInArrow(_exact(packed, threshold), out.schema), "audit")
-            linked = {(r.label, r.dim): r.n for r in true.groupBy("label", "dim").agg(F.countDistinct("q").alias("n")).collect()}
-            done = [k for k in keys if linked.get(k, 0) >= AUDIT_LINKED or want >= sizes[k] or want == AUDIT_DRAWS[-1]]
-            if done:
-                out = out.unionAll(true.where(_of(done)))
-            lacking += sorted(set(keys) - set(done))
-        todo = lacking
-    return out
+        share = F.least(F.lit(1.0), want / F.col("rows")) * (1 << 20)
+        queries = nodes.join(todo.hint("merge"), _LABEL).where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 20)) < share).select(*_LABEL, "node", "vector", "n")
+        true = _linked_of(nodes, queries, todo, threshold)
+        linked = true.groupBy(*_LABEL).agg(F.countDistinct("q").alias("linked"))
+        told = todo.join(linked.hint("merge"), _LABEL, "left").withColumn("done", (F.coalesce("linked", F.lit(0)) >= AUDIT_LINKED) | (F.col("rows") <= want) | F.lit(want == AUDIT_DRAWS[-1]))
+        told = materialise(told, "audited")
+        out.append(true.join(told.where("done").select(*_LABEL).hint("merge"), _LABEL, "left_semi"))
+        todo = told.where("not done").select(*_LABEL, "rows")
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, out)
 
 
-def audited_recall(true: DataFrame, found: DataFrame, sizes: dict[tuple[int, int], int]) -> float:
-    """The smallest recall of a label, a mean over its queries; labels of which too little is known count together."""
+def audited_recall(true: DataFrame, found: DataFrame, sizes: DataFrame) -> float | None:
+    """The smallest recall of a label, a mean over its queries; labels of which too little is known count together; None: no link was audited."""
     asked = true.select(F.col("q").alias("a")).distinct()
     lists = found.where("links is not null").join(asked.hint("merge"), "a", "left_semi").select(F.col("a").alias("q"), "links")
     pairs = lists.mapInArrow(_unpacked, "q long, other long").distinct()
-    hits = true.join(pairs.withColumn("hit", F.lit(1)).hint("merge"), ["q", "other"], "left").groupBy("label", "dim", "q").agg((F.count("hit") / F.count("*")).alias("recall"))
-    alone, few = [], []
-    for r in hits.groupBy("label", "dim").agg(F.avg("recall").alias("recall"), F.count("*").alias("n")).collect():
-        (alone if r.n >= AUDIT_LINKED or sizes[r.label, r.dim] <= AUDIT_DRAWS[-1] else few).append((r.recall, r.n))
-    if few:
-        alone.append((sum(x * n for x, n in few) / sum(n for _, n in few), 0))
-    return min((x for x, _ in alone), default=1.0)
+    hits = true.join(pairs.withColumn("hit", F.lit(1)).hint("merge"), ["q", "other"], "left").groupBy(*_LABEL, "q").agg((F.count("hit") / F.count("*")).alias("recall"))
+    each = hits.groupBy(*_LABEL).agg(F.avg("recall").alias("recall"), F.count("*").alias("n")).join(sizes.hint("merge"), _LABEL)
+    own = (F.col("n") >= AUDIT_LINKED) | (F.col("rows") <= AUDIT_DRAWS[-1])
+    low, few, n = each.agg(F.min(F.when(own, F.col("recall"))), F.sum(F.when(~own, F.col("recall") * F.col("n"))), F.sum(F.when(~own, F.col("n")))).first()
+    known = [x for x in (low, few / n if n else None) if x is not None]
+    return min(known) if known else None
+
+
+def recall_of(nodes: DataFrame, true: DataFrame, found: DataFrame, sizes: DataFrame, threshold: float) -> float:
+    """The audited recall.  Where the audit met no link, rows that the search links are compared with all of their label instead.
+
+    With no link on either side it is 1 if all labels were compared whole, else it is unknown, and an error.
+    """
+    recall = audited_recall(true, found, sizes)
+    if recall is None:
+        linked = found.where("links is not null").select(F.col("a").alias("node")).distinct()
+        linked = linked.orderBy(F.xxhash64("node")).limit(AUDIT_DRAWS[-1])  # a bounded sample
+        queries = nodes.join(linked.hint("merge"), "node", "left_semi").select(*_LABEL, "node", "vector", "n")
+        recall = audited_recall(_linked_of(nodes, queries, sizes, threshold), found, sizes)
+    if recall is None:
+        if not sizes.where(F.col("rows") > AUDIT_DRAWS[-1]).isEmpty():
+            raise ValueError("no link was found or audited in labels too large to compare whole: recall is unknown")
+        return 1.0
+    return recall
 
 
 def _as_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,13 +435,12 @@ def _as_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_links(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
     """Lists of links (a, links) and edges (a, b) of the nodes, and the audited recall; the audit's own links are among them."""
-    sizes = {(r.label, r.dim): r["count"] for r in nodes.groupBy("label", "dim").count().collect()}
-    centroids = fit_centroids(nodes, sizes)
+    sizes = materialise(nodes.groupBy(*_LABEL).agg(F.count("*").alias("rows")), "labels")
     true = audit_links(nodes, sizes, threshold)
     for attempt in range(ATTEMPTS):
-        index = materialise(sharded(nodes, centroids, OVERLAP << attempt).groupBy("label", "dim", "shard").applyInArrow(_build, f"{INDEX}, near array<int>"), "index")
+        index = materialise(sharded(nodes, OVERLAP << attempt).groupBy("label", "dim", "shard").applyInArrow(_build, f"{INDEX}, near array<int>"), "index")
         found = search_graph(index, threshold, BEAM << attempt)
-        recall = audited_recall(true, found, sizes)
+        recall = recall_of(nodes, true, found, sizes, threshold)
         if recall >= RECALL_TARGET:
             break
     if recall < RECALL_LEAST:

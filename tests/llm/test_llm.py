@@ -467,6 +467,53 @@ def test_vectors_audit_sees_few_links_and_fails_loudly(spark, monkeypatch):
         embedding_dedup.near_duplicates(df)
 
 
+def test_vectors_recall_is_measured_or_an_error(spark, monkeypatch):
+    v = np.random.default_rng(8).normal(size=(700, 24)).astype(np.float32)
+    frame = lambda rows: spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(rows)], "vec_id long, label int, embedding array<float>")
+    assert {r.n_links for r in embedding_dedup.near_duplicates(frame(v)).collect()} == {0}  # all compared: known to be none
+    monkeypatch.setattr(embedding_dedup, "AUDIT_DRAWS", (2,))
+    with pytest.raises(ValueError, match="unknown"):
+        embedding_dedup.near_duplicates(frame(v))
+    v[650:] = v[:50] * np.float32(1.5) + np.float32(0.01)  # the draw of two may miss them, the search doesn't
+    assert sum(r.n_links for r in embedding_dedup.near_duplicates(frame(v)).collect()) >= 90
+
+
+def test_vectors_of_many_labels(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(2500, 8)).astype(np.float32)
+    rows = [(i, i // 2, (v[i // 2] + np.float32(0.001) * (i % 2)).tolist()) for i in range(5000)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
+    assert len(got) == 5000 and {(r.n_links, r.component_id - r.vec_id // 2 * 2) for r in got} == {(1, 0)}
+
+
+def test_vectors_of_a_dense_shard_come_in_blocks():
+    n, dim = 3000, 16
+    v = np.random.default_rng(1).normal(size=dim) + np.random.default_rng(2).normal(size=(n, dim)) * 0.02
+    table = pa.table({"node": pa.array(np.arange(n)), "label": pa.array(np.zeros(n, np.int64)), "dim": pa.array(np.full(n, dim)), "vector": pa.array([x.astype(np.float32).tobytes() for x in v], pa.binary()), "n": pa.array(np.ones(n, np.int64)), "homes": pa.array([[0]] * n, pa.list_(pa.int64()))})
+    built = embedding_dedup._build(table).append_column("entries", pa.nulls(n, pa.list_(pa.int64())))
+    before, most, links = pa.total_allocated_bytes(), 0, 0
+    for batch in embedding_dedup._search(0.93, 16)(iter(built.combine_chunks().to_batches())):
+        most = max(most, pa.total_allocated_bytes() - before)
+        links += sum(len(x) // 16 for x in batch.column(2).to_pylist() if x)
+    assert links >= n * (n - 1) and most < 100 << 20
+
+
+def test_vectors_of_clashing_hashes(spark, monkeypatch):
+    """Under the first seed all vectors have one hash; the next one is taken."""
+    real, seeds = F.xxhash64, []
+
+    def clash(*columns):
+        if any(isinstance(c, str) and c == "embedding" for c in columns):
+            seeds.append(len(seeds))
+            return F.lit(7).cast("long") if len(seeds) == 1 else real(*columns)
+        return real(*columns)
+
+    monkeypatch.setattr(embedding_dedup.F, "xxhash64", clash)
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 0, [1.0, 0.001])], "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1} and len(seeds) == 2
+
+
 # pieces
 
 
