@@ -17,11 +17,11 @@ def _shift_sql(lng: str, lat: str) -> tuple[str, str]:
     both = f"(20.0 * sin(6.0 * {x} * {_PI}) + 20.0 * sin(2.0 * {x} * {_PI})) * 2.0 / 3.0"
     n = f"-100.0 + 2.0 * {x} + 3.0 * {y} + 0.2 * {y} * {y} + 0.1 * {x} * {y} + 0.2 * sqrt(abs({x})) + {both} + (20.0 * sin({y} * {_PI}) + 40.0 * sin({y} / 3.0 * {_PI})) * 2.0 / 3.0 + (160.0 * sin({y} / 12.0 * {_PI}) + 320.0 * sin({y} / 30.0 * {_PI})) * 2.0 / 3.0"
     e = f"300.0 + {x} + 2.0 * {y} + 0.1 * {x} * {x} + 0.1 * {x} * {y} + 0.1 * sqrt(abs({x})) + {both} + (20.0 * sin({x} * {_PI}) + 40.0 * sin({x} / 3.0 * {_PI})) * 2.0 / 3.0 + (150.0 * sin({x} / 12.0 * {_PI}) + 300.0 * sin({x} / 30.0 * {_PI})) * 2.0 / 3.0"
-    m = f"(1 - 0.00669342162296594323 * pow(sin(radians({lat})), 2))"
-    return f"({e}) * 180.0 / (6378245.0 / sqrt({m}) * cos(radians({lat})) * {_PI})", f"({n}) * 180.0 / (6378245.0 * (1 - 0.00669342162296594323) / ({m} * sqrt({m})) * {_PI})"
+    m = f"(1 - {geo.ECCENTRICITY} * pow(sin(radians({lat})), 2))"
+    return f"({e}) * 180.0 / ({geo.AXIS} / sqrt({m}) * cos(radians({lat})) * {_PI})", f"({n}) * 180.0 / ({geo.AXIS} * (1 - {geo.ECCENTRICITY}) / ({m} * sqrt({m})) * {_PI})"
 
 
-_OUT = "({0} < 72.004 OR {0} > 137.8347 OR {1} < 0.8293 OR {1} > 55.8271)"
+_OUT = "({{0}} < {} OR {{0}} > {} OR {{1}} < {} OR {{1}} > {})".format(*geo.GCJ_BOX)
 
 
 def _moved_sql(source: str, sign: str) -> str:
@@ -62,7 +62,8 @@ def bd_to_wgs(t):
 def wgs_sql(source: str = "location") -> str:
     """id, lng, lat in WGS-84 of a table with coordinate_system."""
     pick = f"SELECT id, lng, lat FROM {source} WHERE coordinate_system = "
-    return f"{pick} 'WGS84' UNION ALL {_moved_sql(pick + chr(39) + 'GCJ02' + chr(39), '-')} UNION ALL {_moved_sql(_BD.format(pick + chr(39) + 'BD09' + chr(39)), '-')}"
+    gcj, bd = f"{pick} 'GCJ02'", f"{pick} 'BD09'"
+    return f"{pick} 'WGS84' UNION ALL {_moved_sql(gcj, '-')} UNION ALL {_moved_sql(_BD.format(bd), '-')}"
 
 
 # Locations with their coordinates in WGS-84, in which all distances are measured.
@@ -325,3 +326,14 @@ def sql_functions(t):
     """The same helpers called by name from SQL text."""
     sql.register(t.spark)
     return t.spark.sql("SELECT id, store_name(name) AS norm, region_name(province) AS region, short_region_name(city) AS short, out_of_region(province) AS out, round(distance_m(lng, lat, 110D, 30D), 3) AS metres FROM {location}", location=t.location)
+
+
+@BOOK.add(f"""SELECT c.id, c.content_id, h.hash, r.province, r.city, r.district, d.fixed, n.province AS full_province, n.city AS full_city, n.district AS full_district, g.fallbacks
+FROM ({BOOK.sql['content_id']}) c JOIN ({BOOK.sql['hash31_id']}) h ON h.id = c.id JOIN ({BOOK.sql['address_region']}) r ON r.id = c.id JOIN ({BOOK.sql['repair_text']}) d ON d.id = c.id JOIN ({BOOK.sql['city_full_name']}) n ON n.id = c.id JOIN ({BOOK.sql['geocode_candidates']}) g ON g.id = c.id""")
+def sql_address_functions(t):
+    """Identity, hash, repair, regions and fallbacks called by name from SQL text."""
+    sql.register(t.spark)
+    rows = t.location.withColumns({"damaged": F.expr(_DAMAGED), "full": F.expr(_FULL)})
+    each = t.spark.sql("""SELECT id, content_id('fm', province, city, district, name, address) AS content_id, hash31(name) AS hash, address_region(address) AS r, repair(damaged) AS fixed, full_city_name(full) AS n,
+        coalesce(array_join(address_fallbacks(address), '|'), '') AS fallbacks FROM {rows}""", rows=rows)
+    return each.select("id", "content_id", "hash", "r.*", "fixed", F.col("n.province").alias("full_province"), F.col("n.city").alias("full_city"), F.col("n.district").alias("full_district"), "fallbacks")

@@ -30,7 +30,10 @@ def geojson_documents(t):
     return lines.groupBy("chain_slug").agg(F.count(own).alias("features"), F.min(F.when(~F.col("line").startswith(","), own)).alias("first_id"))
 
 
-@BOOK.add(f"SELECT concat('s', CAST(l.id AS STRING)) AS shop_id, round(round(w.lng, 9), 6) AS x, round(round(w.lat, 9), 6) AS y FROM location l JOIN ({wgs_sql('(SELECT id, lng, lat, ' + chr(39) + 'GCJ02' + chr(39) + ' AS coordinate_system FROM location WHERE lng IS NOT NULL)')}) w ON w.id = l.id")
+_AS_GCJ = "(SELECT id, lng, lat, 'GCJ02' AS coordinate_system FROM location WHERE lng IS NOT NULL)"
+
+
+@BOOK.add(f"SELECT concat('s', CAST(l.id AS STRING)) AS shop_id, round(round(w.lng, 9), 6) AS x, round(round(w.lat, 9), 6) AS y FROM location l JOIN ({wgs_sql(_AS_GCJ)}) w ON w.id = l.id")
 def geojson_from_source(t):
     shops = _full(t).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("shop_id"), F.col("external_id").alias("shop_code"), "name", "address", "city", "chain_slug", "category_slug", "lng", "lat")
     p = F.from_json("feature", "geometry struct<coordinates: array<double>>")["geometry"]["coordinates"]

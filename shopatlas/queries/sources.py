@@ -232,7 +232,10 @@ def normalize_all_sources(t):
     return projections.normalise(_records(t))
 
 
-@BOOK.add(f"WITH s AS ({_SRC}) SELECT external_id, coordinate_system FROM ({_branch('costco', external='concat(' + chr(39) + 'co' + chr(39) + ', CAST(k AS STRING))', crs='CASE k % 2 WHEN 0 THEN ' + chr(39) + 'GCJ02' + chr(39) + ' ELSE ' + chr(39) + 'WGS84' + chr(39) + ' END')})")
+_COSTCO = _branch("costco", external="concat('co', CAST(k AS STRING))", crs="CASE k % 2 WHEN 0 THEN 'GCJ02' ELSE 'WGS84' END")
+
+
+@BOOK.add(f"WITH s AS ({_SRC}) SELECT external_id, coordinate_system FROM ({_COSTCO})")
 def static_source(t):
     return projections.get("costco")(_records(t)["costco"]).select("external_id", "coordinate_system")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 500  # fixed value: rows sent in one insert
+RENAME = "RENAME TABLE {old} TO {new}"  # as Derby and MySQL spell it; PostgreSQL: ALTER TABLE {old} RENAME TO {new}
 
 
 def scan_table(spark: SparkSession, url: str, table: str, key: str, parts: int = 8, **options: str) -> DataFrame:
@@ -41,7 +42,7 @@ def _statements(spark: SparkSession, url: str, statements: list[str], missing_ok
         connection.close()
 
 
-def load_table(rows: DataFrame, url: str, table: str, batch_rows: int = BATCH_ROWS, **options: str) -> int:
+def load_table(rows: DataFrame, url: str, table: str, batch_rows: int = BATCH_ROWS, rename: str = RENAME, **options: str) -> int:
     """Replace a table by ``rows``; their number.
 
     Tasks insert in batches into a staging table.  Only when all have ended is it counted and
@@ -51,5 +52,5 @@ def load_table(rows: DataFrame, url: str, table: str, batch_rows: int = BATCH_RO
     _statements(spark, url, [f"DROP TABLE {staging}"], missing_ok=1)
     rows.write.format("jdbc").options(url=url, dbtable=staging, batchsize=str(batch_rows), isolationLevel="READ_COMMITTED", **options).mode("error").save()
     n = spark.read.format("jdbc").options(url=url, **options).option("query", f"SELECT count(*) AS n FROM {staging}").load().first()[0]
-    _statements(spark, url, [f"DROP TABLE {table}", f"RENAME TABLE {staging} TO {table}"], missing_ok=1)
+    _statements(spark, url, [f"DROP TABLE {table}", rename.format(old=staging, new=table)], missing_ok=1)
     return int(n)
