@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, scope
-from ..operators import layout, stats
+from ..operators import layout, pyramid, stats
 from ..operators import search as ops
 from ..plans.storage import fresh_path, materialise
 from .book import Book, Tables
@@ -119,6 +119,23 @@ def _side_sql(lat, west, east):
     return f"({px}) * ({ay} * {bz} - {az} * {by}) + ({py}) * ({az} * {bx} - {ax} * {bz}) + ({pz}) * ({ax} * {by} - {ay} * {bx})"
 
 
+def _pyramid_sql(name):
+    w, s, e, n, most = _BOXES[name]
+    size = pyramid.FINEST
+    coarse = 1 << pyramid.thin_level(w, s, e, n, most)
+    inside = f"SELECT *, count(*) OVER () AS total, row_number() OVER (PARTITION BY floor(floor(lng / {size}) / {coarse}), floor(floor(lat / {size}) / {coarse}) ORDER BY id) AS rn FROM ({FULL}) WHERE lng BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n}"
+    return f"SELECT '{name}' AS box, {ROW} FROM ({inside}) WHERE total <= {most} OR rn = 1"
+
+
+@BOOK.add(" UNION ALL ".join(map(_pyramid_sql, _BOXES)))
+def bbox_pyramid(t):
+    """The three boxes from tables of counts and first rows by cell."""
+    path = fresh_path(t.spark, "pyramid")
+    pyramid.write_pyramid(_full(t).select("id", "lng", "lat", "name", "address", "city", "chain_slug", "category_slug"), path)
+    each = [_row(pyramid.read_box(t.spark, path, *box)).select(F.lit(name).alias("box"), "*") for name, box in _BOXES.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 _WIDE = (75.0, 30.0, 130.0, 45.0)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shopatlas.operators import layout, search
+from shopatlas.operators import layout, pyramid, search
 
 
 def test_ranges_cover_the_box_and_little_more():
@@ -92,3 +92,23 @@ def test_far_queries_stay_linear_and_right(spark):
     assert "Cross" not in plan
     assert len({r.query_id for r in search.nearest(queries.limit(2), locations.limit(1), 3, 1000.0, query_id="q").collect()}) == 2  # fewer than k: all
     assert search.nearest(queries, locations.limit(0), 3, 1000.0, query_id="q").count() == 0
+
+
+def test_boxes_of_any_size_from_a_pyramid(spark, tmp_path):
+    rng = random.Random(4)
+    points = [(k, round(rng.uniform(100, 103), rng.choice([2, 6])), round(rng.uniform(-2, 2), rng.choice([2, 6])), f"n{k}") for k in range(3000)]
+    path = str(tmp_path / "pyramid")
+    df = spark.createDataFrame([*points, (-1, None, 0.0, "x")], "id long, lng double, lat double, name string")
+    pyramid.write_pyramid(df, path)
+    for box in ((100.5, -1.0, 102.0, 1.0), (101.0, 0.0, 101.0, 0.0), (101.0, 0.0, 101.001, 0.001), (99.0, -3.0, 104.0, 3.0), (100.11, -1.73, 100.9, 1.99)):
+        inside = [p for p in points if box[0] <= p[1] <= box[2] and box[1] <= p[2] <= box[3]]
+        assert pyramid.count_box(spark, path, *box) == len(inside)
+        for most in (5000, 100, 7):
+            want = inside
+            if len(inside) > most:
+                size, first = 1 << pyramid.thin_level(*box, most), {}
+                for p in inside:
+                    cell = tuple(math.floor(v / pyramid.FINEST) // size for v in p[1:3])
+                    first[cell] = min(first.get(cell, p), p)
+                want = first.values()
+            assert sorted(map(tuple, pyramid.read_box(spark, path, *box, most).select("id", "lng", "lat", "name").collect())) == sorted(want)
