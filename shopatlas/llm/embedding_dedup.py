@@ -234,8 +234,8 @@ def search_graph(index: DataFrame, threshold: float, beam: int) -> DataFrame:
         blocks = materialise(asked.groupBy(*keys).agg(F.expr(f"cast(ceil(count(*) / {GUESTS}) as int)").alias("blocks")), "blocks")
         if blocks.isEmpty():
             return pairs.where("vector is null").select("a", "b", "links")
-        held = index.join(blocks, keys).withColumn("entries", F.expr("cast(null as array<long>)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = guests.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        held = index.join(blocks.hint("merge"), keys).withColumn("entries", F.expr("cast(null as array<long>)")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = guests.join(blocks.hint("merge"), keys).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         both = held.select(*columns, "block").unionAll(dealt.select(*columns, "block"))
         found = materialise(both.groupBy(*keys, "block").applyInArrow(_search(threshold, beam), FOUND), "found")
         pairs = pairs.unionAll(found)
