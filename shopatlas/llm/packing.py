@@ -54,7 +54,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, ...
 def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut and pack all documents into sequences of at most ``capacity`` (a power of two) ids.
 
-    One pass without a shuffle: a task packs the texts it reads in groups of a few megabytes.
+    One pass without a shuffle: a task packs the texts it reads in groups of about 1 MB, within which costs are balanced.
     A sequence's number is made of its task's and its own.  Null texts are empty (the end id
     alone), null ids stay null, rows that repeat an id are documents of their own, an empty table
     gives no row; other columns are not read.

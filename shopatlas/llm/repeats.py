@@ -68,6 +68,7 @@ _RUNS, _PHRASES, _STRINGS, _FRAGMENTS = range(4)
 _DONE, _BY_FRAGMENT, _BY_STRING = range(3)  # what is left to do with a run
 _NAMES = ["part", "kind", "first", "second", "ids", "sums", "counts", "places", "small", "text"]
 _ROWS = "part long, kind long, " + ", ".join(f"{k} binary" for k in _NAMES[2:])
+# Phrases have 174 bytes at most, so the clashes that polynomial hashes modulo 2**64 are known for (1,024 bytes and more) are out of their reach.
 WIDE_CORE = 4096  # different phrases of one core, beyond which single strings travel instead of fragments
 
 
