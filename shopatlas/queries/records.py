@@ -1,6 +1,7 @@
 """Records of single sources, saved files and releases, and variants of windows, grids and tiles."""
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -328,8 +329,8 @@ def embedded_json_sql(t):
 
 @BOOK.add("SELECT id, chain_id, name, round(lng, 6) AS lng FROM location WHERE id % 3 > 0 AND id > 100")
 def jdbc_load_and_scan(t):
-    """Locations loaded into a database inside this process, twice, and read back in ranges of their id."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    """Locations loaded into a database inside the driver's process, twice, and read back in ranges of their id."""
+    url = f"jdbc:derby:{tempfile.mkdtemp(prefix='shopatlas-')}/{uuid.uuid4().hex};create=true"
     rows = t.location.select("id", "chain_id", "name", "lng")
     relational.load_table(rows.where("id % 3 = 0"), url, "stores", **DERBY)
     relational.load_table(rows.where("id % 3 > 0"), url, "stores", **DERBY)
