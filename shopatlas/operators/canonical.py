@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..plans.storage import materialise
+from . import local
 from .components import connected_components
 from .resolve import RADIUS_M, cell_edges, with_cell
 from .sphere import Grid
@@ -28,13 +29,13 @@ def _cell(c: str) -> Column:
     return geo.round_half_even(F.col(c), 4)
 
 
-def _linked(rows: DataFrame, radius_m: float) -> DataFrame:
-    """Edges (a, b) between nodes whose records may touch each other: cells near each other, and all nodes of one id."""
+def _linked(rows: DataFrame, large: DataFrame | None, radius_m: float) -> DataFrame:
+    """Edges (a, b) between nodes whose records may touch each other: cells of ``large`` stores near each other, and all nodes of one id."""
     key = ["chain_id", "external_id"]
     held = materialise(rows.where("external_id is not null").select(*key, "node").distinct(), "ids")
     several = held.groupBy(*key).agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
     recur = held.join(several.hint("merge"), key).select("a", F.col("node").alias("b"))
-    return cell_edges(rows.where("norm_name is not null"), radius_m, ["chain_id", "norm_name"]).union(recur)
+    return recur if large is None else cell_edges(large, radius_m, ["chain_id", "norm_name"]).union(recur)
 
 
 class _Table:
@@ -103,8 +104,8 @@ def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIU
     its own.  It then takes that id's row over: the row has its name and place from now on.  A
     record without name or coordinates keeps its own id and leaves that id's row without a place.
 
-    Records that can touch each other form components: by neighbouring cells of one name, and by ids
-    that recur.  A component of one place, however many copies it has, is settled by an aggregation.
+    Records that can touch each other form components: all of one name, or of a name with more than
+    ``local.MOST`` records those of neighbouring cells; and by ids that recur.  A component of one place, however many copies it has, is settled by an aggregation.
     Of others only what comes before the last new cell can matter; that is replayed in order,
     component by component, in a stream whose memory is the component's ids.
     """
@@ -113,9 +114,13 @@ def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIU
     rows = rows.withColumn("norm_name", _named()).withColumns({"rx": F.when(F.col("norm_name").isNotNull(), _cell("lng")), "ry": F.when(F.col("norm_name").isNotNull(), _cell("lat"))})
     reach = max(radius_m, CELL_REACH_M)
     apart = F.xxhash64(F.lit("id"), "chain_id", "external_id")
-    rows = with_cell(rows.drop("name"), reach, ["chain_id", "norm_name"]).withColumn("node", F.when(F.col("norm_name").isNotNull(), F.col("node")).otherwise(apart))
+    rows = with_cell(rows.drop("name"), reach, ["chain_id", "norm_name"]).withColumns({"node": F.when(F.col("norm_name").isNotNull(), F.col("node")).otherwise(apart), "store": F.when(F.col("norm_name").isNotNull(), F.xxhash64("chain_id", "norm_name"))})
     rows = materialise(rows, "records")  # two nodes of one hash only make a component larger
-    roots = connected_components(_linked(rows, reach))
+    large = local.large_stores(rows)  # their cells are nodes; of a smaller store all records are one
+    rows = rows.withColumn("_large", F.lit(False)) if large is None else rows.join(large.withColumn("_large", F.lit(True)), "store", "left")
+    rows = rows.withColumn("node", F.when(F.coalesce("_large", F.lit(False)) | F.col("store").isNull(), F.col("node")).otherwise(F.col("store")))
+    roots = connected_components(_linked(rows, rows.where("_large") if large is not None else None, reach))
+    rows = rows.drop("store", "_large")
     rooted = materialise(rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
     placed = rooted.where("norm_name is not null")
     firsts = materialise(placed.where("ordinal >= 0").groupBy("root", *CELL).agg(F.min("ordinal").alias("ordinal")), "cells")
