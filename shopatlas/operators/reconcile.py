@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.storage import materialise
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -72,15 +73,19 @@ def cascade(records: DataFrame, gazetteer: DataFrame, pois: DataFrame, centres:
         F.transform(places, lambda a: F.struct(F.lit(0).alias("stage"), text.one_space(a).alias("what"))),
         F.array_compact(F.array(F.when(F.coalesce(F.col("name"), F.lit("")) != "", F.struct(F.lit(1).alias("stage"), F.col("name").alias("what"))))),
     )
-    by_place = records.select(key, F.posexplode(tries).alias("p", "t"), cities.alias("cities")).select(key, "p", "t.*", F.posexplode("cities").alias("c", "city"))
-    by_city = records.select(key, F.posexplode(cities).alias("c", "city")).where("city is not null").select(key, F.lit(0).alias("p"), F.lit(2).alias("stage"), F.col("city").alias("what"), "c", "city")
-    asked = by_place.unionByName(by_city).withColumn("city", F.coalesce("city", F.lit("")))
+    cross = F.flatten(F.transform(tries, lambda t, p: F.transform(cities, lambda city, c: F.struct(t["stage"].alias("stage"), t["what"].alias("what"), F.coalesce(city, F.lit("")).alias("city"), p.alias("p"), c.alias("c")))))
+    towns = F.transform(cities, lambda city, c: F.struct(F.lit(2).alias("stage"), city.alias("what"), F.coalesce(city, F.lit("")).alias("city"), F.lit(0).alias("p"), c.alias("c")))
+    # dealt by record once, so that few large input splits are not exploded and sorted by as few tasks
+    asked = records.repartition(key).select(key, F.explode(F.concat(cross, F.filter(towns, lambda t: t["what"].isNotNull()))).alias("a")).select(key, "a.*")
     score = text.confidence(F.col("level"))
     known = gazetteer.where(text.acceptable(score)).select(F.lit(0).alias("stage"), text.one_space(F.col("address")).alias("what"), F.coalesce("city", F.lit("")).alias("city"), "lng", "lat", F.col("address").alias("formatted"))
     known = known.unionByName(pois.select(F.lit(1).alias("stage"), F.col("name").alias("what"), F.coalesce("city", F.lit("")).alias("city"), "lng", "lat", text.poi_address(F.col("district"), F.col("address")).alias("formatted")))
     known = known.unionByName(centres.select(F.lit(2).alias("stage"), F.col("city").alias("what"), "city", "lng", "lat", F.lit(None).cast("string").alias("formatted")))
     known = known.groupBy("stage", "what", "city").agg(F.min(F.struct("lng", "lat", "formatted")).alias("hit"))
-    hits = asked.join(known.hint("merge"), ["stage", "what", "city"])
+    # only what is asked for: where that is little, Spark's size check broadcasts it, and no hot question is a skewed key
+    questions = asked.select("stage", "what", "city").distinct()
+    known = materialise(known.join(questions.hint("merge"), ["stage", "what", "city"], "left_semi"), "known")
+    hits = asked.join(known, ["stage", "what", "city"])
     return hits.groupBy(key).agg(F.min_by(F.struct(F.col("stage"), F.col("hit.lng").alias("lng"), F.col("hit.lat").alias("lat"), F.col("hit.formatted").alias("formatted")), F.struct("stage", "p", "c")).alias("h")).select(key, "h.*")
 
 
