@@ -28,8 +28,13 @@ def feature_collections(locations: DataFrame) -> DataFrame:
     The document of a chain is its lines in the order of part and id: a head (part 0), a feature a
     line (1, from the second on with a comma before it) and a tail (2).
     """
-    rows = geojson_rows(locations)
+    return _lines(geojson_rows(locations))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """``feature_collections`` of the rows of ``geojson_rows``."""
     ends = rows.groupBy(F.col("chain_slug").alias("slug")).agg(F.min("id").alias("first"))
+    ends = materialise(ends, "ends")  # a row a chain, asked for three times
     comma = F.when(F.col("id") == F.col("first"), "").otherwise(",")
     own = rows.join(ends, F.col("chain_slug").eqNullSafe(F.col("slug"))).select("chain_slug", F.lit(1).alias("part"), "id", F.concat(comma, "feature").alias("line"))
     end = lambda part, line: ends.select(F.col("slug").alias("chain_slug"), F.lit(part).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(line).alias("line"))
@@ -38,8 +43,12 @@ def feature_collections(locations: DataFrame) -> DataFrame:
 
 def write_collections(locations: DataFrame, path: str, mode: str = "error") -> None:
     """A folder a chain; its files one after another, in the order of their names, are the chain's document."""
+    _write_lines(feature_collections(locations), path, mode)
+
+
+def _write_lines(lines: DataFrame, path: str, mode: str = "error") -> None:
     order = ["chain_slug", "part", "id"]
-    rows = feature_collections(locations).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.select("chain_slug", F.col("line").alias("value")).write.mode(mode).partitionBy("chain_slug").text(path)
 
 
@@ -47,12 +56,14 @@ def write_release(locations: DataFrame, path: str) -> int:
     """Collections as a new version named by the rows' content; the number of stores.
 
     Rows that equal the current release's are not written again.  A reader takes the version that
-    the journal names last, and a new one is named only once it is whole.
+    the journal names last, and a new one is named only once it is whole.  Features are made once, for
+    the digest and for the files.
     """
-    total, digest = versions.content_digest(geojson_rows(locations))
+    rows = materialise(geojson_rows(locations), "features")
+    total, digest = versions.content_digest(rows)
     before = versions.current(locations.sparkSession, path)
     if before is None or (before.rows, before.digest) != (total, digest):
-        versions.publish(locations, path, write_collections, total, digest)
+        versions.publish(rows, path, lambda df, folder: _write_lines(_lines(df), folder), total, digest)
     return total
 
 
