@@ -36,3 +36,32 @@ def test_stores_inside_tasks_equal_joins(spark, monkeypatch, mode, seed):
 def test_small_stores_need_no_rounds(spark, monkeypatch, query):
     monkeypatch.setattr(resolve, "connected_components", None)
     assert registry.QUERIES[query](spark, SF).count()
+
+
+def test_ids_of_small_stores_need_no_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from shopatlas.operators import canonical
+
+    df = _stores(spark, 3).withColumns({"ordinal": F.col("id"), "external_id": F.concat(F.lit("e"), (F.col("id") % 200).cast("string"))})
+    ids = lambda: sorted(canonical.canonical_ids(df.where("id % 3 = 0"), df.where("id % 3 > 0")).select("id", "external_id").collect())
+    with monkeypatch.context() as m:
+        m.setattr(canonical, "cell_edges", None)
+        inside = ids()
+    for most in (0, 90):
+        monkeypatch.setattr(local, "MOST", most)
+        assert ids() == inside
+
+
+def test_hot_questions_are_no_join_key(spark):
+    plan = registry.QUERIES["geocode_cascade"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Union" not in plan
+
+
+def test_features_of_a_release_are_made_once(spark, tmp_path, monkeypatch):
+    from shopatlas.plans import export, versions
+
+    read, own = [], versions.content_digest
+    monkeypatch.setattr(versions, "content_digest", lambda df: read.append(df.inputFiles()) or own(df))
+    registry.QUERIES["geojson_release"](spark, SF).count()
+    assert len(read) == 2 and all("features-" in f for files in read for f in files) and export
