@@ -19,9 +19,9 @@ CELL = ["chain_id", "norm_name", "rx", "ry"]
 CELL_REACH_M = 16.0  # two points of one cell of four decimals are not farther apart
 
 
-def _named() -> Column:
+def _named(store_name: str | None) -> Column:
     """The normalised name of a located record, else null."""
-    name = text.store_name(F.col("name"))
+    name = F.col(store_name) if store_name else text.store_name(F.col("name"))
     return F.when((name != "") & F.col("lng").isNotNull() & F.col("lat").isNotNull(), name)
 
 
@@ -93,11 +93,12 @@ def _replayed(radius_m: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
+def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIUS_M, store_name: str | None = None) -> DataFrame:
     """``batch`` with the external id under which each store is known when its turn comes.
 
     Both have chain_id, external_id (string), name, lng, lat, and the batch a unique ``ordinal``
-    (0 or more); other columns of the batch pass through.  Records are taken by ordinal.  Each has
+    (0 or more); other columns of the batch pass through.  ``store_name`` names a column of both that
+    holds the normalised names already.  Records are taken by ordinal.  Each has
     the id that an earlier record of its cell (chain, normalised name, coordinates to four decimals)
     was given; else that of the first row of the table, as it is then, of its chain and normalised
     name within the radius (stored rows first, by id; then new ones in the order they came); else
@@ -109,12 +110,12 @@ def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIU
     Of others only what comes before the last new cell can matter; that is replayed in order,
     component by component, in a stream whose memory is the component's ids.
     """
-    key = ["chain_id", "external_id", "name", "lng", "lat"]
+    key = ["chain_id", "external_id", _named(store_name).alias("norm_name"), "lng", "lat"]
     rows = snapshot.select(*key, F.lit(-1).cast("long").alias("ordinal")).unionByName(batch.select(*key, F.col("ordinal").cast("long").alias("ordinal")))
-    rows = rows.withColumn("norm_name", _named()).withColumns({"rx": F.when(F.col("norm_name").isNotNull(), _cell("lng")), "ry": F.when(F.col("norm_name").isNotNull(), _cell("lat"))})
+    rows = rows.withColumns({"rx": F.when(F.col("norm_name").isNotNull(), _cell("lng")), "ry": F.when(F.col("norm_name").isNotNull(), _cell("lat"))})
     reach = max(radius_m, CELL_REACH_M)
     apart = F.xxhash64(F.lit("id"), "chain_id", "external_id")
-    rows = with_cell(rows.drop("name"), reach, ["chain_id", "norm_name"]).withColumns({"node": F.when(F.col("norm_name").isNotNull(), F.col("node")).otherwise(apart), "store": F.when(F.col("norm_name").isNotNull(), F.xxhash64("chain_id", "norm_name"))})
+    rows = with_cell(rows, reach, ["chain_id", "norm_name"]).withColumns({"node": F.when(F.col("norm_name").isNotNull(), F.col("node")).otherwise(apart), "store": F.when(F.col("norm_name").isNotNull(), F.xxhash64("chain_id", "norm_name"))})
     rows = materialise(rows, "records")  # two nodes of one hash only make a component larger
     large = local.large_stores(rows)  # their cells are nodes; of a smaller store all records are one
     rows = rows.withColumn("_large", F.lit(False)) if large is None else rows.join(large.withColumn("_large", F.lit(True)), "store", "left")
@@ -134,7 +135,7 @@ def canonical_ids(snapshot: DataFrame, batch: DataFrame, radius_m: float = RADIU
     mixed = mixed.select("root", "ordinal", F.col("chain_id").cast("string").alias("chain_id"), "external_id", "norm_name", "lng", "lat", "rx", "ry").repartition("root").sortWithinPartitions("root", "ordinal", "external_id")
     answers = materialise(mixed.mapInArrow(_replayed(radius_m), "ordinal long, known_id string"), "replayed")
     known = settled.union(firsts.join(answers.hint("merge"), "ordinal").select(*CELL, "known_id")).toDF("_chain", "_norm", "_x", "_y", "known_id")
-    own = batch.withColumn("_name", _named()).alias("b")
+    own = batch.withColumn("_name", _named(store_name)).alias("b")
     same = (F.col("b.chain_id") == F.col("_chain")) & (F.col("b._name") == F.col("_norm")) & (_cell("b.lng") == F.col("_x")) & (_cell("b.lat") == F.col("_y"))
     found = own.join(known.hint("merge"), same, "left")
     return found.select(*(F.coalesce("known_id", "b.external_id").alias(c) if c == "external_id" else F.col(f"b.{c}") for c in batch.columns))

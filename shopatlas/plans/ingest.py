@@ -38,14 +38,15 @@ def run_metrics(tagged: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("failed") == 0, "success").otherwise("partial"))
 
 
-def ingest(snapshot: DataFrame, records: DataFrame) -> Ingested:
+def ingest(snapshot: DataFrame, records: DataFrame, store_name: str | None = None) -> Ingested:
     """Validate, convert, resolve ids and upsert a batch.
 
     ``snapshot`` has KEYS, VALUES and KEPT; ``records`` those (coordinates in their own system) and an
-    ``ordinal``.  The tagged batch and its converted rows are written once each, for several readers.
+    ``ordinal``.  ``store_name`` names a column of both that holds the normalised names; it is kept
+    in the snapshot like a value.  The tagged batch and its converted rows are written once each, for several readers.
     """
     tagged = materialise(tag(records), "batch")
     valid = materialise(to_wgs(tagged.where("reason is null")), "converted")
-    named = canonical.canonical_ids(snapshot, valid)
-    out = upsert.upsert(snapshot, named, KEYS, VALUES, KEPT)
+    named = canonical.canonical_ids(snapshot, valid, store_name=store_name)
+    out = upsert.upsert(snapshot, named, KEYS, [*VALUES, store_name] if store_name else VALUES, KEPT)
     return Ingested(out, tagged.where("reason is not null"), run_metrics(tagged))

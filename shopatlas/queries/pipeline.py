@@ -111,15 +111,18 @@ UNION ALL SELECT * REPLACE (2000000000 + o AS o, 2 AS run) FROM ({_WGS}) WHERE o
 
 @BOOK.add(_ingested_sql(_RUNS))
 def stream_ingest(t):
-    """The same ingest as a stream in three batches: even ids, odd ids, and every seventh record once more."""
+    """The same ingest as a stream in three batches: even ids, odd ids, and every seventh record once more.
+
+    A batch lands in as many files as its tasks write; the stream is started once for each and takes all that is new.
+    """
     old, new = _batches(t)
-    landed = storage.fresh_path(t.spark, "landed")
-    for run, own in enumerate(("id % 2 = 0", "id % 2 = 1", "id % 7 = 0")):
-        new.where(own).withColumn("ordinal", F.col("ordinal") + run * 1_000_000_000).coalesce(1).write.mode("append").parquet(landed)
+    landed, progress = storage.fresh_path(t.spark, "landed"), storage.fresh_path(t.spark, "progress")
     store = streaming.SnapshotStore(t.spark, storage.fresh_path(t.spark, "snapshots"), buckets=16)
     store.start(old)
-    query = streaming.stream_ingest(t.spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(landed), store, storage.fresh_path(t.spark, "progress"))
-    query.awaitTermination()
+    for run, own in enumerate(("id % 2 = 0", "id % 2 = 1", "id % 7 = 0")):
+        new.where(own).withColumn("ordinal", F.col("ordinal") + run * 1_000_000_000).write.mode("append").parquet(landed)
+        query = streaming.stream_ingest(t.spark.readStream.schema(new.schema).parquet(landed), store, progress)
+        query.awaitTermination()
     return _shown(store.read(query.lastProgress["batchId"] if query.lastProgress else -1))
 
 

@@ -66,3 +66,20 @@ def test_five_batches_and_a_restart_equal_plain_ingests(spark, tmp_path, monkeyp
     assert all(0 < n <= 6 for n in written) and whole > 40
     with pytest.raises(ValueError, match="never written"):
         store.read(17)
+
+
+def test_a_hot_bucket_is_dealt_over_tasks(spark, tmp_path):
+    n, aqe = 20_000, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    stored, days = batches(spark)
+    many = spark.range(0, n, 1, 8).select(F.lit(1).alias("chain_id"), F.format_string("m%d", "id").alias("external_id"), F.lit("Many").alias("name"), *(F.lit(v).alias(c) for c, v in (("address", "Road 1"), ("province", "广东省"), ("city", "广州市"), ("district", "天河区"))), (113.0 + F.col("id") / 1000).alias("lng"), F.lit(23.1).alias("lat"), F.lit("WGS84").alias("coordinate_system"), F.lit("day 0").alias("last_seen_at"), F.lit("day 0").alias("created_at"))
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=1)
+    before = spark.conf.get(aqe)
+    spark.conf.set(aqe, "16k")
+    try:
+        store.start(stored.unionByName(many))
+    finally:
+        spark.conf.set(aqe, before)
+    assert len(files(tmp_path / "store" / "rows-000000000")) > 2  # one bucket, several tasks
+    assert store.read(-1).count() == n + 60 and store.read(-1).columns == store.columns
+    store.apply(days[0], 0)
+    assert shown(store.read(0)) == shown(materialise(ingest.ingest(stored.unionByName(many), days[0]).snapshot, "plain"))
